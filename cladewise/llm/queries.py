@@ -3,10 +3,12 @@
 from cladewise.llm.exact_dedup import OP6_SQL, op6_exact_dedup
 from cladewise.llm.mixing import op1_pareto_mix
 from cladewise.llm.packing import op9_power_of_two_packing
+from cladewise.llm.quality import op2_pu_quality
 from cladewise.llm.simhash import op3_simhash_near_dedup
 
 QUERIES = {
     "op1_pareto_mix": op1_pareto_mix,
+    "op2_pu_quality": op2_pu_quality,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op6_exact_dedup": op6_exact_dedup,
     "op9_power_of_two_packing": op9_power_of_two_packing,
