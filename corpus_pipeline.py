@@ -4,20 +4,40 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cladewise.llm.common import materialise, table
+from cladewise.llm.common import RID, materialise, table
 from cladewise.llm.exact_dedup import drop_exact_copies
+from cladewise.llm.mixing import apply_mix
+from cladewise.llm.packing import pack
+from cladewise.llm.quality import keep_good, train
 from cladewise.llm.simhash import drop_near_copies
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the positive-unlabelled classifier rejects go."""
+    return keep_good(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the row with the smallest id stays."""
     return drop_exact_copies(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents with linked fingerprints that with the smallest id stays."""
     return drop_near_copies(docs)
 
 
-STAGES = [("exact_dedup", exact), ("simhash_near_dedup", near)]
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document occurs as often as the mix takes it: not at all, once or twice."""
+    return apply_mix(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of power-of-two lengths, a sequence each."""
+    return pack(docs).drop(RID)
+
+
+STAGES = [("quality", quality), ("exact_dedup", exact), ("simhash_near_dedup", near), ("mixing", mixing), ("packing", packing)]
 
 #: Fingerprints, the fitted classifier and the tokenizer are beyond SQL; tests compare the stages with brute force.
 ORACLE_SQL = None
@@ -25,6 +45,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir))
+    for name, stage in STAGES:
+        docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = materialise(docs)
     return docs
