@@ -1,5 +1,6 @@
 """Queries of this subpackage by name, and the SQL of those that SQL can express."""
 
+from cladewise.llm.bitsliced import OP7_SQL, op7_bitsliced_topk
 from cladewise.llm.exact_dedup import OP6_SQL, op6_exact_dedup
 from cladewise.llm.mixing import op1_pareto_mix
 from cladewise.llm.packing import op9_power_of_two_packing
@@ -11,9 +12,11 @@ QUERIES = {
     "op2_pu_quality": op2_pu_quality,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_bitsliced_topk": op7_bitsliced_topk,
     "op9_power_of_two_packing": op9_power_of_two_packing,
 }
 
 ORACLE_SQL = {
     "op6_exact_dedup": OP6_SQL,
+    "op7_bitsliced_topk": OP7_SQL,
 }
