@@ -2,6 +2,7 @@
 
 from cladewise.llm.bitsliced import OP7_SQL, op7_bitsliced_topk
 from cladewise.llm.exact_dedup import OP6_SQL, op6_exact_dedup
+from cladewise.llm.lm import op10_attention_lm
 from cladewise.llm.mixing import op1_pareto_mix
 from cladewise.llm.packing import op9_power_of_two_packing
 from cladewise.llm.quality import op2_pu_quality
@@ -14,6 +15,7 @@ QUERIES = {
     "op6_exact_dedup": op6_exact_dedup,
     "op7_bitsliced_topk": op7_bitsliced_topk,
     "op9_power_of_two_packing": op9_power_of_two_packing,
+    "op10_attention_lm": op10_attention_lm,
 }
 
 ORACLE_SQL = {
