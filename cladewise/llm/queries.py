@@ -3,6 +3,7 @@
 from cladewise.llm.bitsliced import OP7_SQL, op7_bitsliced_topk
 from cladewise.llm.exact_dedup import OP6_SQL, op6_exact_dedup
 from cladewise.llm.licences import op8_licence_sentences
+from cladewise.llm.line_dedup import op4_line_dedup
 from cladewise.llm.lm import op10_attention_lm
 from cladewise.llm.mixing import op1_pareto_mix
 from cladewise.llm.packing import op9_power_of_two_packing
@@ -14,6 +15,7 @@ QUERIES = {
     "op1_pareto_mix": op1_pareto_mix,
     "op2_pu_quality": op2_pu_quality,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
+    "op4_line_dedup": op4_line_dedup,
     "op5_balanced_shards": op5_balanced_shards,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_bitsliced_topk": op7_bitsliced_topk,
