@@ -89,7 +89,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     open_ = (F.col("p") > 1e-9) & (F.col("size") > 0)
     rank = F.when(open_, F.col("odds") * (1 - F.col("p")) / F.col("p"))
     # q / (1 + q) keeps the order of the ranks q and lies between 0 and 1
-    ranked = ranked.withColumn("rank", rank).withColumn("bucket", F.least(F.lit(buckets - 1), F.floor(buckets * F.col("rank") / (1 + F.col("rank")))).cast("int"))
+    ranked = ranked.withColumn("rank", rank).withColumn("bucket", F.when(F.col("rank").isNotNull(), F.least(F.lit(buckets - 1), F.floor(buckets * F.col("rank") / (1 + F.col("rank"))))).cast("int"))
     filled = materialise(ranked.where("rank IS NOT NULL").groupBy("number", "bucket").agg(F.sum("size").alias("words")))
     run = F.sum("words").over(Window.partitionBy("number").orderBy("bucket"))
     edge = filled.withColumn("upto", run).join(need, "number").where("upto > need").groupBy("number").agg(F.min(F.struct("bucket", (F.col("need") - F.col("upto") + F.col("words")).alias("left"))).alias("e"))
