@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from cladewise.llm.common import RID, P, materialise, number_rows, table
 
-SHARDS, ROUNDS, SEED = 8, 6, 77
+SHARDS, ROUNDS, SEED = 8, 8, 77
+_OPEN_AFTER = 2  # from this round on votes pass over full shards
 _GROUP_PARTS = 2  # a large group is split into parts of about a shard's size divided by this
 
 
@@ -26,15 +27,16 @@ def _loads(rows: DataFrame, shards: int) -> list[int]:
 def propagate(linked: DataFrame, shards: int, capacity: int, rounds: int = ROUNDS, seed: int = SEED) -> DataFrame:
     """Move members of ``linked(RID, grp, shard)`` towards the shard where most of their group is, within ``capacity`` rows a shard."""
     for r in range(rounds):
-        tally = linked.groupBy("grp", "shard").agg(F.count(F.lit(1)).alias("n"))
-        tally = materialise(tally)
-        vote = tally.groupBy("grp").agg(F.max_by("shard", F.struct("n", F.xxhash64(F.lit(seed), "grp", "shard"))).alias("to"))
+        load = _loads(linked, shards)
+        full = [s for s in range(shards) if r >= _OPEN_AFTER and load[s] >= capacity]
+        tally = materialise(linked.groupBy("grp", "shard").agg(F.count(F.lit(1)).alias("n")))
+        weight = F.when(F.col("shard").isin(full), 0).otherwise(F.col("n")) if full else F.col("n")
+        vote = tally.groupBy("grp").agg(F.max_by("shard", F.struct(weight, F.xxhash64(F.lit(seed), "grp", "shard"))).alias("to"))
         # a mover gains as many links as its group has in the target, and loses those at home: groups ask as a whole
         asks = materialise(tally.join(vote, "grp").where("shard <> to").groupBy("grp", "to").agg(F.sum("n").alias("movers")))
         demand = dict(asks.groupBy("to").agg(F.sum("movers")).collect())  # one row for each shard
         if not demand:
             break
-        load = _loads(linked, shards)
         leaving = dict(asks.join(tally, "grp").where("shard <> to").groupBy("shard").agg(F.sum("n")).collect())
         # what leaves a shard makes room there, as far as it is sure to be admitted elsewhere; half of it is counted on
         room = {s: max(0, capacity - load[s] + leaving.get(s, 0) // 2) for s in range(shards)}
