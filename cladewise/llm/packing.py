@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,33 +26,75 @@ CONTEXT, END_ID = 2048, 1
 #: Unicode white space; str.split also cuts at the four characters below, which are no white space to the tokenizers.
 _SPACE = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 _NOT_SPACE_HERE = re.compile("[\x1c-\x1f]")
-_CACHED, _CACHED_LENGTH = 400_000, 40
+_CACHED, _CACHED_LENGTH, _WORDS = 600_000, 40, 200_000
 
 
 class WordIds:
-    """Ids of texts as little-endian 32-bit bytes, by a tokenizer that never joins over white space; frequent words are kept."""
+    """Ids of texts as little-endian 32-bit bytes, by a tokenizer that never joins over white space.
+
+    Words are looked up; only words not met yet go through the tokenizer, many
+    at a time, without case where the tokenizer has none and without a final
+    stop or comma.
+    """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        self.letters: dict[str, tuple[int, str]] = {}
+        normal = self.tokenizer.normalizer
+        self.no_case = normal is not None and normal.normalize_str("AZ\u00c0\u00de") == "az\u00e0\u00fe"
 
-    def encode(self, text: str) -> bytes:
-        words = text.split() if not _NOT_SPACE_HERE.search(text) else [w for w in _SPACE.split(text) if w]
-        known = self.known
-        new = {w for w in words if w not in known}
-        if new:
-            new = list(new)
-            ids = [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-            if len(known) + len(new) > _CACHED:
-                known = dict(zip(new, ids)) | {w: known[w] for w in words if w in known}
-                self.known = {w: v for w, v in known.items() if len(w) <= _CACHED_LENGTH}
-            else:
-                known.update(zip(new, ids))
-        out = b"".join([known[w] for w in words])
+    def _words(self, text: str) -> list[str]:
+        if self.no_case and "<|" not in text and _latin(text):  # special tokens have case
+            text = text.lower()
+        return text.split() if not _NOT_SPACE_HERE.search(text) else [w for w in _SPACE.split(text) if w]
+
+    def _learn(self, new: set[str]) -> None:
+        known, whole, stems, cut_off = self.known, [w for w in ".," if w not in self.known], set(), []
         for w in new:
-            if len(w) > _CACHED_LENGTH:
-                known.pop(w, None)
-        return out
+            stem = w[:-1] if w[-1] in ".," else w
+            if self.no_case and stem.isalpha() and stem.islower() and _latin(stem):
+                stems.add(stem)
+                if stem is not w:
+                    cut_off.append(w)
+            else:
+                whole.append(w)
+        fresh = [w for w in stems if w not in known]
+        piece, cut_up = self.tokenizer.model.tokenize, self.tokenizer.pre_tokenizer.pre_tokenize_str
+        for c in set().union(*fresh).difference(self.letters):
+            self.letters[c] = ord(c), "".join(x for x, _ in cut_up(c))
+        spelt = dict(self.letters.values())
+        for w in fresh:  # each is one piece to the tokenizer: its normal form is itself, and the model comes next
+            known[w] = array("I", [t.id for t in piece(w if w.isascii() else w.translate(spelt))]).tobytes()
+        if whole:
+            known.update((w, np.array(e.ids, dtype="<u4").tobytes()) for w, e in zip(whole, self.tokenizer.encode_batch_fast(whole, add_special_tokens=False)))
+        for w in cut_off:
+            known[w] = known[w[:-1]] + known[w[-1]]
+
+    def encode(self, texts: list[str]) -> Iterator[bytes]:
+        words, size = [], 0
+        for i, text in enumerate(texts, 1):
+            words.append(self._words(text))
+            size += len(words[-1])
+            if size >= _WORDS or i == len(texts):
+                distinct = set().union(*words)
+                new = distinct.difference(self.known)
+                if len(self.known) + len(new) > _CACHED:
+                    self.known = {w: v for w, v in self.known.items() if w in distinct and len(w) <= _CACHED_LENGTH}
+                    new = distinct.difference(self.known)
+                if new:
+                    self._learn(new)
+                get = self.known.__getitem__
+                yield from [b"".join(map(get, w)) for w in words]
+                words, size = [], 0
+
+
+def _latin(text: str) -> bool:
+    """Whether lower case is the same everywhere and nothing is left to compose."""
+    try:
+        return text.isascii() or bool(text.encode("latin-1"))
+    except UnicodeEncodeError:
+        return False
 
 
 def cut(length: int, context: int = CONTEXT) -> list[int]:
@@ -70,8 +113,8 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, row_id: str | None, voca
         encoder = WordIds(vocabulary)
         for b in batches:
             which, start, length, crc, total = [], [], [], [], []
-            for i, text in enumerate(b.column("t").to_pylist()):
-                ids = encoder.encode(text or "") + end
+            for i, ids in enumerate(encoder.encode([t or "" for t in b.column("t").to_pylist()])):
+                ids += end
                 at = 0
                 for n in cut(len(ids) // 4, context):
                     which.append(i)
