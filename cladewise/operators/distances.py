@@ -65,8 +65,8 @@ def point_scale(distances: DataFrame, curvature: float = 0.0) -> DataFrame:
 
 def diameter(distances: DataFrame) -> DataFrame:
     """The farthest pair of each data set; of equals the first."""
-    best = F.max(F.struct("d", (-F.col("i")).alias("ni"), (-F.col("j")).alias("nj")))
-    return distances.groupBy("ds").agg(best.alias("b")).select("ds", (-F.col("b.ni")).alias("i"), (-F.col("b.nj")).alias("j"), F.col("b.d").alias("d"))
+    best = F.min(F.struct((-F.col("d")).alias("d"), "i", "j"))
+    return distances.groupBy("ds").agg(best.alias("b")).select("ds", "b.i", "b.j", (-F.col("b.d")).alias("d"))
 
 
 def ends(distances: DataFrame) -> DataFrame:

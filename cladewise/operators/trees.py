@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cladewise.sources.shared import stored
+
 
 def leaves(trees: DataFrame) -> DataFrame:
     inner = trees.where("parent IS NOT NULL").select("tree", F.col("parent").alias("node")).distinct()
@@ -20,7 +22,7 @@ def ancestors(trees: DataFrame, start: DataFrame, depth: int = 64) -> DataFrame:
     now = start.select("tree", "node", F.col("node").alias("anc"), F.lit(0.0).alias("dist"))
     out = now.withColumn("steps", F.lit(0))
     for step in range(1, depth + 1):
-        now = now.join(edge, ["tree", "anc"]).where("parent IS NOT NULL").select("tree", "node", F.col("parent").alias("anc"), (F.col("dist") + F.col("length")).alias("dist"))
+        now = stored(now.join(edge, ["tree", "anc"]).where("parent IS NOT NULL").select("tree", "node", F.col("parent").alias("anc"), (F.col("dist") + F.col("length")).alias("dist")))
         if now.isEmpty():
             return out
         out = out.unionByName(now.withColumn("steps", F.lit(step)))

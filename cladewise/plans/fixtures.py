@@ -57,7 +57,7 @@ def trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``tree, node, parent, length``: a tree for each customer; its children are the years of orders, theirs the orders. Root: parent null."""
     o = table(spark, sf_dir, "orders")
     year = F.year("o_orderdate")
-    leaf = o.select(F.col("o_custkey").alias("tree"), F.concat(F.lit("L"), F.col("o_orderkey").cast("string")).alias("node"), F.concat(F.lit("Y"), year.cast("string")).alias("parent"), (0.5 + F.col("o_totalprice").cast("double") / 7.7e5).alias("length"))
+    leaf = o.select(F.col("o_custkey").alias("tree"), F.concat(F.lit("L"), F.col("o_orderkey").cast("string")).alias("node"), F.concat(F.lit("Y"), year.cast("string")).alias("parent"), (0.5 + F.col("o_totalprice").cast("double") / 771234.57).alias("length"))
     inner = o.select(F.col("o_custkey").alias("tree"), F.concat(F.lit("Y"), year.cast("string")).alias("node"), F.lit("R").alias("parent"), (1.0 + 0.1 * (year - 1992)).alias("length")).distinct()
     root = o.select(F.col("o_custkey").alias("tree"), F.lit("R").alias("node"), F.lit(None).cast("string").alias("parent"), F.lit(0.0).alias("length")).distinct()
     return leaf.unionByName(inner).unionByName(root)
@@ -80,7 +80,7 @@ def _trees_sql(name: str, group: str, inner: str, leaf: str) -> str:
   UNION ALL SELECT DISTINCT o_custkey, 'R', NULL, CAST(0 AS DOUBLE) FROM orders)"""
 
 
-TREES = _trees_sql("trees", "year(o_orderdate)", "CAST(1.0 AS DOUBLE) + CAST(0.1 AS DOUBLE) * (year(o_orderdate) - 1992)", "CAST(0.5 AS DOUBLE) + CAST(o_totalprice AS DOUBLE) / 7.7e5")
+TREES = _trees_sql("trees", "year(o_orderdate)", "CAST(1.0 AS DOUBLE) + CAST(0.1 AS DOUBLE) * (year(o_orderdate) - 1992)", "CAST(0.5 AS DOUBLE) + CAST(o_totalprice AS DOUBLE) / 771234.57")
 OTHER_TREES = _trees_sql("other_trees", "o_orderpriority", "CAST(1 AS DOUBLE)", "CAST(1 AS DOUBLE)")
 
 

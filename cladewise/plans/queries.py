@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cladewise.functions import scalars as S
-from cladewise.operators import crispr, distances, sampling, trees
+from cladewise.operators import crispr, distances, inference, newick, sampling, trees
 from cladewise.plans import fixtures as X
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -411,3 +411,37 @@ p AS (SELECT ds, shell, max(lw) FILTER (up = floor(CASE WHEN last = 0 THEN 0.995
 SELECT ds, shell, {r('max(bound) OVER (PARTITION BY ds ORDER BY shell)', 'bound')}, {r('max(spread) OVER (PARTITION BY ds ORDER BY shell)', 'spread')} FROM p""")
 def shell_envelopes(spark, sf_dir):
     return rounded(sampling.envelopes(_shells(spark, sf_dir)), "bound", "spread")
+
+
+# --- trees and likelihoods beyond SQL -----------------------------------
+
+
+@query()
+def nj_trees(spark, sf_dir):
+    """Neighbour-joining tree of each data set, as edges."""
+    return rounded(inference.build_trees(distances.euclidean(X.points(spark, sf_dir)), "nj"), "length")
+
+
+@query()
+def upgma_trees(spark, sf_dir):
+    return rounded(inference.build_trees(distances.euclidean(X.points(spark, sf_dir)), "upgma"), "length")
+
+
+@query()
+def newick_trees(spark, sf_dir):
+    """The neighbour-joining trees as text."""
+    return newick.from_edges(inference.build_trees(distances.euclidean(X.points(spark, sf_dir)), "nj").withColumnRenamed("ds", "tree"))
+
+
+@query()
+def dna_loglik(spark, sf_dir):
+    """Jukes-Cantor log likelihood of each data set's alignment on its neighbour-joining tree."""
+    a = X.alignment(spark, sf_dir)
+    return rounded(inference.log_likelihood(inference.build_trees(distances.jukes_cantor(a), "nj"), a), "log_likelihood")
+
+
+@query()
+def crispr_loglik(spark, sf_dir):
+    """Barcode log likelihood of each data set's cells on their UPGMA tree."""
+    m = X.cell_rows(spark, sf_dir)
+    return rounded(inference.log_likelihood(inference.build_trees(distances.poisson(m), "upgma"), m, "barcode"), "log_likelihood")
