@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -44,8 +45,19 @@ def materialise(df: DataFrame) -> DataFrame:
 
 
 def with_row_ids(df: DataFrame) -> DataFrame:
-    """``df`` with a unique number per row in ``RID``, stored so that it stays the same in every later job."""
-    return materialise(df.withColumn(RID, F.monotonically_increasing_id()))
+    """``df`` with a unique number per row in ``RID`` that stays the same in every later job.
+
+    Rows read straight from files are numbered by file and place in the file,
+    which costs no copy. Other rows are stored with their numbers.
+    """
+    try:
+        where = df.select("*", F.col("_metadata.file_path").alias(P + "path"), F.col("_metadata.row_index").alias(P + "row"))
+    except AnalysisException:
+        return materialise(df.withColumn(RID, F.monotonically_increasing_id()))
+    files = where.select(P + "path").distinct().withColumn(P + "file", F.row_number().over(Window.orderBy(P + "path")).cast("long"))
+    # one row for each file: bounded by the number of files
+    numbered = where.join(F.broadcast(materialise(files)), P + "path")
+    return numbered.withColumn(RID, F.shiftleft(P + "file", 40) + F.col(P + "row")).select(*df.columns, RID)
 
 
 def number_rows(df: DataFrame, order: list[Column], name: str, weight: Column | None = None) -> DataFrame:

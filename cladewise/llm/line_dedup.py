@@ -102,7 +102,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Repeated rows are copies of each other; extra columns are ignored; an empty
     table gives no rows.
     """
-    held = with_row_ids(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
+    held = with_row_ids(docs).select(RID, F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     each = F.posexplode(F.filter(F.transform(F.split("text", "\n"), lambda s, i: F.struct(F.trim(F.regexp_replace(s, r"^\s+|\s+$", "")).alias("s"), i.alias("no"))), lambda x: x["s"] != ""))
     lines = held.select(RID, "id", each.alias("k", "line"))
     s = F.col("line.s")

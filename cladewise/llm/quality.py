@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cladewise.llm.common import RID, P, table, with_row_ids
+from cladewise.llm.common import RID, table
 
 THRESHOLD, FOLDS, MAX_FIT, SEED = 0.3, 5, 8000, 11
 #: Byte classes: other, lower case, upper case, digit, blank, line end, then single marks, groups of marks, and the two kinds of UTF-8 bytes above 127.
@@ -180,11 +180,16 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return scored.select(F.col("id").alias("doc_id"), (_fold(F.col("id"), folds) == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), RID)
 
 
-def keep_good(docs: DataFrame, model: Model, **columns) -> DataFrame:
-    """The rows that the model predicts to be good, with the columns of ``docs``."""
-    held = with_row_ids(docs)
-    good = score(held, model, row_id=RID, **columns).where("predicted = 1").select(F.col(RID).alias(P + "r"))
-    return held.join(good, held[RID] == good[P + "r"], "left_semi").select(*docs.columns)
+def keep_good(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows that the model predicts to be good, with the columns of ``docs``, in one pass."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(text_col).to_pylist()
+            good = [model.score(np.array([features(t) for t in texts[i : i + 512]])) >= threshold for i in range(0, len(texts), 512)]
+            yield b.filter(pa.array(np.concatenate([np.zeros(0, bool), *good])))
+
+    return docs.mapInArrow(each, docs.schema)
 
 
 def op2_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
