@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cladewise.functions import scalars as S
-from cladewise.operators import crispr, distances, inference, newick, sampling, trees
+from cladewise.operators import crispr, distances, inference, newick, posterior, sampling, trees
 from cladewise.plans import fixtures as X
+from cladewise.sources.shared import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -445,3 +446,48 @@ def crispr_loglik(spark, sf_dir):
     """Barcode log likelihood of each data set's cells on their UPGMA tree."""
     m = X.cell_rows(spark, sf_dir)
     return rounded(inference.log_likelihood(inference.build_trees(distances.poisson(m), "upgma"), m, "barcode"), "log_likelihood")
+
+
+SAMPLES, SPREAD = 8, 0.05
+
+
+def _draws(spark, sf_dir):
+    return posterior.draws(X.points(spark, sf_dir), SAMPLES, F.lit(SPREAD))
+
+
+def _sample_trees(spark, sf_dir):
+    """Neighbour-joining trees of all draws; a draw is a data set of its own."""
+    return stored(inference.build_trees(distances.euclidean(_draws(spark, sf_dir).withColumn("ds", F.col("ds") * SAMPLES + F.col("sample"))), "nj"))
+
+
+@query()
+def posterior_pair_stats(spark, sf_dir):
+    """Distribution of each pair's distance over draws around the points."""
+    d = distances.euclidean(_draws(spark, sf_dir).withColumn("ds", F.col("ds") * SAMPLES + F.col("sample")))
+    return rounded(distances.summarise(d.withColumn("ds", F.floor(F.col("ds") / SAMPLES)), ["ds", "i", "j"]), "mean", "std", "med", "min", "max", "low95", "high95", "low50", "high50")
+
+
+@query()
+def posterior_split_support(spark, sf_dir):
+    """Share of the drawn trees of a data set that have a split."""
+    s = trees.splits(_sample_trees(spark, sf_dir).withColumnRenamed("ds", "tree")).withColumn("ds", F.floor(F.col("tree") / SAMPLES))
+    return rounded(s.groupBy("ds", "size", "split").agg((F.count(F.lit(1)) / SAMPLES).alias("support")), "support")
+
+
+@query()
+def posterior_fit(spark, sf_dir):
+    """History and result of the fit of each data set."""
+    return posterior.fit(X.points(spark, sf_dir), X.alignment(spark, sf_dir))
+
+
+@query()
+def sampled_states(spark, sf_dir):
+    """Drawn ancestral states of every customer's tree."""
+    return posterior.sample_states(X.trees(spark, sf_dir), X.leaf_states(spark, sf_dir))
+
+
+@query()
+def sampled_migrations(spark, sf_dir):
+    """State changes along every tree for the drawn states."""
+    t = X.trees(spark, sf_dir)
+    return rounded(trees.migrations(t, posterior.sample_states(t, X.leaf_states(spark, sf_dir))), "start_time", "end_time")
