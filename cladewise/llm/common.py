@@ -2,48 +2,16 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cladewise.sources.shared import stored as materialise
+
 #: Internal column names start with this, so they do not meet a caller's columns.
 P = "__cw_"
 RID = P + "rid"
 
-_own_dir: str | None = None
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: ``spark.checkpoint.dir``; one of our own only on a local master."""
-    global _own_dir
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    if _own_dir is None:
-        _own_dir = tempfile.mkdtemp(prefix="cladewise-")
-        atexit.register(shutil.rmtree, _own_dir, ignore_errors=True)
-    return f"file://{_own_dir}"
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back.
-
-    This cuts the lineage, survives lost executors and gives later joins exact
-    sizes to plan with.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cladewise/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def with_row_ids(df: DataFrame) -> DataFrame:
     """``df`` with a unique number per row in ``RID`` that stays the same in every later job.
 
