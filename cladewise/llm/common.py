@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,16 +11,16 @@ from cladewise.sources.shared import stored as materialise
 P = "__cw_"
 RID = P + "rid"
 
+
 def with_row_ids(df: DataFrame) -> DataFrame:
     """``df`` with a unique number per row in ``RID`` that stays the same in every later job.
 
     Rows read straight from files are numbered by file and place in the file,
     which costs no copy. Other rows are stored with their numbers.
     """
-    try:
-        where = df.select("*", F.col("_metadata.file_path").alias(P + "path"), F.col("_metadata.row_index").alias(P + "row"))
-    except AnalysisException:
+    if df._jdf.queryExecution().analyzed().nodeName() != "LogicalRelation":
         return materialise(df.withColumn(RID, F.monotonically_increasing_id()))
+    where = df.select("*", F.col("_metadata.file_path").alias(P + "path"), F.col("_metadata.row_index").alias(P + "row"))
     files = where.select(P + "path").distinct().withColumn(P + "file", F.row_number().over(Window.orderBy(P + "path")).cast("long"))
     # one row for each file: bounded by the number of files
     numbered = where.join(F.broadcast(materialise(files)), P + "path")

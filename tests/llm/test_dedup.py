@@ -8,7 +8,7 @@ from collections import Counter
 import xxhash
 from pyspark.sql import functions as F
 
-from cladewise.llm.common import RID
+from cladewise.llm.common import RID, with_row_ids
 from cladewise.llm.components import components
 from cladewise.llm.exact_dedup import drop_exact_copies, exact_dedup
 from cladewise.llm.line_dedup import dedup_lines
@@ -160,3 +160,14 @@ def test_line_dedup(spark, edges, nothing):
     assert len(got) == len(edge_rows()) and sum(r.deleted_words == 30_000 for r in got) == 1
     assert [r.text for r in got if r.doc_id == 0] == [None]
     assert dedup_lines(nothing).count() == 0
+
+
+def test_row_ids_are_unique_and_stay(spark, edges, tmp_path):
+    edges.select("doc_id", "text").repartition(3).write.parquet(str(tmp_path / "d"))
+    stored = spark.read.parquet(str(tmp_path / "d"))
+    for df in (stored, stored.union(stored), stored.where("doc_id > 3").withColumn("n", F.explode(F.array(F.lit(1), F.lit(2))))):
+        held = with_row_ids(df)
+        first = {r[RID]: (r.doc_id, r.text) for r in held.collect()}
+        assert len(first) == df.count() and held.columns == [*df.columns, RID]
+        again = {r[RID]: r.doc_id for r in held.select("doc_id", RID).collect()}
+        assert again == {k: v[0] for k, v in first.items()}
