@@ -152,4 +152,42 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", senten
 
 
 def op8_licence_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(table(spark, sf_dir, "documents"))
+    """The scan with its lists as text, parted by blanks."""
+    found = scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *[F.array_join(c, " ").alias(c) for c in ("sentence_ids", "licences", "left_over")])
+
+
+def oracle_sql(sentences: dict[str, str] = SENTENCES, rules: list[tuple[tuple[str, ...], str]] = RULES) -> str:
+    """The scan in SQL: sentences as rows, rules applied one after another."""
+    quote = lambda s: "'" + s.replace("'", "''") + "'"
+    known = ", ".join(f"({quote(k)}, {quote(v)})" for k, v in lookup_table(sentences).items())
+    cut = lambda t: f"string_split(regexp_replace({t}, '([.!?;:])\\s+', '\\1' || chr(10), 'g'), chr(10))"
+    apart = r"regexp_replace(t, '(?im)^[ \t]*(copyright .*)$', chr(10) || chr(10) || '\1' || chr(10) || chr(10), 'g')"
+    joined = rf"regexp_replace(regexp_replace({apart}, '\n\s*\n', chr(1), 'g'), '\s+', ' ', 'g')"
+    steps, last = [], "r0"
+    for i, (seq, name) in enumerate(rules, 1):
+        s = quote("".join(f" {x} " for x in seq))
+        steps.append(f"r{i} AS (SELECT rid, doc_id, ids, replace(left_, {s}, ' | ') AS left_, CASE WHEN contains(left_, {s}) THEN list_append(names, {quote(name)}) ELSE names END AS names FROM {last})")
+        last = f"r{i}"
+    return rf"""
+WITH known(sentence, id) AS (VALUES {known}),
+d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+pieces AS (
+  SELECT rid, 'a' AS way, unnest({cut('t')}) AS s, generate_subscripts({cut('t')}, 1) AS k FROM d WHERE regexp_matches(t, {quote(SIGN)})
+  UNION ALL SELECT rid, 'b', unnest(string_split(replace({cut(joined).removeprefix('string_split(').removesuffix(', chr(10))')}, chr(1), chr(10)), chr(10))),
+    generate_subscripts(string_split(replace({cut(joined).removeprefix('string_split(').removesuffix(', chr(10))')}, chr(1), chr(10)), chr(10)), 1) FROM d WHERE regexp_matches(t, {quote(SIGN)})
+), named AS (
+  SELECT rid, way, k, coalesce(id, CASE WHEN regexp_matches(n, {quote(COPYRIGHT)}) THEN 'Copyright' END) AS id
+  FROM (SELECT rid, way, k, trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g')) AS n FROM pieces WHERE regexp_matches(s, {quote(SIGN)})) p LEFT JOIN known ON sentence = n
+), lists AS (
+  SELECT rid, list(id ORDER BY k) FILTER (way = 'a') AS a, list(id ORDER BY k) FILTER (way = 'b') AS b FROM named WHERE id IS NOT NULL GROUP BY rid
+), found AS (
+  SELECT d.rid, doc_id, list_concat(CASE WHEN regexp_matches(t, {quote(SIGN)}) THEN list_transform(regexp_extract_all(t, {quote(SPDX)}, 1), lambda x: 'SPDX:' || x) ELSE [] END,
+    CASE WHEN coalesce(len(b), 0) > coalesce(len(a), 0) THEN b ELSE coalesce(a, []) END) AS ids FROM d LEFT JOIN lists ON lists.rid = d.rid
+), r0 AS (SELECT rid, doc_id, ids, array_to_string(list_transform(ids, lambda i: ' ' || i || ' '), '') AS left_, CAST([] AS VARCHAR[]) AS names FROM found),
+{", ".join(steps)}
+SELECT doc_id, array_to_string(ids, ' ') AS sentence_ids,
+  array_to_string(list_sort(list_distinct(list_concat(names, list_transform(list_filter(ids, lambda i: starts_with(i, 'SPDX:')), lambda i: i[6:])))), ' ') AS licences,
+  array_to_string(list_filter(string_split_regex(trim(left_), ' +'), lambda i: i NOT IN ('', '|', 'Copyright') AND NOT starts_with(i, 'SPDX:')), ' ') AS left_over
+FROM {last}
+"""

@@ -106,7 +106,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     each = F.posexplode(F.filter(F.transform(F.split("text", "\n"), lambda s, i: F.struct(F.trim(F.regexp_replace(s, r"^\s+|\s+$", "")).alias("s"), i.alias("no"))), lambda x: x["s"] != ""))
     lines = held.select(RID, "id", each.alias("k", "line"))
     s = F.col("line.s")
-    lines = lines.select(RID, "id", "k", F.col("line.no").alias("no"), F.xxhash64(s).alias("h1"), F.xxhash64(F.lit(MIN_WORDS), s).alias("h2"), F.size(F.split(s, r"\s+")).alias("words"))
+    lines = lines.select(RID, "id", "k", F.col("line.no").alias("no"), F.xxhash64(s).alias("h1"), F.xxhash64(F.lit(1), s).alias("h2"), F.size(F.split(s, r"\s+")).alias("words"))
     suffixes = islands(materialise(lines), min_words)
     runs = later_runs(suffixes, ranks(suffixes.select("p", "line", "rest")))
     # a line goes if a run that began at or before it in its island reaches beyond it

@@ -1,5 +1,6 @@
 """Queries of this subpackage by name, and the SQL of those that SQL can express."""
 
+from cladewise.llm import licences
 from cladewise.llm.bitsliced import OP7_SQL, op7_bitsliced_topk
 from cladewise.llm.exact_dedup import OP6_SQL, op6_exact_dedup
 from cladewise.llm.licences import op8_licence_sentences
@@ -27,4 +28,5 @@ QUERIES = {
 ORACLE_SQL = {
     "op6_exact_dedup": OP6_SQL,
     "op7_bitsliced_topk": OP7_SQL,
+    "op8_licence_sentences": licences.oracle_sql(),
 }
