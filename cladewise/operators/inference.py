@@ -124,6 +124,24 @@ def jukes_cantor_matrix(t: float) -> np.ndarray:
     return np.full((4, 4), (1 - same) / 3) + np.eye(4) * (same - (1 - same) / 3)
 
 
+def reversible(rates: tuple[float, ...], freqs: np.ndarray):
+    """Transition matrices of a reversible model from its exchange rates (AC, AG, AT, CG, CT, GT) and frequencies, one change a unit of time expected."""
+    q = np.zeros((4, 4))
+    q[np.triu_indices(4, 1)] = rates
+    q = (q + q.T) * freqs[None, :]
+    q[range(4), range(4)] = -q.sum(1)
+    q /= -(freqs * np.diag(q)).sum()
+    root = np.sqrt(freqs)
+    values, vectors = np.linalg.eigh(root[:, None] * q / root[None, :])
+    left, right = vectors / root[:, None], vectors.T * root[None, :]
+    return lambda t: np.maximum(0.0, (left * np.exp(values * t)) @ right)
+
+
+def hky(kappa: float, freqs: np.ndarray):
+    """Transitions (A-G, C-T) ``kappa`` times as likely as transversions."""
+    return reversible((1, kappa, 1, 1, kappa, 1), freqs)
+
+
 def barcode_matrix(t: float, edits: int, nu: float) -> np.ndarray:
     """States: unedited, the edits, silent."""
     m = np.zeros((edits + 2, edits + 2))
@@ -135,10 +153,11 @@ def barcode_matrix(t: float, edits: int, nu: float) -> np.ndarray:
     return m
 
 
-def log_likelihood(edges: DataFrame, sequences: DataFrame, model: str = "jc", nu: float = 0.4, least: float = 1e-3) -> DataFrame:
-    """``ds, sites, log_likelihood`` of each data set's tree: ``jc`` for base codes (missing: all bases), ``barcode`` for barcode states (-1: silent).
+def log_likelihood(edges: DataFrame, sequences: DataFrame, model: str = "jc", nu: float = 0.4, least: float = 1e-3, kappa: float = 4.0, rates: tuple[float, ...] = (1, 1, 1, 1, 1, 1)) -> DataFrame:
+    """``ds, sites, log_likelihood`` of each data set's tree.
 
-    Lengths below ``least`` count as ``least``. ``edges`` name the taxon n as ``t`` and n.
+    ``jc``, ``hky`` and ``gtr`` take base codes (missing: all bases; the last
+    two the data set's own frequencies), ``barcode`` barcode states (-1: silent). Lengths below ``least`` count as ``least``. ``edges`` name the taxon n as ``t`` and n.
     """
 
     def each(tree: pd.DataFrame, taxa: pd.DataFrame) -> pd.DataFrame:
@@ -146,9 +165,11 @@ def log_likelihood(edges: DataFrame, sequences: DataFrame, model: str = "jc", nu
             return pd.DataFrame({"ds": [], "sites": [], "log_likelihood": []})
         tree = tree.assign(length=np.maximum(tree["length"], least))
         seen = np.stack(taxa["codes"].to_list())
-        if model == "jc":
+        if model != "barcode":
             tips = {f"t{n}": np.where((c < 0)[:, None], 1.0, np.eye(4)[np.maximum(c, 0)]) for n, c in zip(taxa["taxon"], seen)}
-            value = prune(tree, tips, jukes_cantor_matrix, np.full(4, 0.25))
+            freqs = np.full(4, 0.25) if model == "jc" else (np.bincount(seen[seen >= 0], minlength=4) + 1.0) / ((seen >= 0).sum() + 4.0)
+            move = {"jc": lambda: jukes_cantor_matrix, "hky": lambda: hky(kappa, freqs), "gtr": lambda: reversible(rates, freqs)}[model]()
+            value = prune(tree, tips, move, freqs)
         else:
             edits = max(1, int(seen.max()))
             tips = {f"t{n}": np.eye(edits + 2)[np.where(c < 0, edits + 1, c)] for n, c in zip(taxa["taxon"], seen)}

@@ -137,3 +137,18 @@ def sample_states(trees: DataFrame, leaf_states: DataFrame, seed: int = 1) -> Da
         return pd.DataFrame({"tree": g["tree"].iloc[0], "node": list(drawn), "state": [alphabet[min(i, k - 1)] for i in drawn.values()]})
 
     return marked.groupBy("tree").applyInPandas(each, "tree long, node string, state string")
+
+
+def state_likelihood(trees: DataFrame, leaf_states: DataFrame) -> DataFrame:
+    """``tree, leaves, log_likelihood`` of leaf states on their trees, with equal rates and equal frequencies at the root."""
+    marked = trees.join(leaf_states, ["tree", "node"], "left").select("tree", "node", "parent", "length", "state")
+    alphabet = [r["state"] for r in leaf_states.select("state").distinct().orderBy("state").collect()]  # the states' alphabet is small
+    at = {s: i for i, s in enumerate(alphabet)}
+
+    def each(g: pd.DataFrame) -> pd.DataFrame:
+        k = len(alphabet)
+        tips = {n: np.eye(k)[[at[s]]] for n, s in zip(g["node"], g["state"]) if not pd.isna(s)}
+        value = prune(g, tips, lambda t: symmetric_matrix(max(t, 1e-6), k), np.full(k, 1 / k))
+        return pd.DataFrame({"tree": [g["tree"].iloc[0]], "leaves": [len(tips)], "log_likelihood": [float(value[0])]})
+
+    return marked.groupBy("tree").applyInPandas(each, "tree long, leaves int, log_likelihood double")

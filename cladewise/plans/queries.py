@@ -441,6 +441,19 @@ def dna_loglik(spark, sf_dir):
     return rounded(inference.log_likelihood(inference.build_trees(distances.jukes_cantor(a), "nj"), a), "log_likelihood")
 
 
+@query()
+def hky_loglik(spark, sf_dir):
+    """As ``dna_loglik`` with transitions four times as likely and the data's own frequencies."""
+    a = X.alignment(spark, sf_dir)
+    return rounded(inference.log_likelihood(inference.build_trees(distances.jukes_cantor(a), "nj"), a, "hky"), "log_likelihood")
+
+
+@query()
+def migration_loglik(spark, sf_dir):
+    """Log likelihood of the leaf states of every customer's tree."""
+    return rounded(posterior.state_likelihood(X.trees(spark, sf_dir), X.leaf_states(spark, sf_dir)), "log_likelihood")
+
+
 @query()
 def crispr_loglik(spark, sf_dir):
     """Barcode log likelihood of each data set's cells on their UPGMA tree."""

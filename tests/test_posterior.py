@@ -44,3 +44,22 @@ def test_sampled_states_follow_the_posterior(spark):
     w = {("AB"[r], "AB"[a]): 0.5 * P(0.6)[r, a] * P(0.4)[a, 0] * P(0.8)[a, 1] * P(0.5)[r, 1] for r, a in itertools.product(range(2), repeat=2)}
     total = sum(w.values())
     assert all(seen[k] / n == pytest.approx(v / total, abs=0.04) for k, v in w.items())
+
+
+def test_reversible_models():
+    from cladewise.operators import inference
+
+    assert np.allclose(inference.reversible((1,) * 6, np.full(4, 0.25))(0.7), inference.jukes_cantor_matrix(0.7))
+    f = np.array([0.1, 0.2, 0.3, 0.4])
+    move = inference.hky(4.0, f)
+    assert np.allclose(move(0.3).sum(1), 1) and np.allclose(f @ move(0.3), f) and np.allclose(move(0.2) @ move(0.3), move(0.5))
+    slope = (move(1e-6) - np.eye(4)) / 1e-6
+    assert slope[0, 2] / f[2] == pytest.approx(4 * slope[0, 1] / f[1], rel=1e-3)
+
+
+def test_state_likelihood(spark):
+    t = spark.createDataFrame([(0, "R", None, 0.0), (0, "x", "R", 0.4), (0, "y", "R", 0.8)], "tree long, node string, parent string, length double")
+    s = spark.createDataFrame([(0, "x", "A"), (0, "y", "B")], "tree long, node string, state string")
+    P = lambda d: posterior.symmetric_matrix(d, 2)
+    want = np.log(sum(0.5 * P(0.4)[r, 0] * P(0.8)[r, 1] for r in range(2)))
+    assert posterior.state_likelihood(t, s).first().log_likelihood == pytest.approx(want)
