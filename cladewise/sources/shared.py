@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own_dir: str | None = None
+_stored: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,7 +28,21 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet and read back: lineage ends here, and lost executors cost nothing."""
+    """``df`` written as Parquet and read back: lineage ends here, and lost executors cost nothing.
+
+    On a local master the table goes when the process ends; :func:`clear` removes all of them earlier.
+    """
     path = f"{shared_dir(df.sparkSession)}/cladewise/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _stored.append(path)
+    if df.sparkSession.sparkContext.master.startswith("local["):
+        atexit.register(shutil.rmtree, path.removeprefix("file:"), ignore_errors=True)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Remove the tables that this process has stored; frames that read them end here."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    while _stored:
+        path = jvm.org.apache.hadoop.fs.Path(_stored.pop())
+        path.getFileSystem(conf).delete(path, True)

@@ -55,3 +55,13 @@ def test_trees_and_stream(spark, tmp_path):
     q.stop()
     got = {(r.i, r.j): (r.n, r["mean"]) for r in spark.sql("SELECT * FROM pairs").collect()}
     assert got == {("A", "B"): (3, pytest.approx(14 / 3)), ("A", "C"): (1, 6.0), ("B", "C"): (1, 2.0)}
+
+
+def test_stored_tables_can_be_cleared(spark):
+    from cladewise.sources.shared import clear, stored
+
+    df = stored(spark.range(5))
+    assert df.count() == 5
+    clear(spark)
+    with pytest.raises(Exception, match="not exist|no such|FILE_NOT_EXIST|not found"):
+        df.count()
