@@ -53,7 +53,7 @@ def ranks(suffixes: DataFrame) -> list[DataFrame]:
         paired = open_.join(ahead, "p", "left").select("p", "rank", "rest", F.when(F.col("rest") > length, F.col("next")).otherwise(0).alias("next"))
         paired = materialise(paired)
         pairs = materialise(number_rows(paired.groupBy("rank", "next").agg(F.count(F.lit(1)).alias("n")), [F.asc("rank"), F.asc("next")], "upto", F.col("n")))
-        base = pairs.groupBy("rank").agg(F.min("upto").alias("base"))
+        base = materialise(pairs.groupBy("rank").agg(F.min("upto").alias("base")))  # stored, so that the join below can split a frequent line
         named = materialise(pairs.join(base, "rank").select(F.col("rank").alias("r"), F.col("next").alias("x"), (F.col("rank") + F.col("upto") - F.col("base")).alias("new")))
         moved = paired.join(named, (F.col("rank") == F.col("r")) & (F.col("next") == F.col("x"))).select("p", F.col("new").alias("rank"), "rest")
         now = materialise(now.join(tied, "rank", "left_anti").select("p", "rank", "rest").unionByName(moved))
@@ -75,6 +75,7 @@ def later_runs(suffixes: DataFrame, by_rank: list[DataFrame]) -> DataFrame:
         named = part if named is None else named.unionByName(part)
     named = materialise(named)
     group = named.groupBy("need", "rank", "second").agg(F.min("p").alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    group = materialise(group)  # stored, so that the join can split a frequent passage
     found = named.join(group, ["need", "rank", "second"]).where("p > f").select("p", "f", "rest", F.col("need").alias("run"))
     found = materialise(found.join(suffixes.select(F.col("p").alias("f"), F.col("rest").alias("f_rest")), "f"))
     for j in range(len(by_rank) - 1, -1, -1):  # lengthen by falling powers of two while both agree
