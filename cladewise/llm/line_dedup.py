@@ -62,31 +62,40 @@ def ranks(suffixes: DataFrame) -> list[DataFrame]:
 
 
 def later_runs(suffixes: DataFrame, by_rank: list[DataFrame]) -> DataFrame:
-    """``(p, run)``: the suffixes whose first ``need`` lines have an earlier copy, and how many lines they share with the first copy."""
-    rest = suffixes.select("p", "rest", "need")
-    named = None
-    for j, level in enumerate(by_rank):  # 2**j <= need < 2**(j + 1): two ranks of 2**j lines cover the need
-        some = rest.where(F.col("need").between(1 << j, (1 << j + 1) - 1))
-        if j == len(by_rank) - 1:
-            some = rest.where(F.col("need") >= 1 << j)  # no tie lasts longer: the rank names the whole suffix
-        tail = level.select(F.col("p").alias("q"), F.col("rank").alias("second"))
-        at = some.withColumn("q", F.col("p") + F.greatest(F.lit(0), F.col("need") - (1 << j)))
-        part = at.join(level, "p").join(tail, "q").select("p", "rest", "need", "rank", "second")
-        named = part if named is None else named.unionByName(part)
-    named = materialise(named)
+    """``(p, run)``: the suffixes whose first ``need`` lines have an earlier copy, and a run of lines that they share with the first copy.
+
+    The runs of a copy together reach as far as it agrees with the first one:
+    where the next suffix continues the same pair of copies it has the rest, so
+    only the last of such a chain is lengthened.
+    """
+    top = len(by_rank) - 1
+    levels = [level.select("p", F.struct(F.lit(j).alias("j"), "rank").alias("r")) for j, level in enumerate(by_rank)]
+    every = levels[0]
+    for level in levels[1:]:
+        every = every.unionByName(level)
+    wide = materialise(every.groupBy("p").agg(F.array_sort(F.collect_list("r")).alias("r")).select("p", F.transform("r", lambda x: x["rank"]).alias("r")))
+    # two ranks of 2**j lines, 2**j <= need < 2**(j + 1), cover the need; no tie lasts longer than the last level's lines
+    at = suffixes.where("need IS NOT NULL").select("p", "rest", "need", F.least(F.lit(top), F.length(F.bin("need")) - 1).alias("j"))
+    at = at.withColumn("q", F.expr("p + greatest(0, need - shiftleft(1L, j))"))
+    named = at.join(wide, "p").select("p", "rest", "need", "j", "q", F.expr("r[j]").alias("rank"))
+    named = materialise(named.join(wide.withColumnRenamed("p", "q"), "q").select("p", "rest", "need", "rank", F.expr("r[j]").alias("second")))
     group = named.groupBy("need", "rank", "second").agg(F.min("p").alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     group = materialise(group)  # stored, so that the join can split a frequent passage
     found = named.join(group, ["need", "rank", "second"]).where("p > f").select("p", "f", "rest", F.col("need").alias("run"))
     found = materialise(found.join(suffixes.select(F.col("p").alias("f"), F.col("rest").alias("f_rest")), "f"))
-    for j in range(len(by_rank) - 1, -1, -1):  # lengthen by falling powers of two while both agree
-        mine = by_rank[j].select(F.col("p").alias("a"), F.col("rank").alias("ra"))
-        its = by_rank[j].select(F.col("p").alias("b"), F.col("rank").alias("rb"))
-        goes_on = (F.col("run") < F.col("rest")) & (F.col("run") < F.col("f_rest"))
-        ends = found.withColumn("a", F.when(goes_on, F.col("p") + F.col("run"))).withColumn("b", F.when(goes_on, F.col("f") + F.col("run")))
-        met = ends.join(mine, "a", "left").join(its, "b", "left")
-        more = F.when(F.col("ra") == F.col("rb"), F.least(F.lit(1 << j), F.col("rest") - F.col("run"))).otherwise(0)
-        found = materialise(met.select("p", "f", "rest", "f_rest", (F.col("run") + more).cast("long").alias("run")))
-    return found.select("p", "run")
+    goes_on = found.select((F.col("p") - 1).alias("p"), (F.col("f") - 1).alias("f"))
+    done = found.select("p", "run")
+    last = materialise(found.join(goes_on, ["p", "f"], "left_anti").where("run < rest AND run < f_rest"))
+    while not last.isEmpty():  # lengthen by the greatest power of two over which both agree
+        mine = wide.select(F.col("p").alias("a"), F.col("r").alias("ra"))
+        its = wide.select(F.col("p").alias("b"), F.col("r").alias("rb"))
+        met = last.withColumn("a", F.col("p") + F.col("run")).withColumn("b", F.col("f") + F.col("run")).join(mine, "a").join(its, "b")
+        level = F.expr(f"array_max(transform(sequence(0, {top}), j -> if(ra[j] = rb[j], j, -1)))")
+        longer = met.withColumn("level", level).where("level >= 0").withColumn("run", F.expr("run + least(shiftleft(1L, level), rest - run)"))
+        longer = materialise(longer.select("p", "f", "rest", "f_rest", "run"))
+        done = done.unionByName(longer.select("p", "run"))
+        last = longer.where("run < rest AND run < f_rest")
+    return materialise(done.groupBy("p").agg(F.max("run").alias("run")))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
