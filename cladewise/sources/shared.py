@@ -27,13 +27,14 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_own_dir}"
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, **options: int | str) -> DataFrame:
     """``df`` written as Parquet and read back: lineage ends here, and lost executors cost nothing.
 
+    ``options`` are those of Spark's writer.
     On a local master the table goes when the process ends; :func:`clear` removes all of them earlier.
     """
     path = f"{shared_dir(df.sparkSession)}/cladewise/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     _stored.append(path)
     if df.sparkSession.sparkContext.master.startswith("local["):
         atexit.register(shutil.rmtree, path.removeprefix("file:"), ignore_errors=True)

@@ -9,7 +9,7 @@ import pytest
 from cladewise.llm import attention as net
 from cladewise.llm.bitsliced import top_k
 from cladewise.llm.licences import SENTENCES, SIGN, lookup_table, scan
-from cladewise.llm.lm import score_texts, text_words
+from cladewise.llm.lm import score_texts, slices, text_words, training_windows
 from cladewise.llm.quality import estimate_prior, features, fit, keep_good, score, train
 
 from .conftest import LONG, edge_rows
@@ -110,6 +110,31 @@ def test_lm_beats_unigrams_on_held_out_text(spark):
     assert np.mean([r.score > r.base_score for r in got]) > 0.95
 
 
+def test_lm_trains_on_all_windows(spark):
+    lengths, held = np.array([1, 40, 17, 16]), np.array([False, True, False, False])
+    kinds = np.arange(2, 2 + lengths.sum()).astype(np.int32)
+    targets = training_windows(kinds, lengths, held)[:, net.SPAN :]
+    assert sorted(targets[targets != net.FILL]) == sorted(kinds[np.repeat(~held, lengths)])
+    for n in (0, 1, 3, 100, 400):
+        marks = [(i * 7919) % 1009 for i in range(n)]
+        rounds = slices(marks)
+        assert sorted(m for a, b in rounds for m in marks if a <= m <= b) == sorted(marks)
+        assert len(rounds) == min(n, max(4, int(n**0.5)))
+    # a word fixes the next one but for one of two: log10(1/2) a word; with a 32nd of the windows the order of the words is not learnt
+    rng = np.random.default_rng(8)
+    follows = {w: rng.choice(list("abcdefgh"), 2, replace=False) for w in "abcdefgh"}
+
+    def text():
+        w, out = "a", []
+        for _ in range(80):
+            w = rng.choice(follows[w])
+            out.append(w * 3)
+        return " ".join(out)
+
+    got = score_texts(spark.createDataFrame([(i, text()) for i in range(1500)], "doc_id long, text string")).where("held_out").collect()
+    assert sum(r.score for r in got) / sum(r.n_tokens for r in got) > -0.45
+
+
 def brute_top(rows, k=20, every=20):
     ok = [(i, np.floor(64 * np.array(v, float))) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     out = []
