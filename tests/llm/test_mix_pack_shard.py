@@ -111,6 +111,25 @@ def test_shards_keep_the_law(spark, edges, nothing):
     assert len(cut_groups) < 30, len(cut_groups)
 
 
+def test_shards_cut_only_what_no_shard_holds(spark):
+    rows = ["hot"] * 400 + ["tenth"] * 120 + ["other"] * 110 + [f"t{i % 200}" for i in range(400)] + [f"u{i}" for i in range(170)]
+    got = shard_documents(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()
+    check_law(got)
+    held = defaultdict(set)
+    for r in got:
+        held[rows[r.doc_id]].add(r.shard)
+    assert (len(held["hot"]), len(held["tenth"]), len(held["other"])) == (3, 1, 1)
+    assert sum(len(s) > 1 for s in held.values()) < 8
+    # so many small groups that eight rounds leave many apart
+    rows = [f"t{i % 4000}" for i in range(8000)]
+    got = shard_documents(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()
+    check_law(got)
+    held = defaultdict(set)
+    for r in got:
+        held[rows[r.doc_id]].add(r.shard)
+    assert sum(len(s) > 1 for s in held.values()) < 8
+
+
 def check_law(got):
     counts = Counter(r.shard for r in got)
     sizes = [counts[s] for s in range(8)]
