@@ -85,6 +85,18 @@ RULES = [
     (("CC0ref",), "CC0-1.0"),
     (("PDref",), "Unlicense"),
 ]
+#: What the scan knows besides: the version part of a GPL header with semicolons, whose first part names no version.
+VERSIONS = {
+    "GPLver2plus": "either version 2 of the License, or (at your option) any later version.",
+    "GPLver3plus": "either version 3 of the License, or (at your option) any later version.",
+    "GPLver2": "version 2 of the License.",
+    "GPLver3": "version 3 of the License.",
+}
+_HEADERS = [(("GPL2free", "GPLver2plus"), "GPL-2.0-or-later"), (("GPL2free", "GPLver3plus"), "GPL-3.0-or-later"), (("GPL2free", "GPLver2"), "GPL-2.0-only"), (("GPL2free", "GPLver3"), "GPL-3.0-only")]
+SCAN_SENTENCES = SENTENCES | VERSIONS
+SCAN_RULES = [((*seq, *more), name) for more in (("GPLwarr", "GPLimpl", "GPLsee"), ()) for seq, name in _HEADERS] + [r for r in RULES if r[0][0] != "GPL2free"]
+#: The clause of the BSD licence that names its holder, normalised.
+HOLDER = r"^neither the name of .+ nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission$"
 #: Any sentence that can be recognised holds one of these.
 SIGN = r"(?i)licen[sc]|copyright|warrant|permission|redistribut|cc0|public domain"
 _END, _NOISE = r"([.!?;:])\s+", "[^a-z0-9]+"
@@ -110,11 +122,11 @@ def _identifiers(pieces: Column, known: dict[str, str]) -> Column:
     names = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
     likely = F.filter(pieces, lambda s: s.rlike(SIGN))
     clean = F.transform(likely, lambda s: F.trim(F.regexp_replace(F.lower(s), _NOISE, " ")))
-    ids = F.transform(clean, lambda s: F.coalesce(F.try_element_at(names, s), F.when(s.rlike(COPYRIGHT), F.lit("Copyright"))))
+    ids = F.transform(clean, lambda s: F.coalesce(F.try_element_at(names, s), F.when(s.rlike(COPYRIGHT), F.lit("Copyright")), F.when(s.rlike(HOLDER), F.lit("BSDend"))))
     return F.filter(ids, lambda i: i.isNotNull())
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences: dict[str, str] = SENTENCES, rules: list[tuple[tuple[str, ...], str]] = RULES) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences: dict[str, str] = SCAN_SENTENCES, rules: list[tuple[tuple[str, ...], str]] = SCAN_RULES) -> DataFrame:
     """Licences of each document: ``doc_id, sentence_ids, licences, left_over``, one row per input row.
 
     ``sentence_ids`` are the recognised sentences in order; a sentence may run

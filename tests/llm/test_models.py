@@ -174,6 +174,14 @@ def test_licences(spark, edges, nothing):
     assert all(re.search(SIGN, k) for k in lookup_table(SENTENCES))
 
 
+def test_licences_ask_for_version_and_holder(spark):
+    gpl = SENTENCES["GPL2free"]
+    bsd = "\n".join(SENTENCES[k] for k in ("BSDgrant", "BSDsrc", "BSDbin", "BSDend", "BSDwarr")).replace("the copyright holder nor", "the University nor")
+    rows = [gpl, gpl.replace("version 2", "version 3"), gpl.split("either")[0] + "version 2 of the License.", gpl.split("either")[0], bsd]
+    got = {r.doc_id: r.licences for r in scan(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(5)] == [["GPL-2.0-or-later"], ["GPL-3.0-or-later"], ["GPL-2.0-only"], [], ["BSD-3-Clause"]]
+
+
 def test_licences_on_documents_match_plain_search(spark):
     import os
 
