@@ -38,12 +38,26 @@ def stored(df: DataFrame, **options: int | str) -> DataFrame:
     _stored.append(path)
     if df.sparkSession.sparkContext.master.startswith("local["):
         atexit.register(shutil.rmtree, path.removeprefix("file:"), ignore_errors=True)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    kept = df.sparkSession.read.schema(df.schema).parquet(path)
+    kept._cladewise_path = path
+    return kept
+
+
+def release(*frames: DataFrame) -> None:
+    """Remove the tables behind ``frames``, each a result of :func:`stored` that no later frame reads; others are left alone."""
+    for df in frames:
+        path = getattr(df, "_cladewise_path", None)
+        if path in _stored:
+            _stored.remove(path)
+            _delete(df.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def clear(spark: SparkSession) -> None:
     """Remove the tables that this process has stored; frames that read them end here."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     while _stored:
-        path = jvm.org.apache.hadoop.fs.Path(_stored.pop())
-        path.getFileSystem(conf).delete(path, True)
+        _delete(spark, _stored.pop())
