@@ -117,33 +117,28 @@ def test_near_duplicates_edges(edges, nothing):
 
 
 def brute_lines(docs, least):
-    seq = [(i, at, no, line.strip(), len(line.split())) for at, (i, t) in enumerate(sorted(docs, key=lambda d: key(d[0]))) if t is not None for no, line in enumerate(t.split("\n")) if line.strip()]
-    count = Counter(s[3] for s in seq)
-
-    def end(p):
-        e = p
-        while e < len(seq) and seq[e][1] == seq[p][1] and count[seq[e][3]] > 1:
-            e += 1
-        return e
-
-    first, gone = {}, {}
+    """Each place against each earlier one: as far as both agree, the later lines go if they have words enough."""
+    seq = [(i, at, no, line.strip(" \t\n\x0b\f\r"), len(line.split())) for at, (i, t) in enumerate(sorted(docs, key=lambda d: key(d[0]))) if t is not None for no, line in enumerate(t.split("\n")) if line.strip()]
+    gone = {}
     for p in range(len(seq)):
-        e, words, n = end(p), 0, 0
-        while p + n < e and words < least:
-            words += seq[p + n][4]
-            n += 1
-        if words < least:
-            continue
-        f = first.setdefault(tuple(s[3] for s in seq[p : p + n]), p)
-        if f == p:
-            continue
-        while p + n < e and f + n < end(f) and seq[p + n][3] == seq[f + n][3]:
-            n += 1
-        for q in range(p, p + n):
-            gone.setdefault(seq[q][0], set()).add(seq[q][2])
+        for q in range(p):
+            n = words = 0
+            while p + n < len(seq) and seq[p + n][3] == seq[q + n][3] and seq[p + n][1] == seq[p][1] and seq[q + n][1] == seq[q][1]:
+                words += seq[p + n][4]
+                n += 1
+            if words >= least:
+                for r in seq[p : p + n]:
+                    gone.setdefault(r[0], set()).add(r[2])
     return {i: sorted(v) for i, v in gone.items()}
 
 
+def test_line_dedup_deletes_maximal_runs(spark):
+    a, b, m = " ".join(["a"] * 35), " ".join(["b"] * 25), "m m m m m"
+    docs = [(1, f"{a}\n{b}\nx"), (2, f"{a}\n{b}\n{m}"), (3, f"y\n{a}\n{b}\n{m}\nz"), (4, f"{m}\n{m}")]
+    got = {r.doc_id: list(r.deleted_lines) for r in dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {1: [], 2: [0, 1], 3: [1, 2, 3], 4: []}
+
+
 def test_line_dedup(spark, edges, nothing):
     rng = random.Random(3)
     lines = [" ".join(rng.choice("abcdef") for _ in range(rng.randint(1, 4))) for _ in range(12)]
