@@ -9,7 +9,7 @@ import pytest
 from cladewise.llm import attention as net
 from cladewise.llm.bitsliced import top_k
 from cladewise.llm.licences import SENTENCES, SIGN, lookup_table, scan
-from cladewise.llm.lm import score_texts, slices, text_words, training_windows
+from cladewise.llm.lm import _class_scores, score_texts, slices, text_words, training_windows
 from cladewise.llm.quality import estimate_prior, features, fit, keep_good, score, train
 
 from .conftest import LONG, edge_rows
@@ -48,35 +48,72 @@ def test_quality_held_out(spark):
     assert np.mean([r.predicted == int(r.doc_id % 6 != 0) for r in got]) > 0.98
 
 
+def some_words(rng, n, classes, slots):
+    """FILL, START and n words of one to three subwords."""
+    lengths = np.r_[1, 1, rng.integers(1, 4, n)]
+    return net.Words(np.r_[net.FILL, net.START, rng.integers(2, slots, lengths[2:].sum())], lengths, np.r_[-1, -1, rng.integers(0, classes, n)])
+
+
 def test_attention_gradients():
     rng = np.random.default_rng(0)
-    p = {k: v.astype(float) for k, v in net.unflatten(net.initial(rng.integers(1, 50, 9).astype(float), 1), 9).items()}
-    w = rng.integers(2, 11, (3, net.SPAN + net.STRIDE))
-    w[0, : net.STRIDE], w[0, net.STRIDE], w[1, -5:] = net.FILL, net.START, net.FILL
-    _, g = net.gradients(p, w)
+    p = {k: v.astype(float) for k, v in net.unflatten(net.initial(rng.integers(1, 50, 9).astype(float), 20, 1), 9, 20).items()}
+    words = some_words(rng, 30, 9, 20)
+    w = rng.integers(2, 32, (3, net.SPAN + net.STRIDE))
+    w[0, : net.SEEN], w[0, net.SEEN], w[1, -5:] = net.FILL, net.START, net.FILL
+    _, g = net.gradients(p, words, w)
     for k in p:
-        at = (int(w[2, 3]), 1) if k == "E" else tuple(rng.integers(0, n) for n in p[k].shape)
+        at = (int(words.some(w[2, 3:4]).slots[0]), 1) if k == "E" else tuple(rng.integers(0, n) for n in p[k].shape)
         ends = []
         for step in (1e-5, -1e-5):
             q = {a: b.copy() for a, b in p.items()}
             q[k][at] += step
-            ends.append(net.gradients(q, w)[0])
+            ends.append(net.gradients(q, words, w)[0])
         assert (ends[0] - ends[1]) / 2e-5 == pytest.approx(g[k][at], rel=1e-4, abs=1e-8)
 
 
+def naive_log_prob(p, inputs, place, target):
+    """Attention of one place over the inputs up to it, each given by its slots, in plain loops."""
+    x = [np.mean([p["E"][s] for s in slots], axis=0) + p["P"][i] for i, slots in inputs]
+    q = x[-1] @ p["Wq"] / np.sqrt(net.DIM)
+    a = [np.exp(q @ (v @ p["Wk"])) for v in x]
+    mixed = sum(w * (v @ p["Wv"]) for w, v in zip(a, x)) / sum(a)
+    h = x[-1] + mixed @ p["Wo"]
+    y = h + np.maximum(h @ p["W1"] + p["b1"], 0) @ p["W2"]
+    logits = y @ p["U"] + p["b"]
+    return logits[target] - np.log(np.exp(logits).sum())
+
+
+def test_scores_equal_a_plain_forward_pass():
+    rng = np.random.default_rng(5)
+    p = net.unflatten(rng.normal(0, 0.4, len(net.initial(np.ones(9), 20, 1))), 9, 20)
+    words = some_words(rng, 30, 9, 20)
+    lengths = np.array([1, net.STRIDE, net.STRIDE + 1, 75])
+    numbers = rng.integers(2, 32, lengths.sum()).astype(np.int32)
+    got, at = _class_scores(p, words, numbers, lengths, size=2), 0
+    wide = {k: v.astype(float) for k, v in p.items()}
+    slots = lambda n: words.some(np.array([n])).slots
+    for n in lengths:
+        text = [net.START, *numbers[at : at + n]]
+        for i in range(n):
+            window = i // net.STRIDE * net.STRIDE - net.SEEN  # the text's place of the window's first input
+            inputs = [(j - window, slots(text[j])) for j in range(max(0, window), i + 1)]
+            assert got[at + i] == pytest.approx(naive_log_prob(wide, inputs, i, words.kinds[numbers[at + i]]), rel=1e-4, abs=1e-4)
+        at += n
+
+
 def test_windows_score_each_token_once():
-    lengths = np.array([1, 16, 17, 40, 3])
-    kinds = np.arange(2, 2 + lengths.sum()).astype(np.int32)
-    stream, windows, place = net.layout(kinds, lengths)
+    lengths = np.array([1, 32, 33, 80, 3])
+    numbers = np.arange(2, 2 + lengths.sum()).astype(np.int32)
+    stream, windows, place = net.layout(numbers, lengths)
     assert len(set(place.tolist())) == lengths.sum()
     at = 0
     for n in lengths:
         for i in range(n):
             window, row = divmod(int(place[at + i]), net.STRIDE)
-            seen = stream[windows[window] : windows[window] + net.STRIDE + row + 1]
+            seen = stream[windows[window] : windows[window] + net.SEEN + row + 1]
             seen = [x for x in seen.tolist() if x != net.FILL]
-            want = [net.START, *kinds[at : at + i].tolist()]
-            assert seen == want[-len(seen) :] and len(seen) >= min(i + 1, net.STRIDE + 1)
+            want = [net.START, *numbers[at : at + i].tolist()]
+            assert seen == want[-len(seen) :] and len(seen) >= min(i + 1, net.SEEN + 1)
         at += n
 
 
@@ -111,10 +148,10 @@ def test_lm_beats_unigrams_on_held_out_text(spark):
 
 
 def test_lm_trains_on_all_windows(spark):
-    lengths, held = np.array([1, 40, 17, 16]), np.array([False, True, False, False])
-    kinds = np.arange(2, 2 + lengths.sum()).astype(np.int32)
-    targets = training_windows(kinds, lengths, held)[:, net.SPAN :]
-    assert sorted(targets[targets != net.FILL]) == sorted(kinds[np.repeat(~held, lengths)])
+    lengths, held = np.array([1, 70, 33, 32]), np.array([False, True, False, False])
+    numbers = np.arange(2, 2 + lengths.sum()).astype(np.int32)
+    targets = training_windows(numbers, lengths, held)[:, net.SPAN :]
+    assert sorted(targets[targets != net.FILL]) == sorted(numbers[np.repeat(~held, lengths)])
     for n in (0, 1, 3, 100, 400):
         marks = [(i * 7919) % 1009 for i in range(n)]
         rounds = slices(marks)
@@ -131,8 +168,20 @@ def test_lm_trains_on_all_windows(spark):
             out.append(w * 3)
         return " ".join(out)
 
-    got = score_texts(spark.createDataFrame([(i, text()) for i in range(1500)], "doc_id long, text string")).where("held_out").collect()
-    assert sum(r.score for r in got) / sum(r.n_tokens for r in got) > -0.45
+    df = spark.createDataFrame([(i, text()) for i in range(1500)], "doc_id long, text string")
+    held = df.where("crc32(cast(doc_id as string)) % 7 = 2")
+    got = score_texts(df).where("held_out").collect()
+    assert sum(r.score for r in got) / sum(r.n_tokens for r in got) > -0.45 and len(got) == held.count()
+
+
+def test_lm_does_not_depend_on_partitions(spark, edges):
+    rng = np.random.default_rng(9)
+    syllables = ["er", "in", "tion", "the ", "of ", "re", "an "]
+    df = spark.createDataFrame([(i, "".join(rng.choice(syllables, 60))) for i in range(300)], "doc_id long, text string")
+    for rows in (df, edges.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])):
+        one = {r.doc_id: r.score for r in score_texts(rows.coalesce(1), bucket_bytes=5000).collect()}
+        many = {r.doc_id: r.score for r in score_texts(rows.repartition(7), bucket_bytes=5000).collect()}
+        assert one.keys() == many.keys() and all(one[i] == pytest.approx(many[i], rel=1e-6) for i in one)
 
 
 def brute_top(rows, k=20, every=20):
