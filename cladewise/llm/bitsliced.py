@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from cladewise.llm.common import RID, materialise, table
 
-BLOCK, QUERY_BLOCK, K = 1 << 15, 256, 20
+BLOCK, QUERY_BLOCK, PASS, K = 1 << 14, 256, 1 << 16, 20
 _LIMIT = 1 << 50
 
 
@@ -127,8 +127,10 @@ def top_k(embeddings: DataFrame, k: int = K, every: int = 20, scale: int = 64, i
     Ties go to the smaller id. Vectors that are null or hold null or non-finite
     components take no part, nor do rows without an id. Vectors of unequal
     lengths are compared over their common prefix. Values beyond 2**50 are
-    clamped, scores beyond a long too. An empty table gives no rows. Queries
-    and index meet block by block; no block holds more than about ``block`` rows.
+    clamped, scores beyond a long too. Extra columns are ignored; an empty table
+    gives no rows. A block of the index holds about ``block`` rows and stays
+    where it is for a pass of ``PASS`` queries, whose blocks come to it one
+    after the other.
     """
     x = F.col(vector_col)
     usable = x.isNotNull() & F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf")))
@@ -176,10 +178,12 @@ def top_k(embeddings: DataFrame, k: int = K, every: int = 20, scale: int = 64, i
 
     blocks = rows.withColumn("b", F.pmod(F.xxhash64(RID), F.lit(n_blocks))).groupBy("b").applyInArrow(index, "b long, ids binary, rids binary, slices binary, shape array<long>, off long")
     asked = queries.withColumn("q", F.pmod(F.xxhash64(F.lit(1), RID), F.lit(n_queries))).groupBy("q").applyInArrow(gather, "q long, qids binary, qrids binary, queries binary, dims long")
-    # every block of queries meets every block of the index, each pair as a row of its own
-    left = materialise(blocks).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1)).cast("array<long>")))
-    right = materialise(asked).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)).cast("array<long>")))
-    pairs = left.join(right.hint("shuffle_hash"), ["b", "q"])
+    # the small blocks of queries travel to every block of the index, which travels once for each pass
+    a_pass = max(1, PASS // QUERY_BLOCK)
+    passes = -(-n_queries // a_pass)
+    left = materialise(blocks).withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(passes - 1)).cast("array<long>")))
+    right = materialise(asked).withColumn("pass", F.floor(F.col("q") / a_pass)).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)).cast("array<long>")))
+    pairs = right.join(left.hint("shuffle_hash"), ["b", "pass"])
     found = pairs.mapInArrow(search, "query_id long, qrid long, vec_id long, rid long, score long")
     rank = F.row_number().over(Window.partitionBy("qrid").orderBy(F.desc("score"), "vec_id", "rid"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
