@@ -75,7 +75,7 @@ def propagate(linked: DataFrame, shards: int, capacity: list[int], patience: int
 
 def _even(rows: DataFrame, shards: int, total: int) -> DataFrame:
     """Give ``rows(shard, loose, ...)`` new shards of equal row counts, one apart at most, and slots; rows above a shard's count move, loose ones first."""
-    placed = number_rows(rows, [F.asc("shard"), F.asc("loose"), F.asc("grp"), F.asc(RID)], P + "n")
+    placed = number_rows(rows, [F.asc("shard"), F.asc("loose"), F.asc("grp"), F.asc("doc_id"), F.asc("h"), F.asc(RID)], P + "n")
     placed = materialise(placed)
     load = _loads(placed, shards)
     quota = [total // shards + (s < total % shards) for s in range(shards)]
@@ -102,7 +102,10 @@ def shard_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     grown_shard`` and ``group_size``. Rows with equal texts are links to keep
     in one shard; only a group for which no shard has room is split, into as few
     parts as hold it. Texts are told apart by
-    128 bits of hash and their length. Null texts count as empty: size 1, CRC 0.
+    128 bits of hash and their length, so a long text costs no more than its
+    scan. Null texts count as empty: size 1, CRC 0. Ids and texts decide, so
+    other files or partitions give the same shards, but for which of the rows
+    that agree in both goes where.
     Slots count from 0 in each shard without gaps. Null ids and repeated rows
     are rows like others; extra columns are ignored; an empty table gives no
     rows. ``grown_shard`` is null: it belongs to the law ``key``.
@@ -110,7 +113,7 @@ def shard_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     text = F.coalesce(F.col(text_col), F.lit(""))
     size = F.octet_length(text).cast("long") + 1
     same = F.concat_ws(":", F.md5(text), size.cast("string"))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias(RID), size.alias("size"), F.crc32(text).alias("text_crc32"), same.alias("same"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias(RID), size.alias("size"), F.crc32(text).alias("text_crc32"), same.alias("same"), F.xxhash64(F.lit(seed), F.col(id_col), same).alias("h"))
     rows = materialise(rows)
     total = rows.count()
     quota = [total // shards + (s < total % shards) for s in range(shards)]
@@ -121,13 +124,13 @@ def shard_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     starts = dict(zip(sorted(sizes), itertools.accumulate([sizes[g] for g in sorted(sizes)], initial=0)))
     places = [(starts[g] + a, starts[g] + b, s) for g, a, b, s in place(sizes, room)]
     # other rows start in proportion to the room that is left
-    draw = F.pmod(F.xxhash64(F.lit(seed), RID), F.lit(max(1, sum(room))))
+    draw = F.pmod(F.col("h"), F.lit(max(1, sum(room))))
     home = F.coalesce(*[F.when(draw < sum(room[: s + 1]), F.lit(s)) for s in range(shards)], F.lit(0))
     known = rows.join(groups, "same", "left").withColumn("shard", home).withColumn("grp", F.when(F.col("group_size").isNotNull(), F.col("same"))).drop("same")
     known = materialise(known.withColumn("placed", F.coalesce(F.col("group_size") > quota[0] // _LARGE, F.lit(False))))
     linked = propagate(materialise(known.where("grp IS NOT NULL AND NOT placed").select(RID, "grp", "shard")), shards, room, patience, seed)
     if places:
-        at = number_rows(known.where("placed").select(RID, "grp"), [F.asc("grp"), F.asc(RID)], P + "at")
+        at = number_rows(known.where("placed").select(RID, "grp", "doc_id"), [F.asc("grp"), F.asc("doc_id"), F.asc(RID)], P + "at")
         # a few places for each shard
         spots = F.broadcast(rows.sparkSession.createDataFrame(places, "first long, end long, shard int"))
         linked = linked.unionByName(at.join(spots, (F.col(P + "at") >= F.col("first")) & (F.col(P + "at") < F.col("end"))).select(RID, "grp", "shard"))

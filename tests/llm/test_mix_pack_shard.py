@@ -136,3 +136,14 @@ def check_law(got):
     assert max(sizes) - min(sizes) <= 1 and {r.law for r in got} == {"rows"}
     for s in counts:
         assert sorted(r.slot for r in got if r.shard == s) == list(range(counts[s]))
+
+
+def test_propagation_saves_links_and_ignores_partitions(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, f"t{t}") for i, t in enumerate(rng.integers(0, 900, 3000))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    cut_links = lambda shard: sum(n * (n - 1) // 2 for n in Counter(t for _, t in rows).values()) - sum(n * (n - 1) // 2 for n in Counter((t, shard[i]) for i, t in rows).values())
+    got = {r.doc_id: r.shard for r in shard_documents(df).collect()}
+    alone = {r.doc_id: r.shard for r in shard_documents(df, patience=0).collect()}  # no round helps
+    assert cut_links(got) < 0.02 * cut_links({i: i % 8 for i, _ in rows}) and cut_links(got) <= cut_links(alone)
+    assert got == {r.doc_id: r.shard for r in shard_documents(df.repartition(5)).collect()}
