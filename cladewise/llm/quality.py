@@ -3,7 +3,9 @@
 Trusted positives and unlabelled web text are all that the model sees: it
 minimises the non-negative unbiased risk, with the share of good text among the
 unlabelled ("class prior") estimated from the same two sets. Documents with the
-label 0 are never used as negatives.
+label 0 are never used as negatives. The unlabelled set is every document of the
+learning folds: its part of the prior and of the risk is summed over all of
+them in passes of Spark; only the trusted positives are bounded.
 """
 
 from __future__ import annotations
@@ -19,7 +21,8 @@ from pyspark.sql import functions as F
 
 from cladewise.llm.common import RID, table
 
-THRESHOLD, FOLDS, MAX_FIT, SEED = 0.3, 5, 8000, 11
+THRESHOLD, FOLDS, MAX_FIT, PASSES, SEED = 0.3, 5, 8000, 3, 11
+_FIXED = 1 << 24
 #: Byte classes: other, lower case, upper case, digit, blank, line end, then single marks, groups of marks, and the two kinds of UTF-8 bytes above 127.
 _GROUPS = [b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" \t", b"\r\n", b".", b",", b"!?", b"|", b"#$%&*@^~", b"\"'`", b"()[]{}<>", b"-_+=/\\", b":;", bytes(range(128, 192)), bytes(range(192, 256))]
 CLASSES = len(_GROUPS) + 1
@@ -77,56 +80,82 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-z.clip(-30, 30)))
 
 
-def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, margin: float = 0.1) -> float:
-    """Share of positives among ``unlabelled`` from the scores of held-back rows.
+def estimate_prior(positive: np.ndarray, above: np.ndarray, total: int, cuts: np.ndarray, margin: float = 0.1) -> float:
+    """Share of positives among unlabelled rows, of which ``above[i]`` of ``total`` score ``cuts[i]`` or more; ``positive`` are scores of positives that the scorer was not fitted on.
 
     Above any threshold the unlabelled rows hold at least the positives' own
     part; the least ratio of the two upper tails bounds the share from above,
     and confidence margins keep thin tails from being chosen.
     """
-    if not len(positive) or not len(unlabelled):
+    if not len(positive) or not total:
         return 0.5
-    cuts = np.unique(np.quantile(positive, np.linspace(0, 0.98, 99)))
-    p = (positive[:, None] >= cuts).mean(0)
-    u = (unlabelled[:, None] >= cuts).mean(0)
-    slack = np.sqrt(np.log(4 / margin) / 2) * (1 / np.sqrt(len(positive)) + 1 / np.sqrt(len(unlabelled)))
-    best = np.argmin((u + slack) / p)
-    return float(np.clip(u[best] / p[best], 0.05, 0.98))
+    p, u = (positive[:, None] >= cuts).mean(0), above / total
+    slack = np.sqrt(np.log(4 / margin) / 2) * (1 / np.sqrt(len(positive)) + 1 / np.sqrt(total))
+    usable = p > 0
+    best = np.argmin(np.where(usable, (u + slack) / np.where(usable, p, 1), np.inf))
+    return float(np.clip(u[best] / max(p[best], 1e-9), 0.05, 0.98))
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, steps: int = 400, rate: float = 0.05, decay: float = 1e-4) -> Model:
+def _extended(x: np.ndarray, model: Model) -> np.ndarray:
+    """Standard features and a 1 for the bias."""
+    return np.c_[((x - model.mean) / model.scale).clip(-8, 8), np.ones(len(x))]
+
+
+def tails(x: np.ndarray, model: Model, cuts: np.ndarray) -> np.ndarray:
+    """How many rows score each cut or more, and their number."""
+    z = _extended(x, model) @ np.r_[model.weight, model.bias]
+    return np.r_[len(z) - np.searchsorted(np.sort(z), cuts, side="left"), len(z)].astype(float)
+
+
+def as_negatives(x: np.ndarray, model: Model) -> np.ndarray:
+    """Sums over rows of the slope of the loss of calling a row negative, of that loss, and their number."""
+    e = _extended(x, model)
+    z = e @ np.r_[model.weight, model.bias]
+    return np.r_[_sigmoid(z) @ e, np.logaddexp(0, z).sum(), len(z)]
+
+
+def fit(positive: np.ndarray, sample: np.ndarray, over_all, steps: int = 200, rate: float = 0.05, decay: float = 1e-4, passes: int = PASSES) -> Model:
     """Fit by the non-negative unbiased risk with the logistic loss.
 
+    ``over_all(f)`` sums ``f(features)`` over all unlabelled rows. ``sample``,
+    some of these, gives the scale of the features, a first scorer and the
+    curvature for the steps; the prior and every step's slope come from all.
+    With this loss the unbiased risk is convex: few steps reach its least value.
     Without positives or without unlabelled rows the model gives 0.5 throughout.
     """
-    width = max(positive.shape[1], unlabelled.shape[1])
-    if not len(positive) or not len(unlabelled):
+    width = max(positive.shape[1], sample.shape[1])
+    if not len(positive) or not len(sample):
         return Model(np.zeros(width), np.ones(width), np.zeros(width), 0.0, 0.5)
-    both = np.r_[positive, unlabelled].astype(float)
-    mean, scale = both.mean(0), both.std(0) + 0.02
-    pos, unl = (((s - mean) / scale).clip(-8, 8) for s in (positive, unlabelled))
-    x, n = np.r_[pos, unl], len(pos)
-    # a plain positive-or-unlabelled model on the even rows, its scores on the odd ones
-    half = np.r_[np.arange(n) % 2 == 0, np.arange(len(unl)) % 2 == 0]
-    y, balance = np.r_[np.ones(n), np.zeros(len(unl))], np.r_[np.full(n, 0.5 / n), np.full(len(unl), 0.5 / len(unl))]
-    w = _descend(x[half], lambda z: 2 * balance[half] * (_sigmoid(z) - y[half]), steps // 2, rate, 1e-3)
-    z = x @ w[:-1] + w[-1]
-    prior = estimate_prior(z[~half & (y == 1)], z[~half & (y == 0)])
-
-    def grad(z: np.ndarray) -> np.ndarray:
-        s, g = _sigmoid(z), np.zeros(len(z))
-        as_negative = np.logaddexp(0, z)  # loss of calling a row negative
-        negative_risk = as_negative[n:].mean() - prior * as_negative[:n].mean()
-        d_negative = np.r_[-prior * s[:n] / n, s[n:] / len(unl)]
-        if negative_risk >= 0:
-            g += d_negative
-            g[:n] += prior * (s[:n] - 1) / n
-        else:  # the estimate went below zero: step back along it
-            g -= d_negative
-        return g
-
-    w = _descend(x, grad, steps, rate, decay)
-    return Model(mean, scale, w[:-1], float(w[-1]), prior)
+    both = np.r_[positive, sample].astype(float)
+    model = Model(both.mean(0), both.std(0) + 0.02, np.zeros(width), 0.0, 0.5)
+    pos, unl = _extended(positive, model), _extended(sample, model)
+    # a plain positive-or-unlabelled model on the even rows, its scores on the odd positives
+    x, n = np.r_[pos[::2], unl[::2]][:, :-1], len(pos[::2])
+    y = np.r_[np.ones(n), np.zeros(len(x) - n)]
+    balance = np.where(y == 1, 0.5 / n, 0.5 / max(1, len(x) - n))
+    w = _descend(x, lambda z: 2 * balance * (_sigmoid(z) - y), steps, rate, 1e-3)
+    model.weight, model.bias = w[:-1], float(w[-1])
+    kept = (pos[1::2] if len(pos) > 1 else pos) @ w
+    cuts = np.unique(np.quantile(kept, np.linspace(0, 0.98, 99)))
+    found = over_all(lambda rows: tails(rows, model, cuts))
+    model.prior = estimate_prior(kept, found[:-1], int(found[-1]), cuts)
+    for _ in range(passes):
+        w = np.r_[model.weight, model.bias]
+        found = over_all(lambda rows: as_negatives(rows, model))
+        d_unlabelled, loss, total = found[:-2] / max(1.0, found[-1]), found[-2] / max(1.0, found[-1]), found[-1]
+        z = pos @ w
+        d_negative = d_unlabelled - model.prior * (_sigmoid(z) @ pos) / len(pos)
+        shrink = decay * np.r_[w[:-1], 0.0]
+        v = unl @ w
+        curve = (unl * (_sigmoid(v) * (1 - _sigmoid(v)))[:, None]).T @ unl / len(unl) + (decay + 1e-3) * np.eye(width + 1)
+        if loss - model.prior * np.logaddexp(0, z).mean() >= 0 or not total:
+            slope = d_negative + model.prior * ((_sigmoid(z) - 1) @ pos) / len(pos) + shrink
+        else:  # the estimate of the negatives' risk went below zero: step back along it
+            slope = -d_negative
+        step = np.linalg.solve(curve, slope)
+        w = w - step * min(1.0, 20.0 / max(1e-9, np.abs(step).max()))
+        model.weight, model.bias = w[:-1], float(w[-1])
+    return model
 
 
 def _fold(id_col: Column, folds: int) -> Column:
@@ -134,38 +163,66 @@ def _fold(id_col: Column, folds: int) -> Column:
 
 
 def _sampled(docs: DataFrame, ids: DataFrame) -> np.ndarray:
-    """Features of the documents with the given ids (a bounded number), in the order of ids and texts."""
+    """Features of the documents with the given ids (a bounded number), in the order of ids. Of rows with one id that with the least hash of the text counts, so repeats of an id stay bounded too."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [features(t).tobytes() for t in b.column("t").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(found, pa.binary())], names=["id", "x"])
 
-    rows = docs.join(F.broadcast(ids), "id").mapInArrow(each, "id long, x binary").collect()
-    rows.sort(key=lambda r: (r["id"], bytes(r["x"])))
+    one = docs.join(F.broadcast(ids), "id").groupBy("id").agg(F.min_by("t", F.struct(F.xxhash64("t"), "t")).alias("t"))
+    rows = sorted(one.mapInArrow(each, "id long, x binary").collect())
     return np.array([np.frombuffer(r["x"], np.float32) for r in rows]).reshape(-1, WIDTH)
 
 
+def _summed(texts: DataFrame):
+    """``over_all`` of :func:`fit` for the rows ``texts(t)``: a job for each call, whose tasks give whole numbers, so their order does not matter."""
+
+    def over_all(f) -> np.ndarray:
+        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = None
+            for b in batches:
+                rows = b.column("t").to_pylist()
+                for i in range(0, len(rows), 512):
+                    found = f(np.array([features(t) for t in rows[i : i + 512]]))
+                    found = np.rint(found * _FIXED).astype(np.int64)
+                    total = found if total is None else total + found
+            if total is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.int64()))], names=["s"])
+
+        sums = texts.mapInArrow(each, "s array<long>").select(F.posexplode("s")).groupBy("pos").agg(F.sum(F.col("col").cast("decimal(38,0)")).alias("s"))
+        found = {r["pos"]: float(r["s"]) / _FIXED for r in sums.collect()}  # one row for each weight
+        return np.array([found[i] for i in range(len(found))]) if found else np.zeros(2 + WIDTH + 1)
+
+    return over_all
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = FOLDS, max_fit: int = MAX_FIT, seed: int = SEED) -> Model:
-    """Fit on the rows outside fold 0: at most ``max_fit`` trusted positives and ``max_fit`` unlabelled documents, both chosen by a hash of the id.
+    """Fit on the rows outside fold 0: at most ``max_fit`` trusted positives, chosen by a hash of the id, and all documents as unlabelled ones, of which ``max_fit`` give the start.
 
-    An id is a trusted positive if all its labels are 1. Ids that are null take no part.
+    An id is a trusted positive if all its labels are 1; of several rows with
+    one id one counts as positive, all as unlabelled. Null ids take no part;
+    null texts are empty; texts are read whole, however long. Repeated rows
+    count as often as they occur among the unlabelled. Extra columns are
+    ignored. Without documents or without labels the model gives 0.5.
     """
     learn = _fold(F.col("id"), folds) != 0
     chosen = [F.xxhash64(F.lit(seed), "id"), F.col("id")]
     ids = labels.select(F.col(id_col).alias("id"), "quality").where(F.col("id").isNotNull() & F.col("quality").isNotNull() & learn)
     trusted = ids.groupBy("id").agg(F.min("quality").alias("q")).where("q = 1").select("id").orderBy(*chosen).limit(max_fit)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
-    web = texts.select("id").where(F.col("id").isNotNull() & learn).distinct().orderBy(*chosen).limit(max_fit)
-    return fit(_sampled(texts, trusted.select(F.col("id").cast("long"))), _sampled(texts, web))
+    web = texts.where(F.col("id").isNotNull() & learn)
+    some = web.select("id").distinct().orderBy(*chosen).limit(max_fit)
+    return fit(_sampled(texts, trusted.select(F.col("id").cast("long"))), _sampled(texts, some), _summed(web.select("t")))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", row_id: str | None = None, folds: int = FOLDS, threshold: float = THRESHOLD) -> DataFrame:
     """``doc_id, held_out, score, predicted`` and the row's number (null without ``row_id``), one row per input row.
 
-    Scores read the whole text and nothing else; null counts as empty, and
-    empty texts get the score of the all-zero features. Rows with a null id are
-    in fold 0. Equal texts have equal scores.
+    Scores read the whole text, however long, and nothing else; null counts as
+    empty, and empty texts get the score of the all-zero features. Rows with a
+    null id are in fold 0. Equal texts have equal scores, repeated rows each
+    their own row. Extra columns are ignored; an empty table gives no rows.
     """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,7 +238,11 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def keep_good(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows that the model predicts to be good, with the columns of ``docs``, in one pass."""
+    """The rows that the model predicts to be good, with the columns of ``docs``, in one pass.
+
+    Null and empty texts stay if the all-zero features score well enough; equal
+    texts and repeated rows stay or go together; an empty table stays empty.
+    """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

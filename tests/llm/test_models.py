@@ -17,11 +17,24 @@ from .conftest import LONG, edge_rows
 
 def test_prior_and_nonnegative_risk():
     rng = np.random.default_rng(0)
-    pos, unl = rng.normal(2, 1, (1500, 4)), np.r_[rng.normal(2, 1, (1400, 4)), rng.normal(-2, 1, (600, 4))]
-    model = fit(pos, unl)
+    pos, unl = rng.normal(2, 1, (1500, 4)), np.r_[rng.normal(2, 1, (14000, 4)), rng.normal(-2, 1, (6000, 4))]
+    model = fit(pos, unl[::10], lambda f: f(unl))
     assert 0.6 < model.prior < 0.8
     assert (model.score(rng.normal(2, 1, (500, 4))) > 0.5).mean() > 0.95 and (model.score(rng.normal(-2, 1, (500, 4))) < 0.3).mean() > 0.95
-    assert estimate_prior(np.zeros(0), np.ones(3)) == 0.5
+    assert estimate_prior(np.zeros(0), np.zeros(0), 3, np.zeros(0)) == 0.5
+
+
+def test_all_unlabelled_rows_decide_the_fit():
+    """The least value of the unbiased risk over all rows, found by plain descent, is where the steps end, however the sample was drawn."""
+    rng = np.random.default_rng(3)
+    pos, unl = rng.normal(0.5, 1, (600, 3)), np.r_[rng.normal(0.5, 1, (3000, 3)), rng.normal(-0.7, 1, (3000, 3))]
+    for sample in (unl[::7], unl[3::11]):
+        model = fit(pos, sample, lambda f: f(unl), passes=12)
+        e = lambda x: np.c_[((x - model.mean) / model.scale).clip(-8, 8), np.ones(len(x))]
+        p, u, w = e(pos), e(unl), np.zeros(4)
+        for _ in range(20000):
+            w -= 0.2 * (u.T @ (1 / (1 + np.exp(-u @ w))) / len(u) - model.prior * p.mean(0) + 1e-4 * np.r_[w[:-1], 0])
+        assert np.r_[model.weight, model.bias] == pytest.approx(w, abs=0.02)
 
 
 def test_quality_edges(spark, edges, nothing):
@@ -35,6 +48,10 @@ def test_quality_edges(spark, edges, nothing):
     none = train(nothing, labels.where("false"))
     assert {r.score for r in score(edges, none).collect()} == {0.5}
     assert np.isfinite(features(LONG)).all() and not features(None).any()
+    # an id in very many rows gives one positive, and another layout the same model
+    many = edges.select("doc_id", "text").union(spark.range(3000).selectExpr("4 AS doc_id", "concat('again ', id % 50) AS text"))
+    a, b = train(many.coalesce(1), labels), train(many.repartition(6), labels)
+    assert np.allclose(a.weight, b.weight) and a.prior == b.prior
 
 
 def test_quality_held_out(spark):
@@ -203,6 +220,8 @@ def test_top_k(spark):
     want = brute_top([(i, v if v is None else [None if x is None else float(np.float32(x)) for x in v]) for i, v in rows])
     for block in (1 << 15, 100):
         assert Counter(map(tuple, top_k(df, block=block).collect())) == want
+    clash = df.selectExpr("*", "1 AS b", "'x' AS q", "2.5 AS v", "3 AS score", "4 AS rank", "5 AS pass", "vec_id AS query_id")
+    assert Counter(map(tuple, top_k(clash, block=100).collect())) == want
     few = df.where("vec_id in (20, 21, 22)")
     assert Counter(map(tuple, top_k(few).collect())) == brute_top([r for r in rows if r[0] in (20, 21, 22)])
     assert top_k(df.where("false")).count() == 0
