@@ -1,14 +1,18 @@
 """License scans by sentence rules.
 
-A text is cut into sentences, these are normalised and looked up among known
-licence sentences, and the sequence of identifiers is matched against ordered
-rules: an earlier, more specific rule uses up its identifiers before a later
-one sees them. All of it happens within a row, so nothing is shuffled.
+A text is cut into parts at sentence ends, these are normalised and looked up
+among the parts of known licence sentences; a sentence is recognised where all
+of its parts follow each other. The sequence of sentences is matched against
+ordered rules: an earlier, more specific rule uses up its sentences before a
+later one sees them. A text is cut twice, by its lines and with line ends inside
+sentences taken for blanks, and what either cut finds counts. All of it happens
+within a row, so nothing is shuffled.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,10 +40,22 @@ SENTENCES = {
     "BSDbin": "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
     "BSDend": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
     "BSDwarr": "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
+    "BSDliab": "IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    "BSDadv": "All advertising materials mentioning features or use of this software must display the following acknowledgement:",
+    "BSD2ref": "Released under the BSD 2-Clause License.",
     "BSD3ref": "Released under the BSD 3-Clause License.",
     "GPLwork3": "This work is licensed under the GNU General Public License, version 3.",
     "GPLfree": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "GPL2free": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "GPL3semi": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version.",
+    "GPL2only": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; version 2 of the License.",
+    "GPL2under": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.",
+    "GPL3only": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, version 3.",
+    "LGPL21free": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "LGPL3free": "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "LGPLsee": "See the GNU Lesser General Public License for more details.",
+    "AGPL3free": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "AGPLsee": "See the GNU Affero General Public License for more details.",
     "GPLwarr": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY;",
     "GPLimpl": "without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
     "GPLsee": "See the GNU General Public License for more details.",
@@ -47,6 +63,39 @@ SENTENCES = {
     "LGPLref": "This library is licensed under the GNU Lesser General Public License, version 3.",
     "MPL2form": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "MPL2ref": "Licensed under the Mozilla Public License, version 2.0.",
+    "MPL11form": "The contents of this file are subject to the Mozilla Public License Version 1.1 (the \"License\");",
+    "MPL11code": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 1.1.",
+    "MPL2copy": "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    "MPL2copys": "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "EPL2made": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/.",
+    "EPL1made": "All rights reserved. This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution, and is available at http://www.eclipse.org/legal/epl-v10.html",
+    "CDDLuse": "The contents of this file are subject to the terms of the Common Development and Distribution License (the \"License\").",
+    "Zlibasis": "This software is provided 'as-is', without any express or implied warranty.",
+    "Zlibliab": "In no event will the authors be held liable for any damages arising from the use of this software.",
+    "Zlibgrant": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+    "Zliborig": "The origin of this software must not be misrepresented; you must not claim that you wrote the original software.",
+    "Zlibalter": "Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.",
+    "Zlibnotice": "This notice may not be removed or altered from any source distribution.",
+    "BSLgrant": "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:",
+    "BSLref": "Distributed under the Boost Software License, Version 1.0.",
+    "WTFPLterms": "Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed.",
+    "WTFPLdo": "You just DO WHAT THE FUCK YOU WANT TO.",
+    "ISCwarr": "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.",
+    "0BSDgrant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.",
+    "X11name": "Except as contained in this notice, the name of the X Consortium shall not be used in advertising or otherwise to promote the sale, use or other dealings in this Software without prior written authorization from the X Consortium.",
+    "NCSAgrant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal with the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+    "Ap2def": "\"License\" shall mean the terms and conditions for use, reproduction, and distribution as defined by Sections 1 through 9 of this document.",
+    "Ap2body": "Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare Derivative Works of, publicly display, publicly perform, sublicense, and distribute the Work and such Derivative Works in Source or Object form.",
+    "GPL3body": "The GNU General Public License is a free, copyleft license for software and other kinds of works.",
+    "GPL2body": "The licenses for most software are designed to take away your freedom to share and change it.",
+    "AGPL3body": "The GNU Affero General Public License is a free, copyleft license for software and other kinds of works, specifically designed to ensure cooperation with the community in the case of network server software.",
+    "LGPL3body": "This version of the GNU Lesser General Public License incorporates the terms and conditions of version 3 of the GNU General Public License, supplemented by the additional permissions listed below.",
+    "CC0body": "The person who associated a work with this deed has dedicated the work to the public domain by waiving all of his or her rights to the work worldwide under copyright law, including all related and neighboring rights, to the extent allowed by law.",
+    "CCBYwork": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "CCBYSAwork": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "CCBYNCwork": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    "CCBYNDwork": "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+    "PDany": "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
     "ISCgrant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     "CCBYref": "Licensed under CC BY 4.0.",
     "CCBYSAref": "Licensed under CC BY-SA 4.0.",
@@ -56,14 +105,40 @@ SENTENCES = {
 }
 #: Ordered rules: identifiers that must follow each other, and the licence they make.
 RULES = [
+    (("MITgrant", "MITcond", "MITwarr", "MITliab", "X11name"), "X11"),
     (("MITgrant", "MITcond", "MITwarr", "MITliab"), "MIT"),
     (("MITgrant", "MITcond"), "MIT"),
     (("Ap2grant", "Ap2comply", "Ap2copy", "Ap2asis", "Ap2see"), "Apache-2.0"),
     (("Ap2grant", "Ap2comply"), "Apache-2.0"),
+    (("BSDgrant", "BSDsrc", "BSDbin", "BSDadv"), "BSD-4-Clause"),
+    (("BSDgrant", "BSDsrc", "BSDbin", "BSDend", "BSDwarr", "BSDliab"), "BSD-3-Clause"),
+    (("BSDgrant", "BSDsrc", "BSDbin", "BSDwarr", "BSDliab"), "BSD-2-Clause"),
     (("BSDgrant", "BSDsrc", "BSDbin", "BSDend", "BSDwarr"), "BSD-3-Clause"),
     (("BSDgrant", "BSDsrc", "BSDbin", "BSDend"), "BSD-3-Clause"),
     (("BSDgrant", "BSDsrc", "BSDbin", "BSDwarr"), "BSD-2-Clause"),
     (("BSDgrant", "BSDsrc", "BSDbin"), "BSD-2-Clause"),
+    (("CDDLuse", "Ap2comply"), "CDDL-1.0"),
+    (("MPL11form", "Ap2comply"), "MPL-1.1"),
+    (("LGPL21free", "GPLwarr", "GPLimpl", "LGPLsee"), "LGPL-2.1-or-later"),
+    (("LGPL3free", "GPLwarr", "GPLimpl", "LGPLsee"), "LGPL-3.0-or-later"),
+    (("AGPL3free", "GPLwarr", "GPLimpl", "AGPLsee"), "AGPL-3.0-or-later"),
+    (("GPL3semi", "GPLwarr", "GPLimpl", "GPLsee"), "GPL-3.0-or-later"),
+    (("GPL2only", "GPLwarr", "GPLimpl", "GPLsee"), "GPL-2.0-only"),
+    (("GPL2under", "GPLwarr", "GPLimpl", "GPLsee"), "GPL-2.0-only"),
+    (("GPL3only", "GPLwarr", "GPLimpl", "GPLsee"), "GPL-3.0-only"),
+    (("LGPL21free",), "LGPL-2.1-or-later"),
+    (("LGPL3free",), "LGPL-3.0-or-later"),
+    (("AGPL3free",), "AGPL-3.0-or-later"),
+    (("GPL3semi",), "GPL-3.0-or-later"),
+    (("GPL2only",), "GPL-2.0-only"),
+    (("GPL2under",), "GPL-2.0-only"),
+    (("GPL3only",), "GPL-3.0-only"),
+    (("Zlibasis", "Zlibliab", "Zlibgrant", "Zliborig", "Zlibalter", "Zlibnotice"), "Zlib"),
+    (("Zlibgrant",), "Zlib"),
+    (("NCSAgrant",), "NCSA"),
+    (("ISCgrant", "ISCwarr"), "ISC"),
+    (("MPL2form", "MPL2copy"), "MPL-2.0"),
+    (("MPL2form", "MPL2copys"), "MPL-2.0"),
     (("GPLfree", "GPLwarr", "GPLimpl", "GPLsee"), "GPL-3.0-or-later"),
     (("GPLfree",), "GPL-3.0-or-later"),
     (("GPL2free", "GPLwarr", "GPLimpl", "GPLsee"), "GPL-2.0-or-later"),
@@ -83,84 +158,142 @@ RULES = [
     (("CCBYSAref",), "CC-BY-SA-4.0"),
     (("CCBYNCref",), "CC-BY-NC-4.0"),
     (("CC0ref",), "CC0-1.0"),
+    (("PDref", "PDany"), "Unlicense"),
     (("PDref",), "Unlicense"),
+    (("PDany",), "Unlicense"),
+    (("MPL11form",), "MPL-1.1"),
+    (("MPL11code",), "MPL-1.1"),
+    (("EPL2made",), "EPL-2.0"),
+    (("EPL1made",), "EPL-1.0"),
+    (("CDDLuse",), "CDDL-1.0"),
+    (("BSLgrant",), "BSL-1.0"),
+    (("BSLref",), "BSL-1.0"),
+    (("WTFPLterms", "WTFPLdo"), "WTFPL"),
+    (("WTFPLdo",), "WTFPL"),
+    (("0BSDgrant",), "0BSD"),
+    (("BSD2ref",), "BSD-2-Clause"),
+    (("Ap2def", "Ap2body"), "Apache-2.0"),
+    (("Ap2body",), "Apache-2.0"),
+    (("GPL3body",), "GPL-3.0-only"),
+    (("GPL2body",), "GPL-2.0-only"),
+    (("AGPL3body",), "AGPL-3.0-only"),
+    (("LGPL3body",), "LGPL-3.0-only"),
+    (("CC0body",), "CC0-1.0"),
+    (("CCBYwork",), "CC-BY-4.0"),
+    (("CCBYSAwork",), "CC-BY-SA-4.0"),
+    (("CCBYNCwork",), "CC-BY-NC-4.0"),
+    (("CCBYNDwork",), "CC-BY-ND-4.0"),
+]
+#: Parts with a free place, normalised: the holder of a BSD licence, the work under a GNU licence. Each stands for the part that it names.
+SLOTS = [
+    (r"^neither the name of .+ nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission$", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    (r"^[a-z0-9]+( [a-z0-9]+){0,4} is free software$", "This program is free software;"),
+    (r"^[a-z0-9]+( [a-z0-9]+){0,4} is distributed in the hope that it will be useful but without any warranty$", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY;"),
 ]
-#: What the scan knows besides: the version part of a GPL header with semicolons, whose first part names no version.
-VERSIONS = {
-    "GPLver2plus": "either version 2 of the License, or (at your option) any later version.",
-    "GPLver3plus": "either version 3 of the License, or (at your option) any later version.",
-    "GPLver2": "version 2 of the License.",
-    "GPLver3": "version 3 of the License.",
-}
-_HEADERS = [(("GPL2free", "GPLver2plus"), "GPL-2.0-or-later"), (("GPL2free", "GPLver3plus"), "GPL-3.0-or-later"), (("GPL2free", "GPLver2"), "GPL-2.0-only"), (("GPL2free", "GPLver3"), "GPL-3.0-only")]
-SCAN_SENTENCES = SENTENCES | VERSIONS
-SCAN_RULES = [((*seq, *more), name) for more in (("GPLwarr", "GPLimpl", "GPLsee"), ()) for seq, name in _HEADERS] + [r for r in RULES if r[0][0] != "GPL2free"]
-#: The clause of the BSD licence that names its holder, normalised.
-HOLDER = r"^neither the name of .+ nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission$"
-#: Any sentence that can be recognised holds one of these.
-SIGN = r"(?i)licen[sc]|copyright|warrant|permission|redistribut|cc0|public domain"
 _END, _NOISE = r"([.!?;:])\s+", "[^a-z0-9]+"
 COPYRIGHT, SPDX = r"^copyright( c)? [0-9]{4}", r"SPDX-License-Identifier:\s*([A-Za-z0-9][A-Za-z0-9.+-]*)"
+_NOTICE = "Copyright"
 
 
 def normal_form(sentence: str) -> str:
     return re.sub(_NOISE, " ", sentence.lower()).strip()
 
 
-def lookup_table(sentences: dict[str, str]) -> dict[str, str]:
-    """Identifier by normalised sentence. A sentence that holds inner sentence ends is known by its longest part, and a part shared by two sentences is an error."""
+def parts_of(sentence: str) -> list[str]:
+    """The normalised parts that a scan cuts a sentence into."""
+    return [p for p in map(normal_form, re.sub(_END, "\\1\n", sentence).split("\n")) if p]
+
+
+def part_numbers(sentences: dict[str, str]) -> dict[str, str]:
+    """Number of each part, as text; sentences may share parts. Parts for which a slot exists bear the slot's number."""
     out: dict[str, str] = {}
-    for name, text in sentences.items():
-        part = normal_form(max(re.sub(_END, "\\1\n", text).split("\n"), key=len))
-        if part in out:
-            raise ValueError(f"{name} and {out[part]} are known by the same words")
-        out[part] = name
+    for text in [*[t for _, t in SLOTS], *sentences.values()]:
+        for part in parts_of(text):
+            slot = next((parts_of(t)[0] for pattern, t in SLOTS if re.search(pattern, part)), part)
+            out.setdefault(slot, str(len(out)))
+            out[part] = out[slot]
     return out
 
 
-def _identifiers(pieces: Column, known: dict[str, str]) -> Column:
-    names = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
-    likely = F.filter(pieces, lambda s: s.rlike(SIGN))
-    clean = F.transform(likely, lambda s: F.trim(F.regexp_replace(F.lower(s), _NOISE, " ")))
-    ids = F.transform(clean, lambda s: F.coalesce(F.try_element_at(names, s), F.when(s.rlike(COPYRIGHT), F.lit("Copyright")), F.when(s.rlike(HOLDER), F.lit("BSDend"))))
-    return F.filter(ids, lambda i: i.isNotNull())
+def sequences(sentences: dict[str, str]) -> list[tuple[str, str]]:
+    """Each sentence's numbers, as text, and its identifier; longer ones first, since they may hold shorter ones. Two sentences of the same parts are an error."""
+    number, out = part_numbers(sentences), {}
+    for name, text in sentences.items():
+        seq = "".join(f" {number[p]} " for p in parts_of(text))
+        if seq in out:
+            raise ValueError(f"{name} and {out[seq]} are known by the same words")
+        out[seq] = name
+    return sorted(out.items(), key=lambda x: (-x[0].count("  "), x[1]))
+
+
+def sign(sentences: dict[str, str]) -> str:
+    """Pattern of words of which every sentence holds one, or a copyright line or tag: few of them, by taking the word that most of the remaining sentences hold."""
+    left, words = [set(normal_form(t).split()) for t in sentences.values()], ["copyright", "spdx"]
+    left = [s for s in left if not s & set(words)]
+    while left:
+        count = Counter(w for s in left for w in s if len(w) > 3) or Counter(w for s in left for w in s)
+        best = min(count, key=lambda w: (-count[w], -len(w), w))
+        words.append(best)
+        left = [s for s in left if best not in s]
+    return "(?i)" + "|".join(words)
+
+
+def _numbers(pieces: Column, number: dict[str, str]) -> Column:
+    """Text of the numbers of the known parts, in order."""
+    names = F.create_map(*[F.lit(x) for pair in number.items() for x in pair])
+    clean = F.transform(pieces, lambda s: F.trim(F.regexp_replace(F.lower(s), _NOISE, " ")))
+    slots = [(pattern, number[parts_of(t)[0]]) for pattern, t in SLOTS]
+    one = lambda s: F.coalesce(F.try_element_at(names, s), F.when(s.rlike(COPYRIGHT), F.lit(_NOTICE)), *[F.when(s.rlike(p), F.lit(n)) for p, n in slots])
+    return F.array_join(F.transform(clean, lambda s: F.concat(F.lit(" "), one(s), F.lit(" "))), "")  # unknown parts are null and passed over
+
+
+def _replaced(text: Column, plan: list[tuple[str, str]]) -> Column:
+    """``text`` with each sequence of the plan replaced, one after the other."""
+    steps = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in plan])
+    return F.aggregate(steps, text, lambda t, s: F.replace(t, s["a"], s["b"]))
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences: dict[str, str] = SCAN_SENTENCES, rules: list[tuple[tuple[str, ...], str]] = SCAN_RULES) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences: dict[str, str] = SENTENCES, rules: list[tuple[tuple[str, ...], str]] = RULES) -> DataFrame:
     """Licences of each document: ``doc_id, sentence_ids, licences, left_over``, one row per input row.
 
-    ``sentence_ids`` are the recognised sentences in order; a sentence may run
-    over line ends, or stand on a line of its own. ``licences`` are those of
-    the rules that match, sorted, each once; an SPDX tag gives the licence that
-    it names, and its identifier comes first. ``left_over`` are identifiers that no rule used (copyright lines
-    do not count). Null, empty and plain texts have empty arrays. Repeated rows
-    are scanned each; extra columns are ignored; an empty table gives no rows.
+    ``sentence_ids`` are the recognised sentences: of the cut with wrapped lines
+    in order, then those that only the cut by lines finds; an SPDX tag comes
+    first. ``licences`` are those of the rules that match in either cut and of
+    the tags, sorted, each once. ``left_over`` are sentences that no rule used
+    (copyright lines do not count), sorted. A line without a full stop right
+    before a wrapped sentence is taken for its beginning. Null, empty and plain texts have
+    empty arrays; long texts are scanned whole. Repeated rows are scanned each;
+    extra columns are ignored; an empty table gives no rows.
     """
-    known = lookup_table(sentences)
+    number, known = part_numbers(sentences), [(a, f" {name} ") for a, name in sequences(sentences)]
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = F.regexp_replace(text, _END, "$1\n")
     # wrapped: line ends inside a sentence are blanks; blank lines and lines with a copyright end it
     apart = F.regexp_replace(text, r"(?im)^[ \t]*(copyright .*)$", "\n\n$1\n\n")
     joined = F.regexp_replace(F.regexp_replace(apart, r"\n\s*\n", "\u0001"), r"\s+", " ")
     wrapped = F.translate(F.regexp_replace(joined, _END, "$1\n"), "\u0001", "\n")
-    by_line, by_sentence = _identifiers(F.split(lines, "\n"), known), _identifiers(F.split(wrapped, "\n"), known)
-    none = F.array().cast("array<string>")
-    hit = text.rlike(SIGN)
-    found = docs.select(F.col(id_col).alias("doc_id"), F.when(hit, by_line).otherwise(none).alias(P + "a"), F.when(hit, by_sentence).otherwise(none).alias(P + "b"), F.when(hit, F.transform(F.regexp_extract_all(text, F.lit(SPDX)), lambda i: F.concat(F.lit("SPDX:"), i))).otherwise(none).alias(P + "s"))
-    # the cut that recognises more; by line if both do alike
-    ids = F.concat(P + "s", F.when(F.size(P + "b") > F.size(P + "a"), F.col(P + "b")).otherwise(F.col(P + "a")))
-    plan = F.array(*[F.struct(F.lit("".join(f" {i} " for i in seq)).alias("seq"), F.lit(name).alias("name")) for seq, name in rules])
-    spaced = F.array_join(F.transform(F.col("sentence_ids"), lambda i: F.concat(F.lit(" "), i, F.lit(" "))), "")
-    empty = F.struct(spaced.alias("left"), none.alias("names"))
-
-    def apply(state: Column, rule: Column) -> Column:
-        match = F.contains(state["left"], rule["seq"])
-        return F.struct(F.when(match, F.replace(state["left"], rule["seq"], F.lit(" | "))).otherwise(state["left"]).alias("left"), F.when(match, F.concat(state["names"], F.array(rule["name"]))).otherwise(state["names"]).alias("names"))
-
-    spdx = F.transform(F.filter(F.col("sentence_ids"), lambda i: i.startswith("SPDX:")), lambda i: F.substring(i, 6, 100))
-    matched = found.select("doc_id", ids.alias("sentence_ids")).withColumn(P + "s", F.when(F.size("sentence_ids") > 0, F.aggregate(plan, empty, apply)))
-    rest = F.filter(F.split(F.trim(F.col(P + "s")["left"]), " +"), lambda i: (i != "") & (i != "|") & (i != "Copyright") & ~i.startswith("SPDX:"))
-    return matched.select("doc_id", "sentence_ids", F.coalesce(F.array_sort(F.array_distinct(F.concat(F.col(P + "s")["names"], spdx))), none).alias("licences"), F.coalesce(rest, none).alias("left_over"))
+    hit, none = text.rlike(sign(sentences)), F.array().cast("array<string>")
+    spdx = F.transform(F.regexp_extract_all(text, F.lit(SPDX)), lambda i: F.concat(F.lit("SPDX:"), i))
+    found = docs.select(F.col(id_col).alias("doc_id"), *[F.when(hit, _numbers(F.split(c, "\n"), number)).alias(P + n) for n, c in (("a", lines), ("b", wrapped))], F.when(hit, spdx).otherwise(none).alias(P + "s"))
+    # numbers of parts that make no sentence are dropped
+    ids = lambda c: F.regexp_replace(_replaced(F.col(c), known), r" [0-9]+ ", "")
+    found = found.withColumns({P + n: F.when(F.col(P + n) != "", ids(P + n)).otherwise("") for n in "ab"})
+    # rules mark what they use: "| licence" takes the sentences' place
+    plan = [("".join(f" {i} " for i in seq), f" |{name} ") for seq, name in rules]
+    found = found.withColumns({P + n: F.coalesce(P + n, F.lit("")) for n in "ab"}).withColumns({P + "r" + n: F.when(F.coalesce(P + n, F.lit("")) != "", _replaced(F.col(P + n), plan)).otherwise("") for n in "ab"})
+    items = lambda c: F.filter(F.split(F.trim(F.col(c)), " +"), lambda i: i != "")
+    used = F.array(*[F.struct(F.lit("|" + name).alias("name"), F.lit(i).alias("id")) for seq, name in rules for i in seq])
+    marks = F.array_union(F.filter(items(P + "ra"), lambda i: i.startswith("|")), F.filter(items(P + "rb"), lambda i: i.startswith("|")))
+    rest = F.filter(F.array_union(items(P + "rb"), items(P + "ra")), lambda i: ~i.startswith("|") & (i != _NOTICE))
+    taken = F.transform(F.filter(used, lambda u: F.array_contains(P + "m", u["name"])), lambda u: u["id"])
+    only = F.filter(items(P + "a"), lambda i: ~F.array_contains(items(P + "b"), i))
+    done = found.withColumn(P + "m", marks)
+    return done.select(
+        "doc_id",
+        F.concat(P + "s", items(P + "b"), only).alias("sentence_ids"),
+        F.array_sort(F.array_distinct(F.concat(F.transform(P + "m", lambda i: F.substring(i, 2, 100)), F.transform(P + "s", lambda i: F.substring(i, 6, 100))))).alias("licences"),
+        F.array_sort(F.array_except(rest, taken)).alias("left_over"),
+    )
 
 
 def op8_licence_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,36 +303,36 @@ def op8_licence_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def oracle_sql(sentences: dict[str, str] = SENTENCES, rules: list[tuple[tuple[str, ...], str]] = RULES) -> str:
-    """The scan in SQL: sentences as rows, rules applied one after another."""
+    """The scan in SQL: parts as rows, sentences and rules applied one after another."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
-    known = ", ".join(f"({quote(k)}, {quote(v)})" for k, v in lookup_table(sentences).items())
-    cut = lambda t: f"string_split(regexp_replace({t}, '([.!?;:])\\s+', '\\1' || chr(10), 'g'), chr(10))"
+    number = part_numbers(sentences)
+    known = ", ".join(f"({quote(k)}, {quote(v)})" for k, v in number.items())
+    slots = "".join(f" WHEN regexp_matches(n, {quote(p)}) THEN {quote(number[parts_of(t)[0]])}" for p, t in SLOTS)
+    cut = lambda t: f"regexp_replace({t}, '([.!?;:])\\s+', '\\1' || chr(10), 'g')"
     apart = r"regexp_replace(t, '(?im)^[ \t]*(copyright .*)$', chr(10) || chr(10) || '\1' || chr(10) || chr(10), 'g')"
     joined = rf"regexp_replace(regexp_replace({apart}, '\n\s*\n', chr(1), 'g'), '\s+', ' ', 'g')"
-    steps, last = [], "r0"
-    for i, (seq, name) in enumerate(rules, 1):
-        s = quote("".join(f" {x} " for x in seq))
-        steps.append(f"r{i} AS (SELECT rid, doc_id, ids, replace(left_, {s}, ' | ') AS left_, CASE WHEN contains(left_, {s}) THEN list_append(names, {quote(name)}) ELSE names END AS names FROM {last})")
-        last = f"r{i}"
+    ways = [("a", f"string_split({cut('t')}, chr(10))"), ("b", f"string_split(replace({cut(joined)}, chr(1), chr(10)), chr(10))")]
+    pieces = " UNION ALL ".join(f"SELECT rid, '{way}' AS way, unnest({c}) AS s, generate_subscripts({c}, 1) AS k FROM hit" for way, c in ways)
+    nest = lambda column, plan: "".join(["replace("] * len(plan)) + column + "".join(f", {quote(a)}, {quote(b)})" for a, b in plan)
+    found = nest("parts", [(a, f" {name} ") for a, name in sequences(sentences)])
+    ruled = nest("ids", [("".join(f" {i} " for i in seq), f" |{name} ") for seq, name in rules])
+    used = ", ".join(f"({quote('|' + name)}, {quote(i)})" for seq, name in rules for i in seq)
     return rf"""
-WITH known(sentence, id) AS (VALUES {known}),
+WITH known(sentence, id) AS (VALUES {known}), used(name, id) AS (VALUES {used}),
 d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
-pieces AS (
-  SELECT rid, 'a' AS way, unnest({cut('t')}) AS s, generate_subscripts({cut('t')}, 1) AS k FROM d WHERE regexp_matches(t, {quote(SIGN)})
-  UNION ALL SELECT rid, 'b', unnest(string_split(replace({cut(joined).removeprefix('string_split(').removesuffix(', chr(10))')}, chr(1), chr(10)), chr(10))),
-    generate_subscripts(string_split(replace({cut(joined).removeprefix('string_split(').removesuffix(', chr(10))')}, chr(1), chr(10)), chr(10)), 1) FROM d WHERE regexp_matches(t, {quote(SIGN)})
-), named AS (
-  SELECT rid, way, k, coalesce(id, CASE WHEN regexp_matches(n, {quote(COPYRIGHT)}) THEN 'Copyright' END) AS id
-  FROM (SELECT rid, way, k, trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g')) AS n FROM pieces WHERE regexp_matches(s, {quote(SIGN)})) p LEFT JOIN known ON sentence = n
-), lists AS (
-  SELECT rid, list(id ORDER BY k) FILTER (way = 'a') AS a, list(id ORDER BY k) FILTER (way = 'b') AS b FROM named WHERE id IS NOT NULL GROUP BY rid
-), found AS (
-  SELECT d.rid, doc_id, list_concat(CASE WHEN regexp_matches(t, {quote(SIGN)}) THEN list_transform(regexp_extract_all(t, {quote(SPDX)}, 1), lambda x: 'SPDX:' || x) ELSE [] END,
-    CASE WHEN coalesce(len(b), 0) > coalesce(len(a), 0) THEN b ELSE coalesce(a, []) END) AS ids FROM d LEFT JOIN lists ON lists.rid = d.rid
-), r0 AS (SELECT rid, doc_id, ids, array_to_string(list_transform(ids, lambda i: ' ' || i || ' '), '') AS left_, CAST([] AS VARCHAR[]) AS names FROM found),
-{", ".join(steps)}
-SELECT doc_id, array_to_string(ids, ' ') AS sentence_ids,
-  array_to_string(list_sort(list_distinct(list_concat(names, list_transform(list_filter(ids, lambda i: starts_with(i, 'SPDX:')), lambda i: i[6:])))), ' ') AS licences,
-  array_to_string(list_filter(string_split_regex(trim(left_), ' +'), lambda i: i NOT IN ('', '|', 'Copyright') AND NOT starts_with(i, 'SPDX:')), ' ') AS left_over
-FROM {last}
+hit AS (SELECT * FROM d WHERE regexp_matches(t, {quote(sign(sentences))})),
+pieces AS ({pieces}),
+named AS (SELECT rid, way, k, coalesce(id, CASE WHEN regexp_matches(n, {quote(COPYRIGHT)}) THEN '{_NOTICE}'{slots} END) AS id
+  FROM (SELECT rid, way, k, trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g')) AS n FROM pieces) p LEFT JOIN known ON sentence = n),
+texts AS (SELECT rid, way, string_agg(' ' || id || ' ', '' ORDER BY k) AS parts FROM named WHERE id IS NOT NULL GROUP BY rid, way),
+found AS (SELECT rid, way, regexp_replace({found}, ' [0-9]+ ', '', 'g') AS ids FROM texts),
+ruled AS (SELECT rid, way, list_filter(string_split_regex(trim(ids), ' +'), lambda i: i <> '') AS ids, list_filter(string_split_regex(trim({ruled}), ' +'), lambda i: i <> '') AS rest FROM found),
+both_cuts AS (SELECT h.rid, coalesce(b.ids, []) AS b, list_filter(coalesce(a.ids, []), lambda i: NOT list_contains(coalesce(b.ids, []), i)) AS only_a, list_concat(coalesce(b.rest, []), coalesce(a.rest, [])) AS rest,
+  list_transform(regexp_extract_all(h.t, {quote(SPDX)}, 1), lambda x: 'SPDX:' || x) AS spdx
+  FROM hit h LEFT JOIN ruled a ON a.rid = h.rid AND a.way = 'a' LEFT JOIN ruled b ON b.rid = h.rid AND b.way = 'b'),
+taken AS (SELECT c.rid, list(DISTINCT u.id) AS ids FROM both_cuts c JOIN used u ON list_contains(c.rest, u.name) GROUP BY c.rid)
+SELECT doc_id, coalesce(array_to_string(list_concat(spdx, b, only_a), ' '), '') AS sentence_ids,
+  coalesce(array_to_string(list_sort(list_distinct(list_concat(list_transform(list_filter(rest, lambda i: starts_with(i, '|')), lambda i: i[2:]), list_transform(spdx, lambda i: i[6:])))), ' '), '') AS licences,
+  coalesce(array_to_string(list_sort(list_distinct(list_filter(rest, lambda i: NOT starts_with(i, '|') AND i <> '{_NOTICE}' AND NOT list_contains(coalesce(taken.ids, []), i)))), ' '), '') AS left_over
+FROM d LEFT JOIN both_cuts c ON c.rid = d.rid LEFT JOIN taken ON taken.rid = d.rid
 """
