@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from cladewise.llm.common import RID, table
 
 THRESHOLD, FOLDS, MAX_FIT, PASSES, SEED = 0.3, 5, 8000, 3, 11
-_FIXED = 1 << 24
+_FIXED, DECAY = 1 << 24, 0.003
 #: Byte classes: other, lower case, upper case, digit, blank, line end, then single marks, groups of marks, and the two kinds of UTF-8 bytes above 127.
 _GROUPS = [b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" \t", b"\r\n", b".", b",", b"!?", b"|", b"#$%&*@^~", b"\"'`", b"()[]{}<>", b"-_+=/\\", b":;", bytes(range(128, 192)), bytes(range(192, 256))]
 CLASSES = len(_GROUPS) + 1
@@ -114,7 +114,7 @@ def as_negatives(x: np.ndarray, model: Model) -> np.ndarray:
     return np.r_[_sigmoid(z) @ e, np.logaddexp(0, z).sum(), len(z)]
 
 
-def fit(positive: np.ndarray, sample: np.ndarray, over_all, steps: int = 200, rate: float = 0.05, decay: float = 1e-4, passes: int = PASSES) -> Model:
+def fit(positive: np.ndarray, sample: np.ndarray, over_all, steps: int = 200, rate: float = 0.05, decay: float = DECAY, passes: int = PASSES) -> Model:
     """Fit by the non-negative unbiased risk with the logistic loss.
 
     ``over_all(f)`` sums ``f(features)`` over all unlabelled rows. ``sample``,
@@ -139,22 +139,28 @@ def fit(positive: np.ndarray, sample: np.ndarray, over_all, steps: int = 200, ra
     cuts = np.unique(np.quantile(kept, np.linspace(0, 0.98, 99)))
     found = over_all(lambda rows: tails(rows, model, cuts))
     model.prior = estimate_prior(kept, found[:-1], int(found[-1]), cuts)
+    # the sample's own least risk first, from which the steps over all rows start
+    some, n = np.r_[pos, unl][:, :-1], len(pos)
+
+    def slope(z: np.ndarray) -> np.ndarray:
+        g, s = np.r_[-model.prior * _sigmoid(z[:n]) / n, _sigmoid(z[n:]) / len(unl)], _sigmoid(z[:n]) - 1
+        if np.logaddexp(0, z[n:]).mean() < model.prior * np.logaddexp(0, z[:n]).mean():
+            return -g  # the estimate of the negatives' risk went below zero: step back along it
+        g[:n] += model.prior * s / n
+        return g
+
+    w = _descend(some, slope, 2 * steps, rate, decay)
     for _ in range(passes):
-        w = np.r_[model.weight, model.bias]
-        found = over_all(lambda rows: as_negatives(rows, model))
-        d_unlabelled, loss, total = found[:-2] / max(1.0, found[-1]), found[-2] / max(1.0, found[-1]), found[-1]
-        z = pos @ w
-        d_negative = d_unlabelled - model.prior * (_sigmoid(z) @ pos) / len(pos)
-        shrink = decay * np.r_[w[:-1], 0.0]
-        v = unl @ w
-        curve = (unl * (_sigmoid(v) * (1 - _sigmoid(v)))[:, None]).T @ unl / len(unl) + (decay + 1e-3) * np.eye(width + 1)
-        if loss - model.prior * np.logaddexp(0, z).mean() >= 0 or not total:
-            slope = d_negative + model.prior * ((_sigmoid(z) - 1) @ pos) / len(pos) + shrink
-        else:  # the estimate of the negatives' risk went below zero: step back along it
-            slope = -d_negative
-        step = np.linalg.solve(curve, slope)
-        w = w - step * min(1.0, 20.0 / max(1e-9, np.abs(step).max()))
         model.weight, model.bias = w[:-1], float(w[-1])
+        found = over_all(lambda rows: as_negatives(rows, model))
+        z, v, total = pos @ w, unl @ w, found[-1]
+        if not total or found[-2] / total < model.prior * np.logaddexp(0, z).mean():
+            break  # the negatives' risk over all rows is below zero: no step from here lowers a risk that counts
+        g = found[:-2] / total - model.prior * pos.mean(0) + decay * np.r_[w[:-1], 0.0]
+        curve = (unl * (_sigmoid(v) * (1 - _sigmoid(v)))[:, None]).T @ unl / len(unl) + decay * np.diag(np.r_[np.ones(width), 1e-3])
+        step = np.linalg.solve(curve, g)
+        w = w - step * min(1.0, 1.0 / max(1e-9, np.abs(step).max()))
+    model.weight, model.bias = w[:-1], float(w[-1])
     return model
 
 
