@@ -21,11 +21,9 @@ def dot(x: Column, y: Column) -> Column:
 
 
 def acosh_stable(u: Column) -> Column:
-    """Inverse hyperbolic cosine without loss of digits near 1 or overflow far from it."""
-    u = F.greatest(u, F.lit(1.0))
-    e = u - 1.0
-    small = F.sqrt(2.0 * F.greatest(e, F.lit(1e-18))) * (1.0 - e / 12.0)
-    return F.when(e < 1e-8, small).when(u > 1e8, F.log(u) + math.log(2.0)).otherwise(F.log1p(e + F.sqrt(e * (u + 1.0))))
+    """Inverse hyperbolic cosine by that of the sine of half of it, which needs no cases near 1 or far from it."""
+    half = F.sqrt((F.greatest(u, F.lit(1.0)) - 1.0) / 2.0)
+    return 2.0 * F.log1p(half + half * half / (1.0 + F.sqrt(1.0 + half * half)))
 
 
 def acosh_slope(u: Column) -> Column:
@@ -88,3 +86,69 @@ def diagonal_log_density(x: Column, mean: Column, variance: Column) -> Column:
     off = F.zip_with(x, mean, lambda a, m: (a - m) * (a - m))
     terms = F.zip_with(off, variance, lambda s, v: s / v + F.log(v) + math.log(2.0 * math.pi))
     return -0.5 * total(terms)
+
+
+def uniform(*names: Column) -> Column:
+    """Number between 0 and 1, exclusive, for a combination of names: 52 bits of their MD5, so that SQL can draw it too."""
+    digits = F.conv(F.substring(F.md5(F.concat_ws(":", *[n.cast("string") for n in names])), 1, 13), 16, 10)
+    return (digits.cast("double") + 0.5) / float(1 << 52)
+
+
+def uniform_sql(*names: str) -> str:
+    return f"((CAST('0x' || substr(md5(concat_ws(':', {', '.join(names)})), 1, 13) AS BIGINT) + 0.5) / {float(1 << 52)})"
+
+
+def normal(*names: Column) -> Column:
+    """Standard normal number for a combination of names."""
+    return F.sqrt(-2.0 * F.log(uniform(F.lit(1), *names))) * F.cos(2.0 * math.pi * uniform(F.lit(2), *names))
+
+
+def softplus_slope(x: Column, beta: float = 1.0) -> Column:
+    return 1.0 / (1.0 + F.exp(-F.least(F.lit(60.0), F.greatest(F.lit(-60.0), beta * x))))
+
+
+def softplus_inverse(y: Column, beta: float = 1.0) -> Column:
+    """The x whose softplus is y; values below zero count as zero, whose inverse is held finite."""
+    return F.log(F.greatest(F.expm1(beta * F.greatest(y, F.lit(0.0))), F.lit(1e-300))) / beta
+
+
+def pair_of(place: Column, n: Column) -> tuple[Column, Column]:
+    """Inverse of :func:`pair_index`: both items of the pair at a place, from the row where the triangle's tail begins."""
+    left = n * (n - 1) / 2 - 1 - place  # pairs behind this one
+    back = F.floor((F.sqrt(8 * left + 1) - 1) / 2)
+    i = (n - 2 - back).cast("long")
+    return i, (place - i * (2 * n - i - 1) / 2 + i + 1).cast("long")
+
+
+def floored(p: Column, least: float = 1e-300) -> Column:
+    """A probability whose logarithm is finite."""
+    return p + F.lit(least)
+
+
+def chi_square_quantile(q: float, freedom: int) -> float:
+    """Inverse of the chi-square distribution function, by halving an interval."""
+    low, high = 0.0, 1.0
+    while chi_square(high, freedom) < q:
+        high *= 2
+    for _ in range(200):
+        middle = (low + high) / 2
+        low, high = (middle, high) if chi_square(middle, freedom) < q else (low, middle)
+    return (low + high) / 2
+
+
+def chi_square(x: float, freedom: int) -> float:
+    """Chi-square distribution function: the series of the lower incomplete gamma function."""
+    if x <= 0:
+        return 0.0
+    a, term = freedom / 2, 1.0
+    total, k = 1.0, 1
+    while term > 1e-17 * total:
+        term *= (x / 2) / (a + k)
+        total += term
+        k += 1
+    return min(1.0, math.exp(a * math.log(x / 2) - x / 2 - math.lgamma(a + 1)) * total)
+
+
+def region(z2: Column, bounds: list[float]) -> Column:
+    """Number of the shell that a squared distance falls into, given the shells' inner bounds after the first."""
+    return F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= z2)).cast("long")

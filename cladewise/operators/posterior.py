@@ -14,24 +14,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cladewise.functions import scalars as S
 from cladewise.operators.inference import jukes_cantor_matrix, neighbour_joining, prune
 
 
-def uniform(*names: Column) -> Column:
-    """Number between 0 and 1, exclusive, for a combination of names."""
-    return (F.shiftrightunsigned(F.xxhash64(*names), 12).cast("double") + 0.5) / float(1 << 52)
-
-
-def normal(*names: Column) -> Column:
-    """Standard normal number for a combination of names."""
-    return F.sqrt(-2.0 * F.log(uniform(F.lit(1), *names))) * F.cos(2.0 * math.pi * uniform(F.lit(2), *names))
-
-
 def draws(points: DataFrame, n: int, sigma: Column, seed: int = 1) -> DataFrame:
     """``ds, sample, taxon, x``: n draws around ``points(ds, taxon, x)``; each odd draw mirrors the one before it."""
     rows = points.withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     pair, sign = F.floor(F.col("sample") / 2), F.when(F.col("sample") % 2 == 0, 1.0).otherwise(-1.0)
-    moved = F.transform("x", lambda v, d: v + sign * sigma * normal(F.lit(seed), F.col("ds"), F.col("taxon"), pair, d))
+    moved = F.transform("x", lambda v, d: v + sign * sigma * S.normal(F.lit(seed), F.col("ds"), F.col("taxon"), pair, d))
     return rows.select("ds", "sample", "taxon", moved.alias("x"))
 
 
@@ -92,63 +83,3 @@ def fit(points: DataFrame, sequences: DataFrame, steps: int = 12, batch: int = 2
 
     grouped = points.select("ds", "taxon", "x").groupBy("ds").cogroup(sequences.select("ds", "taxon", "codes").groupBy("ds"))
     return grouped.applyInPandas(each, "ds long, step int, elbo double, log_sigma double, taxon long, x array<double>")
-
-
-def symmetric_matrix(t: float, k: int) -> np.ndarray:
-    """k states with equal rates, one change a unit of time expected."""
-    stay = math.exp(-t * k / max(1, k - 1))
-    return np.full((k, k), (1 - stay) / k) + np.eye(k) * stay
-
-
-def sample_states(trees: DataFrame, leaf_states: DataFrame, seed: int = 1) -> DataFrame:
-    """Draw the states of all nodes from their joint posterior given those of the leaves: ``tree, node, state``.
-
-    Equal rates and equal frequencies at the root; the drawing depends on seed and tree only.
-    """
-    marked = trees.join(leaf_states, ["tree", "node"], "left").select("tree", "node", "parent", "length", "state")
-    alphabet = [r["state"] for r in leaf_states.select("state").distinct().orderBy("state").collect()]  # the states' alphabet is small
-    at = {s: i for i, s in enumerate(alphabet)}
-
-    def each(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("node")
-        k, parent = len(alphabet), {n: None if pd.isna(p) else p for n, p in zip(g["node"], g["parent"])}
-        move = {n: symmetric_matrix(max(x, 1e-6), k) for n, x in zip(g["node"], g["length"])}
-        seen = {n: np.eye(k)[at[s]] for n, s in zip(g["node"], g["state"]) if not pd.isna(s)}
-        depth = {}
-        for n in parent:
-            path, p = [n], parent[n]
-            while p is not None and p not in depth:
-                path.append(p)
-                p = parent[p]
-            base = -1 if p is None else depth[p]
-            for step, q in enumerate(reversed(path), 1):
-                depth[q] = base + step
-        inside = {n: seen.get(n, np.ones(k)) for n in parent}
-        order = sorted(parent, key=lambda n: (-depth[n], n))
-        for n in order:
-            inside[n] = inside[n] / inside[n].max()
-            if parent[n] is not None:
-                inside[parent[n]] = inside[parent[n]] * (move[n] @ inside[n])
-        rng = np.random.default_rng([seed, int(g["tree"].iloc[0])])
-        drawn: dict[str, int] = {}
-        for n in reversed(order):
-            w = inside[n] if parent[n] is None else move[n][drawn[parent[n]]] * inside[n]
-            drawn[n] = int(np.searchsorted(np.cumsum(w), rng.random() * w.sum()))
-        return pd.DataFrame({"tree": g["tree"].iloc[0], "node": list(drawn), "state": [alphabet[min(i, k - 1)] for i in drawn.values()]})
-
-    return marked.groupBy("tree").applyInPandas(each, "tree long, node string, state string")
-
-
-def state_likelihood(trees: DataFrame, leaf_states: DataFrame) -> DataFrame:
-    """``tree, leaves, log_likelihood`` of leaf states on their trees, with equal rates and equal frequencies at the root."""
-    marked = trees.join(leaf_states, ["tree", "node"], "left").select("tree", "node", "parent", "length", "state")
-    alphabet = [r["state"] for r in leaf_states.select("state").distinct().orderBy("state").collect()]  # the states' alphabet is small
-    at = {s: i for i, s in enumerate(alphabet)}
-
-    def each(g: pd.DataFrame) -> pd.DataFrame:
-        k = len(alphabet)
-        tips = {n: np.eye(k)[[at[s]]] for n, s in zip(g["node"], g["state"]) if not pd.isna(s)}
-        value = prune(g, tips, lambda t: symmetric_matrix(max(t, 1e-6), k), np.full(k, 1 / k))
-        return pd.DataFrame({"tree": [g["tree"].iloc[0]], "leaves": [len(tips)], "log_likelihood": [float(value[0])]})
-
-    return marked.groupBy("tree").applyInPandas(each, "tree long, leaves int, log_likelihood double")

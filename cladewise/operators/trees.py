@@ -32,10 +32,11 @@ def ancestors(trees: DataFrame, start: DataFrame, depth: int = 64) -> DataFrame:
 def leaf_distances(trees: DataFrame) -> DataFrame:
     """Path length between each two leaves of a tree: that over their lowest common ancestor."""
     up = ancestors(trees, leaves(trees).select("tree", "node"))
-    a = up.select("tree", "anc", F.col("node").alias("i"), F.col("dist").alias("di"))
+    a = up.select("tree", "anc", F.col("node").alias("i"), F.col("dist").alias("di"), F.col("steps").alias("si"))
     b = up.select("tree", "anc", F.col("node").alias("j"), F.col("dist").alias("dj"))
     met = a.join(b, ["tree", "anc"]).where("i < j")
-    return met.groupBy("tree", "i", "j").agg(F.min(F.col("di") + F.col("dj")).alias("d"))
+    # of the common ancestors the deepest: the fewest steps above the leaf, whatever the lengths
+    return met.groupBy("tree", "i", "j").agg(F.min_by(F.col("di") + F.col("dj"), "si").alias("d"))
 
 
 def heights(trees: DataFrame) -> DataFrame:
@@ -61,12 +62,21 @@ def splits(trees: DataFrame) -> DataFrame:
 
 
 def robinson_foulds(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Splits that only one of two trees with the same leaves has, counted: ``tree, n_left, n_right, common, rf``."""
+    """Splits that only one of two trees with the same leaves has, counted: ``tree, n_left, n_right, common, rf``. Trees with different leaves are an error."""
+    same = leaf_agreement(left, right)
+    wrong = F.when(F.col("only_left") + F.col("only_right") > 0, F.raise_error(F.concat(F.lit("different leaves in tree "), F.col("tree").cast("string"))).cast("int")).otherwise(0)
     a, b = splits(left).withColumn("l", F.lit(1)), splits(right).withColumn("r", F.lit(1))
     both = a.join(b, ["tree", "size", "split"], "full")
     counts = both.groupBy("tree").agg(F.count("l").alias("n_left"), F.count("r").alias("n_right"), F.count_if(F.col("l").isNotNull() & F.col("r").isNotNull()).alias("common"))
-    every = left.select("tree").distinct().join(counts, "tree", "left").fillna(0)
-    return every.withColumn("rf", F.col("n_left") + F.col("n_right") - 2 * F.col("common"))
+    every = same.join(counts, "tree", "left").fillna(0)
+    return every.select("tree", "n_left", "n_right", "common", (F.col("n_left") + F.col("n_right") - 2 * F.col("common") + wrong).alias("rf"))
+
+
+def leaf_agreement(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Leaves of each tree that both sides have, or only one: ``tree, shared, only_left, only_right``."""
+    a, b = leaves(left).select("tree", "node").withColumn("l", F.lit(1)), leaves(right).select("tree", "node").withColumn("r", F.lit(1))
+    both = a.join(b, ["tree", "node"], "full")
+    return both.groupBy("tree").agg(F.count_if(F.col("l").isNotNull() & F.col("r").isNotNull()).alias("shared"), F.count_if(F.col("r").isNull()).alias("only_left"), F.count_if(F.col("l").isNull()).alias("only_right"))
 
 
 def length_prior(trees: DataFrame, shape: float = 2.0, scale: float = 5.0) -> DataFrame:

@@ -2,40 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cladewise.functions import scalars as S
-from cladewise.operators import crispr, distances, inference, newick, posterior, sampling, trees
+from cladewise.operators import crispr, distances, inference, newick, posterior, sampling, states, trees
 from cladewise.plans import fixtures as X
+from cladewise.plans.registry import ORACLE_SQL, QUERIES, query, r, rounded  # noqa: F401
 from cladewise.sources.shared import stored
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def register(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
-def rounded(df: DataFrame, *columns: str) -> DataFrame:
-    """Six decimals, and no negative zero."""
-    return df.withColumns({c: F.round(c, 6) + F.lit(0.0) for c in columns})
-
-
-def r(expression: str, name: str) -> str:
-    return f"round({expression}, 6) + 0.0 AS {name}"
-
-
 # --- distances -----------------------------------------------------------
 
 _PAIRS = "FROM points a JOIN points b ON a.ds = b.ds AND a.taxon < b.taxon"
@@ -448,10 +423,21 @@ def hky_loglik(spark, sf_dir):
     return rounded(inference.log_likelihood(inference.build_trees(distances.jukes_cantor(a), "nj"), a, "hky"), "log_likelihood")
 
 
-@query()
+_MOVE = "(1 - exp(-greatest({0}, 1e-6) * 5 / 4.0)) / 5"
+_STAY = "(1 - exp(-greatest({0}, 1e-6) * 5 / 4.0)) / 5 + exp(-greatest({0}, 1e-6) * 5 / 4.0)"
+INSIDE = f"""{X.TREES}, sts AS (SELECT s, row_number() OVER (ORDER BY s) - 1 AS a FROM (SELECT DISTINCT o_orderpriority AS s FROM orders)),
+lf AS (SELECT t.tree, t.node, t.parent, t.length, x.a AS s FROM trees t JOIN orders o ON o.o_custkey = t.tree AND 'L' || o.o_orderkey = t.node JOIN sts x ON x.s = o.o_orderpriority),
+ym AS (SELECT lf.tree, lf.parent AS node, g.a, sum(ln(CASE WHEN g.a = lf.s THEN {_STAY.format('lf.length')} ELSE {_MOVE.format('lf.length')} END)) AS v FROM lf CROSS JOIN sts g GROUP BY ALL),
+yt AS (SELECT tree, node, max(v) AS m, sum(exp(v - (SELECT max(z.v) FROM ym z WHERE z.tree = ym.tree AND z.node = ym.node))) AS total FROM ym GROUP BY tree, node),
+rm AS (SELECT ym.tree, ym.a, sum(yt.m + ln({_MOVE.format('t.length')} * yt.total + exp(-greatest(t.length, 1e-6) * 5 / 4.0) * exp(ym.v - yt.m))) AS v
+  FROM ym JOIN yt ON yt.tree = ym.tree AND yt.node = ym.node JOIN trees t ON t.tree = ym.tree AND t.node = ym.node GROUP BY ym.tree, ym.a),
+rt AS (SELECT tree, max(v) AS m FROM rm GROUP BY tree)"""
+
+
+@query(f"""WITH {INSIDE} SELECT rm.tree, CAST((SELECT count(*) FROM orders o WHERE o.o_custkey = rm.tree) AS INTEGER) AS leaves, {r('max(rt.m) + ln(sum(exp(v - rt.m)) / 5)', 'log_likelihood')} FROM rm JOIN rt ON rt.tree = rm.tree GROUP BY rm.tree""")
 def migration_loglik(spark, sf_dir):
     """Log likelihood of the leaf states of every customer's tree."""
-    return rounded(posterior.state_likelihood(X.trees(spark, sf_dir), X.leaf_states(spark, sf_dir)), "log_likelihood")
+    return rounded(states.likelihood(X.trees(spark, sf_dir), X.leaf_states(spark, sf_dir)), "log_likelihood")
 
 
 @query()
@@ -473,7 +459,16 @@ def _sample_trees(spark, sf_dir):
     return stored(inference.build_trees(distances.euclidean(_draws(spark, sf_dir).withColumn("ds", F.col("ds") * SAMPLES + F.col("sample"))), "nj"))
 
 
-@query()
+def _normal_sql(*names: str) -> str:
+    return f"sqrt(-2.0 * ln({S.uniform_sql('1', *names)})) * cos(2.0 * pi() * {S.uniform_sql('2', *names)})"
+
+
+@query(f"""WITH {X.POINTS}, e AS (SELECT ds, taxon, generate_subscripts(x, 1) - 1 AS dim, unnest(x) AS v FROM points),
+z AS (SELECT ds, taxon, dim, v, h, {_normal_sql('1', 'ds', 'taxon', 'h', 'dim')} AS z FROM e CROSS JOIN (SELECT unnest(range({SAMPLES // 2})) AS h) p),
+dr AS (SELECT ds, taxon, dim, 2 * h + side AS sample, v + (1 - 2 * side) * {SPREAD} * z AS v FROM z CROSS JOIN (SELECT unnest([0, 1]) AS side) q),
+x AS (SELECT ds, taxon, sample, list(v ORDER BY dim) AS x FROM dr GROUP BY ALL),
+d AS (SELECT a.ds, a.taxon AS i, b.taxon AS j, list_distance(a.x, b.x) AS d FROM x a JOIN x b ON a.ds = b.ds AND a.sample = b.sample AND a.taxon < b.taxon)
+SELECT ds, i, j, {r('avg(d)', 'mean')}, {r('stddev_samp(d)', 'std')}, {r('quantile_cont(d, 0.5)', 'med')}, {r('min(d)', '"min"')}, {r('max(d)', '"max"')}, {r('quantile_cont(d, 0.025)', 'low95')}, {r('quantile_cont(d, 0.975)', 'high95')}, {r('quantile_cont(d, 0.25)', 'low50')}, {r('quantile_cont(d, 0.75)', 'high50')} FROM d GROUP BY ds, i, j""")
 def posterior_pair_stats(spark, sf_dir):
     """Distribution of each pair's distance over draws around the points."""
     d = distances.euclidean(_draws(spark, sf_dir).withColumn("ds", F.col("ds") * SAMPLES + F.col("sample")))
@@ -493,14 +488,28 @@ def posterior_fit(spark, sf_dir):
     return posterior.fit(X.points(spark, sf_dir), X.alignment(spark, sf_dir))
 
 
-@query()
+DRAWN = f"""{INSIDE}, cum AS (SELECT rm.tree, a, sum(exp(v - m)) OVER (PARTITION BY rm.tree ORDER BY a) AS c, sum(exp(v - m)) OVER (PARTITION BY rm.tree) AS total FROM rm JOIN rt ON rt.tree = rm.tree),
+dr AS (SELECT tree, 'R' AS node, least(4, count(*) FILTER (c < total * {S.uniform_sql('1', 'tree', "'R'")})) AS a FROM cum GROUP BY tree),
+yw AS (SELECT ym.tree, ym.node, ym.a, (CASE WHEN ym.a = dr.a THEN {_STAY.format('t.length')} ELSE {_MOVE.format('t.length')} END) * exp(ym.v - yt.m) AS w
+  FROM ym JOIN yt ON yt.tree = ym.tree AND yt.node = ym.node JOIN trees t ON t.tree = ym.tree AND t.node = ym.node JOIN dr ON dr.tree = ym.tree),
+yc AS (SELECT tree, node, a, sum(w) OVER (PARTITION BY tree, node ORDER BY a) AS c, sum(w) OVER (PARTITION BY tree, node) AS total FROM yw),
+dy AS (SELECT tree, node, least(4, count(*) FILTER (c < total * {S.uniform_sql('1', 'tree', 'node')})) AS a FROM yc GROUP BY tree, node),
+drawn AS (SELECT tree, node, s AS state FROM (SELECT tree, node, a FROM dr UNION ALL SELECT tree, node, a FROM dy UNION ALL SELECT tree, node, s FROM lf) d JOIN sts ON sts.a = d.a)"""
+
+
+@query(f"WITH {DRAWN} SELECT tree, node, state FROM drawn")
 def sampled_states(spark, sf_dir):
     """Drawn ancestral states of every customer's tree."""
-    return posterior.sample_states(X.trees(spark, sf_dir), X.leaf_states(spark, sf_dir))
+    return states.draw(X.trees(spark, sf_dir), X.leaf_states(spark, sf_dir))
 
 
-@query()
+@query(f"""WITH {DRAWN}, h AS (SELECT t.tree, t.node, t.length + coalesce(p.length, 0) AS height FROM trees t LEFT JOIN trees p ON p.tree = t.tree AND p.node = t.parent)
+SELECT t.tree, t.node, p.state AS from_state, c.state AS to_state, {r('hp.height', 'start_time')}, {r('hc.height', 'end_time')} FROM trees t JOIN drawn c ON c.tree = t.tree AND c.node = t.node JOIN drawn p ON p.tree = t.tree AND p.node = t.parent
+  JOIN h hc ON hc.tree = t.tree AND hc.node = t.node JOIN h hp ON hp.tree = t.tree AND hp.node = t.parent WHERE c.state <> p.state""")
 def sampled_migrations(spark, sf_dir):
     """State changes along every tree for the drawn states."""
     t = X.trees(spark, sf_dir)
-    return rounded(trees.migrations(t, posterior.sample_states(t, X.leaf_states(spark, sf_dir))), "start_time", "end_time")
+    return rounded(trees.migrations(t, states.draw(t, X.leaf_states(spark, sf_dir))), "start_time", "end_time")
+
+
+from cladewise.plans import analysis  # noqa: E402, F401  registers the rest

@@ -7,7 +7,14 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cladewise.operators import posterior
+from cladewise.functions import scalars as S
+from cladewise.operators import ascent, posterior, states, trees
+
+
+def symmetric_matrix(t, k):
+    """k states with equal rates, one change a unit of time expected."""
+    same = np.exp(-t * k / (k - 1))
+    return np.full((k, k), (1 - same) / k) + np.eye(k) * same
 
 
 def test_draws_are_normal_and_mirrored(spark):
@@ -35,12 +42,12 @@ def test_sampled_states_follow_the_posterior(spark):
     for tree in range(n):
         rows += [(tree, "R", None, 0.0), (tree, "a", "R", 0.6), (tree, "x", "a", 0.4), (tree, "y", "a", 0.8), (tree, "z", "R", 0.5)]
         tips += [(tree, "x", "A"), (tree, "y", "B"), (tree, "z", "B")]
-    got = posterior.sample_states(spark.createDataFrame(rows, "tree long, node string, parent string, length double"), spark.createDataFrame(tips, "tree long, node string, state string")).where("node IN ('R', 'a')").collect()
+    got = states.draw(spark.createDataFrame(rows, "tree long, node string, parent string, length double"), spark.createDataFrame(tips, "tree long, node string, state string")).where("node IN ('R', 'a')").collect()
     by_tree: dict = {}
     for r in got:
         by_tree.setdefault(r.tree, {})[r.node] = r.state
     seen = Counter((s["R"], s["a"]) for s in by_tree.values())
-    P = lambda t: posterior.symmetric_matrix(t, 2)
+    P = lambda t: symmetric_matrix(t, 2)
     w = {("AB"[r], "AB"[a]): 0.5 * P(0.6)[r, a] * P(0.4)[a, 0] * P(0.8)[a, 1] * P(0.5)[r, 1] for r, a in itertools.product(range(2), repeat=2)}
     total = sum(w.values())
     assert all(seen[k] / n == pytest.approx(v / total, abs=0.04) for k, v in w.items())
@@ -60,6 +67,50 @@ def test_reversible_models():
 def test_state_likelihood(spark):
     t = spark.createDataFrame([(0, "R", None, 0.0), (0, "x", "R", 0.4), (0, "y", "R", 0.8)], "tree long, node string, parent string, length double")
     s = spark.createDataFrame([(0, "x", "A"), (0, "y", "B")], "tree long, node string, state string")
-    P = lambda d: posterior.symmetric_matrix(d, 2)
+    P = lambda d: symmetric_matrix(d, 2)
     want = np.log(sum(0.5 * P(0.4)[r, 0] * P(0.8)[r, 1] for r in range(2)))
-    assert posterior.state_likelihood(t, s).first().log_likelihood == pytest.approx(want)
+    assert states.likelihood(t, s).first().log_likelihood == pytest.approx(want)
+
+
+def test_states_on_deep_trees_and_leaves_without_state(spark):
+    """A caterpillar with a leaf of unknown state, against a sum over all states of inner nodes."""
+    rows = [(1, "R", None, 0.0), (1, "a", "R", 0.3), (1, "b", "a", 0.2), (1, "x", "R", 0.5), (1, "y", "a", 0.4), (1, "z", "b", 0.1), (1, "w", "b", 0.6)]
+    tips = [(1, "x", "p"), (1, "y", "q"), (1, "z", "q")]
+    t, s = spark.createDataFrame(rows, "tree long, node string, parent string, length double"), spark.createDataFrame(tips, "tree long, node string, state string")
+    length, P, at = {n: x for _, n, _, x in rows}, symmetric_matrix, {"x": 0, "y": 1, "z": 1}
+    want = 0.0
+    for R, a, b, w in itertools.product(range(2), repeat=4):
+        q = {"R": R, "a": a, "b": b, "w": w, **at}
+        want += 0.5 * np.prod([P(length[n], 2)[q[p], q[n]] for _, n, p, _ in rows if p])
+    assert states.likelihood(t, s).first().log_likelihood == pytest.approx(np.log(want))
+    drawn = {r.node: r.state for r in states.draw(t, s).collect()}
+    assert drawn.keys() == length.keys() and all(drawn[n] == "pq"[i] for n, i in at.items())
+
+
+def test_chi_square():
+    assert S.chi_square(3.841458820694124, 1) == pytest.approx(0.95) and S.chi_square(0, 4) == 0
+    for k in (1, 2, 64, 500):
+        for q in (0.01, 0.5, 0.99):
+            assert S.chi_square(S.chi_square_quantile(q, k), k) == pytest.approx(q, abs=1e-9)
+
+
+def test_slopes_equal_differences(spark):
+    """The slope of a balanced tree's length against a change of one distance."""
+    rng = np.random.default_rng(1)
+    d = {(i, j): float(rng.uniform(1, 2)) for i in range(8) for j in range(i + 1, 8)}
+    frame = lambda d: spark.createDataFrame([(0, i, j, x) for (i, j), x in d.items()], "ds long, i long, j long, d double")
+
+    def length(d):
+        h = {(r.level, r.node): r.height for r in ascent.balanced_heights(frame(d)).collect()}
+        return sum(h[level + 1, node // 2] - h.get((level, node), 0.0) for level in range(3) for node in range(8 >> level))
+
+    slope = {(r.i, r.j): r.slope for r in ascent.length_slope(frame(d)).collect()}
+    for pair in ((0, 1), (2, 5), (0, 7)):
+        assert length({**d, pair: d[pair] + 1.0}) - length(d) == pytest.approx(slope[pair])
+
+
+def test_rf_asks_for_equal_leaves_and_lca_is_the_deepest(spark):
+    edges = lambda leaves: spark.createDataFrame([(1, "R", None, 0.0), (1, "u", "R", -2.0)] + [(1, n, "u", 1.0) for n in leaves] + [(1, "z", "R", 1.0)], "tree long, node string, parent string, length double")
+    with pytest.raises(Exception, match="different leaves in tree 1"):
+        trees.robinson_foulds(edges("abc"), edges("abd")).collect()
+    assert {(r.i, r.j): r.d for r in trees.leaf_distances(edges("ab")).collect()} == {("a", "b"): 2.0, ("a", "z"): 0.0, ("b", "z"): 0.0}
