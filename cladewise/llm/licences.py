@@ -226,16 +226,16 @@ def sequences(sentences: dict[str, str]) -> list[tuple[str, str]]:
     return sorted(out.items(), key=lambda x: (-x[0].count("  "), x[1]))
 
 
-def sign(sentences: dict[str, str]) -> str:
-    """Pattern of words of which every sentence holds one, or a copyright line or tag: few of them, by taking the word that most of the remaining sentences hold."""
+def sign(sentences: dict[str, str]) -> list[str]:
+    """Words of which every sentence holds one, or a copyright line or tag: few of them, by taking the word that most of the remaining sentences hold. Long words come first, as short ones stand in every text."""
     left, words = [set(normal_form(t).split()) for t in sentences.values()], ["copyright", "spdx"]
     left = [s for s in left if not s & set(words)]
     while left:
-        count = Counter(w for s in left for w in s if len(w) > 3) or Counter(w for s in left for w in s)
+        count = next(c for n in (8, 6, 1) if (c := Counter(w for s in left for w in s if len(w) >= n)))
         best = min(count, key=lambda w: (-count[w], -len(w), w))
         words.append(best)
         left = [s for s in left if best not in s]
-    return "(?i)" + "|".join(words)
+    return words
 
 
 def _numbers(pieces: Column, number: dict[str, str]) -> Column:
@@ -266,15 +266,19 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", senten
     extra columns are ignored; an empty table gives no rows.
     """
     number, known = part_numbers(sentences), [(a, f" {name} ") for a, name in sequences(sentences)]
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    text = F.col(P + "t")
     lines = F.regexp_replace(text, _END, "$1\n")
     # wrapped: line ends inside a sentence are blanks; blank lines and lines with a copyright end it
     apart = F.regexp_replace(text, r"(?im)^[ \t]*(copyright .*)$", "\n\n$1\n\n")
     joined = F.regexp_replace(F.regexp_replace(apart, r"\n\s*\n", "\u0001"), r"\s+", " ")
     wrapped = F.translate(F.regexp_replace(joined, _END, "$1\n"), "\u0001", "\n")
-    hit, none = text.rlike(sign(sentences)), F.array().cast("array<string>")
+    hit, none = F.lit(False), F.array().cast("array<string>")
+    for word in sign(sentences):
+        hit = hit | F.contains(F.col(P + "l"), F.lit(word))
     spdx = F.transform(F.regexp_extract_all(text, F.lit(SPDX)), lambda i: F.concat(F.lit("SPDX:"), i))
-    found = docs.select(F.col(id_col).alias("doc_id"), *[F.when(hit, _numbers(F.split(c, "\n"), number)).alias(P + n) for n, c in (("a", lines), ("b", wrapped))], F.when(hit, spdx).otherwise(none).alias(P + "s"))
+    marked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias(P + "t"), F.lower(F.col(text_col)).alias(P + "l")).select("doc_id", P + "t", F.coalesce(hit, F.lit(False)).alias(P + "h"))
+    hit = F.col(P + "h")
+    found = marked.select("doc_id", hit, *[F.when(hit, _numbers(F.split(c, "\n"), number)).alias(P + n) for n, c in (("a", lines), ("b", wrapped))], F.when(hit, spdx).otherwise(none).alias(P + "s"))
     # numbers of parts that make no sentence are dropped
     ids = lambda c: F.regexp_replace(_replaced(F.col(c), known), r" [0-9]+ ", "")
     found = found.withColumns({P + n: F.when(F.col(P + n) != "", ids(P + n)).otherwise("") for n in "ab"})
@@ -287,13 +291,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", senten
     rest = F.filter(F.array_union(items(P + "rb"), items(P + "ra")), lambda i: ~i.startswith("|") & (i != _NOTICE))
     taken = F.transform(F.filter(used, lambda u: F.array_contains(P + "m", u["name"])), lambda u: u["id"])
     only = F.filter(items(P + "a"), lambda i: ~F.array_contains(items(P + "b"), i))
-    done = found.withColumn(P + "m", marks)
-    return done.select(
-        "doc_id",
-        F.concat(P + "s", items(P + "b"), only).alias("sentence_ids"),
-        F.array_sort(F.array_distinct(F.concat(F.transform(P + "m", lambda i: F.substring(i, 2, 100)), F.transform(P + "s", lambda i: F.substring(i, 6, 100))))).alias("licences"),
-        F.array_sort(F.array_except(rest, taken)).alias("left_over"),
-    )
+    done = found.withColumn(P + "m", F.when(hit, marks).otherwise(none))
+    licences = F.array_distinct(F.concat(F.transform(P + "m", lambda i: F.substring(i, 2, 100)), F.transform(P + "s", lambda i: F.substring(i, 6, 100))))
+    lists = {"sentence_ids": F.concat(P + "s", items(P + "b"), only), "licences": F.array_sort(licences), "left_over": F.array_sort(F.array_except(rest, taken))}
+    return done.select("doc_id", *[F.when(hit, v).otherwise(none).alias(k) for k, v in lists.items()])
 
 
 def op8_licence_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -320,7 +321,7 @@ def oracle_sql(sentences: dict[str, str] = SENTENCES, rules: list[tuple[tuple[st
     return rf"""
 WITH known(sentence, id) AS (VALUES {known}), used(name, id) AS (VALUES {used}),
 d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
-hit AS (SELECT * FROM d WHERE regexp_matches(t, {quote(sign(sentences))})),
+hit AS (SELECT * FROM d WHERE {" OR ".join(f"contains(lower(t), {quote(w)})" for w in sign(sentences))}),
 pieces AS ({pieces}),
 named AS (SELECT rid, way, k, coalesce(id, CASE WHEN regexp_matches(n, {quote(COPYRIGHT)}) THEN '{_NOTICE}'{slots} END) AS id
   FROM (SELECT rid, way, k, trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g')) AS n FROM pieces) p LEFT JOIN known ON sentence = n),

@@ -238,7 +238,7 @@ def test_licences(spark, edges, nothing):
     edge = scan(edges).collect()
     assert len(edge) == len(edge_rows()) and all(r.licences == [] for r in edge)
     assert scan(nothing).count() == 0
-    assert all(re.search(sign(SENTENCES), t) for t in SENTENCES.values()) and {i for seq, _ in RULES for i in seq} <= set(SENTENCES)
+    assert all(any(w in t.lower() for w in sign(SENTENCES)) for t in SENTENCES.values()) and {i for seq, _ in RULES for i in seq} <= set(SENTENCES)
     assert len(sequences(SENTENCES)) == len(SENTENCES) and parts_of("A, b; c.\nD") == ["a b", "c", "d"]
 
 
