@@ -21,10 +21,20 @@ def _square(pairs: pd.DataFrame) -> tuple[list, np.ndarray]:
     return names, d
 
 
-def neighbour_joining(names: list, d: np.ndarray) -> list[tuple]:
-    """``(node, parent, length)``. Joins the first pair of least criterion; lengths below zero become zero, after the other end's was taken."""
-    live, label, out = list(range(len(names))), [f"t{n}" for n in names], []
-    d = d.copy()
+def _room(d: np.ndarray) -> np.ndarray:
+    """``d`` with room for the nodes that joins add, so that none of them copies it."""
+    out = np.zeros((2 * len(d), 2 * len(d)))
+    out[: len(d), : len(d)] = d
+    return out
+
+
+def joins(names: list, d: np.ndarray) -> list[tuple]:
+    """Steps of neighbour joining: ``(u, v, w, n, d_uv, s_u, s_v, len_u, len_v)``, nodes as numbers from the taxa on.
+
+    Joins the first pair of least criterion; lengths below zero become zero, after the other end's was taken.
+    """
+    live, out, new = list(range(len(names))), [], len(names)
+    d = _room(d)
     while len(live) > 2:
         n, sub = len(live), d[np.ix_(live, live)]
         s = sub.sum(1)
@@ -33,37 +43,101 @@ def neighbour_joining(names: list, d: np.ndarray) -> list[tuple]:
         a, b = divmod(int(np.argmin(q)), n)
         to_a = 0.5 * sub[a, b] + (s[a] - s[b]) / (2 * (n - 2))
         to_b = max(0.0, sub[a, b] - to_a)
-        new = len(label)
-        label.append(f"_{new:06d}")
-        out += [(label[live[a]], label[new], max(0.0, to_a)), (label[live[b]], label[new], to_b)]
-        row = np.maximum(0.0, 0.5 * (sub[a] + sub[b] - sub[a, b]))
-        grown = np.zeros((new + 1, new + 1))
-        grown[:new, :new] = d
-        grown[new, live] = grown[live, new] = row
-        d = grown
+        out.append((live[a], live[b], new, n, sub[a, b], s[a], s[b], max(0.0, to_a), to_b))
+        d[new, live] = d[live, new] = np.maximum(0.0, 0.5 * (sub[a] + sub[b] - sub[a, b]))
         live = [v for k, v in enumerate(live) if k not in (a, b)] + [new]
-    root = "_root"
-    half = d[live[0], live[1]] / 2 if len(live) == 2 else 0.0
-    return out + [(label[v], root, half) for v in live] + [(root, None, 0.0)]
+        new += 1
+    if len(live) == 2:
+        u, v = live
+        out.append((u, v, new, 2, d[u, v], d[u, v], d[u, v], d[u, v] / 2, d[u, v] / 2))
+    return out
+
+
+def neighbour_joining(names: list, d: np.ndarray) -> list[tuple]:
+    """``(node, parent, length)``; the last join is the root."""
+    steps = joins(names, d)
+    label = [f"t{n}" for n in names] + [f"_{step[2]:06d}" for step in steps[:-1]] + ["_root"]
+    if not steps:
+        return [(label[0], "_root", 0.0), ("_root", None, 0.0)]
+    return [edge for u, v, w, *_, x, y in steps for edge in ((label[u], label[w], x), (label[v], label[w], y))] + [("_root", None, 0.0)]
+
+
+def join_tape(distances: DataFrame) -> DataFrame:
+    """The joins of each data set in order: ``ds, step, u, v, w, n, d_uv, s_u, s_v``; taxa bear the places of their sorted names."""
+    columns = ["u", "v", "w", "n", "d_uv", "s_u", "s_v"]
+
+    def each(pairs: pd.DataFrame) -> pd.DataFrame:
+        steps = [s[:7] for s in joins(*_square(pairs))]
+        return pd.DataFrame(steps, columns=columns).assign(ds=pairs["ds"].iloc[0], step=range(len(steps)))[["ds", "step", *columns]]
+
+    return distances.select("ds", "i", "j", "d").groupBy("ds").applyInPandas(each, "ds long, step int, u int, v int, w int, n int, d_uv double, s_u double, s_v double")
+
+
+def midpoint(edges: list[tuple]) -> list[tuple]:
+    """``(node, parent, length)`` with the root moved to the middle of the longest way between two leaves; a root that is left with one way on goes."""
+    near: dict[str, list[tuple[str, float]]] = {}
+    for node, parent, length in edges:
+        if parent is not None and not pd.isna(parent):
+            near.setdefault(node, []).append((parent, length))
+            near.setdefault(parent, []).append((node, length))
+    old = next(n for n, p, _ in edges if p is None or pd.isna(p))
+    if len(near.get(old, [])) == 2:
+        (a, x), (b, y) = near.pop(old)
+        near[a] = [e for e in near[a] if e[0] != old] + [(b, x + y)]
+        near[b] = [e for e in near[b] if e[0] != old] + [(a, x + y)]
+
+    def ways(start: str) -> tuple[dict, dict]:
+        far, before, todo = {start: 0.0}, {start: None}, [start]
+        while todo:
+            here = todo.pop()
+            for there, length in near.get(here, []):
+                if there not in far:
+                    far[there], before[there] = far[here] + length, here
+                    todo.append(there)
+        return far, before
+
+    tips = sorted(n for n, e in near.items() if len(e) == 1)
+    if len(tips) < 2:
+        return edges
+    far, _ = ways(tips[0])
+    one = max(tips, key=lambda n: (far[n], n))
+    far, before = ways(one)
+    other = max(tips, key=lambda n: (far[n], n))
+    half, below = far[other] / 2, other
+    while far[before[below]] > half:
+        below = before[below]
+    above = before[below]
+    out, todo = [("_root", None, 0.0)], [(below, "_root", far[below] - half, above), (above, "_root", half - far[above], below)]
+    while todo:
+        node, parent, length, come = todo.pop()
+        out.append((node, parent, length))
+        todo += [(n, node, x, node) for n, x in near[node] if n != come]
+    return out
+
+
+def rerooted(trees: DataFrame) -> DataFrame:
+    """``ds, node, parent, length`` of the trees of ``build_trees``, each with its root in the middle of its diameter."""
+
+    def each(tree: pd.DataFrame) -> pd.DataFrame:
+        edges = [(n, None if pd.isna(p) else p, x) for n, p, x in zip(tree["node"], tree["parent"], tree["length"])]
+        return pd.DataFrame(midpoint(edges), columns=["node", "parent", "length"]).assign(ds=tree["ds"].iloc[0])[["ds", "node", "parent", "length"]]
+
+    return trees.select("ds", "node", "parent", "length").groupBy("ds").applyInPandas(each, _EDGES)
 
 
 def upgma(names: list, d: np.ndarray) -> list[tuple]:
     """``(node, parent, length)`` of the average-linkage tree."""
     live, label, size, height, out = list(range(len(names))), [f"t{n}" for n in names], [1] * len(names), [0.0] * len(names), []
-    d = d.copy()
+    d = _room(d)
     while len(live) > 1:
-        sub = d[np.ix_(live, live)].copy()
+        sub = d[np.ix_(live, live)]
         sub[np.tril_indices(len(live))] = np.inf
         a, b = divmod(int(np.argmin(sub)), len(live))
         u, v, new = live[a], live[b], len(label)
         h = sub[a, b] / 2
         label.append(f"_{new:06d}")
         out += [(label[x], label[new], max(0.0, h - height[x])) for x in (u, v)]
-        row = (size[u] * d[u, live] + size[v] * d[v, live]) / (size[u] + size[v])
-        grown = np.zeros((new + 1, new + 1))
-        grown[:new, :new] = d
-        grown[new, live] = grown[live, new] = row
-        d = grown
+        d[new, live] = d[live, new] = (size[u] * d[u, live] + size[v] * d[v, live]) / (size[u] + size[v])
         size.append(size[u] + size[v])
         height.append(h)
         live = [x for x in live if x not in (u, v)] + [new]

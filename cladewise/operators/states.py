@@ -43,6 +43,12 @@ def stay_and_move(length: Column, k: int) -> tuple[Column, Column]:
     return (1 - same) / k + same, (1 - same) / k
 
 
+def stay_and_move_slopes(length: Column, k: int) -> tuple[Column, Column]:
+    """Slopes of both probabilities in the length."""
+    e = F.exp(-F.greatest(length, F.lit(LEAST)) * k / max(1, k - 1))
+    return -e, e / max(1, k - 1)
+
+
 def inside(trees: DataFrame, leaf_states: DataFrame) -> tuple[list[DataFrame], list[str]]:
     """``tree, node, parent, length, inside`` (log probability of the leaves below, by the node's state), a table for each level, and the alphabet."""
     names = alphabet_of(leaf_states)

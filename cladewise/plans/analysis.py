@@ -6,9 +6,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cladewise.functions import scalars as S
-from cladewise.operators import ascent, distances, sampling, trees
+from cladewise.operators import ascent, distances, embedding, inference, sampling, states, trees
 from cladewise.plans import fixtures as X
-from cladewise.plans.queries import CELLS, EUCLIDEAN, MOMENTS, NORMAL, _moments, _shells
+from cladewise.plans.config import AnalysisConfig
+from cladewise.plans.queries import _PAIRS, CELLS, EUCLIDEAN, JOIN1, MOMENTS, NORMAL, _moments, _shells
 from cladewise.plans.registry import query, r, rounded
 
 # --- scalar formulas over the given values ---------------------------------
@@ -238,3 +239,65 @@ def average_linkage_heights(spark, sf_dir):
 def average_linkage_slopes(spark, sf_dir):
     """Slope of a tree's length in each distance."""
     return rounded(ascent.length_slope(_placed(spark, sf_dir)), "slope")
+
+
+# --- geometry, joins, slopes -------------------------------------------------
+
+_CURVED = AnalysisConfig(hyperbolic=True, curvature=4.0)
+
+
+@query(f"""WITH {X.POINTS}, u AS (
+  SELECT a.ds, a.taxon AS i, b.taxon AS j, greatest(1.0, sqrt(1 + list_inner_product(a.x, a.x)) * sqrt(1 + list_inner_product(b.x, b.x)) - list_inner_product(a.x, b.x)) AS u, list_distance(a.x, b.x) AS flat {_PAIRS})
+SELECT ds, i, j, {r('flat', 'flat')}, {r('ln(u + sqrt(u * u - 1)) / 2', 'curved')} FROM u""")
+def geometry_distances(spark, sf_dir):
+    """Distances by the geometry that an analysis names."""
+    p = X.points(spark, sf_dir)
+    curved = embedding.point_distances(p, _CURVED).withColumnRenamed("d", "curved")
+    return rounded(embedding.point_distances(p).withColumnRenamed("d", "flat").join(curved, ["ds", "i", "j"]), "flat", "curved")
+
+
+@query(f"WITH {JOIN1}, t AS (SELECT ds, taxon, row_number() OVER (PARTITION BY ds ORDER BY taxon) - 1 AS at FROM points) SELECT best.ds, CAST(a.at AS INTEGER) AS u, CAST(b.at AS INTEGER) AS v, CAST(n AS INTEGER) AS w, CAST(n AS INTEGER) AS n, {r('d', 'd_uv')}, {r('s_i', 's_u')}, {r('s_j', 's_v')} FROM best JOIN t a ON a.ds = best.ds AND a.taxon = i JOIN t b ON b.ds = best.ds AND b.taxon = j")
+def nj_tape_start(spark, sf_dir):
+    """The first entry of every data set's tape of joins."""
+    tape = inference.join_tape(distances.euclidean(X.points(spark, sf_dir)))
+    return rounded(tape.where("step = 0").drop("step"), "d_uv", "s_u", "s_v")
+
+
+@query()
+def nj_tape(spark, sf_dir):
+    """The tape of joins of every data set."""
+    return rounded(inference.join_tape(distances.euclidean(X.points(spark, sf_dir))), "d_uv", "s_u", "s_v")
+
+
+@query()
+def midpoint_trees(spark, sf_dir):
+    """Neighbour-joining trees with the root in the middle of the longest way."""
+    return rounded(inference.rerooted(inference.build_trees(distances.euclidean(X.points(spark, sf_dir)), "nj")), "length")
+
+
+@query()
+def initial_embedding(spark, sf_dir):
+    """Five coordinates for each taxon from the distances of its data set."""
+    x = embedding.embed(distances.euclidean(X.points(spark, sf_dir)))
+    return x.withColumn("x", F.transform("x", lambda v: F.round(v, 6) + F.lit(0.0)))
+
+
+@query()
+def mean_trees(spark, sf_dir):
+    """Tree of the mean distances over the draws around the points."""
+    from cladewise.plans.queries import SAMPLES, _draws
+
+    d = distances.euclidean(_draws(spark, sf_dir).withColumn("ds", F.col("ds") * SAMPLES + F.col("sample")))
+    mean = d.withColumn("ds", F.floor(F.col("ds") / SAMPLES)).groupBy("ds", "i", "j").agg(F.avg("d").alias("d"))
+    return rounded(inference.build_trees(mean, "nj"), "length")
+
+
+@query(f"""WITH b AS (SELECT o_orderkey AS branch, greatest(CAST(o_totalprice AS DOUBLE) / 1e5, 1e-6) AS t FROM orders), e AS (SELECT branch, exp(-1.25 * t) AS e FROM b)
+SELECT branch, {r('(1 - e) / 5 + e', 'stay')}, {r('(1 - e) / 5', 'move')}, {r('-e', 'stay_slope')}, {r('e / 4', 'move_slope')} FROM e""")
+def migration_transition(spark, sf_dir):
+    """Probabilities of five equally likely states over a branch, and their slopes in its length."""
+    t = (F.col("o_totalprice").cast("double") / 1e5).alias("t")
+    b = X.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("branch"), t)
+    stay, move = states.stay_and_move(F.col("t"), 5)
+    d_stay, d_move = states.stay_and_move_slopes(F.col("t"), 5)
+    return rounded(b.select("branch", stay.alias("stay"), move.alias("move"), d_stay.alias("stay_slope"), d_move.alias("move_slope")), "stay", "move", "stay_slope", "move_slope")

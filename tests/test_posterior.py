@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from cladewise.functions import scalars as S
-from cladewise.operators import ascent, posterior, states, trees
+from cladewise.operators import ascent, embedding, inference, posterior, states, trees
+from cladewise.plans.config import AnalysisConfig
 
 
 def symmetric_matrix(t, k):
@@ -114,3 +115,53 @@ def test_rf_asks_for_equal_leaves_and_lca_is_the_deepest(spark):
     with pytest.raises(Exception, match="different leaves in tree 1"):
         trees.robinson_foulds(edges("abc"), edges("abd")).collect()
     assert {(r.i, r.j): r.d for r in trees.leaf_distances(edges("ab")).collect()} == {("a", "b"): 2.0, ("a", "z"): 0.0, ("b", "z"): 0.0}
+
+
+def test_embeddings_give_the_distances_back():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(20, 4))
+    between = lambda x: np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    assert np.allclose(between(embedding.classical(between(x), 4)), between(x))
+
+    def curved(x):
+        up = np.sqrt(1 + (x * x).sum(1))
+        return np.arccosh(np.maximum(1.0, up[:, None] * up[None] - x @ x.T))
+
+    # the matrix of cosines splits into one axis up and four in space; where the points balance, the eigenpairs are these axes
+    y = np.r_[x, -x] * 0.3
+    assert np.allclose(curved(embedding.hyperboloid(curved(y), 4)), curved(y), atol=1e-5)
+    assert embedding.classical(np.zeros((1, 1)), 3).shape == (1, 3)
+
+
+def test_embed_takes_the_geometry_of_the_analysis(spark):
+    d = spark.createDataFrame([(0, 1, 2, 1.0), (0, 1, 3, 2.0), (0, 2, 3, 1.0)], "ds long, i long, j long, d double")
+    flat = {r.taxon: r.x for r in embedding.embed(d, AnalysisConfig(dimensionality=2)).collect()}
+    assert np.hypot(*np.subtract(flat[1], flat[3])) == pytest.approx(2.0)
+    assert embedding.embed(d, AnalysisConfig(dimensionality=2, hyperbolic=True)).count() == 3
+
+
+def test_midpoint_root_halves_the_longest_way():
+    rng = np.random.default_rng(4)
+    for n in (2, 3, 5, 12):
+        x = rng.normal(size=(n, 3))
+        d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+        plain = inference.neighbour_joining(list(range(n)), d)
+        moved = inference.midpoint(plain)
+
+        def paths(edges):
+            up = {a: (p, length) for a, p, length in edges if p is not None}
+            out = {}
+            for leaf in (f"t{k}" for k in range(n)):
+                here, far = leaf, 0.0
+                out[leaf] = {leaf: 0.0}
+                while here in up:
+                    here, far = up[here][0], far + up[here][1]
+                    out[leaf][here] = far
+            return out
+
+        a, b = paths(plain), paths(moved)
+        whole = lambda p, i, j: min(p[i][k] + p[j][k] for k in p[i] if k in p[j])
+        pairs = list(itertools.combinations(a, 2))
+        assert all(whole(a, i, j) == pytest.approx(whole(b, i, j)) for i, j in pairs)
+        top = sorted((max(p.values()) for p in b.values()), reverse=True)
+        assert top[0] == pytest.approx(max(whole(a, i, j) for i, j in pairs) / 2) == pytest.approx(top[1])
