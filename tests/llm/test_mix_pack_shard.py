@@ -6,10 +6,11 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from cladewise.llm.common import RID
-from cladewise.llm.mixing import apply_mix, mix
+from cladewise.llm.mixing import SEED, apply_mix, mix
 from cladewise.llm.packing import cut, pack
 from cladewise.llm.sharding import shard_documents
 
@@ -147,3 +148,39 @@ def test_propagation_saves_links_and_ignores_partitions(spark):
     alone = {r.doc_id: r.shard for r in shard_documents(df, patience=0).collect()}  # no round helps
     assert cut_links(got) < 0.02 * cut_links({i: i % 8 for i, _ in rows}) and cut_links(got) <= cut_links(alone)
     assert got == {r.doc_id: r.shard for r in shard_documents(df.repartition(5)).collect()}
+
+
+def test_mix_takes_the_least_ranks(spark):
+    """Which rows are taken, by plain sorting of random odds over inclusion odds; and inclusion by its odds."""
+    rng = np.random.default_rng(11)
+    rows = [(i, " ".join(["w"] * int(n)), f"s{i % 4}") for i, n in enumerate(rng.choice([3, 9, 40, 200], 4000))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    hashes = {r.doc_id: r.h for r in df.select("doc_id", F.xxhash64(F.lit(SEED), "doc_id", "text").alias("h")).collect()}
+    got = {r.doc_id: r for r in mix(df).collect()}
+    sizes = defaultdict(int)
+    for _, t, s in rows:
+        sizes[s] += len(t.split())
+    want = targets(sizes)
+    for source in sizes:
+        mine = [(i, len(t.split())) for i, t, s in rows if s == source]
+        weight = {i: n.bit_length() for i, n in mine}
+        low, high = 0.0, 4.0
+        for _ in range(200):  # the factor whose expected copies meet the target
+            c = (low + high) / 2
+            low, high = (c, high) if sum(n * min(2.0, c * weight[i]) for i, n in mine) < want[source] else (low, c)
+        copies = {i: min(2.0, high * weight[i]) for i, _ in mine}
+        certain = {i: int(copies[i] + 1e-9) for i, _ in mine}
+        need = want[source] - sum(n * certain[i] for i, n in mine)
+        rank, extra, total = {}, {}, 0
+        for i, n in mine:
+            p, u = copies[i] - certain[i], (((hashes[i] & (1 << 64) - 1) >> 12) + 0.5) / (1 << 52)
+            if p > 1e-9:
+                rank[i] = u / (1 - u) * (1 - p) / p
+        for i, n in sorted(((i, n) for i, n in mine if i in rank), key=lambda x: (rank[x[0]], x[0])):
+            total += n
+            extra[i] = int(total <= need or total - n < need and total - need < need - (total - n))
+        assert {i: got[i].copies for i, _ in mine} == {i: certain[i] + extra.get(i, 0) for i, _ in mine}
+        for level in set(weight.values()):  # documents of one weight are taken by their odds
+            some = [i for i, _ in mine if weight[i] == level and i in rank]
+            if len(some) > 100:
+                assert abs(sum(extra[i] for i in some) / len(some) - np.mean([copies[i] - certain[i] for i in some])) < 0.1
