@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cladewise.functions import scalars as S
 from cladewise.operators import crispr, distances, inference, newick, posterior, sampling, states, trees
 from cladewise.plans import fixtures as X
+from cladewise.plans.config import AnalysisConfig
 from cladewise.plans.registry import ORACLE_SQL, QUERIES, query, r, rounded  # noqa: F401
 from cladewise.sources.shared import stored
 
@@ -448,6 +449,8 @@ def crispr_loglik(spark, sf_dir):
 
 
 SAMPLES, SPREAD = 8, 0.05
+#: The usual analysis takes ten draws a step and 200 steps at least.
+SHORT = AnalysisConfig(batch_size=2, least_batches=30, block=10)
 
 
 def _draws(spark, sf_dir):
@@ -485,7 +488,14 @@ def posterior_split_support(spark, sf_dir):
 @query()
 def posterior_fit(spark, sf_dir):
     """History and result of the fit of each data set."""
-    return posterior.fit(X.points(spark, sf_dir), X.alignment(spark, sf_dir))
+    return posterior.fit(X.points(spark, sf_dir), X.alignment(spark, sf_dir), SHORT, most=60)
+
+
+@query()
+def fitted_mean_trees(spark, sf_dir):
+    """Trees of the fitted means."""
+    fits = posterior.fit(X.points(spark, sf_dir), X.alignment(spark, sf_dir), SHORT, most=60)
+    return rounded(inference.build_trees(distances.euclidean(posterior.fitted_points(fits)), "nj"), "length")
 
 
 DRAWN = f"""{INSIDE}, cum AS (SELECT rm.tree, a, sum(exp(v - m)) OVER (PARTITION BY rm.tree ORDER BY a) AS c, sum(exp(v - m)) OVER (PARTITION BY rm.tree) AS total FROM rm JOIN rt ON rt.tree = rm.tree),

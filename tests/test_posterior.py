@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cladewise.functions import scalars as S
 from cladewise.operators import ascent, embedding, inference, posterior, states, trees
-from cladewise.plans.config import AnalysisConfig
+from cladewise.plans.config import AnalysisConfig, Covariance
 
 
 def symmetric_matrix(t, k):
@@ -31,11 +31,35 @@ def test_fit_does_not_get_worse(spark):
     rng = np.random.default_rng(0)
     p = spark.createDataFrame([(d, t, rng.normal(size=3).tolist()) for d in range(2) for t in range(6)], "ds long, taxon long, x array<double>")
     s = spark.createDataFrame([(d, t, [int(v) for v in rng.integers(-1, 4, 30)]) for d in range(2) for t in range(6)], "ds long, taxon long, codes array<int>")
-    got = posterior.fit(p, s, steps=6).collect()
-    for d in range(2):
-        first = next(r.elbo for r in got if r.ds == d and r.step == 0)
-        best = [r for r in got if r.ds == d and r.taxon is not None]
-        assert len(best) == 6 and best[0].elbo >= first
+    for form in ("const", "diag"):
+        fits = posterior.fit(p, s, AnalysisConfig(batch_size=4, least_batches=40, block=10, covariance=Covariance(form)), most=60)
+        got = fits.collect()
+        for d in range(2):
+            first = next(r.elbo for r in got if r.ds == d and r.step == 0)
+            best = [r for r in got if r.ds == d and r.taxon is not None]
+            assert len(best) == 6 and best[0].elbo > first
+            assert 40 <= max(r.step for r in got if r.ds == d and r.taxon is None) <= 60
+        means = {(r.ds, r.taxon): (r.x, r.log_sigmas) for r in got if r.taxon is not None}
+        for r in posterior.fitted_draws(fits, 2).collect():
+            x, w = means[r.ds, r.taxon]
+            assert all(abs(a - b) < 6 * np.exp(c) for a, b, c in zip(r.x, x, w))
+    with pytest.raises(NotImplementedError):
+        posterior.fit(p, s, AnalysisConfig(covariance=Covariance.LOWR))
+
+
+def test_slopes_and_curvature_of_the_bound():
+    rng = np.random.default_rng(4)
+    x, codes = rng.normal(size=(6, 3)), rng.integers(-1, 4, (6, 20))
+    target = posterior._Target(list(range(6)), codes, 3.0, "jc")
+    value, slope = target.at(x)
+    for i, k in itertools.product(range(6), range(3)):
+        e = np.zeros_like(x)
+        e[i, k] = 1e-6
+        assert slope[i, k] == pytest.approx((target.at(x + e)[0] - target.at(x - e)[0]) / 2e-6, abs=1e-3)
+    basis = np.eye(18).reshape(18, 6, 3)
+    exact = 18 * target.curvature(x, basis)[1]
+    near = target.curvature(x, rng.standard_normal((4000, 6, 3)))
+    assert near[0] == pytest.approx(value) and near[1] == pytest.approx(exact, rel=0.1)
 
 
 def test_sampled_states_follow_the_posterior(spark):
