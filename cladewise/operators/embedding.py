@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from cladewise.operators import distances as D
-from cladewise.operators.inference import _square
+from cladewise.operators.inference import _square, by_data_set
 from cladewise.plans.config import AnalysisConfig
 
 
@@ -37,7 +37,7 @@ def embed(distances: DataFrame, config: AnalysisConfig = AnalysisConfig()) -> Da
         side = np.sign(x[np.abs(x).argmax(0), np.arange(x.shape[1])])
         return pd.DataFrame({"ds": pairs["ds"].iloc[0], "taxon": names, "x": (x * np.where(side == 0, 1, side)).tolist()})
 
-    return distances.select("ds", "i", "j", "d").groupBy("ds").applyInPandas(each, "ds long, taxon long, x array<double>")
+    return by_data_set(distances, "i", "j", "d").applyInPandas(each, "ds long, taxon long, x array<double>")
 
 
 def point_distances(points: DataFrame, config: AnalysisConfig = AnalysisConfig()) -> DataFrame:

@@ -265,7 +265,7 @@ def tree_slopes(distances: DataFrame, sequences: DataFrame, model: str = "jc", k
         rows += [("parameter", k, v) for k, v in found.items()]
         return pd.DataFrame(rows, columns=["kind", "name", "value"]).assign(ds=pairs["ds"].iloc[0])[["ds", "kind", "name", "value"]]
 
-    return distances.select("ds", "i", "j", "d").groupBy("ds").cogroup(sequences.select("ds", "taxon", "codes").groupBy("ds")).applyInPandas(each, "ds long, kind string, name string, value double")
+    return I.by_data_set(distances, "i", "j", "d").cogroup(I.by_data_set(sequences, "taxon", "codes")).applyInPandas(each, "ds long, kind string, name string, value double")
 
 
 def model_slopes(tree: JoinedTree, codes: np.ndarray, counts: np.ndarray, model: str = "jc", kappa: float = 4.0, nu: float = 0.4, leading: float = 0.05, least: float = 1e-3, lengths: np.ndarray | None = None) -> tuple[float, np.ndarray, dict[str, float]]:

@@ -8,10 +8,17 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 _EDGES = "ds long, node string, parent string, length double"
 
 
+def by_data_set(df: DataFrame, *columns: str):
+    """Data sets as groups, over all shuffle partitions: their work is far above what their bytes say, so small ones must not be merged into one task."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.select(F.col("ds").alias("ds"), *columns).repartition(n, "ds").groupBy("ds")
+
+
 def _square(pairs: pd.DataFrame) -> tuple[list, np.ndarray]:
     names = sorted(set(pairs["i"]) | set(pairs["j"]))
     at = {n: k for k, n in enumerate(names)}
@@ -70,7 +77,7 @@ def join_tape(distances: DataFrame) -> DataFrame:
         steps = [s[:7] for s in joins(*_square(pairs))]
         return pd.DataFrame(steps, columns=columns).assign(ds=pairs["ds"].iloc[0], step=range(len(steps)))[["ds", "step", *columns]]
 
-    return distances.select("ds", "i", "j", "d").groupBy("ds").applyInPandas(each, "ds long, step int, u int, v int, w int, n int, d_uv double, s_u double, s_v double")
+    return by_data_set(distances, "i", "j", "d").applyInPandas(each, "ds long, step int, u int, v int, w int, n int, d_uv double, s_u double, s_v double")
 
 
 def midpoint(edges: list[tuple]) -> list[tuple]:
@@ -122,7 +129,7 @@ def rerooted(trees: DataFrame) -> DataFrame:
         edges = [(n, None if pd.isna(p) else p, x) for n, p, x in zip(tree["node"], tree["parent"], tree["length"])]
         return pd.DataFrame(midpoint(edges), columns=["node", "parent", "length"]).assign(ds=tree["ds"].iloc[0])[["ds", "node", "parent", "length"]]
 
-    return trees.select("ds", "node", "parent", "length").groupBy("ds").applyInPandas(each, _EDGES)
+    return by_data_set(trees, "node", "parent", "length").applyInPandas(each, _EDGES)
 
 
 def upgma(names: list, d: np.ndarray) -> list[tuple]:
@@ -152,7 +159,7 @@ def build_trees(distances: DataFrame, method: str = "nj") -> DataFrame:
         edges = build(*_square(pairs))
         return pd.DataFrame(edges, columns=["node", "parent", "length"]).assign(ds=pairs["ds"].iloc[0])[["ds", "node", "parent", "length"]]
 
-    return distances.select("ds", "i", "j", "d").groupBy("ds").applyInPandas(each, _EDGES)
+    return by_data_set(distances, "i", "j", "d").applyInPandas(each, _EDGES)
 
 
 def post_order(nodes: list, parents: list) -> list[int]:
@@ -250,4 +257,4 @@ def log_likelihood(edges: DataFrame, sequences: DataFrame, model: str = "jc", nu
             value = prune(tree, tips, lambda t: barcode_matrix(t, edits, nu), np.eye(edits + 2)[0])
         return pd.DataFrame({"ds": [tree["ds"].iloc[0]], "sites": [seen.shape[1]], "log_likelihood": [float(value.sum())]})
 
-    return edges.groupBy("ds").cogroup(sequences.select("ds", "taxon", "codes").groupBy("ds")).applyInPandas(each, "ds long, sites int, log_likelihood double")
+    return by_data_set(edges, "node", "parent", "length").cogroup(by_data_set(sequences, "taxon", "codes")).applyInPandas(each, "ds long, sites int, log_likelihood double")

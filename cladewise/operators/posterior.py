@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from cladewise.functions import scalars as S
 from cladewise.operators import gradients as G
+from cladewise.operators.inference import by_data_set
 from cladewise.plans.config import AnalysisConfig, Covariance
 
 
@@ -172,7 +173,7 @@ def taylor_bound(points: DataFrame, sequences: DataFrame, sigma: float = 0.05, p
 
 
 def _together(points: DataFrame, sequences: DataFrame):
-    return points.select("ds", "taxon", "x").groupBy("ds").cogroup(sequences.select("ds", "taxon", "codes").groupBy("ds"))
+    return by_data_set(points, "taxon", "x").cogroup(by_data_set(sequences, "taxon", "codes"))
 
 
 def fitted_points(fits: DataFrame) -> DataFrame:

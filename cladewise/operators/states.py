@@ -105,3 +105,30 @@ def draw(trees: DataFrame, leaf_states: DataFrame, seed: int = 1) -> DataFrame:
         given = now.select("tree", F.col("node").alias("parent"), F.col("at").alias("from"))
         out = now if out is None else out.unionByName(now)
     return out.select("tree", "node", F.element_at(F.array(*[F.lit(s) for s in names]), F.col("at") + 1).alias("state"))
+
+
+def marginals(trees: DataFrame, leaf_states: DataFrame) -> tuple[DataFrame, list[str]]:
+    """``tree, node, shares, slope``: the posterior of each node's state, and the slope of the log likelihood in its branch (null at the root).
+
+    A parent's shares q pass down: with m(a) the child's message and l its
+    inside values, the slope is the mean of m'(a) / m(a) under q.
+    """
+    tables, names = inside(trees, leaf_states)
+    k, above, out = len(names), None, None
+    likely = F.transform("inside", lambda v: F.exp(v - F.array_max("inside")))
+    for here in tables:
+        here = here.withColumn("l", likely).withColumn("total", S.total(F.col("l")))
+        if above is None:
+            here = here.withColumn("shares", F.transform("l", lambda v: v / F.col("total"))).withColumn("slope", F.lit(None).cast("double"))
+        else:
+            stay, move = stay_and_move(F.col("length"), k)
+            d_stay, d_move = stay_and_move_slopes(F.col("length"), k)
+            here = here.join(above, ["tree", "parent"]).withColumns({"move": move, "more": stay - move, "d_move": d_move, "d_more": d_stay - d_move})
+            here = here.withColumn("m", F.transform("l", lambda v: F.col("move") * F.col("total") + F.col("more") * v))
+            here = here.withColumn("q", F.zip_with("q", "m", lambda q, m: q / m)).withColumn("q_sum", S.total(F.col("q")))
+            here = here.withColumn("slope", F.col("d_move") * F.col("total") * F.col("q_sum") + F.col("d_more") * S.dot(F.col("q"), F.col("l")))
+            here = here.withColumn("shares", F.zip_with("l", "q", lambda v, q: v * (F.col("more") * q + F.col("move") * F.col("q_sum"))))
+        now = stored(here.select("tree", "node", "shares", "slope"))
+        above = now.select("tree", F.col("node").alias("parent"), F.col("shares").alias("q"))
+        out = now if out is None else out.unionByName(now)
+    return out, names

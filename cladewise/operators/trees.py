@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -118,3 +120,17 @@ def dot(edges: DataFrame) -> DataFrame:
     edge = F.format_string('%s_G%d -> %s_G%d [label="%.4f"];', F.regexp_replace("from_state", "[^A-Za-z0-9]", "_"), "tree", F.regexp_replace("to_state", "[^A-Za-z0-9]", "_"), "tree", (F.col("start_time") + F.col("end_time")) / 2)
     lines = edges.withColumn("edge", edge).groupBy("tree").agg(F.array_join(F.array_sort(F.collect_list("edge")), " ").alias("edges"))
     return lines.select("tree", F.format_string("digraph G%d { %s }", "tree", "edges").alias("line"))
+
+
+def split_slots(known: DataFrame, found: DataFrame) -> DataFrame:
+    """A number from 0 for every split of both ``(tree, size, split)`` tables: ``tree, split, slot, is_new``. Those of ``known`` come first, then the others, each in order."""
+    both = known.withColumn("is_new", F.lit(False)).unionByName(found.withColumn("is_new", F.lit(True)))
+    once = both.groupBy("tree", "split").agg(F.min("is_new").alias("is_new"))
+    return once.withColumn("slot", F.row_number().over(Window.partitionBy("tree").orderBy("is_new", "split")) - 1)
+
+
+def prior_scale(trees: DataFrame, shape: float = 2.0) -> DataFrame:
+    """Gamma prior of each tree's length, its scale set so that the length is the mean: ``tree, length, scale, log_prior``."""
+    sums = length_prior(trees).select("tree", "length").withColumn("scale", F.col("length") / shape)
+    value = (shape - 1) * F.log("length") - F.col("length") / F.col("scale") - shape * F.log("scale") - math.lgamma(shape)
+    return sums.withColumn("log_prior", value)
