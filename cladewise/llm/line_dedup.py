@@ -12,6 +12,10 @@ words exactly if it lies in a shortest such run that starts or ends with one of
 the run's lines, so these windows, one or two for each line, find every maximal
 run in full: of the windows in one interval all but the first go. Windows have
 no more lines than ``min_words``, which is how deep the ranking has to go.
+
+A window goes only if its interval's first copy ends before it begins. In a list
+whose lines repeat each other the windows that overlap their first copy stay,
+so that copy stays whole.
 """
 
 from __future__ import annotations
@@ -84,7 +88,7 @@ def ranks(suffixes: DataFrame, deepest: int) -> list[DataFrame]:
 
 
 def later_runs(suffixes: DataFrame, by_rank: list[DataFrame]) -> DataFrame:
-    """``(p, run)``: for each suffix that starts windows with an earlier copy, the lines of the longest."""
+    """``(p, run)``: for each suffix that starts windows with an earlier copy, which ends before they begin, the lines of the longest."""
     ahead = suffixes.select("p", F.col("ahead").alias("n"))
     back = suffixes.select((F.col("p") - F.col("back") + 1).alias("p"), F.col("back").alias("n"))
     windows = ahead.unionByName(back).where("n IS NOT NULL")
@@ -97,8 +101,9 @@ def later_runs(suffixes: DataFrame, by_rank: list[DataFrame]) -> DataFrame:
         named = own if named is None else named.unionByName(own)
     named = materialise(named)
     # stored, so that the join can split a frequent passage
-    first = materialise(named.groupBy("n", "rank", "second").agg(F.min("p").alias("f"), F.max("p").alias("l")).where("f < l").drop("l"))
-    found = _join(named, first, ["n", "rank", "second"]).where("p > f")
+    first = materialise(named.groupBy("n", "rank", "second").agg(F.min("p").alias("f"), F.max("p").alias("l")).where("l - f >= n").drop("l"))
+    # places are consecutive within an island and never fewer between islands, so this is the distance in lines
+    found = _join(named, first, ["n", "rank", "second"]).where("p - f >= n")
     out = materialise(found.groupBy("p").agg(F.max("n").alias("run")))
     release(named, first, *by_rank[1:])
     return out
@@ -121,9 +126,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     without white space around them, by 128 bits of hash; lines without words
     are passed over and stay. A line goes if it lies in a run of lines, of
     ``min_words`` words together, that stands somewhere before, in the order of
-    ids (null ids last, then the order of rows, then the place in the text);
-    copies within a document count, and so do copies that go themselves, whose
-    first one stays. Runs of fewer words stay whole. Null texts stay null, with
+    ids (null ids last, then the order of rows, then the place in the text), and
+    ends there before the later run begins; copies within a document count, and
+    so do copies that go themselves, whose first one stays. A run that overlaps
+    its own copy stays as far as they overlap. Runs of fewer words stay whole. Null texts stay null, with
     0 lines; a text without repeated runs stays as it is, however long.
     Repeated rows are copies of each other; extra columns are ignored; an empty
     table gives no rows.

@@ -117,13 +117,13 @@ def test_near_duplicates_edges(edges, nothing):
 
 
 def brute_lines(docs, least):
-    """Each place against each earlier one: as far as both agree, the later lines go if they have words enough."""
+    """Each place against each earlier one: as far as both agree and do not overlap, the later lines go if they have words enough."""
     seq = [(i, at, no, line.strip(" \t\n\x0b\f\r"), len(line.split())) for at, (i, t) in enumerate(sorted(docs, key=lambda d: key(d[0]))) if t is not None for no, line in enumerate(t.split("\n")) if line.strip()]
     gone = {}
     for p in range(len(seq)):
         for q in range(p):
             n = words = 0
-            while p + n < len(seq) and seq[p + n][3] == seq[q + n][3] and seq[p + n][1] == seq[p][1] and seq[q + n][1] == seq[q][1]:
+            while n < p - q and p + n < len(seq) and seq[p + n][3] == seq[q + n][3] and seq[p + n][1] == seq[p][1] and seq[q + n][1] == seq[q][1]:
                 words += seq[p + n][4]
                 n += 1
             if words >= least:
@@ -139,6 +139,30 @@ def test_line_dedup_deletes_maximal_runs(spark):
     assert got == {1: [], 2: [0, 1], 3: [1, 2, 3], 4: []}
 
 
+def test_first_copies_stay_whole(spark):
+    """Runs that overlap their own copies, alone and beside others, judged by what is left."""
+    rng = random.Random(7)
+    part = lambda n, w: [" ".join(rng.choice("abcdefgh") for _ in range(w)) + f" {rng.random()}" for _ in range(n)]
+    period, passage = part(3, 4), part(9, 7)
+    docs = {1: ["a a"] * 60, 2: ["b b b b"] * 60, 3: ["a a"] * 30, 4: ["c"] * 49, 5: ["d"] * 51, 6: period * 40, 7: ["top", *passage, "mid", *passage, "end"], 8: [*passage, "tail"], 9: ["e e", "f"] * 200, 10: ["e e", "f"] * 300}
+    got = {r.doc_id: r for r in dedup_lines(spark.createDataFrame([(i, "\n".join(t)) for i, t in docs.items()], "doc_id long, text string")).collect()}
+    left = {i: got[i].text.split("\n") if got[i].text else [] for i in docs}
+    assert left[1] == ["a a"] * 25 and left[3] == [] and left[4] == ["c"] * 49 and left[5] == ["d"] * 51
+    for i in (1, 2, 6, 7, 9):
+        assert sum(len(x.split()) for x in left[i]) >= 50 and left[i][: len(left[i]) - 1] == docs[i][: len(left[i]) - 1]
+    whole = "\n".join("\n".join(left[i]) for i in sorted(left))
+    assert whole.count("\n".join(passage)) == 1 and left[8] == ["tail"] and left[10] == []
+    standing = {x for t in left.values() for x in t}
+    assert all(x in standing for t in docs.values() for x in t)
+    # a deleted window still stands whole once; of a period of several lines one turn does, not each
+    for i in (1, 2, 3, 4, 5, 7, 8):
+        t = docs[i]
+        for a in range(len(t)):
+            n = next((n for n in range(1, len(t) - a + 1) if sum(len(x.split()) for x in t[a : a + n]) >= 50), None)
+            if n and all(k in set(got[i].deleted_lines) for k in range(a, a + n)):
+                assert "\n".join(t[a : a + n]) in whole
+
+
 def test_line_dedup(spark, edges, nothing):
     rng = random.Random(3)
     lines = [" ".join(rng.choice("abcdef") for _ in range(rng.randint(1, 4))) for _ in range(12)]
