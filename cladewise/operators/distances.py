@@ -33,10 +33,12 @@ def hyperbolic(points: DataFrame, curvature: float = 1.0, scale: float = 1.0) ->
 
 def site_counts(sequences: DataFrame) -> DataFrame:
     """``ds, i, j, compared, differ`` from ``sequences(ds, taxon, codes array<int>)``; a negative code is missing, and a site counts where neither is."""
-    both = F.zip_with("codes_i", "codes_j", lambda a, b: F.when((a >= 0) & (b >= 0), F.when(a == b, 1).otherwise(1_000_001)).otherwise(0))
+    # both counts in one number, 32 bits each: an array has fewer elements
+    one, two = F.lit(1).cast("long"), F.lit((1 << 32) + 1)
+    both = F.zip_with("codes_i", "codes_j", lambda a, b: F.when((a >= 0) & (b >= 0), F.when(a == b, one).otherwise(two)).otherwise(F.lit(0).cast("long")))
     packed = F.aggregate(both, F.lit(0).cast("long"), lambda acc, v: acc + v)
     counted = pairs(sequences, "ds", "taxon", "codes").select("ds", "i", "j", packed.alias("c"))
-    return counted.select("ds", "i", "j", (F.col("c") % 1_000_000).alias("compared"), (F.col("c") / 1_000_000).cast("long").alias("differ"))
+    return counted.select("ds", "i", "j", F.col("c").bitwiseAND(F.lit((1 << 32) - 1)).alias("compared"), F.shiftright("c", 32).alias("differ"))
 
 
 def jukes_cantor(sequences: DataFrame) -> DataFrame:

@@ -168,3 +168,12 @@ def test_resampling_takes_as_many_as_it_has(spark):
 def test_repair(spark):
     df = spark.createDataFrame([(0, "R", None, 0.0), (0, "a", "R", -1.0), (0, "b", "R", 2.0), (1, "R", None, 0.0), (1, "a", "R", 0.0)], "tree long, node string, parent string, length double")
     assert {(r.tree, r.node): r.length for r in trees.repair_lengths(df).collect()} == {(0, "R"): 0.0, (0, "a"): 1e-3, (0, "b"): 2.0, (1, "R"): 0.0, (1, "a"): 0.1}
+
+
+def test_site_counts_of_long_alignments(spark):
+    """More sites than a million, as in alignments of genomes."""
+    n = 1_200_005
+    code = F.when(F.col("id") == 0, F.transform(F.sequence(F.lit(1), F.lit(n)), lambda k: (k % 4).cast("int"))).otherwise(
+        F.transform(F.sequence(F.lit(1), F.lit(n)), lambda k: F.when(k <= 1_100_000, (k + 1) % 4).when(k % 10 == 0, -1).otherwise(k % 4).cast("int")))
+    got = distances.site_counts(spark.range(2).select(F.lit(7).alias("ds"), F.col("id").alias("taxon"), code.alias("codes"))).collect()
+    assert [(r.compared, r.differ) for r in got] == [(n - 10_000, 1_100_000)]
