@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cladewise.sources.shared import stored
+from cladewise.sources.shared import release, stored
 
 
 def leaves(trees: DataFrame) -> DataFrame:
@@ -15,36 +15,63 @@ def leaves(trees: DataFrame) -> DataFrame:
     return trees.join(inner, ["tree", "node"], "left_anti")
 
 
-def ancestors(trees: DataFrame, start: DataFrame, depth: int = 64) -> DataFrame:
+def ancestors(trees: DataFrame, start: DataFrame) -> DataFrame:
     """Closure of parents: ``tree, node, anc, dist, steps`` for each of ``start(tree, node)`` and each node above it, itself included.
 
-    A step is a join; it ends when no row has a parent left, and a tree deeper than ``depth`` is an error.
+    By doubling: the k-th round has for every node of ``trees`` the one that
+    lies 2**k steps above it, and takes each row of the closure as many steps
+    further. So there are as many rounds as the depth has binary digits, and
+    each pair comes about once. A node above itself is an error.
     """
-    edge = trees.select("tree", F.col("node").alias("anc"), "parent", "length")
-    now = start.select("tree", "node", F.col("node").alias("anc"), F.lit(0.0).alias("dist"))
-    out = now.withColumn("steps", F.lit(0))
-    for step in range(1, depth + 1):
-        now = stored(now.join(edge, ["tree", "anc"]).where("parent IS NOT NULL").select("tree", "node", F.col("parent").alias("anc"), (F.col("dist") + F.col("length")).alias("dist")))
-        if now.isEmpty():
-            return out
-        out = out.unionByName(now.withColumn("steps", F.lit(step)))
-    raise ValueError(f"a tree is deeper than {depth}")
+    hop = stored(trees.where("parent IS NOT NULL").select("tree", F.col("node").alias("anc"), F.col("parent").alias("up"), F.col("length").alias("way")))
+    out, reach, edges = start.select("tree", "node", F.col("node").alias("anc"), F.lit(0.0).alias("dist"), F.lit(0).alias("steps")), 1, None
+    while not hop.isEmpty():
+        edges = edges or hop.count()
+        if reach > edges:
+            raise ValueError("a node is above itself")
+        far = out.join(hop, ["tree", "anc"]).select("tree", "node", F.col("up").alias("anc"), (F.col("dist") + F.col("way")).alias("dist"), (F.col("steps") + reach).alias("steps"))
+        longer = stored(out.unionByName(far))
+        then = hop.select("tree", F.col("anc").alias("up"), F.col("up").alias("further"), F.col("way").alias("rest"))
+        twice = stored(hop.join(then, ["tree", "up"]).select("tree", "anc", F.col("further").alias("up"), (F.col("way") + F.col("rest")).alias("way")))
+        release(out, hop)
+        out, hop, reach = longer, twice, 2 * reach
+    release(hop)
+    return out
 
 
-def leaf_distances(trees: DataFrame) -> DataFrame:
-    """Path length between each two leaves of a tree: that over their lowest common ancestor."""
-    up = ancestors(trees, leaves(trees).select("tree", "node"))
-    a = up.select("tree", "anc", F.col("node").alias("i"), F.col("dist").alias("di"), F.col("steps").alias("si"))
-    b = up.select("tree", "anc", F.col("node").alias("j"), F.col("dist").alias("dj"))
-    met = a.join(b, ["tree", "anc"]).where("i < j")
-    # of the common ancestors the deepest: the fewest steps above the leaf, whatever the lengths
-    return met.groupBy("tree", "i", "j").agg(F.min_by(F.col("di") + F.col("dj"), "si").alias("d"))
+def heights(trees: DataFrame) -> DataFrame:
+    """Path length from the root to each node, and the number of steps: ``tree, node, height, depth``.
 
+    Each node points to its parent; in each round it points where that one
+    points, and adds the way, until all have passed the root. Nodes that have
+    stay as they are.
+    """
+    now, rounds, most = stored(trees.select("tree", "node", F.col("parent").alias("up"), F.when(F.col("parent").isNull(), 0.0).otherwise(F.col("length")).alias("height"), F.col("parent").isNotNull().cast("int").alias("depth"))), 0, None
+    while not now.where("up IS NOT NULL").isEmpty():
+        most = most or now.count()
+        if 1 << rounds > 2 * most:
+            raise ValueError("a node is above itself")
+        target = now.select("tree", F.col("node").alias("up"), F.col("up").alias("further"), F.col("height").alias("h"), F.col("depth").alias("d"))
+        moved = now.where("up IS NOT NULL").join(target, ["tree", "up"]).select("tree", "node", F.col("further").alias("up"), (F.col("height") + F.col("h")).alias("height"), (F.col("depth") + F.col("d")).alias("depth"))
+        then = stored(now.where("up IS NULL").unionByName(moved))
+        release(now)
+        now, rounds = then, rounds + 1
+    return now.select("tree", "node", "height", "depth")
 
-def heights(trees: DataFrame) -> DataFrame:
-    """Path length from the root to each node."""
-    up = ancestors(trees, trees.select("tree", "node"))
-    return up.groupBy("tree", "node").agg(F.max("dist").alias("height"), F.max("steps").alias("depth"))
+
+def leaf_distances(trees: DataFrame) -> DataFrame:
+    """Path length between each two leaves of a tree: that over their lowest common ancestor, ``tree, i, j, d`` with i < j.
+
+    Two leaves meet where the ways up come from two children of one node. Pairs
+    of children are joined with the leaves below each, so every pair of leaves
+    comes about once, and nothing else does.
+    """
+    below = ancestors(trees, leaves(trees).select("tree", "node")).select("tree", F.col("anc").alias("child"), F.col("node").alias("leaf"), "dist")
+    child = trees.where("parent IS NOT NULL").select("tree", "parent", F.col("node").alias("child"), "length")
+    two = child.join(child.select("tree", "parent", F.col("child").alias("other"), F.col("length").alias("more")), ["tree", "parent"]).where("child < other")
+    one = two.join(below, ["tree", "child"]).select("tree", F.col("other").alias("child"), F.col("leaf").alias("a"), (F.col("dist") + F.col("length") + F.col("more")).alias("way"))
+    met = one.join(below, ["tree", "child"])
+    return met.select("tree", F.least("a", "leaf").alias("i"), F.greatest("a", "leaf").alias("j"), (F.col("way") + F.col("dist")).alias("d"))
 
 
 def splits(trees: DataFrame) -> DataFrame:
@@ -63,13 +90,30 @@ def splits(trees: DataFrame) -> DataFrame:
     return chosen.select("tree", F.size("side").alias("size"), F.array_join("side", ",").alias("split")).distinct()
 
 
+def split_prints(trees: DataFrame) -> DataFrame:
+    """The splits of :func:`splits` by a print of 128 bits instead of names: ``tree, size, a, b``.
+
+    A side's print is the exclusive or of its leaves' hashes, which partial sums
+    make and which gives the other side's from the whole tree's; no list of names is made.
+    """
+    tips = leaves(trees).select("tree", "node")
+    h = [F.xxhash64(F.lit(k), "leaf") for k in (1, 2)]
+    below = ancestors(trees, tips).select("tree", F.col("anc").alias("clade"), F.col("node").alias("leaf"))
+    side = below.groupBy("tree", "clade").agg(F.count(F.lit(1)).alias("n"), F.min("leaf").alias("first"), F.bit_xor(h[0]).alias("a"), F.bit_xor(h[1]).alias("b")).where("n > 1")
+    whole = tips.withColumnRenamed("node", "leaf").groupBy("tree").agg(F.count(F.lit(1)).alias("all"), F.min("leaf").alias("least"), F.bit_xor(h[0]).alias("all_a"), F.bit_xor(h[1]).alias("all_b"))
+    both = side.join(whole, "tree").where(F.col("all") - F.col("n") >= 2)
+    flip = (2 * F.col("n") > F.col("all")) | ((2 * F.col("n") == F.col("all")) & (F.col("first") != F.col("least")))
+    pick = lambda own, other, name: F.when(flip, other).otherwise(F.col(own)).alias(name)
+    return both.select("tree", pick("n", F.col("all") - F.col("n"), "size"), *[pick(c, F.col(c).bitwiseXOR(F.col(f"all_{c}")), c) for c in "ab"]).distinct()
+
+
 def robinson_foulds(left: DataFrame, right: DataFrame) -> DataFrame:
     """Splits that only one of two trees with the same leaves has, counted: ``tree, n_left, n_right, common, rf``. Trees with different leaves are an error."""
     same = leaf_agreement(left, right)
     wrong = F.when(F.col("only_left") + F.col("only_right") > 0, F.raise_error(F.concat(F.lit("different leaves in tree "), F.col("tree").cast("string"))).cast("int")).otherwise(0)
-    a, b = splits(left).withColumn("l", F.lit(1)), splits(right).withColumn("r", F.lit(1))
-    both = a.join(b, ["tree", "size", "split"], "full")
-    counts = both.groupBy("tree").agg(F.count("l").alias("n_left"), F.count("r").alias("n_right"), F.count_if(F.col("l").isNotNull() & F.col("r").isNotNull()).alias("common"))
+    either = split_prints(left).withColumn("l", F.lit(1)).withColumn("r", F.lit(0)).unionByName(split_prints(right).withColumn("l", F.lit(0)).withColumn("r", F.lit(1)))
+    split = either.groupBy("tree", "size", "a", "b").agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
+    counts = split.groupBy("tree").agg(F.sum("l").alias("n_left"), F.sum("r").alias("n_right"), F.sum(F.col("l") * F.col("r")).alias("common"))
     every = same.join(counts, "tree", "left").fillna(0)
     return every.select("tree", "n_left", "n_right", "common", (F.col("n_left") + F.col("n_right") - 2 * F.col("common") + wrong).alias("rf"))
 

@@ -177,3 +177,38 @@ def test_site_counts_of_long_alignments(spark):
         F.transform(F.sequence(F.lit(1), F.lit(n)), lambda k: F.when(k <= 1_100_000, (k + 1) % 4).when(k % 10 == 0, -1).otherwise(k % 4).cast("int")))
     got = distances.site_counts(spark.range(2).select(F.lit(7).alias("ds"), F.col("id").alias("taxon"), code.alias("codes"))).collect()
     assert [(r.compared, r.differ) for r in got] == [(n - 10_000, 1_100_000)]
+
+
+def ladder(spark, n, tree=1):
+    """A tree of n leaves as deep as can be: node k has leaf k and node k + 1 below it."""
+    rows = [(tree, "n0", None, 0.0)] + [(tree, f"n{k}", f"n{k - 1}", 1.0) for k in range(1, n - 1)] + [(tree, f"L{k}", f"n{min(k, n - 2)}", 0.5) for k in range(n)]
+    return spark.createDataFrame(rows, "tree long, node string, parent string, length double")
+
+
+def test_deep_trees(spark):
+    n = 1500
+    deep = ladder(spark, n)
+    h = {r.node: (r.height, r.depth) for r in trees.heights(deep).collect()}
+    assert all(h[f"n{k}"] == (k, k) for k in range(n - 1)) and all(h[f"L{k}"] == (min(k, n - 2) + 0.5, min(k, n - 2) + 1) for k in range(n))
+    sizes = {r["size"]: r["count"] for r in trees.split_prints(deep).groupBy("size").count().collect()}
+    assert sizes == {k: 1 if 2 * k == n else 2 for k in range(2, n // 2 + 1)}
+    small = ladder(spark, 90)
+    d = {(r.i, r.j): r.d for r in trees.leaf_distances(small).collect()}
+    at = [min(k, 88) for k in range(90)]
+    assert len(d) == 90 * 89 // 2 and all(d[tuple(sorted((f"L{a}", f"L{b}")))] == abs(at[a] - at[b]) + 1.0 for a in range(90) for b in range(a))
+    up = trees.ancestors(small, trees.leaves(small).select("tree", "node"))
+    assert up.count() == sum(k + 2 for k in at) and up.where("dist <> greatest(steps - 0.5, 0)").isEmpty()
+    named = {frozenset(r.split.split(",")) for r in trees.splits(small).collect()}
+    assert len(named) == trees.split_prints(small).count() == 87
+    moved = small.withColumn("node", F.when(F.col("node") == "L3", "L80").when(F.col("node") == "L80", "L3").otherwise(F.col("node")))
+    r = trees.robinson_foulds(small, moved).first()
+    other = {frozenset(x.split.split(",")) for x in trees.splits(moved).collect()}
+    assert (r.n_left, r.n_right, r.common, r.rf) == (87, 87, len(named & other), len(named ^ other))
+
+
+def test_circles_are_errors(spark):
+    loop = spark.createDataFrame([(1, "a", "b", 1.0), (1, "b", "c", 1.0), (1, "c", "a", 1.0)], "tree long, node string, parent string, length double")
+    with pytest.raises(ValueError, match="above itself"):
+        trees.heights(loop)
+    with pytest.raises(ValueError, match="above itself"):
+        trees.ancestors(loop, loop.select("tree", "node"))
