@@ -100,28 +100,3 @@ def restricted_parent(cells: DataFrame) -> DataFrame:
     edits = F.array_sort(F.collect_set(F.when(F.col("state") >= 0, F.col("state"))))  # two cells at most
     found = pair.agg(edits.alias("e"))
     return found.select("ds", "pair", "site", F.when(F.size("e") == 0, -1).when((F.size("e") > 1) | (F.col("e")[0] == 0), 0).otherwise(F.col("e")[0]).cast("int").alias("edit"))
-
-
-def balanced_heights(distances: DataFrame) -> DataFrame:
-    """Average-linkage heights on the balanced binary tree over each data set's places: ``ds, level, node, left_n, right_n, height``.
-
-    ``distances(ds, i, j, d)`` by places from 0; the node
-    of a pair is where the binary digits of its places first agree.
-    """
-    level = F.length(F.bin(F.col("i").bitwiseXOR(F.col("j"))))
-    sides = distances.withColumn("level", level).withColumn("node", F.expr("shiftright(i, level)"))
-    found = sides.groupBy("ds", "level", "node").agg(F.count_distinct("i").alias("left_n"), F.count_distinct("j").alias("right_n"), F.sum("d").alias("total"))
-    return found.withColumn("height", F.col("total") / (2.0 * F.col("left_n") * F.col("right_n"))).drop("total")
-
-
-def length_slope(distances: DataFrame) -> DataFrame:
-    """Slope of the balanced tree's whole length in each distance: ``ds, i, j, slope``.
-
-    A node's height counts once, the root's twice, and a distance has the share
-    1 / (2 |L| |R|) in the height of its node.
-    """
-    h = balanced_heights(distances)
-    root = h.groupBy("ds").agg(F.max("level").alias("top"))
-    weight = h.join(root, "ds").select("ds", "level", "node", (F.when(F.col("level") == F.col("top"), 2.0).otherwise(1.0) / (2.0 * F.col("left_n") * F.col("right_n"))).alias("slope"))
-    pairs = distances.withColumn("level", F.length(F.bin(F.col("i").bitwiseXOR(F.col("j"))))).withColumn("node", F.expr("shiftright(i, level)"))
-    return pairs.join(weight, ["ds", "level", "node"]).select("ds", "i", "j", "slope")

@@ -222,25 +222,6 @@ def ancestral_restriction(spark, sf_dir):
     return ascent.restricted_parent(X.mutations(spark, sf_dir))
 
 
-PLACED = f"{EUCLIDEAN}, p AS (SELECT ds, i % {X.TAXA} AS i, j % {X.TAXA} AS j, d, len(bin(xor(i % {X.TAXA}, j % {X.TAXA}))) AS level FROM d), pl AS (SELECT *, i >> level AS node FROM p), hh AS (SELECT ds, level, node, count(DISTINCT i) AS left_n, count(DISTINCT j) AS right_n, sum(d) AS total FROM pl GROUP BY ds, level, node)"
-
-
-def _placed(spark, sf_dir):
-    d = distances.euclidean(X.points(spark, sf_dir))
-    return d.select("ds", (F.col("i") % X.TAXA).alias("i"), (F.col("j") % X.TAXA).alias("j"), "d")
-
-
-@query(f"WITH {PLACED} SELECT ds, CAST(level AS INTEGER) AS level, node, left_n, right_n, {r('total / (2.0 * left_n * right_n)', 'height')} FROM hh")
-def average_linkage_heights(spark, sf_dir):
-    return rounded(ascent.balanced_heights(_placed(spark, sf_dir)), "height")
-
-
-@query(f"WITH {PLACED}, top AS (SELECT ds, max(level) AS top FROM hh GROUP BY ds) SELECT pl.ds, i, j, {r('CASE WHEN pl.level = top THEN 2.0 ELSE 1.0 END / (2.0 * left_n * right_n)', 'slope')} FROM pl JOIN hh ON hh.ds = pl.ds AND hh.level = pl.level AND hh.node = pl.node JOIN top ON top.ds = pl.ds")
-def average_linkage_slopes(spark, sf_dir):
-    """Slope of a tree's length in each distance."""
-    return rounded(ascent.length_slope(_placed(spark, sf_dir)), "slope")
-
-
 # --- geometry, joins, slopes -------------------------------------------------
 
 _CURVED = AnalysisConfig(hyperbolic=True, curvature=4.0)

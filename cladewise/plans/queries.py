@@ -399,11 +399,6 @@ def nj_trees(spark, sf_dir):
     return rounded(inference.build_trees(distances.euclidean(X.points(spark, sf_dir)), "nj"), "length")
 
 
-@query()
-def upgma_trees(spark, sf_dir):
-    return rounded(inference.build_trees(distances.euclidean(X.points(spark, sf_dir)), "upgma"), "length")
-
-
 @query()
 def newick_trees(spark, sf_dir):
     """The neighbour-joining trees as text."""
@@ -522,4 +517,4 @@ def sampled_migrations(spark, sf_dir):
     return rounded(trees.migrations(t, states.draw(t, X.leaf_states(spark, sf_dir))), "start_time", "end_time")
 
 
-from cladewise.plans import analysis, slopes  # noqa: E402, F401  register the rest
+from cladewise.plans import analysis, linkages, slopes  # noqa: E402, F401  register the rest

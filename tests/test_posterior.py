@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cladewise.functions import scalars as S
-from cladewise.operators import ascent, embedding, inference, posterior, states, trees
+from cladewise.operators import embedding, gradients, inference, linkage, posterior, states, trees
 from cladewise.plans.config import AnalysisConfig, Covariance
 
 
@@ -119,19 +119,47 @@ def test_chi_square():
             assert S.chi_square(S.chi_square_quantile(q, k), k) == pytest.approx(q, abs=1e-9)
 
 
-def test_slopes_equal_differences(spark):
-    """The slope of a balanced tree's length against a change of one distance."""
+def test_linkage_joins_as_one_pair_at_a_time_does(spark):
+    """Trees against joining the closest pair again and again, slopes against the dense way back and a difference."""
     rng = np.random.default_rng(1)
-    d = {(i, j): float(rng.uniform(1, 2)) for i in range(8) for j in range(i + 1, 8)}
-    frame = lambda d: spark.createDataFrame([(0, i, j, x) for (i, j), x in d.items()], "ds long, i long, j long, d double")
-
-    def length(d):
-        h = {(r.level, r.node): r.height for r in ascent.balanced_heights(frame(d)).collect()}
-        return sum(h[level + 1, node // 2] - h.get((level, node), 0.0) for level in range(3) for node in range(8 >> level))
-
-    slope = {(r.i, r.j): r.slope for r in ascent.length_slope(frame(d)).collect()}
-    for pair in ((0, 1), (2, 5), (0, 7)):
-        assert length({**d, pair: d[pair] + 1.0}) - length(d) == pytest.approx(slope[pair])
+    x = {(ds, t): rng.normal(size=3) for ds, n in ((0, 23), (1, 2), (2, 9)) for t in range(n)}
+    d = {(ds, i, j): float(np.linalg.norm(x[ds, i] - x[ds, j])) for ds, i in x for e, j in x if ds == e and i < j}
+    frame = lambda d: spark.createDataFrame([(*k, v) for k, v in d.items()], "ds long, i long, j long, d double")
+    joins = linkage.merges(frame(d))
+    got = linkage.edges(joins).collect()
+    weights = spark.createDataFrame([(r.ds, r.node, float(k % 5 - 2)) for k, r in enumerate(sorted(got))], "ds long, node string, g double")
+    slope = {(r.ds, *sorted((int(r.i[1:]), int(r.j[1:])))): r.slope for r in linkage.distance_slopes(joins, weights).collect()}
+    assert slope.keys() == d.keys()
+
+    def clades(edges):
+        up = {n: p for n, p, _ in edges}
+        out = {n: set() for n in up}
+        for leaf in (n for n in up if n[0] == "t"):
+            here = leaf
+            while here is not None:
+                out[here].add(leaf)
+                here = up[here]
+        return {frozenset(out[n]): (n, length) for n, _, length in edges}
+
+    g = {(r.ds, r.node): r.g for r in weights.collect()}
+    for ds in range(3):
+        names = sorted(t for e, t in x if e == ds)
+        m = np.array([[d.get((ds, *sorted((i, j))), 0.0) for j in names] for i in names])
+        want, have = clades(inference.upgma(names, m)), clades([(r.node, r.parent, r.length) for r in got if r.ds == ds])
+        assert want.keys() == have.keys() and all(want[c][1] == pytest.approx(have[c][1]) for c in want)
+        back = gradients.linkage_back(names, m, {want[c][0]: g[ds, have[c][0]] for c in want})
+        assert all(slope[ds, i, j] == pytest.approx(back[i, j]) for i in names for j in names if i < j)
+    whole = lambda d: linkage.edges(linkage.merges(frame(d))).agg(F.sum("length")).first()[0]
+    pair = (2, 1, 7)
+    moved = whole({**d, pair: d[pair] + 1e-4}) - whole(d)
+    assert moved / 1e-4 == pytest.approx({(r.ds, r.i, r.j): r.slope for r in linkage.distance_slopes(joins).collect()}[2, "t1", "t7"])
+
+
+def test_linkage_of_equal_distances_and_of_none(spark):
+    same = spark.createDataFrame([(0, i, j, 1.0) for i in range(6) for j in range(i + 1, 6)], "ds long, i long, j long, d double")
+    assert {(r.left, r.right, r.height) for r in linkage.merges(same).where("left_n = 1 AND right_n = 1").collect()} >= {("t0", "t1", 0.5)}
+    assert linkage.edges(linkage.merges(same)).count() == 11
+    assert linkage.merges(same.where("false")).count() == 0
 
 
 def test_rf_asks_for_equal_leaves_and_lca_is_the_deepest(spark):
