@@ -8,11 +8,13 @@ of joining the closest pair again and again.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cladewise.operators import trees as T
-from cladewise.sources.shared import release, stored
+from cladewise.sources.shared import stored
 
 
 def _name(least: str, n: str) -> Column:
@@ -27,26 +29,27 @@ def merges(distances: DataFrame, decimals: int = 9) -> DataFrame:
     that over both sizes, the height of a join half of it. Of equal means (to
     so many decimals) the pair with the smaller numbers is nearer, a cluster's number being that of its least taxon.
     """
-    now = stored(distances.select("ds", F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), F.col("d").alias("total"), F.lit(1).cast("long").alias("na"), F.lit(1).cast("long").alias("nb")))
-    out: DataFrame | None = None
-    while out is None or not now.isEmpty():
+    keys = ["ds", "a", "b"]
+    now = stored(distances.select("ds", F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), F.col("d").alias("total"), F.lit(1).cast("long").alias("na"), F.lit(1).cast("long").alias("nb"), F.lit(False).alias("joined")))
+    tables, left = [], now
+    while not left.isEmpty():
         mean = F.round(F.col("total") / (F.col("na") * F.col("nb")), decimals)
-        ends = now.select("ds", F.explode(F.array("a", "b")).alias("c"), F.struct(mean.alias("m"), "a", "b").alias("s"))
+        ends = left.select("ds", F.explode(F.array("a", "b")).alias("c"), F.struct(mean.alias("m"), "a", "b").alias("s"))
         nearest = ends.groupBy("ds", "c").agg(F.min("s").alias("s"))
-        mutual = nearest.groupBy("ds", "s.a", "s.b").agg(F.count(F.lit(1)).alias("sides")).where("sides = 2")
-        joined = stored(now.join(mutual.select("ds", "a", "b"), ["ds", "a", "b"]))
-        out = joined if out is None else out.unionByName(joined)
+        mutual = nearest.groupBy("ds", "s.a", "s.b").agg(F.count(F.lit(1)).alias("sides")).where("sides = 2").select(keys)
+        found = left.drop("joined").join(mutual, keys)
         part = F.explode(F.array(*[F.struct(F.col(c).alias("old"), F.col("a").alias("new"), (F.col("na") + F.col("nb")).alias("n")) for c in "ab"])).alias("p")
-        renamed = joined.select("ds", part).select("ds", "p.*")
-        moved = now
+        renamed = found.select("ds", part).select("ds", "p.*")
+        moved = left
         for c in "ab":
             moved = moved.join(renamed.select("ds", F.col("old").alias(c), F.col("new").alias(f"new_{c}"), F.col("n").alias(f"n_{c}")), ["ds", c], "left")
         moved = moved.select("ds", *[F.struct(F.coalesce(f"new_{c}", c).alias("c"), F.coalesce(f"n_{c}", f"n{c}").alias("n")).alias(c) for c in "ab"], "total").where("a.c <> b.c")
         moved = moved.withColumn("lo", F.least("a", "b")).withColumn("hi", F.greatest("a", "b")).groupBy("ds", "lo", "hi").agg(F.sum("total").alias("total"))
-        then = stored(moved.select("ds", F.col("lo.c").alias("a"), F.col("hi.c").alias("b"), "total", F.col("lo.n").alias("na"), F.col("hi.n").alias("nb")))
-        release(now)
-        now = then
-    release(now)
+        rest = moved.select("ds", F.col("lo.c").alias("a"), F.col("hi.c").alias("b"), "total", F.col("lo.n").alias("na"), F.col("hi.n").alias("nb"), F.lit(False).alias("joined"))
+        now = stored(found.withColumn("joined", F.lit(True)).unionByName(rest))
+        tables.append(now.where("joined").drop("joined"))
+        left = now.where("NOT joined")
+    out = stored(reduce(DataFrame.unionByName, tables, now.where("joined").drop("joined").where("false")))
     whole = out.withColumn("n", F.col("na") + F.col("nb"))
     return whole.select("ds", _name("a", "n").alias("node"), _name("a", "na").alias("left"), _name("b", "nb").alias("right"), F.col("na").alias("left_n"), F.col("nb").alias("right_n"), (F.col("total") / (2 * F.col("na") * F.col("nb"))).alias("height"))
 

@@ -405,20 +405,6 @@ def newick_trees(spark, sf_dir):
     return newick.from_edges(inference.build_trees(distances.euclidean(X.points(spark, sf_dir)), "nj").withColumnRenamed("ds", "tree"))
 
 
-@query()
-def dna_loglik(spark, sf_dir):
-    """Jukes-Cantor log likelihood of each data set's alignment on its neighbour-joining tree."""
-    a = X.alignment(spark, sf_dir)
-    return rounded(inference.log_likelihood(inference.build_trees(distances.jukes_cantor(a), "nj"), a), "log_likelihood")
-
-
-@query()
-def hky_loglik(spark, sf_dir):
-    """As ``dna_loglik`` with transitions four times as likely and the data's own frequencies."""
-    a = X.alignment(spark, sf_dir)
-    return rounded(inference.log_likelihood(inference.build_trees(distances.jukes_cantor(a), "nj"), a, "hky"), "log_likelihood")
-
-
 _MOVE = "(1 - exp(-greatest({0}, 1e-6) * 5 / 4.0)) / 5"
 _STAY = "(1 - exp(-greatest({0}, 1e-6) * 5 / 4.0)) / 5 + exp(-greatest({0}, 1e-6) * 5 / 4.0)"
 INSIDE = f"""{X.TREES}, sts AS (SELECT s, row_number() OVER (ORDER BY s) - 1 AS a FROM (SELECT DISTINCT o_orderpriority AS s FROM orders)),
@@ -436,13 +422,6 @@ def migration_loglik(spark, sf_dir):
     return rounded(states.likelihood(X.trees(spark, sf_dir), X.leaf_states(spark, sf_dir)), "log_likelihood")
 
 
-@query()
-def crispr_loglik(spark, sf_dir):
-    """Barcode log likelihood of each data set's cells on their UPGMA tree."""
-    m = X.cell_rows(spark, sf_dir)
-    return rounded(inference.log_likelihood(inference.build_trees(distances.poisson(m), "upgma"), m, "barcode"), "log_likelihood")
-
-
 SAMPLES, SPREAD = 8, 0.05
 #: The usual analysis takes ten draws a step and 200 steps at least.
 SHORT = AnalysisConfig(batch_size=2, least_batches=30, block=10)
@@ -517,4 +496,4 @@ def sampled_migrations(spark, sf_dir):
     return rounded(trees.migrations(t, states.draw(t, X.leaf_states(spark, sf_dir))), "start_time", "end_time")
 
 
-from cladewise.plans import analysis, linkages, slopes  # noqa: E402, F401  register the rest
+from cladewise.plans import analysis, likelihoods, linkages, slopes  # noqa: E402, F401  register the rest
