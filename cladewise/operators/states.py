@@ -23,8 +23,8 @@ def alphabet_of(states: DataFrame) -> list[str]:
     return found
 
 
-def levels(trees: DataFrame, depth: int = 64) -> list[DataFrame]:
-    """Nodes by distance from the root: ``tree, node, parent, length``, a table for each level."""
+def levels(trees: DataFrame) -> list[DataFrame]:
+    """Nodes by distance from the root: ``tree, node, parent, length``, a table for each level. Only what hangs on a root is reached, so this ends."""
     edge = trees.where("parent IS NOT NULL")
     out = [stored(trees.where("parent IS NULL").select("tree", "node", "parent", "length"))]
     while True:
@@ -32,8 +32,6 @@ def levels(trees: DataFrame, depth: int = 64) -> list[DataFrame]:
         now = stored(edge.join(above, ["tree", "parent"]).select("tree", "node", "parent", "length"))
         if now.isEmpty():
             return out
-        if len(out) > depth:
-            raise ValueError(f"a tree is deeper than {depth}")
         out.append(now)
 
 
