@@ -88,15 +88,3 @@ def relaxed_clock(branches: DataFrame, sigma: float = 0.6, beta: float = 4.0, ka
     term = -F.log(length) - S.huber(z, kappa) / (sigma * sigma) - math.log(sigma) - 0.5 * math.log(2 * math.pi)
     sums = branches.withColumn("tau", tau).groupBy("tree").agg(F.count(F.lit(1)).alias("branches"), F.sum("tau").alias("time"), F.sum(term).alias("clock"))
     return sums.withColumn("yule", -F.col("branches") * F.log("time"))
-
-
-def restricted_parent(cells: DataFrame) -> DataFrame:
-    """What two sister cells allow their parent at each site: ``ds, pair, site, edit`` from ``cells(ds, cell, site, state)``.
-
-    0 where it must be unedited, an edit where it has that or none, -1 where
-    every state is possible: silent children say nothing.
-    """
-    pair = cells.withColumn("pair", F.floor(F.col("cell") / 2)).groupBy("ds", "pair", "site")
-    edits = F.array_sort(F.collect_set(F.when(F.col("state") >= 0, F.col("state"))))  # two cells at most
-    found = pair.agg(edits.alias("e"))
-    return found.select("ds", "pair", "site", F.when(F.size("e") == 0, -1).when((F.size("e") > 1) | (F.col("e")[0] == 0), 0).otherwise(F.col("e")[0]).cast("int").alias("edit"))

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cladewise.operators import trees as T
+
 
 def renumber(mutations: DataFrame, by_site: bool = False) -> DataFrame:
     """Give edits numbers from 1 in the order of their first cell and site, within a data set or within each site of it; silent and unedited stay."""
@@ -60,3 +62,19 @@ def transition(branches: DataFrame, edits: int = 3, nu: float = 0.4) -> DataFram
         _by_kind(edits, -(1 + nu) * alive * unedited, q * alive * (unedited - nu * edited), -nu * alive, nu * alive, 0.0).alias("dp_dt"),
         _by_kind(edits, -t * alive * unedited, -t * q * alive * edited, -t * alive, t * alive, 0.0).alias("dp_dnu"),
     )
+
+
+def allowed_states(trees: DataFrame, cells: DataFrame) -> DataFrame:
+    """What the leaves below leave to each inner node at each site: ``tree, node, site, allowed`` from ``cells(tree, node, site, state)``.
+
+    0 where it must be unedited, an edit where it has that or none, -1 where any
+    state is possible. An unedited leaf asks for 0, an edited one for its edit
+    or none, a silent one for nothing; two edits leave 0. These claims only
+    grow stronger upwards, in whatever order they meet, so that one grouped
+    minimum and maximum over the closure of ancestors gives them for every node.
+    """
+    below = T.ancestors(trees, cells.select("tree", "node").distinct()).where("steps > 0").select("tree", "node", "anc")
+    met = below.join(cells, ["tree", "node"]).groupBy("tree", F.col("anc").alias("node"), "site")
+    seen = F.when(F.col("state") >= 0, F.col("state"))
+    found = met.agg(F.min(seen).alias("low"), F.max(seen).alias("high"))
+    return found.select("tree", "node", "site", F.when(F.col("low").isNull(), -1).when(F.col("low") == F.col("high"), F.col("low")).otherwise(0).cast("int").alias("allowed"))

@@ -6,22 +6,32 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Draws with numbers in a stretch of this many are summed up in one task.
+STRETCH = 1 << 16
+
+
 def importance_weights(weights: DataFrame) -> DataFrame:
-    """Weights from log weights, summing to 1 in a data set, and the effective sample size."""
-    each = Window.partitionBy("ds")
-    raw = weights.withColumn("e", F.exp(F.col("lw") - F.max("lw").over(each)))
-    w = raw.withColumn("w", F.col("e") / F.sum("e").over(each))
-    return w.withColumn("ess", 1.0 / F.sum(F.col("w") * F.col("w")).over(each)).drop("e")
-
-
-def systematic_resample(weights: DataFrame, start: float = 0.5) -> DataFrame:
-    """Times that each draw is taken when n points, ``(k + start) / n``, are laid on the running sum of weights."""
-    run = Window.partitionBy("ds").orderBy("draw").rowsBetween(Window.unboundedPreceding, 0)
-    w = importance_weights(weights).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("ds")))
-    points = lambda total: F.greatest(F.lit(0), F.ceil(F.round(F.col("n") * total, 9) - start))
-    upto = F.least(F.lit(1.0), F.sum("w").over(run))
-    w = w.withColumn("upto", points(upto))
-    return w.withColumn("times", F.col("upto") - F.coalesce(F.lag("upto").over(Window.partitionBy("ds").orderBy("draw")), F.lit(0))).select("ds", "draw", "times")
+    """Weights from log weights, summing to 1 in a data set, and the effective sample size. Greatest value and sums are grouped, partly before the shuffle, so a data set may be of any size."""
+    top = weights.groupBy("ds").agg(F.max("lw").alias("top"))
+    raw = weights.join(top, "ds").withColumn("e", F.exp(F.col("lw") - F.col("top"))).drop("top")
+    sums = raw.groupBy("ds").agg(F.sum("e").alias("total"), F.sum(F.col("e") * F.col("e")).alias("square"))
+    return raw.join(sums, "ds").withColumn("w", F.col("e") / F.col("total")).withColumn("ess", F.col("total") * F.col("total") / F.col("square")).drop("e", "total", "square")
+
+
+def systematic_resample(weights: DataFrame, start: float = 0.5, stretch: int = STRETCH) -> DataFrame:
+    """Times that each draw is taken when n points, ``(k + start) / n``, are laid on the running sum of weights.
+
+    The sum runs within stretches of draws' numbers, on top of the sums of the stretches before.
+    """
+    w = importance_weights(weights).withColumn("part", F.floor(F.col("draw") / stretch))
+    order = Window.partitionBy("ds").orderBy("part")
+    parts = w.groupBy("ds", "part").agg(F.sum("w").alias("sum"), F.count(F.lit(1)).alias("m"))
+    parts = parts.select("ds", "part", F.coalesce(F.sum("sum").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("before"), F.sum("m").over(Window.partitionBy("ds")).alias("n"))
+    run = Window.partitionBy("ds", "part").orderBy("draw")
+    points = lambda total: F.greatest(F.lit(0), F.ceil(F.round(F.col("n") * F.least(F.lit(1.0), total), 9) - start))
+    upto = F.col("before") + F.sum("w").over(run.rowsBetween(Window.unboundedPreceding, 0))
+    under = F.col("before") + F.coalesce(F.sum("w").over(run.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    return w.join(parts, ["ds", "part"]).select("ds", "draw", (points(upto) - points(under)).alias("times"))
 
 
 def top_draws(weights: DataFrame, n: int) -> DataFrame:

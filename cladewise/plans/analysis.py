@@ -192,10 +192,12 @@ def nexus_taxa(spark, sf_dir):
 
 # --- trees -----------------------------------------------------------------
 
-@query("""SELECT o_custkey AS tree, count(*) AS shared, CAST(0 AS BIGINT) AS only_left, CAST(0 AS BIGINT) AS only_right FROM orders GROUP BY o_custkey""")
+@query("""SELECT o_custkey AS tree, count(*) FILTER (o_orderpriority <> '5-LOW') AS shared, count(*) FILTER (o_orderpriority = '5-LOW') AS only_left,
+  CAST(CASE WHEN count(*) FILTER (o_orderpriority <> '5-LOW') = 0 THEN 1 ELSE 0 END AS BIGINT) AS only_right FROM orders GROUP BY o_custkey""")
 def leaf_agreement(spark, sf_dir):
-    """Whether both trees of a customer have the same leaves."""
-    return trees.leaf_agreement(X.trees(spark, sf_dir), X.other_trees(spark, sf_dir))
+    """Leaves that both trees of a customer have, or only one, where the second has lost the group of lowest priority; a tree that lost all has its root for a leaf."""
+    other = X.other_trees(spark, sf_dir).where("node <> 'Y5-LOW' AND (parent IS NULL OR parent <> 'Y5-LOW')")
+    return trees.leaf_agreement(X.trees(spark, sf_dir), other)
 
 
 _SP = "ln(1 + exp(least(60, greatest(-60, 4.0 * ({0}))))) / 4.0"
@@ -215,13 +217,6 @@ def relaxed_clock_prior(spark, sf_dir):
     return rounded(ascent.relaxed_clock(edges.select("tree", "length", "above", F.col("time").alias("below"))), "time", "clock", "yule")
 
 
-@query(f"""WITH {X.MUTATIONS}, p AS (SELECT ds, cell // 2 AS pair, site, count(DISTINCT state) FILTER (state >= 0) AS n, min(state) FILTER (state >= 0) AS low FROM mutations GROUP BY ds, cell // 2, site)
-SELECT ds, pair, site, CAST(CASE WHEN n = 0 THEN -1 WHEN n > 1 THEN 0 ELSE low END AS INTEGER) AS edit FROM p""")
-def ancestral_restriction(spark, sf_dir):
-    """State that sister cells leave to their parent."""
-    return ascent.restricted_parent(X.mutations(spark, sf_dir))
-
-
 # --- geometry, joins, slopes -------------------------------------------------
 
 _CURVED = AnalysisConfig(hyperbolic=True, curvature=4.0)

@@ -181,6 +181,16 @@ def barcode_parameter_slopes(spark, sf_dir):
     return rounded(sweep.slopes(root, counts).groupBy(F.col("tree").alias("ds")).agg(F.sum("nu").alias("nu"), F.sum("length").alias("length")), "nu", "length")
 
 
+@query(f"""{_BARCODE}, me AS (SELECT ds, node, node AS leaf FROM ed WHERE node LIKE 't%' UNION ALL SELECT me.ds, ed.parent, me.leaf FROM me JOIN ed ON ed.ds = me.ds AND ed.node = me.node WHERE ed.parent IS NOT NULL),
+al AS (SELECT me.ds, me.node, c.site, min(c.c) FILTER (c.c >= 0) AS low, max(c.c) FILTER (c.c >= 0) AS high FROM me JOIN cells_ c ON c.ds = me.ds AND c.node = me.leaf WHERE me.node <> me.leaf GROUP BY me.ds, me.node, c.site)
+SELECT ds, node, CAST(site AS INTEGER) AS site, CAST(CASE WHEN low IS NULL THEN -1 WHEN low = high THEN low ELSE 0 END AS INTEGER) AS allowed FROM al""")
+def ancestral_restriction(spark, sf_dir):
+    """States that the cells below leave to each inner node of the average-linkage trees, site by site."""
+    m, edges = _cell_tree(spark, sf_dir)
+    cells = m.select(F.col("ds").alias("tree"), F.concat(F.lit("t"), F.col("taxon").cast("string")).alias("node"), F.posexplode("codes").alias("site", "state"))
+    return crispr.allowed_states(edges.withColumnRenamed("ds", "tree"), cells).withColumnRenamed("tree", "ds")
+
+
 # --- migration with unequal rates ---------------------------------------------------
 
 PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]

@@ -161,6 +161,8 @@ def test_resampling_takes_as_many_as_it_has(spark):
     df = spark.createDataFrame([(0, i, float(i % 7)) for i in range(100)] + [(1, 0, 5.0)], "ds long, draw long, lw double")
     got = sampling.systematic_resample(df).groupBy("ds").agg(F.sum("times").alias("n")).collect()
     assert {r.ds: r.n for r in got} == {0: 100, 1: 1}
+    whole, cut = ({(r.ds, r.draw): r.times for r in sampling.systematic_resample(df, stretch=n).collect()} for n in (1 << 16, 7))
+    assert whole == cut
     w = sampling.importance_weights(df).groupBy("ds").agg(F.sum("w").alias("w")).collect()
     assert all(r.w == pytest.approx(1) for r in w)
 
@@ -212,3 +214,11 @@ def test_circles_are_errors(spark):
         trees.heights(loop)
     with pytest.raises(ValueError, match="above itself"):
         trees.ancestors(loop, loop.select("tree", "node"))
+
+
+def test_allowed_states(spark):
+    tree = spark.createDataFrame([(0, "R", None, 0.0), (0, "u", "R", 1.0), (0, "v", "u", 1.0), (0, "a", "v", 1.0), (0, "b", "v", 1.0), (0, "c", "u", 1.0), (0, "d", "R", 1.0)], "tree long, node string, parent string, length double")
+    sites = {0: dict(a=2, b=2, c=2, d=2), 1: dict(a=2, b=-1, c=-1, d=3), 2: dict(a=-1, b=-1, c=-1, d=-1), 3: dict(a=0, b=1, c=1, d=1), 4: dict(a=-1, b=-1, c=4, d=-1)}
+    cells = spark.createDataFrame([(0, n, s, x) for s, row in sites.items() for n, x in row.items()], "tree long, node string, site int, state int")
+    got = {(r.site, r.node): r.allowed for r in crispr.allowed_states(tree, cells).collect()}
+    assert got == {(s, n): x for s, row in enumerate([(2, 2, 2), (2, 2, 0), (-1, -1, -1), (0, 0, 0), (-1, 4, 4)]) for n, x in zip("vuR", row)}
