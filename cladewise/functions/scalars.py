@@ -81,6 +81,34 @@ def planar_flow(x: Column, u: Callable[[Column], Column], w: Callable[[Column],
     return image, F.log(F.abs(1.0 + (1.0 - t * t) * wu))
 
 
+def radial_flow_back(x: Column, g: Column, alpha: float, beta: float, radius: float, share: float = 1.0) -> tuple[Column, Column, Column]:
+    """The way back through :func:`radial_flow`: slopes in ``x``, alpha and beta of what has the slopes ``g`` in the image, plus ``share`` times the log determinant."""
+    r = F.sqrt(dot(x, x))
+    h = 1.0 / (alpha + r / radius)
+    h1, h2 = -(h * h) / radius, 2.0 * h * h * h / (radius * radius)
+    near, far, others = 1.0 + beta * h, 1.0 + beta * h + beta * h1 * r, F.size(x) - 1
+    along = dot(x, g)
+    by_radius = beta * h1 * along + share * (others * beta * h1 / near + beta * (2.0 * h1 + h2 * r) / far)
+    pull = F.when(r > 0, by_radius / r).otherwise(0.0)
+    back = F.zip_with(x, g, lambda v, s: s * near + v * pull)
+    by_alpha = -beta * h * h * along + share * (-others * beta * h * h / near + beta * (2.0 * h * h * h * r / radius - h * h) / far)
+    by_beta = h * along + share * (others * h / near + (h + h1 * r) / far)
+    return back, by_alpha, by_beta
+
+
+def planar_flow_back(x: Column, g: Column, u: Column, w: Column, b: float, share: float = 1.0) -> tuple[Column, Column, Column, Column]:
+    """The way back through :func:`planar_flow` with arrays ``u`` and ``w``: slopes in ``x``, u, w and b."""
+    t = F.tanh(dot(x, w) + b)
+    bend = 1.0 - t * t
+    wu = dot(w, u)
+    size = 1.0 + bend * wu
+    by_along = bend * dot(g, u) - share * 2.0 * t * bend * wu / size
+    back = F.zip_with(g, w, lambda s, v: s + v * by_along)
+    by_u = F.zip_with(g, w, lambda s, v: s * t + share * bend * v / size)
+    by_w = F.zip_with(x, u, lambda v, a: v * by_along + share * bend * a / size)
+    return back, by_u, by_w, by_along
+
+
 def diagonal_log_density(x: Column, mean: Column, variance: Column) -> Column:
     """Log density of a normal distribution with independent dimensions."""
     off = F.zip_with(x, mean, lambda a, m: (a - m) * (a - m))

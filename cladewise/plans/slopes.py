@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from cladewise.functions import scalars as S
 from cladewise.operators import distances, gradients, inference, posterior, states, trees
 from cladewise.plans import fixtures as X
 from cladewise.plans.config import AnalysisConfig
@@ -58,6 +59,43 @@ def probe_traces(spark, sf_dir):
     return rounded(gradients.traces(X.points(spark, sf_dir).withColumnRenamed("taxon", "row")), "trace", "spread")
 
 
+# --- flows: slopes of the log density of a standard normal at the image, and the determinant -----
+
+_RADIAL = f"""{X.POINTS}, a AS (SELECT ds, taxon, x, sqrt(list_inner_product(x, x)) AS rad FROM points), h AS (SELECT *, 1 / (1.0 + rad / 5.0) AS h FROM a),
+k AS (SELECT *, 1 + 2 * h AS near, 1 + 2 * h - 2 * h * h / 5 * rad AS far, -(1 + 2 * h) * rad * rad AS along, len(x) - 1 AS m FROM h),
+s AS (SELECT *, -2 * h * h / 5 * along + m * (-2 * h * h / 5) / near + 2 * (-2 * h * h / 5 + 2 * h * h * h / 25 * rad) / far AS by_radius FROM k)"""
+
+
+@query(f"""WITH {_RADIAL} SELECT ds, taxon, CAST(generate_subscripts(x, 1) - 1 AS INTEGER) AS dim, round(unnest(list_transform(x, lambda v: -near * near * v + v * by_radius / rad)), 6) + 0.0 AS slope,
+{r('-2 * h * h * along - m * 2 * h * h / near + 2 * (2 * h * h * h * rad / 5 - h * h) / far', 'by_alpha')}, {r('h * along + m * h / near + (h - h * h / 5 * rad) / far', 'by_beta')} FROM s WHERE rad > 0""")
+def radial_flow_slopes(spark, sf_dir):
+    """Slopes in points, alpha and beta of the log density at the image of a radial flow."""
+    p = X.points(spark, sf_dir).where(S.dot(F.col("x"), F.col("x")) > 0)
+    image, _ = S.radial_flow(F.col("x"), 1.0, 2.0, 5.0)
+    g = p.withColumn("g", F.transform(image, lambda v: -v))
+    back, by_alpha, by_beta = S.radial_flow_back(F.col("x"), F.col("g"), 1.0, 2.0, 5.0)
+    found = g.select("ds", "taxon", F.posexplode(back).alias("dim", "slope"), by_alpha.alias("by_alpha"), by_beta.alias("by_beta"))
+    return rounded(found, "slope", "by_alpha", "by_beta")
+
+
+_PLANAR = f"""{X.POINTS}, e AS (SELECT ds, taxon, unnest(x) AS v, generate_subscripts(x, 1) - 1 AS dim FROM points),
+f AS (SELECT *, CASE WHEN dim % 2 = 0 THEN 0.3 ELSE 0.1 END AS u, CASE WHEN dim % 2 = 0 THEN 0.5 ELSE 0.0 END AS w FROM e),
+t AS (SELECT ds, taxon, tanh(sum(v * w) + 0.25) AS t, CAST(sum(w * u) AS DOUBLE) AS wu FROM f GROUP BY ds, taxon), g AS (SELECT f.*, t, wu, -(v + u * t) AS g FROM f JOIN t ON t.ds = f.ds AND t.taxon = f.taxon),
+a AS (SELECT ds, taxon, (1 - any_value(t) * any_value(t)) * sum(g * u) - 2 * any_value(t) * (1 - any_value(t) * any_value(t)) * any_value(wu) / (1 + (1 - any_value(t) * any_value(t)) * any_value(wu)) AS al FROM g GROUP BY ds, taxon)"""
+
+
+@query(f"""WITH {_PLANAR} SELECT g.ds, g.taxon, CAST(dim AS INTEGER) AS dim, {r('CAST(g + w * al AS DOUBLE)', 'slope')}, {r('CAST(g * t + (1 - t * t) * w / (1 + (1 - t * t) * wu) AS DOUBLE)', 'by_u')}, {r('CAST(v * al + (1 - t * t) * u / (1 + (1 - t * t) * wu) AS DOUBLE)', 'by_w')}, {r('CAST(al AS DOUBLE)', 'by_b')} FROM g JOIN a ON a.ds = g.ds AND a.taxon = g.taxon""")
+def planar_flow_slopes(spark, sf_dir):
+    """Slopes in points and all parameters of the log density at the image of a planar flow."""
+    even = lambda a, b: lambda d: F.when(d % 2 == 0, F.lit(a)).otherwise(F.lit(b))
+    image, _ = S.planar_flow(F.col("x"), even(0.3, 0.1), even(0.5, 0.0), 0.25)
+    entries = lambda f: F.transform("x", lambda v, d: f(d))
+    p = X.points(spark, sf_dir).select("ds", "taxon", "x", F.transform(image, lambda v: -v).alias("g"), entries(even(0.3, 0.1)).alias("u"), entries(even(0.5, 0.0)).alias("w"))
+    back, by_u, by_w, by_b = S.planar_flow_back(F.col("x"), F.col("g"), F.col("u"), F.col("w"), 0.25)
+    found = p.select("ds", "taxon", F.posexplode(F.arrays_zip(back.alias("slope"), by_u.alias("by_u"), by_w.alias("by_w"))).alias("dim", "z"), by_b.alias("by_b"))
+    return rounded(found.select("ds", "taxon", "dim", "z.slope", "z.by_u", "z.by_w", "by_b"), "slope", "by_u", "by_w", "by_b")
+
+
 # --- states on trees ---------------------------------------------------------
 
 _E = "exp(-greatest({0}, 1e-6) * 5 / 4.0)"

@@ -222,3 +222,33 @@ def test_allowed_states(spark):
     cells = spark.createDataFrame([(0, n, s, x) for s, row in sites.items() for n, x in row.items()], "tree long, node string, site int, state int")
     got = {(r.site, r.node): r.allowed for r in crispr.allowed_states(tree, cells).collect()}
     assert got == {(s, n): x for s, row in enumerate([(2, 2, 2), (2, 2, 0), (-1, -1, -1), (0, 0, 0), (-1, 4, 4)]) for n, x in zip("vuR", row)}
+
+
+def test_ways_back_through_flows_equal_differences(spark):
+    rng = np.random.default_rng(5)
+    x, g, u, w = rng.normal(size=(4, 3))
+    b, alpha, beta, radius, share, h = 0.2, 1.3, 0.7, 1.9, 0.6, 1e-6
+    lit = lambda v: F.array(*[F.lit(float(a)) for a in v])
+
+    def radial(x, alpha, beta):
+        r = np.linalg.norm(x)
+        k = 1 / (alpha + r / radius)
+        return g @ (x + beta * k * x) + share * (2 * np.log(1 + beta * k) + np.log(1 + beta * k - beta * k * k / radius * r))
+
+    def planar(x, u, w, b):
+        t = np.tanh(x @ w + b)
+        return g @ (x + u * t) + share * np.log(abs(1 + (1 - t * t) * (w @ u)))
+
+    def slope(f, at, k):
+        def moved(s):
+            args = [np.array(a, float) for a in at]
+            flat = args[k].reshape(-1)
+            return [f(*[a if n != k else (flat + s * e).reshape(args[k].shape) for n, a in enumerate(args)]) for e in np.eye(flat.size)]
+
+        return (np.array(moved(h)) - np.array(moved(-h))) / (2 * h)
+
+    got = [one(spark, c) for c in S.radial_flow_back(lit(x), lit(g), alpha, beta, radius, share)]
+    assert all(np.allclose(v, slope(radial, (x, alpha, beta), k), atol=1e-6) for k, v in enumerate(got))
+    got = [one(spark, c) for c in S.planar_flow_back(lit(x), lit(g), lit(u), lit(w), b, share)]
+    assert all(np.allclose(v, slope(planar, (x, u, w, b), k), atol=1e-6) for k, v in enumerate(got))
+    assert one(spark, S.radial_flow_back(lit([0.0, 0.0]), lit([1.0, 2.0]), 1.0, 2.0, 5.0)[0]) == [3.0, 6.0]
