@@ -246,6 +246,10 @@ def log_likelihood(edges: DataFrame, sequences: DataFrame, model: str = "jc", nu
             return pd.DataFrame({"ds": [], "sites": [], "log_likelihood": []})
         tree = tree.assign(length=np.maximum(tree["length"], least))
         seen = np.stack(taxa["codes"].to_list())
+        leaves = set(tree["node"]) - set(tree["parent"].dropna())
+        alone = sorted(leaves ^ {f"t{n}" for n in taxa["taxon"]})
+        if alone:
+            raise ValueError(f"{alone[0]} is not both a leaf and a sequence in data set {tree['ds'].iloc[0]}")
         if model != "barcode":
             tips = {f"t{n}": np.where((c < 0)[:, None], 1.0, np.eye(4)[np.maximum(c, 0)]) for n, c in zip(taxa["taxon"], seen)}
             freqs = np.full(4, 0.25) if model == "jc" else (np.bincount(seen[seen >= 0], minlength=4) + 1.0) / ((seen >= 0).sum() + 4.0)

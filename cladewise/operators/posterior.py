@@ -75,9 +75,12 @@ class _Target:
 
 
 def _target(p: pd.DataFrame, s: pd.DataFrame, model: str) -> tuple[list, np.ndarray, _Target] | None:
-    """Null where fewer than three taxa have points and sequences; the middle distance becomes half a substitution a site."""
+    """Null where there are fewer than three taxa; the middle distance becomes half a substitution a site. A taxon that only one side has is an error."""
     rows = dict(zip(s["taxon"], s["codes"]))
-    p = p[p["taxon"].isin(list(rows))].sort_values("taxon")
+    alone = sorted(set(p["taxon"]) ^ set(rows))
+    if alone:
+        raise ValueError(f"taxon {alone[0]} has not both points and a sequence")
+    p = p.sort_values("taxon")
     names = p["taxon"].tolist()
     if len(names) < 3:
         return None
@@ -91,8 +94,8 @@ def fit(points: DataFrame, sequences: DataFrame, config: AnalysisConfig = Analys
 
     Stochastic ascent with Adam on exact slopes of mirrored draws, cut at twice
     the moving average of their norms (7 at least). One spread for all
-    coordinates, or one for each with ``Covariance.DIAG``; other forms raise
-    ``NotImplementedError``. From ``least_batches`` steps on it ends with the
+    coordinates, or one for each with ``Covariance.DIAG``; other forms, and
+    options of the analysis that the fit does not know, raise ``NotImplementedError``. From ``least_batches`` steps on it ends with the
     first block of steps that does not improve on the block before, or after
     ``most`` steps. The history has a row a step and null taxa; the rows of the
     taxa are those of the block's end, or start, with the best bound over one
@@ -100,6 +103,9 @@ def fit(points: DataFrame, sequences: DataFrame, config: AnalysisConfig = Analys
     """
     if config.covariance not in (Covariance.CONST, Covariance.DIAG):
         raise NotImplementedError(f"no fit with covariance {config.covariance.value}")
+    ignored = [n for n in ("hyperbolic", "radial_flow", "planar_flow", "ultrametric", "tree_prior", "relaxed_clock", "migration") if getattr(config, n)]
+    if ignored:
+        raise NotImplementedError(f"no fit with {', '.join(ignored)}")
     alone, model = config.covariance is Covariance.DIAG, "barcode" if config.crispr else "jc"
     columns = ["ds", "step", "elbo", "log_sigma", "taxon", "x", "log_sigmas"]
 
@@ -131,8 +137,8 @@ def fit(points: DataFrame, sequences: DataFrame, config: AnalysisConfig = Analys
             cut = min(1.0, max(2 * norm, 7.0) / max(size, 1e-300))
             for k in range(2):
                 m[k] = 0.9 * m[k] + 0.1 * cut * g[k]
-                v[k] = 0.999 * v[k] + 0.001 * (cut * g[k]) ** 2
-            theta = [theta[k] + config.learning_rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8) for k in range(2)]
+                v[k] = 0.9 * v[k] + 0.1 * (cut * g[k]) ** 2
+            theta = [theta[k] + config.learning_rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.9**t)) + 1e-8) for k in range(2)]
             history.append((ds, t, bound, float(np.mean(theta[1])), None, None, None))
             block += bound
             if t % config.block == 0:

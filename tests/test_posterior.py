@@ -217,3 +217,13 @@ def test_midpoint_root_halves_the_longest_way():
         assert all(whole(a, i, j) == pytest.approx(whole(b, i, j)) for i, j in pairs)
         top = sorted((max(p.values()) for p in b.values()), reverse=True)
         assert top[0] == pytest.approx(max(whole(a, i, j) for i, j in pairs) / 2) == pytest.approx(top[1])
+
+
+def test_fit_refuses_what_it_would_ignore(spark):
+    p = spark.createDataFrame([(0, t, [float(t), 0.0]) for t in range(4)], "ds long, taxon long, x array<double>")
+    s = spark.createDataFrame([(0, t, [t, 0, 1]) for t in range(3)], "ds long, taxon long, codes array<int>")
+    for options in ({"hyperbolic": True}, {"planar_flow": True}, {"tree_prior": "yule"}, {"ultrametric": True}):
+        with pytest.raises(NotImplementedError, match=next(iter(options))):
+            posterior.fit(p, s, AnalysisConfig(**options))
+    with pytest.raises(Exception, match="taxon 3 has not both"):
+        posterior.fit(p, s, most=1).collect()
