@@ -133,8 +133,11 @@ class Sweep:
         """``tree, log_likelihood`` with ``counts(tree, pattern, n)``, how often each pattern stands."""
         return self.by_pattern(root).join(counts, ["tree", "pattern"]).groupBy("tree").agg(F.sum(F.col("n") * F.col("value")).alias("log_likelihood"))
 
-    def slopes(self, root: DataFrame, counts: DataFrame) -> DataFrame:
-        """``tree, node, ...``: slope of the log likelihood by each of the kernel's parameters on the branch above each node, summed over patterns."""
+    def slopes(self, root: DataFrame, counts: DataFrame, outer: bool = False) -> DataFrame:
+        """``tree, node, ...``: slope of the log likelihood by each of the kernel's parameters on the branch above each node, summed over patterns.
+
+        ``outer``: also ``w``, the slope by each entry of the branch's matrix, row by row.
+        """
         names, above, out = list(self.kernel.slopes), None, None
         logs = lambda x: F.transform(x, lambda v: F.log(F.greatest(v, F.lit(LEAST))))
         on = ["tree", "pattern"] if "pattern" in root.columns else ["tree"]
@@ -148,13 +151,36 @@ class Sweep:
                 total = S.dot(F.col("u"), F.transform("sent", F.exp))
                 met = met.withColumn("total", F.greatest(total, F.lit(LEAST)))
                 now = met.withColumns({f"s_{n}": S.dot(F.col("u"), f(F.col("inside"))) / F.col("total") for n, f in self.kernel.slopes.items()}).withColumn("around", logs(self.kernel.down(F.col("u"))))
-                now = stored(now.select("tree", "node", "pattern", "around", "below", *[f"s_{n}" for n in names]))
-                part = now.join(counts, ["tree", "pattern"]).groupBy("tree", "node").agg(*[F.sum(F.col("n") * F.col(f"s_{n}")).alias(n) for n in names])
+                if outer:
+                    now = now.withColumn("w", F.flatten(F.transform("u", lambda a: F.transform("inside", lambda b: a * b / F.col("total")))))
+                now = stored(now.select("tree", "node", "pattern", "around", "below", *[f"s_{n}" for n in names], *["w"] * outer))
+                entries = [F.sum(F.col("n") * F.col("w")[i]).alias(f"w{i}") for i in range(self.kernel.k**2)] if outer else []
+                part = now.join(counts, ["tree", "pattern"]).groupBy("tree", "node").agg(*[F.sum(F.col("n") * F.col(f"s_{n}")).alias(n) for n in names], *entries)
+                if outer:
+                    part = part.select("tree", "node", *[f"`{n}`" for n in names], F.array(*[f"w{i}" for i in range(self.kernel.k**2)]).alias("w"))
                 out = part if out is None else out.unionByName(part)
             above = now.where("below IS NOT NULL").select("tree", F.col("node").alias("parent"), "pattern", F.zip_with("around", "below", lambda a, b: a + b).alias("whole"))
         return out
 
 
+def exchange_slopes(sweep: Sweep, root: DataFrame, counts: DataFrame, rates: Column, normal: bool = True) -> DataFrame:
+    """``tree, slopes``: slope of each tree's log likelihood in every exchange rate of a reversible model, in order.
+
+    The slope by the entries of a branch's matrix is one matrix, whatever the
+    number of patterns and rates. It goes back through the exponential as the
+    slope of that of the transposed rate matrix in its direction, is summed
+    over branches, and only then meets the rate matrix's slopes. ``root(tree,
+    freqs)`` holds the model's frequencies.
+    """
+    k = sweep.kernel.k
+    found = sweep.slopes(root, counts, outer=True).select("tree", "node", "w").join(sweep.branches.select("tree", "node", "t", "q"), ["tree", "node"])
+    rows = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda a: F.slice("w", a * k + 1, F.lit(k)))
+    by_q = found.withColumn("way", M.exponential(M.transposed(F.col("q"), k), F.col("t"), k, F.array(rows))).select("tree", F.flatten(F.get(F.col("way.d"), F.lit(0))).alias("g"))
+    sums = by_q.groupBy("tree").agg(*[F.sum(F.col("g")[i]).alias(f"g{i}") for i in range(k * k)])
+    each = sums.select("tree", F.array(*[f"g{i}" for i in range(k * k)]).alias("g")).join(root, "tree")
+    return each.select("tree", F.transform(M.reversible_turns(rates, F.col("freqs"), k, normal), lambda m: S.dot(F.flatten(m), F.col("g"))).alias("slopes"))
+
+
 # --- sequences -------------------------------------------------------------------
 
 def patterns(sequences: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -126,9 +126,10 @@ def dna_distance_slopes(spark, sf_dir):
 def exchange_rate_slopes(spark, sf_dir):
     """Slope of each data set's likelihood in the six exchange rates of a general reversible model, and in the ratio of transitions."""
     a, _, edges = _alignment_tree(spark, sf_dir)
-    sweep, root, counts = pruning.dna_sweep(edges, a, "gtr", slopes=True)
-    sums = sweep.slopes(root, counts).groupBy(F.col("tree").alias("ds")).agg(*[F.sum(p).alias(p) for p in pruning.BASE_PAIRS])
-    return rounded(sums.withColumn("kappa", F.col("AG") + F.col("CT")), *pruning.BASE_PAIRS, "kappa")
+    sweep, root, counts = pruning.dna_sweep(edges, a, "gtr")
+    found = pruning.exchange_slopes(sweep, root, counts, F.array(*[F.lit(1.0)] * 6))
+    named = found.select(F.col("tree").alias("ds"), *[F.col("slopes")[k].alias(p) for k, p in enumerate(pruning.BASE_PAIRS)])
+    return rounded(named.withColumn("kappa", F.col("AG") + F.col("CT")), *pruning.BASE_PAIRS, "kappa")
 
 
 # --- barcodes -------------------------------------------------------------------
@@ -224,8 +225,8 @@ def migration_rates_loglik(spark, sf_dir):
 @query()
 def migration_rate_slopes(spark, sf_dir):
     """Slope of the likelihood over all customers' trees in each exchange rate."""
-    sweep, root, counts = _state_sweep(spark, sf_dir, slopes=True)
-    names = [n for n in sweep.kernel.slopes if n != "length"]
-    sums = sweep.slopes(root, counts).agg(*[F.sum(f"`{n}`").alias(n) for n in names])
-    each = sums.select(F.explode(F.array(*[F.struct(F.lit(n).alias("pair"), F.col(f"`{n}`").alias("slope")) for n in names])).alias("e"))
-    return rounded(each.select("e.*"), "slope")
+    sweep, root, counts = _state_sweep(spark, sf_dir)
+    found = pruning.exchange_slopes(sweep, root, counts, F.array(*[F.lit(x) for x in RATES]), normal=False)
+    pairs = F.array(*[F.lit(f"{a}|{b}") for i, a in enumerate(PRIORITIES) for b in PRIORITIES[i + 1 :]])
+    each = found.select(F.posexplode("slopes").alias("k", "slope")).groupBy("k").agg(F.sum("slope").alias("slope"))
+    return rounded(each.select(F.get(pairs, F.col("k")).alias("pair"), "slope"), "slope")

@@ -81,6 +81,8 @@ def test_dna_values_and_slopes(spark, tree):
         if parent and t > 1e-3:
             bumped = lambda h: whole(RATES, [(n, p, x + h * (i == k)) for i, (n, p, x) in enumerate(NODES)])
             assert found[node].length == pytest.approx((bumped(1e-5) - bumped(-1e-5)) / 2e-5, rel=1e-4, abs=1e-6)
+    at_once = pruning.exchange_slopes(sweep, root, counts, columns(RATES)).first().slopes
+    assert np.allclose(at_once, [sum(r[pair] for r in found.values()) for pair in pruning.BASE_PAIRS])
     for n, pair in enumerate(pruning.BASE_PAIRS):
         moved = [whole(tuple(np.array(RATES) + h * np.eye(6)[n])) for h in (1e-5, -1e-5)]
         assert sum(r[pair] for r in found.values()) == pytest.approx((moved[0] - moved[1]) / 2e-5, rel=1e-4, abs=1e-6)
@@ -128,6 +130,8 @@ def test_states_with_unequal_rates_and_a_primary_state(spark, tree):
     for n, pair in enumerate(("p|q", "p|s", "q|s")):
         step = 1e-5 * np.eye(3)[n]
         assert sum(r[pair] for r in found) == pytest.approx((whole(rates + step, pi) - whole(rates - step, pi)) / 2e-5, rel=1e-4)
+    at_once = pruning.exchange_slopes(sweep, root, counts, columns(rates), normal=False).first().slopes
+    assert np.allclose(at_once, [sum(r[pair] for r in found) for pair in ("p|q", "p|s", "q|s")])
     _, fixed, _ = pruning.state_sweep(nodes, leaf, **options, primary="q")
     assert sweep.values(fixed, counts).first().log_likelihood == pytest.approx(whole(rates, np.eye(3)[1]))
     with pytest.raises(ValueError, match="no state x"):
