@@ -46,6 +46,42 @@ def apply_left(x: Column, a: Column, k: int) -> Column:
     return apply(transposed(a, k), x)
 
 
+def cholesky(a: Column, k: int) -> Column:
+    """Rows of the lower triangle L with L L' = ``a``, each as long as it has entries; null or not a number where ``a`` is not positive definite."""
+
+    def row(m: Column, rows: Column, i: Column) -> Column:
+        def entry(done: Column, j: Column) -> Column:
+            left = F.get(F.get(m, i), j)
+            off = F.try_divide(left - S.dot(done, F.slice(F.get(rows, j), F.lit(1), j)), F.get(F.get(rows, j), j))
+            return F.concat(done, F.array(F.when(j < i, off).otherwise(F.sqrt(left - S.dot(done, done)))))
+
+        return F.aggregate(F.sequence(F.lit(0), i), F.array().cast("array<double>"), entry)
+
+    empty = F.array().cast("array<array<double>>")
+    return let(a, lambda m: F.aggregate(F.sequence(F.lit(0), F.lit(k - 1)), empty, lambda rows, i: F.concat(rows, F.array(row(m, rows, i)))))
+
+
+def forward(lower: Column, b: Column, k: int) -> Column:
+    """The y with L y = ``b`` for the rows of a lower triangle."""
+    step = lambda y, i: F.concat(y, F.array(F.try_divide(F.get(b, i) - S.dot(y, F.slice(F.get(lower, i), F.lit(1), i)), F.get(F.get(lower, i), i))))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(k - 1)), F.array().cast("array<double>"), step)
+
+
+def backward(lower: Column, y: Column, k: int) -> Column:
+    """The x with L' x = ``y``."""
+
+    def step(x: Column, i: Column) -> Column:
+        under = F.transform(F.slice(lower, i + 2, k - 1 - i), lambda row: F.get(row, i))
+        return F.concat(F.array(F.try_divide(F.get(y, i) - S.dot(under, x), F.get(F.get(lower, i), i))), x)
+
+    return F.aggregate(F.sequence(F.lit(k - 1), F.lit(0), F.lit(-1)), F.array().cast("array<double>"), step)
+
+
+def log_det(lower: Column) -> Column:
+    """Log determinant of L L'."""
+    return 2.0 * S.total(F.transform(lower, lambda row: F.log(F.get(row, F.size(row) - 1))))
+
+
 def exponential(q: Column, t: Column, k: int, turns: Column | None = None) -> Column:
     """Struct ``p``, exp(q t), and ``d``, its slopes by the rate matrix's slopes ``turns`` (an array of matrices).
 

@@ -48,8 +48,8 @@ def blocks(history: DataFrame, size: int) -> DataFrame:
     return sums.withColumn("before", before).withColumn("stop", F.coalesce(1.001 * F.col("total") <= 0.999 * F.col("before"), F.lit(False))).drop("n")
 
 
-def envelopes(draws: DataFrame, centre: float = 0.995, tail: float = 0.999, share: float = 0.2, least: int = 20) -> DataFrame:
-    """Upper bounds of ``draws(ds, shell, lw)``, shell by shell: the value at a rising quantile's place, and the spread of the top values; neither falls outwards."""
+def envelopes(draws: DataFrame, centre: float = 0.995, tail: float = 0.999, share: float = 0.2, least: int = 20, margin: tuple[float, float] = (0.0, 0.0)) -> DataFrame:
+    """Upper bounds of ``draws(ds, shell, lw)``, shell by shell: the value at a rising quantile's place with a margin that rises from the first to the second number, and the spread of the top values; neither falls outwards."""
     shells = F.max("shell").over(Window.partitionBy("ds"))
     up, down = Window.partitionBy("ds", "shell").orderBy("lw", "draw"), Window.partitionBy("ds", "shell").orderBy(F.desc("lw"), F.desc("draw"))
     m = F.count(F.lit(1)).over(Window.partitionBy("ds", "shell"))
@@ -58,6 +58,8 @@ def envelopes(draws: DataFrame, centre: float = 0.995, tail: float = 0.999, shar
     q = F.when(F.col("last") == 0, centre).otherwise(q)
     place = F.floor(q * (F.col("m") - 1))
     kept = F.greatest(F.lit(least), F.floor(share * F.col("m")))
-    per = d.groupBy("ds", "shell").agg(F.max(F.when(F.col("up") == place, F.col("lw"))).alias("bound"), F.coalesce(F.stddev_samp(F.when(F.col("down") <= kept, F.col("lw"))), F.lit(0.0)).alias("spread"))
+    out = F.coalesce(F.try_divide(F.col("shell"), F.col("last")), F.lit(0.0))
+    over = margin[0] + out * (margin[1] - margin[0])
+    per = d.groupBy("ds", "shell").agg(F.max(F.when(F.col("up") == place, F.col("lw") + over)).alias("bound"), F.coalesce(F.stddev_samp(F.when(F.col("down") <= kept, F.col("lw"))), F.lit(0.0)).alias("spread"))
     run = Window.partitionBy("ds").orderBy("shell").rowsBetween(Window.unboundedPreceding, 0)
     return per.select("ds", "shell", F.max("bound").over(run).alias("bound"), F.max("spread").over(run).alias("spread"))
