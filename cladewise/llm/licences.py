@@ -26,15 +26,12 @@ SENTENCES = {
     "MITwarr": "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.",
     "MITliab": "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
     "MITref": "Released under the MIT License.",
-    "MITref2": "Licensed under the MIT License.",
-    "MITref3": "This project is licensed under the MIT License.",
     "Ap2grant": "Licensed under the Apache License, Version 2.0 (the \"License\");",
     "Ap2comply": "you may not use this file except in compliance with the License.",
     "Ap2copy": "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
     "Ap2asis": "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
     "Ap2see": "See the License for the specific language governing permissions and limitations under the License.",
     "Ap2ref": "Licensed under the Apache License, Version 2.0.",
-    "Ap2ref2": "Released under the Apache License, Version 2.0.",
     "BSDgrant": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
     "BSDsrc": "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
     "BSDbin": "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
@@ -45,6 +42,11 @@ SENTENCES = {
     "BSD2ref": "Released under the BSD 2-Clause License.",
     "BSD3ref": "Released under the BSD 3-Clause License.",
     "GPLwork3": "This work is licensed under the GNU General Public License, version 3.",
+    "GPLwork2": "This work is licensed under the GNU General Public License, version 2.",
+    "GPLlater3": "This work is licensed under the GNU General Public License, version 3 or later.",
+    "GPLlater2": "This work is licensed under the GNU General Public License, version 2 or later.",
+    "LGPL21ref": "This library is licensed under the GNU Lesser General Public License, version 2.1.",
+    "AGPLref": "This work is licensed under the GNU Affero General Public License, version 3.",
     "GPLfree": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "GPL2free": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
     "GPL3semi": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version.",
@@ -90,6 +92,11 @@ SENTENCES = {
     "GPL2body": "The licenses for most software are designed to take away your freedom to share and change it.",
     "AGPL3body": "The GNU Affero General Public License is a free, copyleft license for software and other kinds of works, specifically designed to ensure cooperation with the community in the case of network server software.",
     "LGPL3body": "This version of the GNU Lesser General Public License incorporates the terms and conditions of version 3 of the GNU General Public License, supplemented by the additional permissions listed below.",
+    "GPL2contrast": "By contrast, the GNU General Public License is intended to guarantee your freedom to share and change free software--to make sure the software is free for all its users.",
+    "GPL3take": "The licenses for most software and other practical works are designed to take away your freedom to share and change the works.",
+    "GPL3contrast": "By contrast, the GNU General Public License is intended to guarantee your freedom to share and change all versions of a program--to make sure it remains free software for all its users.",
+    "AGPL3contrast": "By contrast, our General Public Licenses are intended to guarantee your freedom to share and change all versions of a program--to make sure it remains free software for all its users.",
+    "LGPL3herein": "As used herein, \"this License\" refers to version 3 of the GNU Lesser General Public License, and the \"GNU GPL\" refers to version 3 of the GNU General Public License.",
     "CC0body": "The person who associated a work with this deed has dedicated the work to the public domain by waiving all of his or her rights to the work worldwide under copyright law, including all related and neighboring rights, to the extent allowed by law.",
     "CCBYwork": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "CCBYSAwork": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
@@ -146,10 +153,7 @@ RULES = [
     (("ISCgrant",), "ISC"),
     (("MPL2form",), "MPL-2.0"),
     (("MITref",), "MIT"),
-    (("MITref2",), "MIT"),
-    (("MITref3",), "MIT"),
     (("Ap2ref",), "Apache-2.0"),
-    (("Ap2ref2",), "Apache-2.0"),
     (("BSD3ref",), "BSD-3-Clause"),
     (("GPLwork3",), "GPL-3.0-only"),
     (("LGPLref",), "LGPL-3.0-only"),
@@ -174,24 +178,48 @@ RULES = [
     (("BSD2ref",), "BSD-2-Clause"),
     (("Ap2def", "Ap2body"), "Apache-2.0"),
     (("Ap2body",), "Apache-2.0"),
-    (("GPL3body",), "GPL-3.0-only"),
-    (("GPL2body",), "GPL-2.0-only"),
-    (("AGPL3body",), "AGPL-3.0-only"),
-    (("LGPL3body",), "LGPL-3.0-only"),
+    (("GPL3body", "GPL3take", "GPL3contrast"), "GPL-3.0-only"),
+    (("AGPL3body", "GPL3take", "AGPL3contrast"), "AGPL-3.0-only"),
+    (("GPL2body", "GPL2contrast"), "GPL-2.0-only"),
+    (("LGPL3body", "LGPL3herein"), "LGPL-3.0-only"),
+    (("GPLwork2",), "GPL-2.0-only"),
+    (("GPLlater3",), "GPL-3.0-or-later"),
+    (("GPLlater2",), "GPL-2.0-or-later"),
+    (("LGPL21ref",), "LGPL-2.1-only"),
+    (("AGPLref",), "AGPL-3.0-only"),
     (("CC0body",), "CC0-1.0"),
     (("CCBYwork",), "CC-BY-4.0"),
     (("CCBYSAwork",), "CC-BY-SA-4.0"),
     (("CCBYNCwork",), "CC-BY-NC-4.0"),
     (("CCBYNDwork",), "CC-BY-ND-4.0"),
 ]
-#: Parts with a free place, normalised: the holder of a BSD licence, the work under a GNU licence. Each stands for the part that it names.
+#: Names that a reference may give a licence, normalised, by the sentence that a reference stands for.
+NAMES = [
+    ("mit license", "MITref"),
+    ("apache( software)? license( version)? v?2 0", "Ap2ref"),
+    ("(bsd 3 clause|3 clause bsd) license", "BSD3ref"),
+    ("(bsd 2 clause|2 clause bsd) license", "BSD2ref"),
+    ("mozilla public license( version| v)? v?2 0", "MPL2ref"),
+    ("gnu (general public license|gpl)( version)? v?3( 0)?", "GPLwork3"),
+    ("gnu (general public license|gpl)( version)? v?2( 0)?", "GPLwork2"),
+    ("gnu (general public license|gpl)( version)? v?3( 0)? or( any)? later( version)?", "GPLlater3"),
+    ("gnu (general public license|gpl)( version)? v?2( 0)? or( any)? later( version)?", "GPLlater2"),
+    ("gnu lesser general public license( version)? v?3( 0)?", "LGPLref"),
+    ("gnu lesser general public license( version)? v?2 1", "LGPL21ref"),
+    ("gnu affero general public license( version)? v?3( 0)?", "AGPLref"),
+]
+#: How a reference begins: what is licensed, in a few words, may stand before.
+UNDER = "([a-z0-9]+( [a-z0-9]+){0,5} (is|are) ((also|hereby|now) )?)?(available|distributed|licensed|made available|provided|published|released) under (the terms of )?(the )?"
+#: Parts with a free place, normalised: the holder of a BSD licence, the work under a GNU licence or another, the form of its name. Each stands for the part that it names. A GNU licence with its version may also stand alone.
 SLOTS = [
     (r"^neither the name of .+ nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission$", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
     (r"^[a-z0-9]+( [a-z0-9]+){0,4} is free software$", "This program is free software;"),
     (r"^[a-z0-9]+( [a-z0-9]+){0,4} is distributed in the hope that it will be useful but without any warranty$", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY;"),
+    *[(f"^({UNDER}|(the )?){name}$" if name.startswith("gnu") else f"^{UNDER}{name}$", SENTENCES[reference]) for name, reference in NAMES],
 ]
 _END, _NOISE = r"([.!?;:])\s+", "[^a-z0-9]+"
-COPYRIGHT, SPDX = r"^copyright( c)? [0-9]{4}", r"SPDX-License-Identifier:\s*([A-Za-z0-9][A-Za-z0-9.+-]*)"
+_ID = "[A-Za-z0-9][A-Za-z0-9.:+-]*"
+COPYRIGHT, SPDX = r"^copyright( c)? [0-9]{4}", rf"SPDX-License-Identifier:\s*((?:\([ \t]*)*{_ID}(?:[ \t)]+(?:OR|AND|WITH)[ \t(]+{_ID})*)"
 _NOTICE = "Copyright"
 
 
@@ -227,8 +255,8 @@ def sequences(sentences: dict[str, str]) -> list[tuple[str, str]]:
 
 
 def sign(sentences: dict[str, str]) -> list[str]:
-    """Words of which every sentence holds one, or a copyright line or tag: few of them, by taking the word that most of the remaining sentences hold. Long words come first, as short ones stand in every text."""
-    left, words = [set(normal_form(t).split()) for t in sentences.values()], ["copyright", "spdx"]
+    """Words of which every sentence holds one, or a copyright line, tag or reference: few of them, by taking the word that most of the remaining sentences hold. Long words come first, as short ones stand in every text."""
+    left, words = [set(normal_form(t).split()) for t in sentences.values()], ["copyright", "spdx", "license", "gnu"]
     left = [s for s in left if not s & set(words)]
     while left:
         count = next(c for n in (8, 6, 1) if (c := Counter(w for s in left for w in s if len(w) >= n)))
@@ -254,14 +282,18 @@ def _replaced(text: Column, plan: list[tuple[str, str]]) -> Column:
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences: dict[str, str] = SENTENCES, rules: list[tuple[tuple[str, ...], str]] = RULES) -> DataFrame:
-    """Licences of each document: ``doc_id, sentence_ids, licences, left_over``, one row per input row.
+    """Licences of each document: ``doc_id, sentence_ids, licences, left_over, expressions``, one row per input row.
 
     ``sentence_ids`` are the recognised sentences: of the cut with wrapped lines
     in order, then those that only the cut by lines finds; an SPDX tag comes
     first. ``licences`` are those of the rules that match in either cut and of
     the tags, sorted, each once. ``left_over`` are sentences that no rule used
     (copyright lines do not count), sorted. A line without a full stop right
-    before a wrapped sentence is taken for its beginning. Null, empty and plain texts have
+    before a wrapped sentence is taken for its beginning. An SPDX tag may hold an
+    expression: its operands each count as a licence, one with its exception
+    (``GPL-2.0-only WITH Linux-syscall-note``) as another than without;
+    ``expressions`` are the tags' expressions as they stand, blanks run together
+    and open brackets closed. Null, empty and plain texts have
     empty arrays; long texts are scanned whole. Repeated rows are scanned each;
     extra columns are ignored; an empty table gives no rows.
     """
@@ -275,10 +307,13 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", senten
     hit, none = F.lit(False), F.array().cast("array<string>")
     for word in sign(sentences):
         hit = hit | F.contains(F.col(P + "l"), F.lit(word))
-    spdx = F.transform(F.regexp_extract_all(text, F.lit(SPDX)), lambda i: F.concat(F.lit("SPDX:"), i))
+    tags = F.regexp_extract_all(text, F.lit(SPDX))
+    simple = F.flatten(F.transform(tags, lambda e: F.split(F.trim(F.regexp_replace(e, r"[ \t()]+", " ")), " (?:OR|AND) ")))
+    opened = lambda e, c: F.length(e) - F.length(F.replace(e, F.lit(c), F.lit("")))
+    whole = F.transform(F.transform(tags, lambda e: F.regexp_replace(e, r"[ \t]+", " ")), lambda e: F.concat(e, F.repeat(F.lit(")"), F.greatest(F.lit(0), opened(e, "(") - opened(e, ")")))))
     marked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias(P + "t"), F.lower(F.col(text_col)).alias(P + "l")).select("doc_id", P + "t", F.coalesce(hit, F.lit(False)).alias(P + "h"))
     hit = F.col(P + "h")
-    found = marked.select("doc_id", hit, *[F.when(hit, _numbers(F.split(c, "\n"), number)).alias(P + n) for n, c in (("a", lines), ("b", wrapped))], F.when(hit, spdx).otherwise(none).alias(P + "s"))
+    found = marked.select("doc_id", hit, *[F.when(hit, _numbers(F.split(c, "\n"), number)).alias(P + n) for n, c in (("a", lines), ("b", wrapped))], F.when(hit, simple).otherwise(none).alias(P + "s"), F.when(hit, whole).otherwise(none).alias(P + "e"))
     # numbers of parts that make no sentence are dropped
     ids = lambda c: F.regexp_replace(_replaced(F.col(c), known), r" [0-9]+ ", "")
     found = found.withColumns({P + n: F.when(F.col(P + n) != "", ids(P + n)).otherwise("") for n in "ab"})
@@ -292,15 +327,16 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", senten
     taken = F.transform(F.filter(used, lambda u: F.array_contains(P + "m", u["name"])), lambda u: u["id"])
     only = F.filter(items(P + "a"), lambda i: ~F.array_contains(items(P + "b"), i))
     done = found.withColumn(P + "m", F.when(hit, marks).otherwise(none))
-    licences = F.array_distinct(F.concat(F.transform(P + "m", lambda i: F.substring(i, 2, 100)), F.transform(P + "s", lambda i: F.substring(i, 6, 100))))
-    lists = {"sentence_ids": F.concat(P + "s", items(P + "b"), only), "licences": F.array_sort(licences), "left_over": F.array_sort(F.array_except(rest, taken))}
+    licences = F.array_distinct(F.concat(F.transform(P + "m", lambda i: F.substring(i, 2, 100)), F.col(P + "s")))
+    tag = F.transform(P + "s", lambda i: F.concat(F.lit("SPDX:"), F.replace(i, F.lit(" "), F.lit("_"))))
+    lists = {"sentence_ids": F.concat(tag, items(P + "b"), only), "licences": F.array_sort(licences), "left_over": F.array_sort(F.array_except(rest, taken)), "expressions": F.col(P + "e")}
     return done.select("doc_id", *[F.when(hit, v).otherwise(none).alias(k) for k, v in lists.items()])
 
 
 def op8_licence_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The scan with its lists as text, parted by blanks."""
     found = scan(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", *[F.array_join(c, " ").alias(c) for c in ("sentence_ids", "licences", "left_over")])
+    return found.select("doc_id", *[F.array_join(c, " ").alias(c) for c in ("sentence_ids", "licences", "left_over")], F.array_join("expressions", "; ").alias("expressions"))
 
 
 def oracle_sql(sentences: dict[str, str] = SENTENCES, rules: list[tuple[tuple[str, ...], str]] = RULES) -> str:
@@ -321,7 +357,7 @@ def oracle_sql(sentences: dict[str, str] = SENTENCES, rules: list[tuple[tuple[st
     return rf"""
 WITH known(sentence, id) AS (VALUES {known}), used(name, id) AS (VALUES {used}),
 d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
-hit AS (SELECT * FROM d WHERE {" OR ".join(f"contains(lower(t), {quote(w)})" for w in sign(sentences))}),
+hit AS (SELECT *, regexp_extract_all(t, {quote(SPDX)}, 1) AS tags FROM d WHERE {" OR ".join(f"contains(lower(t), {quote(w)})" for w in sign(sentences))}),
 pieces AS ({pieces}),
 named AS (SELECT rid, way, k, coalesce(id, CASE WHEN regexp_matches(n, {quote(COPYRIGHT)}) THEN '{_NOTICE}'{slots} END) AS id
   FROM (SELECT rid, way, k, trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g')) AS n FROM pieces) p LEFT JOIN known ON sentence = n),
@@ -329,11 +365,13 @@ texts AS (SELECT rid, way, string_agg(' ' || id || ' ', '' ORDER BY k) AS parts
 found AS (SELECT rid, way, regexp_replace({found}, ' [0-9]+ ', '', 'g') AS ids FROM texts),
 ruled AS (SELECT rid, way, list_filter(string_split_regex(trim(ids), ' +'), lambda i: i <> '') AS ids, list_filter(string_split_regex(trim({ruled}), ' +'), lambda i: i <> '') AS rest FROM found),
 both_cuts AS (SELECT h.rid, coalesce(b.ids, []) AS b, list_filter(coalesce(a.ids, []), lambda i: NOT list_contains(coalesce(b.ids, []), i)) AS only_a, list_concat(coalesce(b.rest, []), coalesce(a.rest, [])) AS rest,
-  list_transform(regexp_extract_all(h.t, {quote(SPDX)}, 1), lambda x: 'SPDX:' || x) AS spdx
+  flatten(list_transform(tags, lambda e: string_split_regex(trim(regexp_replace(e, '[ \t()]+', ' ', 'g')), ' (?:OR|AND) '))) AS spdx,
+  list_transform(list_transform(tags, lambda e: regexp_replace(e, '[ \t]+', ' ', 'g')), lambda e: e || repeat(')', greatest(0, length(replace(e, ')', '')) - length(replace(e, '(', ''))))) AS whole
   FROM hit h LEFT JOIN ruled a ON a.rid = h.rid AND a.way = 'a' LEFT JOIN ruled b ON b.rid = h.rid AND b.way = 'b'),
 taken AS (SELECT c.rid, list(DISTINCT u.id) AS ids FROM both_cuts c JOIN used u ON list_contains(c.rest, u.name) GROUP BY c.rid)
-SELECT doc_id, coalesce(array_to_string(list_concat(spdx, b, only_a), ' '), '') AS sentence_ids,
-  coalesce(array_to_string(list_sort(list_distinct(list_concat(list_transform(list_filter(rest, lambda i: starts_with(i, '|')), lambda i: i[2:]), list_transform(spdx, lambda i: i[6:])))), ' '), '') AS licences,
-  coalesce(array_to_string(list_sort(list_distinct(list_filter(rest, lambda i: NOT starts_with(i, '|') AND i <> '{_NOTICE}' AND NOT list_contains(coalesce(taken.ids, []), i)))), ' '), '') AS left_over
+SELECT doc_id, coalesce(array_to_string(list_concat(list_transform(spdx, lambda i: 'SPDX:' || replace(i, ' ', '_')), b, only_a), ' '), '') AS sentence_ids,
+  coalesce(array_to_string(list_sort(list_distinct(list_concat(list_transform(list_filter(rest, lambda i: starts_with(i, '|')), lambda i: i[2:]), spdx))), ' '), '') AS licences,
+  coalesce(array_to_string(list_sort(list_distinct(list_filter(rest, lambda i: NOT starts_with(i, '|') AND i <> '{_NOTICE}' AND NOT list_contains(coalesce(taken.ids, []), i)))), ' '), '') AS left_over,
+  coalesce(array_to_string(whole, '; '), '') AS expressions
 FROM d LEFT JOIN both_cuts c ON c.rid = d.rid LEFT JOIN taken ON taken.rid = d.rid
 """

@@ -262,6 +262,21 @@ def licence_rows():
         ("SPDX-License-Identifier: MIT\nCopyright (c) 2020 X\n" + s["BSDliab"], ["MIT"]),
         (None, []),
         ("copyright", []),
+        ("// SPDX-License-Identifier: MIT OR Apache-2.0\nint x;", ["Apache-2.0", "MIT"]),
+        ("/* SPDX-License-Identifier: GPL-2.0-only WITH Linux-syscall-note */", ["GPL-2.0-only WITH Linux-syscall-note"]),
+        ("# SPDX-License-Identifier: (MIT  AND (GPL-2.0-or-later WITH Classpath-exception-2.0\tOR BSD-3-Clause))", ["BSD-3-Clause", "GPL-2.0-or-later WITH Classpath-exception-2.0", "MIT"]),
+        ("(SPDX-License-Identifier: MIT) and more", ["MIT"]),
+        ("SPDX-License-Identifier: MIT or not", ["MIT"]),
+        ("We quote it. The licenses for most software are designed to take away your freedom to share and change it. So they say.", []),
+        (wrap("Preamble\n\n" + s["GPL2body"] + " " + s["GPL2contrast"]), ["GPL-2.0-only"]),
+        (" ".join(s[k] for k in ("GPL3body", "GPL3take", "GPL3contrast")), ["GPL-3.0-only"]),
+        (" ".join(s[k] for k in ("AGPL3body", "GPL3take", "AGPL3contrast")), ["AGPL-3.0-only"]),
+        ("Foo. It is distributed under the terms of the MIT license. Bar.", ["MIT"]),
+        ("Licensed under the Apache License 2.0.", ["Apache-2.0"]),
+        ("License\n\nGNU General Public License, version 2.", ["GPL-2.0-only"]),
+        ("The code in this folder is also available under the GNU GPL v3 or later.", ["GPL-3.0-or-later"]),
+        ("All files of ours are published under the GNU Lesser General Public License v2.1.", ["LGPL-2.1-only"]),
+        ("This file is not licensed under the MIT license. Nothing here was ever said to be released under the MIT license.", []),
     ]
 
 
@@ -271,6 +286,9 @@ def test_licences_match_every_part_in_order(spark):
     got = {r.doc_id: r for r in scan(df).collect()}
     assert [got[i].licences for i in range(len(rows))] == [want for _, want in rows]
     assert got[12].sentence_ids == ["SPDX:MIT", "Copyright", "BSDliab"] and got[12].left_over == ["BSDliab"]
+    said = {i: got[i].expressions for i in got if got[i].expressions}
+    assert list(said.values()) == [["MIT"], ["MIT OR Apache-2.0"], ["GPL-2.0-only WITH Linux-syscall-note"], ["(MIT AND (GPL-2.0-or-later WITH Classpath-exception-2.0 OR BSD-3-Clause))"], ["MIT"], ["MIT"]]
+    assert got[16].sentence_ids == ["SPDX:GPL-2.0-only_WITH_Linux-syscall-note"]
     own = scan(spark.createDataFrame([(1, "Hi. You may share this work freely. Bye."), (2, "freely")], "doc_id long, text string"), sentences={"X": "You may share this work freely."}, rules=[(("X",), "Custom")])
     assert {r.doc_id: r.licences for r in own.collect()} == {1: ["Custom"], 2: []}
 
@@ -283,7 +301,7 @@ def test_licences_equal_sql_on_odd_texts(spark, edges):
     documents = pd.DataFrame({"doc_id": range(len(texts)), "text": texts})
     want = duckdb.connect().sql(oracle_sql()).fetchall()  # reads ``documents``
     found = scan(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")).collect()
-    got = [(r.doc_id, *(" ".join(c) for c in (r.sentence_ids, r.licences, r.left_over))) for r in found]
+    got = [(r.doc_id, *(" ".join(c) for c in (r.sentence_ids, r.licences, r.left_over)), "; ".join(r.expressions)) for r in found]
     assert len(documents) == len(got) and sorted(got) == sorted(want)
 
 
