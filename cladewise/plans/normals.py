@@ -72,7 +72,7 @@ def lowrank_slopes(spark, sf_dir):
 
 # --- rejection with rising envelopes ---------------------------------------
 
-WANTED, LATER = 40, 1 << 40
+WANTED, LATER = 200, 1 << 40
 _PROPOSALS = f"prop AS (SELECT user_id // {X.CELLS} AS ds, event_id + CASE WHEN event_id % 4 = 0 THEN 0 ELSE {LATER} END AS draw, CAST(day(ts) % 12 AS BIGINT) AS shell, value / 100 AS lw, event_id % 4 = 0 AS pilot FROM events WHERE value IS NOT NULL)"
 
 
@@ -106,7 +106,7 @@ ou AS (SELECT tk.ds, draw, CAST(row_number() OVER (PARTITION BY tk.ds ORDER BY d
 
 @query(f"WITH RECURSIVE {REJECTION} SELECT ds, draw, place FROM ou")
 def adaptive_rejection(spark, sf_dir):
-    """The first 40 accepted of each data set's events, whose envelopes rise where an event exceeds them."""
+    """The first 200 accepted of each data set's events, whose envelopes rise where an event exceeds them."""
     return rejection.sample(proposals(spark, sf_dir), WANTED)[0]
 
 
