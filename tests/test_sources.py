@@ -35,6 +35,53 @@ def test_alignments(spark, tmp_path):
     assert sorted((r.block, r.source, r.sequence) for r in df.collect()) == [(1, "hg.chr1", "ACGT"), (1, "mm.chr2", "AC-T"), (2, "hg.chr1", "GG")]
 
 
+def test_phylip_in_both_orders(spark, tmp_path):
+    want = [("x", "ACGTTA"), ("y", "ACCTGG"), ("z", "AAAAAA")]
+    inter = put(tmp_path, "i.phy", "3 6\nx ACG\ny AC C\nz AAA\n\nTTA\nTGG\nA A A\n")
+    seq = put(tmp_path, "s.phy", "3 6\nx ACG\nTTA\ny ACC\nTGG\nz AAA\nAAA\n")
+    for path in (inter, seq):
+        assert sorted((r.taxon, r.sequence) for r in readers.phylip(spark, path).collect()) == want
+    with pytest.raises(Exception, match="differ from the head"):
+        readers.phylip(spark, put(tmp_path, "b.phy", "2 5\nx ACGT\ny ACGTA\n")).collect()
+
+
+def test_maf_blocks_join_over_cuts(spark, tmp_path):
+    """Small cuts, so that blocks fall into many tasks; blocks not in the order of the reference."""
+    blocks, want = [], {"hg": "", "mm": "", "rn": ""}
+    for k in range(200):
+        at, hg, mm = 10 * k, "ACGT"[k % 4] * 5, "AC-TG" if k % 3 else None
+        rows = [f"s hg.chr1 {at} 5 + 9999 {hg.lower()}"] + ([f"s mm.chr2 {k} 4 - 999 {mm}", f"s mm.chr9 {k} 4 - 999 TTTTT"] if mm else []) + (["s rn 0 5 + 99 GGGGG"] if k == 7 else [])
+        blocks.append("a score=1\n" + "\n".join(rows) + "\n")
+        want["hg"] += hg
+        want["mm"] += mm or "-----"
+        want["rn"] += "GGGGG" if k == 7 else "-----"
+    path = put(tmp_path, "b.maf", "##maf version=1\n\n" + "\n".join(blocks[1::2] + blocks[::2]))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1500")
+    try:
+        read = readers.maf(spark, path)
+        assert read.select("block").distinct().count() == 200 and spark.read.option("lineSep", "\na").text(path).rdd.getNumPartitions() > 5
+        order = {r.block: r.start for r in read.where("at = 0").collect()}
+        assert [order[b] for b in range(1, 201)] == [10 * k for k in [*range(1, 200, 2), *range(0, 200, 2)]]
+        assert {r.taxon: r.sequence for r in readers.alignment(spark, path).collect()} == want
+        big = put(tmp_path, "b.fa", "".join(f">t{k} note\r\nAC\r\nG{'T' * (k % 5)}\r\n" for k in range(500)))
+        assert {r.taxon: r.sequence for r in readers.alignment(spark, big).collect()} == {f"t{k}": "ACG" + "T" * (k % 5) for k in range(500)}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_format_by_content(spark, tmp_path):
+    assert readers.alignment(spark, put(tmp_path, "one", "\n 1 3\nx ACG\n")).first().sequence == "ACG"
+    for text in ("", "what is this"):
+        with pytest.raises(ValueError, match="no known alignment"):
+            readers.alignment(spark, put(tmp_path, "odd", text))
+
+
+def test_distance_matrix_must_be_square(spark, tmp_path):
+    for text in ("0 1 2\n1 0 3\n", "0 1\n1 0 3\n", "0 x\nx 0\n"):
+        with pytest.raises(Exception, match="no square matrix"):
+            readers.distance_matrix(spark, put(tmp_path, "bad.txt", text)).collect()
+
+
 def test_distance_matrix(spark, tmp_path):
     path = put(tmp_path, "d.txt", "0 1 2\n0 0 3\n0 0 0\n")
     assert sorted((r.i, r.j, r.d) for r in readers.distance_matrix(spark, path).collect()) == [(0, 1, 1.0), (0, 2, 2.0), (1, 2, 3.0)]
