@@ -496,4 +496,4 @@ def sampled_migrations(spark, sf_dir):
     return rounded(trees.migrations(t, states.draw(t, X.leaf_states(spark, sf_dir))), "start_time", "end_time")
 
 
-from cladewise.plans import analysis, likelihoods, linkages, normals, slopes  # noqa: E402, F401  register the rest
+from cladewise.plans import analysis, likelihoods, linkages, normals, slopes, spectra  # noqa: E402, F401  register the rest
