@@ -88,3 +88,48 @@ def relaxed_clock(branches: DataFrame, sigma: float = 0.6, beta: float = 4.0, ka
     term = -F.log(length) - S.huber(z, kappa) / (sigma * sigma) - math.log(sigma) - 0.5 * math.log(2 * math.pi)
     sums = branches.withColumn("tau", tau).groupBy("tree").agg(F.count(F.lit(1)).alias("branches"), F.sum("tau").alias("time"), F.sum(term).alias("clock"))
     return sums.withColumn("yule", -F.col("branches") * F.log("time"))
+
+
+#: Least spread of rates; mean and deviation of its logarithm where that is normal.
+SIGMA_FLOOR, LOG_SIGMA_MEAN, LOG_SIGMA_SD = 0.4, math.log(0.7), 0.1
+
+
+def clock_slopes(branches: DataFrame, raw: float, prior: str | None = "yule", log_sigma: tuple[float, float] = (LOG_SIGMA_MEAN, LOG_SIGMA_SD), sigma_mean: float | None = None, shape: float = 2.0, beta: float = 4.0, kappa: float = 0.5, eps: float = 1e-6) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Log prior of a relaxed clock with its slopes, from ``branches(tree, node, parent, length, above, below)``, where leaves have no ``below``.
+
+    Three tables: ``tree, sigma, log_prior, raw_slope``; ``tree, node, slope``
+    in each branch's length; ``tree, node, slope`` in the time of each inner
+    node, less their mean, as moving all times together changes nothing. The
+    spread is :data:`SIGMA_FLOOR` and the softplus of ``raw``; its logarithm is
+    normal, or the spread exponential with the mean ``sigma_mean``. ``prior``
+    of the whole time: ``yule``, ``gamma`` (mean: the tree's length, held) or none.
+    """
+    if prior not in ("yule", "gamma", None):
+        raise ValueError(f"no such prior: {prior}")
+    sigma = SIGMA_FLOOR + max(raw, 0.0) + math.log1p(math.exp(-abs(raw)))
+    square = sigma * sigma
+    delta = F.col("above") - F.coalesce(F.col("below"), F.lit(0.0))
+    at = branches.withColumn("tau", eps + S.softplus(delta, beta)).withColumn("far", S.softplus_slope(delta, beta)).withColumn("own", F.col("length") + eps)
+    at = at.withColumn("z", F.log(F.col("own") / F.col("tau")) + 0.5 * square)
+    rho, psi = S.huber(F.col("z"), kappa), S.huber_slope(F.col("z"), kappa)
+    each = -F.log("own") - rho / square - math.log(sigma) - 0.5 * math.log(2 * math.pi)
+    sums = at.groupBy("tree").agg(F.count(F.lit(1)).alias("n"), F.sum("tau").alias("time"), F.sum("own").alias("whole"), F.sum(each).alias("clock"), F.sum(-1.0 / sigma - psi / sigma + 2.0 * rho / (square * sigma)).alias("turn"))
+    time, scale = F.col("time"), F.col("whole") / shape
+    value, turn = {
+        "yule": (-F.col("n") * F.log(time), -F.col("n") / time),
+        "gamma": ((shape - 1.0) * F.log(time) - time / scale - shape * F.log(scale) - math.lgamma(shape), (shape - 1.0) / time - 1.0 / scale),
+        None: (F.lit(0.0), F.lit(0.0)),
+    }[prior]
+    if sigma_mean is None:
+        off, wide = math.log(sigma) - log_sigma[0], log_sigma[1] ** 2
+        own, own_turn = -0.5 * off * off / wide, -off / wide / sigma
+    else:
+        own, own_turn = -math.log(sigma_mean) - sigma / sigma_mean, -1.0 / sigma_mean
+    chain = 1.0 / (1.0 + math.exp(-raw)) if raw > -700 else 0.0
+    trees = sums.select("tree", F.lit(sigma).alias("sigma"), (F.col("clock") + value + own).alias("log_prior"), (chain * (F.col("turn") + own_turn)).alias("raw_slope"))
+    lengths = at.select("tree", "node", ((-1.0 - psi / square) / F.col("own")).alias("slope"))
+    moved = at.join(sums.select("tree", turn.alias("turn")), "tree").withColumn("s", (psi / (square * F.col("tau")) + F.col("turn")) * F.col("far"))
+    parts = F.array(F.struct(F.col("parent").alias("node"), F.col("s").alias("s")), F.when(F.col("below").isNotNull(), F.struct(F.col("node").alias("node"), (-F.col("s")).alias("s"))))
+    ends = moved.select("tree", F.explode(F.array_compact(parts)).alias("e")).groupBy("tree", F.col("e.node").alias("node")).agg(F.sum("e.s").alias("s"))
+    mean = ends.groupBy("tree").agg(F.avg("s").alias("mean"))
+    return trees, lengths, ends.join(mean, "tree").select("tree", "node", (F.col("s") - F.col("mean")).alias("slope"))

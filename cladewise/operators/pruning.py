@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from cladewise.functions import matrices as M
 from cladewise.functions import scalars as S
 from cladewise.operators import trees as T
+from cladewise.operators.ascent import draw_counts
 from cladewise.sources.shared import release, stored
 
 LEAST = 1e-300
@@ -195,6 +196,13 @@ def patterns(sequences: DataFrame) -> tuple[DataFrame, DataFrame]:
     return each.select("tree", F.concat(F.lit("t"), F.col("c.taxon").cast("string")).alias("node"), "pattern", F.col("c.code").alias("code")), found.select(F.col("ds").alias("tree"), "pattern", "n")
 
 
+def subsample(counts: DataFrame, draws: int, seed: int = 1) -> DataFrame:
+    """``tree, pattern, n``: as many sites as ``draws`` says, drawn by the patterns' ``counts``; each stands for an equal part of all sites."""
+    given = counts.withColumnRenamed("tree", "ds")
+    total = given.groupBy("ds").agg((F.sum("n") / draws).alias("part"))
+    return draw_counts(given, "pattern", draws, seed).join(total, "ds").select(F.col("ds").alias("tree"), "pattern", (F.col("times") * F.col("part")).alias("n"))
+
+
 def one_hot(code: Column, k: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda a: (a == code).cast("double"))
 
@@ -214,14 +222,18 @@ def base_frequencies(sequences: DataFrame) -> DataFrame:
 BASE_PAIRS = ("AC", "AG", "AT", "CG", "CT", "GT")
 
 
-def dna_sweep(edges: DataFrame, sequences: DataFrame, model: str = "jc", kappa: float = 4.0, rates: tuple[float, ...] = (1.0,) * 6, least: float = 1e-3, slopes: bool = False) -> tuple[Sweep, DataFrame, DataFrame]:
+def dna_sweep(edges: DataFrame, sequences: DataFrame, model: str = "jc", kappa: float = 4.0, rates: tuple[float, ...] = (1.0,) * 6, least: float = 1e-3, slopes: bool = False, draws: int | None = None, seed: int = 1) -> tuple[Sweep, DataFrame, DataFrame]:
     """The sweep of base codes (below zero: missing) on trees ``edges(ds, node, parent, length)``, with its root frequencies and pattern counts.
 
     ``jc``: equal rates; ``hky``: transitions ``kappa`` times as likely, the
     data set's own frequencies; ``gtr``: any exchange rates. ``slopes``: also in the six exchange rates.
+    ``draws``: only so many sites, drawn anew for each ``seed``; then values and slopes are estimates of those over all sites.
     """
     nodes = edges.withColumnRenamed("ds", "tree")
     cells, counts = patterns(sequences)
+    if draws:
+        counts = stored(subsample(counts, draws, seed))
+        cells = cells.join(counts.select("tree", "pattern"), ["tree", "pattern"], "left_semi")
     tips = cells.where("code >= 0").select("tree", "node", "pattern", one_hot(F.col("code"), 4).alias("own"))
     branches = branch_lengths(nodes, least)
     if model == "jc":
@@ -236,7 +248,7 @@ def dna_sweep(edges: DataFrame, sequences: DataFrame, model: str = "jc", kappa:
 def dna_likelihood(edges: DataFrame, sequences: DataFrame, model: str = "jc", **options) -> DataFrame:
     """``ds, sites, log_likelihood`` of each data set's tree."""
     sweep, root, counts = dna_sweep(edges, sequences, model, **options)
-    sites = counts.groupBy("tree").agg(F.sum("n").cast("int").alias("sites"))
+    sites = counts.groupBy("tree").agg(F.round(F.sum("n")).cast("int").alias("sites"))
     return sweep.values(root, counts).join(sites, "tree").select(F.col("tree").alias("ds"), "sites", "log_likelihood")
 
 

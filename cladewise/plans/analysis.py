@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 
 from pyspark.sql import functions as F
 
@@ -217,6 +219,41 @@ def relaxed_clock_prior(spark, sf_dir):
     return rounded(ascent.relaxed_clock(edges.select("tree", "length", "above", F.col("time").alias("below"))), "time", "clock", "yule")
 
 
+_RAW = 0.3
+_SIGMA = ascent.SIGMA_FLOOR + math.log1p(math.exp(_RAW))
+_OFF = math.log(_SIGMA) - ascent.LOG_SIGMA_MEAN
+_CLOCK = f"""{X.TREES}, p AS (SELECT tree, parent, max(length) AS time FROM trees WHERE node LIKE 'L%' GROUP BY tree, parent),
+q AS (SELECT p.tree, max(p.time + t.length) AS time FROM p JOIN trees t ON t.tree = p.tree AND t.node = p.parent GROUP BY p.tree),
+b AS (SELECT t.tree, t.node, t.parent, t.length + 1e-6 AS len, CASE WHEN t.node LIKE 'L%' THEN p.time ELSE q.time - p2.time END AS delta FROM trees t LEFT JOIN p ON p.tree = t.tree AND p.parent = t.parent LEFT JOIN p p2 ON p2.tree = t.tree AND p2.parent = t.node JOIN q ON q.tree = t.tree WHERE t.parent IS NOT NULL),
+z AS (SELECT *, 1e-6 + {_SP.format('delta')} AS tau, ln(len / (1e-6 + {_SP.format('delta')})) + {_SIGMA**2 / 2!r} AS z FROM b),
+k AS (SELECT *, CASE WHEN abs(z) <= 0.5 THEN z * z / 2 ELSE 0.5 * abs(z) - 0.125 END AS rho, least(0.5, greatest(-0.5, z)) AS psi, sum(tau) OVER (PARTITION BY tree) AS whole, count(*) OVER (PARTITION BY tree) AS n FROM z)"""
+
+
+def _clock(spark, sf_dir):
+    """Branches with the times of both ends, the longest way down to a leaf; leaves have none."""
+    t = X.trees(spark, sf_dir)
+    tips = trees.leaves(t).select("tree", "node")
+    down = trees.ancestors(t, tips).groupBy("tree", F.col("anc").alias("node")).agg(F.max("dist").alias("time"))
+    inner = down.join(tips, ["tree", "node"], "left_anti")
+    return t.where("parent IS NOT NULL").join(inner.withColumnRenamed("time", "below"), ["tree", "node"], "left").join(inner.select("tree", F.col("node").alias("parent"), F.col("time").alias("above")), ["tree", "parent"])
+
+
+@query(f"""WITH {_CLOCK} SELECT tree, {r(f'sum(-ln(len) - rho / {_SIGMA**2!r} - ln({_SIGMA!r}) - 0.5 * ln(2 * pi())) - max(n) * ln(max(whole)) - {0.5 * _OFF**2 / ascent.LOG_SIGMA_SD**2!r}', 'log_prior')},
+{r(f'{1 / (1 + math.exp(-_RAW))!r} * (sum(-1 / {_SIGMA!r} - psi / {_SIGMA!r} + 2 * rho / {_SIGMA**3!r}) - {_OFF / ascent.LOG_SIGMA_SD**2 / _SIGMA!r})', 'raw_slope')} FROM k GROUP BY tree""")
+def clock_spread_slopes(spark, sf_dir):
+    """Log prior of each tree under a relaxed clock whose spread has a prior too, and its slope in the spread's free parameter."""
+    return rounded(ascent.clock_slopes(_clock(spark, sf_dir), _RAW)[0].drop("sigma"), "log_prior", "raw_slope")
+
+
+@query(f"""WITH {_CLOCK}, s AS (SELECT *, (psi / ({_SIGMA**2!r} * tau) - n / whole) / (1 + exp(-least(60, greatest(-60, 4.0 * delta)))) AS s FROM k),
+e AS (SELECT tree, node, sum(s) AS s FROM (SELECT tree, parent AS node, s FROM s UNION ALL SELECT tree, node, -s FROM s WHERE node NOT LIKE 'L%') x GROUP BY tree, node)
+SELECT tree, node, 'length' AS kind, {r(f'(-1 - psi / {_SIGMA**2!r}) / len', 'slope')} FROM k UNION ALL SELECT tree, node, 'time', {r('s - avg(s) OVER (PARTITION BY tree)', 'slope')} FROM e""")
+def clock_node_slopes(spark, sf_dir):
+    """Slopes of that prior in every branch's length and every inner node's time."""
+    _, lengths, times = ascent.clock_slopes(_clock(spark, sf_dir), _RAW)
+    return rounded(lengths.withColumn("kind", F.lit("length")).unionByName(times.withColumn("kind", F.lit("time"))), "slope")
+
+
 # --- geometry, joins, slopes -------------------------------------------------
 
 _CURVED = AnalysisConfig(hyperbolic=True, curvature=4.0)

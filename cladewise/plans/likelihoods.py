@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import functions as F
 
+from cladewise.functions import scalars as S
 from cladewise.operators import crispr, distances, linkage, pruning
 from cladewise.plans import fixtures as X
 from cladewise.plans.linkages import linkage_sql
@@ -70,6 +71,20 @@ def dna_loglik(spark, sf_dir):
     return rounded(pruning.dna_likelihood(edges, a), "log_likelihood")
 
 
+SUBSAMPLE = 16
+
+
+@query(f"""{_JC_UP}, pt AS (SELECT ds, min(site) AS pattern, count(*) AS n FROM (SELECT ds, site, list(c ORDER BY node) AS codes FROM cells_ GROUP BY ds, site) x GROUP BY ds, codes),
+sh AS (SELECT *, sum(n) OVER (PARTITION BY ds ORDER BY pattern) AS upto, sum(n) OVER (PARTITION BY ds) AS whole FROM pt),
+un AS (SELECT ds, draw, {S.uniform_sql('1', 'ds', 'draw')} * whole AS u FROM (SELECT DISTINCT ds, whole FROM sh) h CROSS JOIN (SELECT unnest(range({SUBSAMPLE})) AS draw) d),
+dn AS (SELECT sh.ds, pattern, count(*) * any_value(whole) / {SUBSAMPLE} AS weight FROM sh JOIN un ON un.ds = sh.ds AND u < upto AND u >= upto - n GROUP BY sh.ds, pattern)
+SELECT ms.ds, CAST(round(sum(weight)) AS INTEGER) AS sites, {r('sum(weight * (' + _value(4, lambda a: '0.25') + '))', 'log_likelihood')} FROM ms JOIN dn ON dn.ds = ms.ds AND dn.pattern = ms.site WHERE depth = 0 GROUP BY ms.ds""")
+def subsampled_loglik(spark, sf_dir):
+    """The same from 16 sites of each data set, drawn by their patterns' counts."""
+    a, _, edges = _alignment_tree(spark, sf_dir)
+    return rounded(pruning.dna_likelihood(edges, a, draws=SUBSAMPLE), "log_likelihood")
+
+
 def _hky(a: int, b: int) -> str:
     """Probability of base b after base a, in closed form; bases of even number are purines."""
     side = "pr" if b % 2 == 0 else "py"

@@ -496,4 +496,17 @@ def sampled_migrations(spark, sf_dir):
     return rounded(trees.migrations(t, states.draw(t, X.leaf_states(spark, sf_dir))), "start_time", "end_time")
 
 
+_LABEL = "t.node || '[&state=' || d.state || ']'"
+
+
+@query(f"""WITH {DRAWN}, lb AS (SELECT t.tree, t.node, t.parent, {_LABEL} AS label, format('{{:.6f}}', t.length) AS length FROM trees t JOIN drawn d ON d.tree = t.tree AND d.node = t.node),
+lv AS (SELECT tree, parent, string_agg(label || ':' || length, ',' ORDER BY node) AS s FROM lb WHERE node LIKE 'L%' GROUP BY tree, parent),
+yv AS (SELECT lb.tree, string_agg('(' || s || ')' || label || ':' || length, ',' ORDER BY lb.node) AS s FROM lb JOIN lv ON lv.tree = lb.tree AND lv.parent = lb.node GROUP BY lb.tree)
+SELECT yv.tree, 'TREE sample_' || yv.tree || ' = [&R] (' || s || ')' || label || ';' AS line FROM yv JOIN lb ON lb.tree = yv.tree AND lb.node = 'R'""")
+def labelled_nexus(spark, sf_dir):
+    """Each tree's line of a NEXUS file, every node with its drawn state."""
+    t = X.trees(spark, sf_dir)
+    return newick.nexus(t, states.draw(t, X.leaf_states(spark, sf_dir)))
+
+
 from cladewise.plans import analysis, likelihoods, linkages, normals, slopes, spectra  # noqa: E402, F401  register the rest
