@@ -222,11 +222,12 @@ def base_frequencies(sequences: DataFrame) -> DataFrame:
 BASE_PAIRS = ("AC", "AG", "AT", "CG", "CT", "GT")
 
 
-def dna_sweep(edges: DataFrame, sequences: DataFrame, model: str = "jc", kappa: float = 4.0, rates: tuple[float, ...] = (1.0,) * 6, least: float = 1e-3, slopes: bool = False, draws: int | None = None, seed: int = 1) -> tuple[Sweep, DataFrame, DataFrame]:
+def dna_sweep(edges: DataFrame, sequences: DataFrame, model: str = "jc", kappa: float = 4.0, rates: tuple[float, ...] = (1.0,) * 6, least: float = 1e-3, slopes: bool = False, draws: int | None = None, seed: int = 1, given: DataFrame | None = None) -> tuple[Sweep, DataFrame, DataFrame]:
     """The sweep of base codes (below zero: missing) on trees ``edges(ds, node, parent, length)``, with its root frequencies and pattern counts.
 
     ``jc``: equal rates; ``hky``: transitions ``kappa`` times as likely, the
-    data set's own frequencies; ``gtr``: any exchange rates. ``slopes``: also in the six exchange rates.
+    data set's own frequencies; ``gtr``: any exchange rates;
+    ``given``: what ``given(ds, rates, freqs)`` holds, a rate matrix by rows as it stands. ``slopes``: also in the six exchange rates.
     ``draws``: only so many sites, drawn anew for each ``seed``; then values and slopes are estimates of those over all sites.
     """
     nodes = edges.withColumnRenamed("ds", "tree")
@@ -239,9 +240,15 @@ def dna_sweep(edges: DataFrame, sequences: DataFrame, model: str = "jc", kappa:
     if model == "jc":
         root = counts.select("tree").distinct().withColumn("freqs", F.array(*[F.lit(0.25)] * 4))
         return Sweep(nodes, tips, stored(branches), equal_kernel(4)), root, counts
-    given = {"hky": (1.0, kappa, 1.0, 1.0, kappa, 1.0), "gtr": tuple(float(x) for x in rates)}[model]
+    if model == "given":
+        if given is None or slopes:
+            raise ValueError("a given model needs its matrices and has slopes in lengths only")
+        known = given.select(F.col("ds").alias("tree"), F.col("rates").alias("q"), "freqs")
+        full = branches.join(known.select("tree", "q"), "tree").withColumn("p", M.exponential(F.col("q"), F.col("t"), 4)["p"])
+        return Sweep(nodes, tips, stored(full), dense_kernel(4)), known.select("tree", "freqs"), counts
+    exchange = {"hky": (1.0, kappa, 1.0, 1.0, kappa, 1.0), "gtr": tuple(float(x) for x in rates)}[model]
     root = stored(base_frequencies(sequences))
-    full = reversible_branches(branches.join(root, "tree"), F.array(*[F.lit(x) for x in given]), F.col("freqs"), 4, slopes=slopes)
+    full = reversible_branches(branches.join(root, "tree"), F.array(*[F.lit(x) for x in exchange]), F.col("freqs"), 4, slopes=slopes)
     return Sweep(nodes, tips, stored(full.drop("freqs")), dense_kernel(4, BASE_PAIRS if slopes else ())), root, counts
 
 

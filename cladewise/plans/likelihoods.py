@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import functions as F
 
+from cladewise.functions import matrices as M
 from cladewise.functions import scalars as S
 from cladewise.operators import crispr, distances, linkage, pruning
 from cladewise.plans import fixtures as X
 from cladewise.plans.linkages import linkage_sql
 from cladewise.plans.queries import CELLS, _counts_sql
 from cladewise.plans.registry import query, r, rounded
+from cladewise.sources import models
 from cladewise.sources.shared import stored
 
 LEAST, FLOOR, NEVER = 1e-3, "1e-300", "-1e9"
@@ -99,13 +101,26 @@ _FREQS = """fr AS (SELECT *, p0 + p2 AS pr, p1 + p3 AS py, 4.0 AS kappa, 1 / (2
 _HKY_UP = f"{_DNA}, {_FREQS}, {_up_sql(4, _SAME_BASE, lambda a: ' + '.join(f'{_hky(a, b)} * x{b}' for b in range(4)), more='JOIN fr ON fr.ds = y.ds')}"
 
 
-@query(f"{_HKY_UP} SELECT ms.ds, CAST(count(*) AS INTEGER) AS sites, {r('sum(' + _value(4, lambda a: f'p{a}') + ')', 'log_likelihood')} FROM ms JOIN fr ON fr.ds = ms.ds WHERE depth = 0 GROUP BY ms.ds")
+HKY_SQL = f"{_HKY_UP} SELECT ms.ds, CAST(count(*) AS INTEGER) AS sites, {r('sum(' + _value(4, lambda a: f'p{a}') + ')', 'log_likelihood')} FROM ms JOIN fr ON fr.ds = ms.ds WHERE depth = 0 GROUP BY ms.ds"
+
+
+@query(HKY_SQL)
 def hky_loglik(spark, sf_dir):
     """As ``dna_loglik`` with transitions four times as likely and the data's own frequencies."""
     a, _, edges = _alignment_tree(spark, sf_dir)
     return rounded(pruning.dna_likelihood(edges, a, "hky"), "log_likelihood")
 
 
+@query(HKY_SQL)
+def model_text_loglik(spark, sf_dir):
+    """The same under models that were written as text, one for each data set, and read again."""
+    a, _, edges = _alignment_tree(spark, sf_dir)
+    freqs = pruning.base_frequencies(a).withColumn("rates", M.reversible(F.array(*[F.lit(x) for x in (1.0, 4.0, 1.0, 1.0, 4.0, 1.0)]), F.col("freqs"), 4, True))
+    text = models.write(freqs.select(F.col("tree").cast("string").alias("path"), F.lit("ACGT").alias("alphabet"), F.lit("HKY85").alias("kind"), "freqs", "rates", F.lit(None).cast("string").alias("newick")))
+    given = stored(models.parse(stored(text)).withColumn("ds", F.col("path").cast("long")))
+    return rounded(pruning.dna_likelihood(edges, a, "given", given=given), "log_likelihood")
+
+
 _D_MOVE, _D_MORE = "exp(-4.0 / 3 * t) / 3", "-4.0 / 3 * exp(-4.0 / 3 * t)"
 _four = lambda f, sep=", ": sep.join(f(a) for a in range(4))
 _JC_SLOPES = f"""{_JC_UP}, dn AS (SELECT ds, node, site, {_four(lambda a: f'ln(0.25) + v{a} AS w{a}')}, CAST(NULL AS DOUBLE) AS slope, raw FROM ms WHERE depth = 0
