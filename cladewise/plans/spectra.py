@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cladewise.operators import distances, spectral
+from cladewise.operators import distances, dump, spectral
 from cladewise.plans import fixtures as X
 from cladewise.plans.config import AnalysisConfig
 from cladewise.plans.queries import EUCLIDEAN
 from cladewise.plans.registry import query, r, rounded
+from cladewise.sources.shared import stored
 
 _CENTRED = f"""{EUCLIDEAN}, u AS (SELECT ds, i, j, d FROM d UNION ALL SELECT ds, j, i, d FROM d UNION ALL SELECT ds, taxon, taxon, 0.0 FROM points),
 m AS (SELECT ds, i, avg(d) AS m FROM u GROUP BY ds, i), w AS (SELECT ds, avg(m) AS w, count(*) AS n FROM m GROUP BY ds HAVING count(*) > 1),
@@ -35,3 +36,19 @@ def scaling_round_trip(spark, sf_dir):
 def spectral_embedding(spark, sf_dir):
     """First points of an analysis, by the five greatest eigenpairs."""
     return spectral.embed(distances.euclidean(X.points(spark, sf_dir)), AnalysisConfig(dimensionality=5))
+
+
+def _text(v: str) -> str:
+    return f"format('{{:.6f}}', round({v}, 6) + 0.0)"
+
+
+@query(f"""WITH {_CENTRED}, full_ AS (SELECT b.ds, i, j, f * b AS b FROM b JOIN t ON t.ds = b.ds UNION ALL SELECT b.ds, j, i, f * b FROM b JOIN t ON t.ds = b.ds WHERE i <> j)
+SELECT ds, 'head' AS section, CAST(0 AS BIGINT) AS row, 'DIST taxa ' || n || ' dimensions 64 lambda 1.000000' AS line FROM w
+UNION ALL SELECT ds, 'parameters', CAST(0 AS BIGINT), '0.000000' FROM w
+UNION ALL SELECT u.ds, 'distances', i, string_agg({_text('d')}, ' ' ORDER BY j) FROM u JOIN w ON w.ds = u.ds GROUP BY u.ds, i
+UNION ALL SELECT ds, 'pseudo', i, string_agg({_text('b')}, ' ' ORDER BY j) FROM full_ GROUP BY ds, i""")
+def covariance_dump(spark, sf_dir):
+    """Text of every data set's covariance from distances."""
+    d = stored(distances.euclidean(X.points(spark, sf_dir)))
+    start = d.select("ds").distinct().select("ds", F.lit(0).alias("place"), F.lit(0.0).alias("value"))
+    return dump.covariance(d, 64, "DIST", start, pseudo=spectral.distance_covariance(d))

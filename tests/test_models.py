@@ -58,3 +58,15 @@ def test_likelihood_under_a_model_equals_that_of_its_parameters(spark, tmp_path)
     own = lambda c: np.eye(4)["ACGT".index(c)] if c in "ACGT" else np.ones(4)
     want = sum(np.log(f @ ((p(0.05) @ ((p(0.1) @ own(x)) * (p(0.2) @ own(y)))) * (p(0.4) @ own(z)))) for x, y, z in zip("ACGTNA", "AAGTCA", "ACTTCG"))
     assert value.sites == 6 and value.log_likelihood == pytest.approx(want, abs=1e-9)
+
+
+def test_text_of_a_covariance(spark):
+    from cladewise.operators import dump
+
+    d = spark.createDataFrame([(1, 0, 1, 2.0), (1, 0, 2, 3.0), (1, 1, 2, 1.5)], "ds long, i long, j long, d double")
+    start = spark.createDataFrame([(1, 1, -1.0), (1, 0, 0.0)], "ds long, place int, value double")
+    factors = spark.createDataFrame([(1, 0, [0.5, -0.0]), (1, 1, [0.25, 1.0]), (1, 2, [0.0, 2.0])], "ds long, taxon long, r array<double>")
+    got = {(r.section, r.row): r.line for r in dump.covariance(d, 5, "LOWR", start, factors=factors).collect()}
+    assert got["head", 0] == "LOWR taxa 3 dimensions 5 lambda 1.000000" and got["parameters", 0] == "0.000000 -1.000000"
+    assert got["distances", 1] == "2.000000 0.000000 1.500000" and got["factor", 0] == "0.500000 0.000000" and len(got) == 8
+    assert dump.covariance(d.limit(0), 5, "DIAG", start).count() == 0
