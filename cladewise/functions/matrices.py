@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -150,6 +151,30 @@ def reversible_turns(rates: Column, freqs: Column, k: int, normal: bool) -> Colu
     return F.array(*out)
 
 
+def modes(rates: list[float], freqs: list[float], normal: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``right, left, roots, turned`` of a reversible model whose frequencies are above zero: its rate matrix is right diag(roots) left, roots ascending.
+
+    ``turned``: the rate matrix's slopes in each exchange rate between these bases, left slope right.
+    """
+    pi, k = np.asarray(freqs, float), len(freqs)
+    pairs = [(a, b) for a in range(k) for b in range(a + 1, k)]
+    full = np.zeros((k, k))
+    for (a, b), rate in zip(pairs, rates):
+        full[a, b], full[b, a] = rate * pi[b], rate * pi[a]
+    np.fill_diagonal(full, -full.sum(1))
+    c = 2.0 * sum(rate * pi[a] * pi[b] for (a, b), rate in zip(pairs, rates)) if normal else 1.0
+    full /= c
+    root = np.sqrt(pi)
+    even = root[:, None] * full / root
+    roots, v = np.linalg.eigh((even + even.T) / 2)
+    right, left, turned = v / root[:, None], v.T * root, []
+    for a, b in pairs:
+        own = np.zeros((k, k))
+        own[a, b], own[b, a], own[a, a], own[b, b] = pi[b], pi[a], -pi[b], -pi[a]
+        turned.append(left @ (own / c - full * (2.0 * pi[a] * pi[b] / c if normal else 0.0)) @ right)
+    return right, left, roots, np.array(turned)
+
+
 def _place(a: int, b: int, k: int) -> int:
     a, b = min(a, b), max(a, b)
     return a * (2 * k - a - 1) // 2 + b - a - 1

@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +26,17 @@ LEAST = 1e-300
 Step = Callable[[Column], Column]
 
 
+@dataclass(frozen=True)
+class Modes:
+    """Bases in which a reversible model's rate matrix is diagonal, entries row by row: numbers, or columns of the branch table and of ``table(tree, ...)``."""
+
+    right: list[Column]
+    left: list[Column]
+    roots: list[Column]
+    turned: list[list[Column]]
+    table: DataFrame | None = None
+
+
 @dataclass(frozen=True)
 class Kernel:
     """What a branch does with an array over ``k`` states; expressions over columns of the branch table.
@@ -37,6 +49,26 @@ class Kernel:
     up: Step
     down: Step
     slopes: dict[str, Step] = field(default_factory=dict)
+    modes: Modes | None = None
+
+    def outer(self, u: Column, x: Column) -> Column:
+        """The slope by each entry of the branch's matrix, row by row; with ``modes``, that by each entry of the rate matrix between the bases.
+
+        Between the bases the exponential's slope in the direction of a matrix
+        is that matrix entry by entry times the differences of the exponentials of two roots over those of the roots.
+        """
+        if self.modes is None:
+            return F.flatten(F.transform(u, lambda a: F.transform(x, lambda b: a * b)))
+        k, m, t = self.k, self.modes, F.col("t")
+        before = F.array(*[M._sum([F.get(u, F.lit(a)) * m.right[a * k + i] for a in range(k)]) for i in range(k)])
+        behind = F.array(*[M._sum([m.left[j * k + b] * F.get(x, F.lit(b)) for b in range(k)]) for j in range(k)])
+
+        def share(i: int, j: int) -> Column:
+            i, j = min(i, j), max(i, j)
+            apart = m.roots[i] - m.roots[j]
+            return F.exp(m.roots[j] * t) * (t if i == j else F.coalesce(F.try_divide(F.expm1(apart * t), apart), t))
+
+        return M.let(before, lambda p: M.let(behind, lambda q: F.array(*[F.get(p, F.lit(i)) * F.get(q, F.lit(j)) * share(i, j) for i in range(k) for j in range(k)])))
 
 
 def equal_kernel(k: int) -> Kernel:
@@ -65,6 +97,54 @@ def reversible_branches(branches: DataFrame, rates: Column, freqs: Column, k: in
     return with_q.withColumn("e", found).withColumns({"p": F.col("e.p"), "d": F.col("e.d")}).drop("e", "turns")
 
 
+def spectral_kernel(k: int, modes: Modes) -> Kernel:
+    """A reversible model by its modes; branches have ``t`` and what the modes are columns of.
+
+    The identity is taken out of the exponential, so that small probabilities of short branches keep their digits.
+    """
+    t, right, left, roots = F.col("t"), modes.right, modes.left, modes.roots
+    into = lambda v: [M._sum([left[m * k + b] * F.get(v, F.lit(b)) for b in range(k)]) for m in range(k)]
+    onto = lambda v: [M._sum([F.get(v, F.lit(a)) * right[a * k + m] for a in range(k)]) for m in range(k)]
+    back = lambda z, a: M._sum([right[a * k + m] * F.get(z, F.lit(m)) for m in range(k)])
+    forth = lambda z, b: M._sum([F.get(z, F.lit(m)) * left[m * k + b] for m in range(k)])
+
+    def up(x: Column) -> Column:
+        grown = lambda v: F.array(*[F.expm1(root * t) * e for root, e in zip(roots, into(v))])
+        return M.let(x, lambda v: M.let(grown(v), lambda z: F.array(*[F.get(v, F.lit(a)) + back(z, a) for a in range(k)])))
+
+    def down(x: Column) -> Column:
+        grown = lambda v: F.array(*[F.expm1(root * t) * e for root, e in zip(roots, onto(v))])
+        return M.let(x, lambda v: M.let(grown(v), lambda z: F.array(*[F.get(v, F.lit(b)) + forth(z, b) for b in range(k)])))
+
+    def by_length(x: Column) -> Column:
+        grown = lambda v: F.array(*[root * F.exp(root * t) * e for root, e in zip(roots, into(v))])
+        return M.let(x, lambda v: M.let(grown(v), lambda z: F.array(*[back(z, a) for a in range(k)])))
+
+    return Kernel(k, up, down, {"length": by_length}, modes)
+
+
+def fixed_modes(rates: list[float], freqs: list[float], normal: bool) -> Modes:
+    """Modes of one model for all trees."""
+    right, left, roots, turned = M.modes(rates, freqs, normal)
+    column = lambda values: [F.lit(float(v)) for v in values]
+    return Modes(column(right.ravel()), column(left.ravel()), column(roots), [column(m.ravel()) for m in turned])
+
+
+def own_modes(models: DataFrame, rates: tuple[float, ...], k: int, normal: bool = True) -> Modes:
+    """Modes of each tree's model, of ``models(tree, freqs)`` with the same exchange rates."""
+
+    @F.pandas_udf("right array<double>, left array<double>, roots array<double>, turned array<array<double>>")
+    def each(freqs: pd.Series) -> pd.DataFrame:
+        found = [M.modes(rates, f, normal) for f in freqs]
+        rows = [(right.ravel(), left.ravel(), roots, [m.ravel() for m in turned]) for right, left, roots, turned in found]
+        return pd.DataFrame(rows, columns=["right", "left", "roots", "turned"])
+
+    table = stored(models.select("tree", each("freqs").alias("m")).select("tree", "m.*"))
+    entries = lambda of, n: [F.get(of, F.lit(i)) for i in range(n)]
+    turned = [entries(F.get(F.col("turned"), F.lit(n)), k * k) for n in range(len(rates))]
+    return Modes(entries(F.col("right"), k * k), entries(F.col("left"), k * k), entries(F.col("roots"), k), turned, table)
+
+
 def barcode_kernel(edits: int) -> Kernel:
     """Unedited, ``edits`` edits, silent; branches have ``t``, ``nu`` (silencing) and ``rates`` (share of each edit)."""
     t, nu, q = F.col("t"), F.col("nu"), F.col("rates")
@@ -137,9 +217,12 @@ class Sweep:
     def slopes(self, root: DataFrame, counts: DataFrame, outer: bool = False) -> DataFrame:
         """``tree, node, ...``: slope of the log likelihood by each of the kernel's parameters on the branch above each node, summed over patterns.
 
-        ``outer``: also ``w``, the slope by each entry of the branch's matrix, row by row.
+        ``outer``: also ``w``, the slope by each entry of the branch's matrix, row by row. A
+        kernel with modes gives ``tree, w`` instead, that by the rate matrix between the bases, a row for each tree and level.
         """
-        names, above, out = list(self.kernel.slopes), None, None
+        whole_tree = outer and self.kernel.modes is not None
+        names, above, out = [] if whole_tree else list(self.kernel.slopes), None, None
+        keys = ["tree"] if whole_tree else ["tree", "node"]
         logs = lambda x: F.transform(x, lambda v: F.log(F.greatest(v, F.lit(LEAST))))
         on = ["tree", "pattern"] if "pattern" in root.columns else ["tree"]
         for level, here in enumerate(self.levels):
@@ -151,14 +234,16 @@ class Sweep:
                 met = met.withColumn("rest", rest).withColumn("u", F.transform("rest", lambda v: F.exp(v - F.array_max("rest"))))
                 total = S.dot(F.col("u"), F.transform("sent", F.exp))
                 met = met.withColumn("total", F.greatest(total, F.lit(LEAST)))
-                now = met.withColumns({f"s_{n}": S.dot(F.col("u"), f(F.col("inside"))) / F.col("total") for n, f in self.kernel.slopes.items()}).withColumn("around", logs(self.kernel.down(F.col("u"))))
+                now = met.withColumns({f"s_{n}": S.dot(F.col("u"), f(F.col("inside"))) / F.col("total") for n, f in self.kernel.slopes.items() if n in names}).withColumn("around", logs(self.kernel.down(F.col("u"))))
                 if outer:
-                    now = now.withColumn("w", F.flatten(F.transform("u", lambda a: F.transform("inside", lambda b: a * b / F.col("total")))))
-                now = stored(now.select("tree", "node", "pattern", "around", "below", *[f"s_{n}" for n in names], *["w"] * outer))
+                    now = now.withColumn("w", F.transform(self.kernel.outer(F.col("u"), F.col("inside")), lambda v: v / F.col("total")))
+                now = now.select("tree", "node", "pattern", "around", "below", *[f"s_{n}" for n in names], *["w"] * outer)
+                if level + 1 < len(self.levels):
+                    now = stored(now)
                 entries = [F.sum(F.col("n") * F.col("w")[i]).alias(f"w{i}") for i in range(self.kernel.k**2)] if outer else []
-                part = now.join(counts, ["tree", "pattern"]).groupBy("tree", "node").agg(*[F.sum(F.col("n") * F.col(f"s_{n}")).alias(n) for n in names], *entries)
+                part = now.join(counts, ["tree", "pattern"]).groupBy(*keys).agg(*[F.sum(F.col("n") * F.col(f"s_{n}")).alias(n) for n in names], *entries)
                 if outer:
-                    part = part.select("tree", "node", *[f"`{n}`" for n in names], F.array(*[f"w{i}" for i in range(self.kernel.k**2)]).alias("w"))
+                    part = part.select(*keys, *[f"`{n}`" for n in names], F.array(*[f"w{i}" for i in range(self.kernel.k**2)]).alias("w"))
                 out = part if out is None else out.unionByName(part)
             above = now.where("below IS NOT NULL").select("tree", F.col("node").alias("parent"), "pattern", F.zip_with("around", "below", lambda a, b: a + b).alias("whole"))
         return out
@@ -171,9 +256,14 @@ def exchange_slopes(sweep: Sweep, root: DataFrame, counts: DataFrame, rates: Col
     number of patterns and rates. It goes back through the exponential as the
     slope of that of the transposed rate matrix in its direction, is summed
     over branches, and only then meets the rate matrix's slopes. ``root(tree,
-    freqs)`` holds the model's frequencies.
+    freqs)`` holds the model's frequencies. A kernel with modes has all this
+    between its bases, where the way back is a product entry by entry.
     """
-    k = sweep.kernel.k
+    k, modes = sweep.kernel.k, sweep.kernel.modes
+    if modes is not None:
+        summed = sweep.slopes(root, counts, outer=True).groupBy("tree").agg(*[F.sum(F.col("w")[i]).alias(f"w{i}") for i in range(k * k)])
+        met = summed.join(modes.table.select("tree", "turned"), "tree") if modes.table is not None else summed
+        return met.select("tree", F.array(*[M._sum([v * F.col(f"w{i}") for i, v in enumerate(by)]) for by in modes.turned]).alias("slopes"))
     found = sweep.slopes(root, counts, outer=True).select("tree", "node", "w").join(sweep.branches.select("tree", "node", "t", "q"), ["tree", "node"])
     rows = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda a: F.slice("w", a * k + 1, F.lit(k)))
     by_q = found.withColumn("way", M.exponential(M.transposed(F.col("q"), k), F.col("t"), k, F.array(rows))).select("tree", F.flatten(F.get(F.col("way.d"), F.lit(0))).alias("g"))
@@ -248,8 +338,11 @@ def dna_sweep(edges: DataFrame, sequences: DataFrame, model: str = "jc", kappa:
         return Sweep(nodes, tips, stored(full), dense_kernel(4)), known.select("tree", "freqs"), counts
     exchange = {"hky": (1.0, kappa, 1.0, 1.0, kappa, 1.0), "gtr": tuple(float(x) for x in rates)}[model]
     root = stored(base_frequencies(sequences))
-    full = reversible_branches(branches.join(root, "tree"), F.array(*[F.lit(x) for x in exchange]), F.col("freqs"), 4, slopes=slopes)
-    return Sweep(nodes, tips, stored(full.drop("freqs")), dense_kernel(4, BASE_PAIRS if slopes else ())), root, counts
+    if not slopes:
+        modes = own_modes(root, exchange, 4)
+        return Sweep(nodes, tips, stored(branches.join(modes.table.drop("turned"), "tree")), spectral_kernel(4, modes)), root, counts
+    full = reversible_branches(branches.join(root, "tree"), F.array(*[F.lit(x) for x in exchange]), F.col("freqs"), 4, slopes=True)
+    return Sweep(nodes, tips, stored(full.drop("freqs")), dense_kernel(4, BASE_PAIRS)), root, counts
 
 
 def dna_likelihood(edges: DataFrame, sequences: DataFrame, model: str = "jc", **options) -> DataFrame:
@@ -317,7 +410,10 @@ def state_sweep(nodes: DataFrame, leaf_states: DataFrame, names: list[str], rate
     tips = leaf_states.select("tree", "node", F.lit(0).alias("pattern"), one_hot(F.try_element_at(at, F.col("state")), k).alias("own"))
     column = lambda values: F.array(*[F.lit(float(v)) for v in values])
     pairs = tuple(f"{a}|{b}" for i, a in enumerate(names) for b in names[i + 1 :])
-    branches = reversible_branches(branch_lengths(nodes, least), column(rates), column(pi), k, normal=False, slopes=slopes)
+    if slopes or min(pi) <= 0:
+        branches, kernel = reversible_branches(branch_lengths(nodes, least), column(rates), column(pi), k, normal=False, slopes=slopes), dense_kernel(k, pairs if slopes else ())
+    else:
+        branches, kernel = branch_lengths(nodes, least), spectral_kernel(k, fixed_modes(rates, pi, False))
     trees = nodes.select("tree").distinct()
     start = pi if primary is None else [float(n == primary) for n in names]
-    return Sweep(nodes, tips, stored(branches), dense_kernel(k, pairs if slopes else ())), trees.withColumn("freqs", column(start)), trees.select("tree", F.lit(0).alias("pattern"), F.lit(1).cast("long").alias("n"))
+    return Sweep(nodes, tips, stored(branches), kernel), trees.withColumn("freqs", column(start)), trees.select("tree", F.lit(0).alias("pattern"), F.lit(1).cast("long").alias("n"))

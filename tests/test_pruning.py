@@ -136,3 +136,17 @@ def test_states_with_unequal_rates_and_a_primary_state(spark, tree):
     assert sweep.values(fixed, counts).first().log_likelihood == pytest.approx(whole(rates, np.eye(3)[1]))
     with pytest.raises(ValueError, match="no state x"):
         pruning.state_sweep(nodes, leaf, **options, primary="x")
+
+
+def test_modes_of_one_model_stand_for_matrices_of_branches(spark):
+    """Also where roots are equal; branches carry no matrices, and both ways give the same values and slopes."""
+    nodes = spark.createDataFrame([(1, "R", None, 0.0), (1, "a", "R", 1e-6), (1, "b", "R", 0.7), (1, "c", "b", 2.5), (1, "d", "b", 0.3)], "tree long, node string, parent string, length double")
+    leaf = spark.createDataFrame([(1, "a", "p"), (1, "c", "q"), (1, "d", "p")], "tree long, node string, state string")
+    for rates in ([1.0] * 3, [0.2, 1.5, 0.7]):
+        found = []
+        for slopes in (False, True):
+            sweep, root, counts = pruning.state_sweep(nodes, leaf, ["p", "q", "r"], rates, slopes=slopes)
+            found.append([sweep.values(root, counts).first().log_likelihood, *pruning.exchange_slopes(sweep, root, counts, columns(rates), normal=False).first().slopes])
+            if not slopes:
+                assert sweep.branches.columns == ["tree", "node", "t"]
+        assert found[0] == pytest.approx(found[1], rel=1e-9)
