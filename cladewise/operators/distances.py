@@ -19,9 +19,10 @@ def pairs(taxa: DataFrame, group: str, taxon: str, *carry: str) -> DataFrame:
     return a.join(b, group).where("i < j")
 
 
-def euclidean(points: DataFrame, scale: float = 1.0) -> DataFrame:
+def euclidean(points: DataFrame, scale: float = 1.0, carry: bool = False) -> DataFrame:
+    """``ds, i, j, d``; with ``carry`` also both points, ``x_i`` and ``x_j``."""
     d = F.sqrt(S.total(F.zip_with("x_i", "x_j", lambda a, b: (a - b) * (a - b)))) / scale
-    return pairs(points, "ds", "taxon", "x").select("ds", "i", "j", d.alias("d"))
+    return pairs(points, "ds", "taxon", "x").select("ds", "i", "j", d.alias("d"), *["x_i", "x_j"] * carry)
 
 
 def hyperbolic(points: DataFrame, curvature: float = 1.0, scale: float = 1.0) -> DataFrame:

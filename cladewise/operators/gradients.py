@@ -27,13 +27,17 @@ Matrix = Callable[[float], np.ndarray]
 def point_slopes(slopes: DataFrame, points: DataFrame, config: AnalysisConfig = AnalysisConfig()) -> DataFrame:
     """``ds, taxon, dim, slope`` in the points' coordinates from ``slopes(ds, i, j, g)`` in their distances.
 
-    Both ends of a pair get their share by one join for each end; sums are
-    partial before the shuffle. Points that coincide pull each other nowhere.
+    Both ends of a pair get their share; sums are partial before the shuffle.
+    ``slopes`` that still have ``x_i`` and ``x_j``, as :func:`distances.pairs`
+    carries them, need no join and lie by data sets already, so that nothing
+    of a pair travels; others meet the points by one join for each end.
+    Points that coincide pull each other nowhere.
     """
     def ends(name: str) -> DataFrame:
         return points.select("ds", F.col("taxon").alias(name), F.col("x").alias(f"x_{name}"))
 
-    both = slopes.join(ends("i"), ["ds", "i"]).join(ends("j"), ["ds", "j"])
+    near = {"x_i", "x_j"} <= set(slopes.columns)
+    both = slopes if near else slopes.join(ends("i"), ["ds", "i"]).join(ends("j"), ["ds", "j"])
     if config.curved:
         both = both.withColumn("t_i", F.sqrt(1.0 + S.dot(F.col("x_i"), F.col("x_i")))).withColumn("t_j", F.sqrt(1.0 + S.dot(F.col("x_j"), F.col("x_j"))))
         u = F.col("t_i") * F.col("t_j") - S.dot(F.col("x_i"), F.col("x_j"))

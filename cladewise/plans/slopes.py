@@ -19,9 +19,14 @@ c AS (SELECT ds, taxon, unnest(x) AS v, generate_subscripts(x, 1) - 1 AS dim FRO
 s AS (SELECT e.ds, e.taxon, a.dim, sum(g * (a.v - b.v)) AS slope FROM ends e JOIN c a ON a.ds = e.ds AND a.taxon = e.taxon JOIN c b ON b.ds = e.ds AND b.taxon = e.other AND b.dim = a.dim GROUP BY ALL)"""
 
 
+def _spread(spark, sf_dir):
+    """Points by data sets over all shuffle partitions: their pairs are far more than their bytes say."""
+    return X.points(spark, sf_dir).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "ds")
+
+
 def _pull(spark, sf_dir):
-    p = X.points(spark, sf_dir)
-    d = distances.euclidean(p).select("ds", "i", "j", (1 - F.col("d")).alias("g"))
+    p = _spread(spark, sf_dir)
+    d = distances.euclidean(p, carry=True).withColumn("g", 1 - F.col("d"))
     return gradients.point_slopes(d, p)
 
 
@@ -45,8 +50,8 @@ c AS (SELECT ds, taxon, t, unnest(x) AS v, generate_subscripts(x, 1) - 1 AS dim
 SELECT e.ds, e.taxon, CAST(a.dim AS INTEGER) AS dim, {r('sum(g * (b.t / a.t * a.v - b.v))', 'slope')} FROM ends e JOIN c a ON a.ds = e.ds AND a.taxon = e.taxon JOIN c b ON b.ds = e.ds AND b.taxon = e.other AND b.dim = a.dim GROUP BY e.ds, e.taxon, a.dim""")
 def curved_point_slopes(spark, sf_dir):
     """Slopes in the points' coordinates of the sum of all hyperbolic distances."""
-    p = X.points(spark, sf_dir)
-    every = distances.pairs(p, "ds", "taxon").select("ds", "i", "j", F.lit(1.0).alias("g"))
+    p = _spread(spark, sf_dir)
+    every = distances.pairs(p, "ds", "taxon", "x").withColumn("g", F.lit(1.0))
     return rounded(gradients.point_slopes(every, p, _CURVED), "slope")
 
 

@@ -5,8 +5,10 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from cladewise.operators import distances
 from cladewise.operators import gradients as G
 from cladewise.operators import inference as I
+from cladewise.plans import queries
 from cladewise.plans.config import AnalysisConfig
 
 
@@ -113,3 +115,21 @@ def test_tree_slopes_of_a_table(spark):
     assert {r["kind"]: r["count"] for r in got} == {"likelihood": 1, "length": 8, "distance": 10}
     with pytest.raises(Exception, match="no sequence of taxon"):
         G.tree_slopes(pairs, seqs.where("taxon > 10")).collect()
+
+
+@pytest.mark.parametrize("config", [AnalysisConfig(), AnalysisConfig(hyperbolic=True, curvature=2.0)])
+def test_slopes_of_pairs_that_carry_their_points(spark, config):
+    points = spark.createDataFrame([(n // 4, n, [float(n), 0.5 * n * n, 1.0]) for n in range(8)], "ds long, taxon long, x array<double>")
+    carried = distances.pairs(points, "ds", "taxon", "x").withColumn("g", F.col("i") - 2.0 * F.col("j"))
+    far, near = ({(r["taxon"], r["dim"]): r["slope"] for r in G.point_slopes(s, points, config).collect()} for s in (carried.drop("x_i", "x_j"), carried))
+    assert near == pytest.approx(far) and len(near) == 24
+
+
+def test_pairs_with_their_points_do_not_travel(spark, tmp_path):
+    """No shuffle but that of the points: neither pairs nor their shares are dealt again."""
+    rows = [(n, [float((n * k) % 7) for k in range(1, 4)]) for n in range(130)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    for name in ("point_slopes", "curved_point_slopes"):
+        plan = queries.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+        dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+        assert dealt and all("hashpartitioning(ds" in line and "dim" not in line and "taxon" not in line.split("hashpartitioning(")[1].split(")")[0] for line in dealt)
