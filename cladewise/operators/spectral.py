@@ -9,8 +9,11 @@ few numbers, a row for each data set.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +26,8 @@ MORE, STEPS, TOLERANCE = 4, 24, 1e-7
 #: What a covariance from distances adds to make its least eigenvalue positive.
 MARGIN = 1e-6
 _ROUNDING = 1e-14
+#: Rows of a data set that meet its matrices at once.
+BLOCK = 512
 
 
 def _orthonormal(gram: np.ndarray, scale: float) -> np.ndarray:
@@ -72,18 +77,55 @@ def _algebra(p: int, k: int, least: bool):
     return each
 
 
+def _blocks(column: pa.Array) -> np.ndarray:
+    """Arrays of one length as the rows of a matrix."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
 def _products(rows: DataFrame, left: str, right: str, name: str) -> DataFrame:
-    """``ds`` and the sums over rows of all products of an element of ``left`` with one of ``right``, one after the other."""
-    each = F.flatten(F.transform(left, lambda a: F.transform(right, lambda b: a * b)))
-    sums = rows.select("ds", F.posexplode(each).alias("pos", "v")).groupBy("ds", "pos").agg(F.sum("v").alias("v"))
-    return sums.groupBy("ds").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "v"))), lambda s: s["v"]).alias(name))
+    """``ds`` and the sums over rows of all products of an element of ``left`` with one of ``right``, one after the other.
+
+    A batch of rows gives one sum for each data set in it; these few are added up.
+    """
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ds = batch.column(0).to_numpy()
+            order = np.argsort(ds, kind="stable")
+            a, b = _blocks(batch.column(1))[order], _blocks(batch.column(2))[order]
+            names, first = np.unique(ds[order], return_index=True)
+            ends = [*first[1:], len(order)]
+            for n, start, end in zip(names, first, ends):
+                sums = (a[start:end].T @ b[start:end]).ravel()
+                yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([sums], pa.list_(pa.float64()))], names=["ds", "v"])
+
+    parts = rows.select(F.col("ds").cast("long").alias("ds"), F.col(left).alias("l"), F.col(right).alias("r")).mapInArrow(each, "ds long, v array<double>")
+    added = F.aggregate(F.slice("all", F.lit(2), F.size("all")), F.get("all", F.lit(0)), lambda x, y: F.zip_with(x, y, lambda u, v: u + v))
+    return parts.groupBy("ds").agg(F.collect_list("v").alias("all")).select("ds", added.alias(name))
+
+
+def _applied(rows: DataFrame, small: DataFrame, matrices: list[str], kept: list[str], name: str, f: Callable[..., np.ndarray]) -> DataFrame:
+    """``ds, i``, the columns ``kept`` and ``name``: ``f`` of a block of rows' ``q`` and ``w`` and of their data set's ``matrices``, which stand row by row.
+
+    A block has the rows of a data set whose numbers lie within one run of :data:`BLOCK`, so a data set may have any number of rows.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = [c for c in ("q", "w") if c in rows.columns]
+    placed = rows.select("ds", "i", *parts, F.floor(F.col("i") / BLOCK).alias("block"))
+    known = placed.select("ds", "block").distinct().join(small.select("ds", *matrices), "ds")
+    types = {x.name: x.dataType.simpleString() for x in rows.schema}
+    schema = ", ".join([f"ds {types['ds']}", f"i {types['i']}", *[f"{c} array<double>" for c in kept], f"{name} array<double>"])
 
+    def each(r: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
+        if not len(r) or not len(s):
+            return pd.DataFrame({c: [] for c in ("ds", "i", *kept, name)})
+        made = f(*[np.stack(r[c].to_list()) for c in parts], *[np.asarray(s[c].iloc[0], float) for c in matrices])
+        return r[["ds", "i", *kept]].assign(**{name: list(made)})
 
-def _times(vector, matrix: str, rows: int, columns: int):
-    """A row vector times a matrix that stands row by row."""
-    if not rows:
-        return F.array_repeat(F.lit(0.0), columns)
-    return F.transform(F.sequence(F.lit(0), F.lit(columns - 1)), lambda b: S.total(F.transform(vector, lambda v, a: v * F.get(matrix, a * columns + b))))
+    spread = lambda df: df.select(*[F.col(c).alias(c) for c in df.columns]).repartition(n, "ds", "block").groupBy("ds", "block")
+    return spread(placed).cogroup(spread(known)).applyInPandas(each, schema)
 
 
 def _small(rows: DataFrame, before: DataFrame | None, m: int, p: int, k: int, least: bool, product: bool = True) -> DataFrame:
@@ -99,8 +141,7 @@ def _small(rows: DataFrame, before: DataFrame | None, m: int, p: int, k: int, le
 def _extended(rows: DataFrame, small: DataFrame, m: int, p: int, k: int, least: bool) -> DataFrame:
     """The basis with the block, made orthogonal to it and within itself by two passes."""
     for last in (False, True):
-        moved = rows.join(small.select("ds", "c", "t"), "ds").withColumn("off", F.zip_with("w", _times(F.col("q"), "c", m, p), lambda v, u: v - u))
-        moved = moved.select("ds", "i", "q", _times(F.col("off"), "t", p, p).alias("w"))
+        moved = _applied(rows, small, ["c", "t"], ["q"], "w", lambda q, w, c, t: (w - q @ c.reshape(m, p)) @ t.reshape(p, p))
         if last:
             return stored(moved.select("ds", "i", F.concat("q", "w").alias("q")))
         rows = stored(moved)
@@ -136,7 +177,8 @@ def eigenpairs(matrix: DataFrame, k: int, least: bool = False, block: int | None
             break
         basis, old = _extended(rows, small, m, p, k, least), basis
         release(old, rows)
-    return rows.join(small.select("ds", "values", "vectors", "off"), "ds").select("ds", "i", _times(F.col("q"), "vectors", m, k).alias("v"), "values", "off")
+    found = _applied(rows.select("ds", "i", "q"), small, ["vectors"], [], "v", lambda q, vectors: q @ vectors.reshape(m, k))
+    return found.join(small.select("ds", "values", "off"), "ds").select("ds", "i", "v", "values", "off")
 
 
 def _placed(pairs: DataFrame, k: int, sign: int) -> DataFrame:

@@ -73,3 +73,18 @@ def test_covariance_of_distances_that_fit_no_space(spark):
 def test_no_rows(spark):
     assert spectral.embed(_pairs(spark, [])).count() == 0
     assert spectral.distance_covariance(_pairs(spark, [])).count() == 0
+
+
+def test_products_are_summed_by_batches(spark):
+    """One row leaves for each data set of a batch, not one for each product; blocks of numbers far apart make one data set."""
+    rng = np.random.default_rng(2)
+    q, w = rng.normal(size=(40, 3)), rng.normal(size=(40, 2))
+    rows = spark.createDataFrame([(k % 2, 700 * k, q[k].tolist(), w[k].tolist()) for k in range(40)], "ds long, i long, q array<double>, w array<double>")
+    found = spectral._products(rows.repartition(3), "q", "w", "c")
+    assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {r.ds: np.reshape(r.c, (3, 2)) for r in found.collect()}
+    small = spark.createDataFrame([(d, got[d].ravel().tolist(), [2.0, 0.0, 0.0, 1.0]) for d in got], "ds long, c array<double>, t array<double>")
+    moved = {r.i: r.w for r in spectral._applied(rows, small, ["c", "t"], ["q"], "w", lambda q, w, c, t: (w - q @ c.reshape(3, 2)) @ t.reshape(2, 2)).collect()}
+    for d in (0, 1):
+        assert np.allclose(got[d], q[d::2].T @ w[d::2])
+        assert np.allclose([moved[700 * k] for k in range(d, 40, 2)], (w[d::2] - q[d::2] @ got[d]) @ np.diag([2.0, 1.0]))
