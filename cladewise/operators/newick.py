@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import math
 import re
+from collections.abc import Callable, Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -75,23 +80,39 @@ def write(edges: list[tuple[str, str | None, float]], decimals: int = 6, marks:
     return "".join(done[n] for n, _ in below.get(None, [])) + ";"
 
 
-def from_edges(trees: DataFrame, decimals: int = 6) -> DataFrame:
-    """``tree, newick`` from edge tables."""
+def _lines(rows: DataFrame, name: str, line: Callable[[int, list[tuple]], str]) -> DataFrame:
+    """``tree, name``: the ``line`` of each tree's rows, which lie together and in order, so that a task goes through them once; only one tree's rows are held."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        every = (row for batch in batches for row in zip(*[c.to_pylist() for c in batch.columns]))
+        done: list[tuple] = []
+        for tree, group in groupby(every, key=itemgetter(0)):
+            done.append((tree, line(tree, [(node, parent, math.nan if x is None else x, *more) for _, node, parent, x, *more in group])))
+            if len(done) == 1000:
+                yield _batch(done, name)
+                done = []
+        if done:
+            yield _batch(done, name)
+
+    return rows.repartition(n, "tree").sortWithinPartitions("tree").mapInArrow(each, f"tree long, {name} string")
 
-    def each(group: pd.DataFrame) -> pd.DataFrame:
-        edges = [(n, None if pd.isna(p) else p, x) for n, p, x in zip(group["node"], group["parent"], group["length"])]
-        return pd.DataFrame({"tree": [group["tree"].iloc[0]], "newick": [write(edges, decimals)]})
 
-    return trees.select("tree", "node", "parent", "length").groupBy("tree").applyInPandas(each, "tree long, newick string")
+def _batch(rows: list[tuple], name: str) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string())], names=["tree", name])
+
+
+def from_edges(trees: DataFrame, decimals: int = 6) -> DataFrame:
+    """``tree, newick`` from edge tables."""
+    return _lines(trees.select("tree", "node", "parent", "length"), "newick", lambda _, edges: write(edges, decimals))
 
 
 def nexus(trees: DataFrame, states: DataFrame) -> DataFrame:
     """NEXUS tree lines whose nodes carry their states: ``tree, line``."""
-    marked = trees.join(states, ["tree", "node"], "left")
+    marked = trees.join(states, ["tree", "node"], "left").select("tree", "node", "parent", "length", "state")
 
-    def each(group: pd.DataFrame) -> pd.DataFrame:
-        edges = [(n, None if pd.isna(p) else p, x) for n, p, x in zip(group["node"], group["parent"], group["length"])]
-        marks = {n: s for n, s in zip(group["node"], group["state"]) if not pd.isna(s)}
-        return pd.DataFrame({"tree": [group["tree"].iloc[0]], "line": [f"TREE sample_{group['tree'].iloc[0]} = [&R] {write(edges, 6, marks)}"]})
+    def line(tree: int, rows: list[tuple]) -> str:
+        marks = {node: state for node, _, _, state in rows if state is not None}
+        return f"TREE sample_{tree} = [&R] {write([row[:3] for row in rows], 6, marks)}"
 
-    return marked.select("tree", "node", "parent", "length", "state").groupBy("tree").applyInPandas(each, "tree long, line string")
+    return _lines(marked, "line", line)

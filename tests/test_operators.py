@@ -252,3 +252,16 @@ def test_ways_back_through_flows_equal_differences(spark):
     got = [one(spark, c) for c in S.planar_flow_back(lit(x), lit(g), lit(u), lit(w), b, share)]
     assert all(np.allclose(v, slope(planar, (x, u, w, b), k), atol=1e-6) for k, v in enumerate(got))
     assert one(spark, S.radial_flow_back(lit([0.0, 0.0]), lit([1.0, 2.0]), 1.0, 2.0, 5.0)[0]) == [3.0, 6.0]
+
+
+def test_trees_become_lines_in_one_pass(spark):
+    """Trees are no groups of their own, and each has one line, also where its rows came from many partitions."""
+    rows = [(t, n, p, x) for t in range(2500) for n, p, x in (("R", None, 0.0), ("b", "R", 0.5), ("a", "R", float(t)))]
+    trees = spark.createDataFrame(rows, "tree long, node string, parent string, length double").repartition(5)
+    marks = spark.createDataFrame([(t, "a", "x") for t in range(2500) if t % 2], "tree long, node string, state string")
+    lines = newick.nexus(trees, marks)
+    assert "FlatMapGroups" not in lines._jdf.queryExecution().executedPlan().toString()
+    got = {r.tree: r.line for r in lines.collect()}
+    assert lines.count() == len(got) == 2500
+    assert all(got[t] == f"TREE sample_{t} = [&R] (a{'[&state=x]' if t % 2 else ''}:{t:.6f},b:0.500000)R;" for t in got)
+    assert {r.tree: r.newick for r in newick.from_edges(trees, 1).collect()} == {t: f"(a:{t:.1f},b:0.5)R;" for t in range(2500)}
