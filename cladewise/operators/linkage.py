@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cladewise.operators import trees as T
-from cladewise.sources.shared import stored
+from cladewise.sources.shared import by_shuffle, stored
 
 
 def _name(least: str, n: str) -> Column:
@@ -37,12 +37,12 @@ def merges(distances: DataFrame, decimals: int = 9) -> DataFrame:
         ends = left.select("ds", F.explode(F.array("a", "b")).alias("c"), F.struct(mean.alias("m"), "a", "b").alias("s"))
         nearest = ends.groupBy("ds", "c").agg(F.min("s").alias("s"))
         mutual = nearest.groupBy("ds", "s.a", "s.b").agg(F.count(F.lit(1)).alias("sides")).where("sides = 2").select(keys)
-        found = left.drop("joined").join(mutual, keys)
+        found = left.drop("joined").join(by_shuffle(mutual), keys)
         part = F.explode(F.array(*[F.struct(F.col(c).alias("old"), F.col("a").alias("new"), (F.col("na") + F.col("nb")).alias("n")) for c in "ab"])).alias("p")
         renamed = found.select("ds", part).select("ds", "p.*")
         moved = left
         for c in "ab":
-            moved = moved.join(renamed.select("ds", F.col("old").alias(c), F.col("new").alias(f"new_{c}"), F.col("n").alias(f"n_{c}")), ["ds", c], "left")
+            moved = moved.join(by_shuffle(renamed.select("ds", F.col("old").alias(c), F.col("new").alias(f"new_{c}"), F.col("n").alias(f"n_{c}"))), ["ds", c], "left")
         moved = moved.select("ds", *[F.struct(F.coalesce(f"new_{c}", c).alias("c"), F.coalesce(f"n_{c}", f"n{c}").alias("n")).alias(c) for c in "ab"], "total").where("a.c <> b.c")
         moved = moved.withColumn("lo", F.least("a", "b")).withColumn("hi", F.greatest("a", "b")).groupBy("ds", "lo", "hi").agg(F.sum("total").alias("total"))
         rest = moved.select("ds", F.col("lo.c").alias("a"), F.col("hi.c").alias("b"), "total", F.col("lo.n").alias("na"), F.col("hi.n").alias("nb"), F.lit(False).alias("joined"))
@@ -58,8 +58,8 @@ def edges(joins: DataFrame) -> DataFrame:
     """``ds, node, parent, length`` of the trees of :func:`merges`; a length is what the parent's height has over the node's, nothing below zero."""
     child = joins.select("ds", F.col("node").alias("parent"), "height", F.explode(F.array("left", "right")).alias("node"))
     own = joins.select("ds", "node", F.col("height").alias("own"))
-    inner = child.join(own, ["ds", "node"], "left").select("ds", "node", "parent", F.greatest(F.lit(0.0), F.col("height") - F.coalesce("own", F.lit(0.0))).alias("length"))
-    root = joins.select("ds", "node").join(child.select("ds", "node"), ["ds", "node"], "left_anti")
+    inner = child.join(by_shuffle(own), ["ds", "node"], "left").select("ds", "node", "parent", F.greatest(F.lit(0.0), F.col("height") - F.coalesce("own", F.lit(0.0))).alias("length"))
+    root = joins.select("ds", "node").join(by_shuffle(child.select("ds", "node")), ["ds", "node"], "left_anti")
     return inner.unionByName(root.select("ds", "node", F.lit(None).cast("string").alias("parent"), F.lit(0.0).alias("length")))
 
 
@@ -72,13 +72,13 @@ def distance_slopes(joins: DataFrame, length_slopes: DataFrame | None = None) ->
     has the share 1 / (2 left_n right_n) of that node's. Without ``length_slopes``: of the whole tree's length.
     """
     tree = stored(edges(joins))
-    g = tree.where("parent IS NOT NULL").join(length_slopes, ["ds", "node"]) if length_slopes is not None else tree.where("parent IS NOT NULL").withColumn("g", F.lit(1.0))
+    g = tree.where("parent IS NOT NULL").join(by_shuffle(length_slopes), ["ds", "node"]) if length_slopes is not None else tree.where("parent IS NOT NULL").withColumn("g", F.lit(1.0))
     held = g.where("length > 0")
     each = held.select("ds", F.col("parent").alias("node"), "g").unionByName(held.select("ds", "node", (-F.col("g")).alias("g")))
     by_node = each.groupBy("ds", "node").agg(F.sum("g").alias("g"))
-    share = joins.join(by_node, ["ds", "node"]).select("ds", "left", "right", (F.col("g") / (2 * F.col("left_n") * F.col("right_n"))).alias("slope"))
+    share = joins.join(by_shuffle(by_node), ["ds", "node"]).select("ds", "left", "right", (F.col("g") / (2 * F.col("left_n") * F.col("right_n"))).alias("slope"))
     named = tree.withColumnRenamed("ds", "tree")
     below = T.ancestors(named, T.leaves(named).select("tree", "node")).select(F.col("tree").alias("ds"), F.col("anc").alias("clade"), F.col("node").alias("leaf"))
-    one = share.join(below.select("ds", F.col("clade").alias("left"), F.col("leaf").alias("a")), ["ds", "left"])
-    two = one.join(below.select("ds", F.col("clade").alias("right"), F.col("leaf").alias("b")), ["ds", "right"])
+    one = share.join(by_shuffle(below.select("ds", F.col("clade").alias("left"), F.col("leaf").alias("a"))), ["ds", "left"])
+    two = one.join(by_shuffle(below.select("ds", F.col("clade").alias("right"), F.col("leaf").alias("b"))), ["ds", "right"])
     return two.select("ds", F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j"), "slope")

@@ -20,7 +20,7 @@ from cladewise.functions import matrices as M
 from cladewise.functions import scalars as S
 from cladewise.operators import trees as T
 from cladewise.operators.ascent import draw_counts
-from cladewise.sources.shared import release, stored
+from cladewise.sources.shared import by_shuffle, release, stored
 
 LEAST = 1e-300
 Step = Callable[[Column], Column]
@@ -182,8 +182,8 @@ class Sweep:
     def __init__(self, nodes: DataFrame, tips: DataFrame, branches: DataFrame, kernel: Kernel, by_pattern: bool = False):
         self.kernel, self.branches, self.on = kernel, branches, ["tree", "node", "pattern"] if by_pattern else ["tree", "node"]
         depth = T.heights(nodes).select("tree", "node", "depth")
-        placed = stored(nodes.select("tree", "node", "parent").join(depth, ["tree", "node"]))
-        known = stored(tips.select("tree", "node", "pattern", "own").join(placed, ["tree", "node"]))
+        placed = stored(nodes.select("tree", "node", "parent").join(by_shuffle(depth), ["tree", "node"]))
+        known = stored(tips.select("tree", "node", "pattern", "own").join(by_shuffle(placed), ["tree", "node"]))
         deepest = placed.agg(F.max("depth")).first()[0]
         self.levels: list[DataFrame] = []
         sums: DataFrame | None = None
@@ -192,10 +192,10 @@ class Sweep:
             here = known.where(F.col("depth") == level).select("tree", "node", "parent", "pattern", F.col("own").alias("inside"), F.lit(0.0).alias("scale"), empty)
             if sums is not None:
                 top = F.array_max("below")
-                inner = sums.join(placed.where(F.col("depth") == level).select("tree", "node", "parent"), ["tree", "node"])
+                inner = sums.join(by_shuffle(placed.where(F.col("depth") == level).select("tree", "node", "parent")), ["tree", "node"])
                 here = here.unionByName(inner.select("tree", "node", "parent", "pattern", F.transform("below", lambda v: F.exp(v - F.array_max("below"))).alias("inside"), (F.col("scale") + top).alias("scale"), "below"))
             if level:
-                here = here.join(branches, self.on).withColumn("sent", F.transform(kernel.up(F.col("inside")), lambda v: F.log(F.greatest(v, F.lit(LEAST)))))
+                here = here.join(by_shuffle(branches), self.on).withColumn("sent", F.transform(kernel.up(F.col("inside")), lambda v: F.log(F.greatest(v, F.lit(LEAST)))))
                 here = here.select("tree", "node", "parent", "pattern", "inside", "scale", "below", "sent")
             here = stored(here)
             self.levels.insert(0, here)
@@ -208,11 +208,11 @@ class Sweep:
         """``tree, pattern, value``: log likelihoods, with ``root(tree, freqs)`` (and ``pattern``, if it has that column)."""
         on = ["tree", "pattern"] if "pattern" in root.columns else ["tree"]
         value = F.log(F.greatest(S.dot(F.col("freqs"), F.col("inside")), F.lit(LEAST))) + F.col("scale")
-        return self.levels[0].join(root, on).select("tree", "pattern", value.alias("value"))
+        return self.levels[0].join(by_shuffle(root), on).select("tree", "pattern", value.alias("value"))
 
     def values(self, root: DataFrame, counts: DataFrame) -> DataFrame:
         """``tree, log_likelihood`` with ``counts(tree, pattern, n)``, how often each pattern stands."""
-        return self.by_pattern(root).join(counts, ["tree", "pattern"]).groupBy("tree").agg(F.sum(F.col("n") * F.col("value")).alias("log_likelihood"))
+        return self.by_pattern(root).join(by_shuffle(counts), ["tree", "pattern"]).groupBy("tree").agg(F.sum(F.col("n") * F.col("value")).alias("log_likelihood"))
 
     def slopes(self, root: DataFrame, counts: DataFrame, outer: bool = False) -> DataFrame:
         """``tree, node, ...``: slope of the log likelihood by each of the kernel's parameters on the branch above each node, summed over patterns.
@@ -227,9 +227,9 @@ class Sweep:
         on = ["tree", "pattern"] if "pattern" in root.columns else ["tree"]
         for level, here in enumerate(self.levels):
             if level == 0:
-                now = here.join(root, on).withColumn("around", logs(F.col("freqs")))
+                now = here.join(by_shuffle(root), on).withColumn("around", logs(F.col("freqs")))
             else:
-                met = here.join(above, ["tree", "parent", "pattern"]).join(self.branches, self.on)
+                met = here.join(by_shuffle(above), ["tree", "parent", "pattern"]).join(by_shuffle(self.branches), self.on)
                 rest = F.zip_with("whole", "sent", lambda a, b: a - b)
                 met = met.withColumn("rest", rest).withColumn("u", F.transform("rest", lambda v: F.exp(v - F.array_max("rest"))))
                 total = S.dot(F.col("u"), F.transform("sent", F.exp))
@@ -241,7 +241,7 @@ class Sweep:
                 if level + 1 < len(self.levels):
                     now = stored(now)
                 entries = [F.sum(F.col("n") * F.col("w")[i]).alias(f"w{i}") for i in range(self.kernel.k**2)] if outer else []
-                part = now.join(counts, ["tree", "pattern"]).groupBy(*keys).agg(*[F.sum(F.col("n") * F.col(f"s_{n}")).alias(n) for n in names], *entries)
+                part = now.join(by_shuffle(counts), ["tree", "pattern"]).groupBy(*keys).agg(*[F.sum(F.col("n") * F.col(f"s_{n}")).alias(n) for n in names], *entries)
                 if outer:
                     part = part.select(*keys, *[f"`{n}`" for n in names], F.array(*[f"w{i}" for i in range(self.kernel.k**2)]).alias("w"))
                 out = part if out is None else out.unionByName(part)
@@ -262,13 +262,13 @@ def exchange_slopes(sweep: Sweep, root: DataFrame, counts: DataFrame, rates: Col
     k, modes = sweep.kernel.k, sweep.kernel.modes
     if modes is not None:
         summed = sweep.slopes(root, counts, outer=True).groupBy("tree").agg(*[F.sum(F.col("w")[i]).alias(f"w{i}") for i in range(k * k)])
-        met = summed.join(modes.table.select("tree", "turned"), "tree") if modes.table is not None else summed
+        met = summed.join(by_shuffle(modes.table.select("tree", "turned")), "tree") if modes.table is not None else summed
         return met.select("tree", F.array(*[M._sum([v * F.col(f"w{i}") for i, v in enumerate(by)]) for by in modes.turned]).alias("slopes"))
-    found = sweep.slopes(root, counts, outer=True).select("tree", "node", "w").join(sweep.branches.select("tree", "node", "t", "q"), ["tree", "node"])
+    found = sweep.slopes(root, counts, outer=True).select("tree", "node", "w").join(by_shuffle(sweep.branches.select("tree", "node", "t", "q")), ["tree", "node"])
     rows = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda a: F.slice("w", a * k + 1, F.lit(k)))
     by_q = found.withColumn("way", M.exponential(M.transposed(F.col("q"), k), F.col("t"), k, F.array(rows))).select("tree", F.flatten(F.get(F.col("way.d"), F.lit(0))).alias("g"))
     sums = by_q.groupBy("tree").agg(*[F.sum(F.col("g")[i]).alias(f"g{i}") for i in range(k * k)])
-    each = sums.select("tree", F.array(*[f"g{i}" for i in range(k * k)]).alias("g")).join(root, "tree")
+    each = sums.select("tree", F.array(*[f"g{i}" for i in range(k * k)]).alias("g")).join(by_shuffle(root), "tree")
     return each.select("tree", F.transform(M.reversible_turns(rates, F.col("freqs"), k, normal), lambda m: S.dot(F.flatten(m), F.col("g"))).alias("slopes"))
 
 
@@ -334,14 +334,14 @@ def dna_sweep(edges: DataFrame, sequences: DataFrame, model: str = "jc", kappa:
         if given is None or slopes:
             raise ValueError("a given model needs its matrices and has slopes in lengths only")
         known = given.select(F.col("ds").alias("tree"), F.col("rates").alias("q"), "freqs")
-        full = branches.join(known.select("tree", "q"), "tree").withColumn("p", M.exponential(F.col("q"), F.col("t"), 4)["p"])
+        full = branches.join(by_shuffle(known.select("tree", "q")), "tree").withColumn("p", M.exponential(F.col("q"), F.col("t"), 4)["p"])
         return Sweep(nodes, tips, stored(full), dense_kernel(4)), known.select("tree", "freqs"), counts
     exchange = {"hky": (1.0, kappa, 1.0, 1.0, kappa, 1.0), "gtr": tuple(float(x) for x in rates)}[model]
     root = stored(base_frequencies(sequences))
     if not slopes:
         modes = own_modes(root, exchange, 4)
-        return Sweep(nodes, tips, stored(branches.join(modes.table.drop("turned"), "tree")), spectral_kernel(4, modes)), root, counts
-    full = reversible_branches(branches.join(root, "tree"), F.array(*[F.lit(x) for x in exchange]), F.col("freqs"), 4, slopes=True)
+        return Sweep(nodes, tips, stored(branches.join(by_shuffle(modes.table.drop("turned")), "tree")), spectral_kernel(4, modes)), root, counts
+    full = reversible_branches(branches.join(by_shuffle(root), "tree"), F.array(*[F.lit(x) for x in exchange]), F.col("freqs"), 4, slopes=True)
     return Sweep(nodes, tips, stored(full.drop("freqs")), dense_kernel(4, BASE_PAIRS)), root, counts
 
 
@@ -349,7 +349,7 @@ def dna_likelihood(edges: DataFrame, sequences: DataFrame, model: str = "jc", **
     """``ds, sites, log_likelihood`` of each data set's tree."""
     sweep, root, counts = dna_sweep(edges, sequences, model, **options)
     sites = counts.groupBy("tree").agg(F.round(F.sum("n")).cast("int").alias("sites"))
-    return sweep.values(root, counts).join(sites, "tree").select(F.col("tree").alias("ds"), "sites", "log_likelihood")
+    return sweep.values(root, counts).join(by_shuffle(sites), "tree").select(F.col("tree").alias("ds"), "sites", "log_likelihood")
 
 
 def barcode_sweep(edges: DataFrame, sequences: DataFrame, nu: float = 0.4, leading: float = 0.05, rates: DataFrame | None = None, least: float = 1e-3) -> tuple[Sweep, DataFrame, DataFrame]:
@@ -374,14 +374,14 @@ def barcode_sweep(edges: DataFrame, sequences: DataFrame, nu: float = 0.4, leadi
         listed = rates.select(*keys, "state", "rate").groupBy("tree", *(["pattern"] if by_site else [])).agg(F.map_from_entries(F.collect_list(F.struct(F.col("state").cast("int"), "rate"))).alias("m"))
         share = listed.select(*[c for c in listed.columns if c != "m"], F.transform(F.sequence(F.lit(1), F.lit(every)), lambda e: F.coalesce(F.try_element_at("m", e), F.lit(0.0))).alias("rates"))
         if by_site:  # a site without edits has no rates
-            share = counts.select("tree", "pattern").join(share, ["tree", "pattern"], "left").withColumn("rates", F.coalesce("rates", F.array_repeat(F.lit(0.0), every)))
+            share = counts.select("tree", "pattern").join(by_shuffle(share), ["tree", "pattern"], "left").withColumn("rates", F.coalesce("rates", F.array_repeat(F.lit(0.0), every)))
         else:
-            share = counts.select("tree").distinct().join(share, "tree", "left").withColumn("rates", F.coalesce("rates", F.array_repeat(F.lit(0.0), every)))
+            share = counts.select("tree").distinct().join(by_shuffle(share), "tree", "left").withColumn("rates", F.coalesce("rates", F.array_repeat(F.lit(0.0), every)))
     share = stored(share.withColumn("nu", F.lit(nu)))
     tips = cells.select("tree", "node", "pattern", one_hot(F.when(F.col("code") < 0, every + 1).otherwise(F.col("code")), every + 2).alias("own"))
     start = one_hot(F.lit(0), every + 2)
     root = share.withColumn("t", F.lit(leading)).withColumn("freqs", kernel.down(start))
-    branches = stored(branch_lengths(nodes, least).join(share, "tree"))
+    branches = stored(branch_lengths(nodes, least).join(by_shuffle(share), "tree"))
     return Sweep(nodes, tips, branches, kernel, by_site), root.select("tree", *(["pattern"] if by_site else []), "freqs"), counts
 
 
@@ -389,7 +389,7 @@ def barcode_likelihood(edges: DataFrame, sequences: DataFrame, **options) -> Dat
     """``ds, sites, log_likelihood`` of barcodes on each data set's tree."""
     sweep, root, counts = barcode_sweep(edges, sequences, **options)
     sites = counts.groupBy("tree").agg(F.sum("n").cast("int").alias("sites"))
-    return sweep.values(root, counts).join(sites, "tree").select(F.col("tree").alias("ds"), "sites", "log_likelihood")
+    return sweep.values(root, counts).join(by_shuffle(sites), "tree").select(F.col("tree").alias("ds"), "sites", "log_likelihood")
 
 
 # --- states of migration -----------------------------------------------------------

@@ -43,6 +43,16 @@ def stored(df: DataFrame, **options: int | str) -> DataFrame:
     return kept
 
 
+def by_shuffle(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join that does not go through the driver.
+
+    Spark broadcasts a side that looks small. Steps that come in many rounds
+    would send all of these, once each, through one process, and tables just
+    below the limit are several times as large there.
+    """
+    return df.hint("merge")
+
+
 def release(*frames: DataFrame) -> None:
     """Remove the tables behind ``frames``, each a result of :func:`stored` that no later frame reads; others are left alone."""
     for df in frames:

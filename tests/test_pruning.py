@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cladewise.operators import inference, pruning
+from cladewise.operators import inference, linkage, pruning, trees
+from cladewise.sources.shared import stored
 
 RATES = (1.0, 2.0, 3.0, 0.5, 4.0, 1.5)
 NODES = [("r", None, 0.0), ("a", "r", 0.3), ("t3", "r", 0.7), ("b", "a", 0.2), ("t0", "b", 0.1), ("t1", "b", 0.4), ("t2", "a", 0.0005), ("t4", "a", 0.6)]
@@ -150,3 +151,21 @@ def test_modes_of_one_model_stand_for_matrices_of_branches(spark):
             if not slopes:
                 assert sweep.branches.columns == ["tree", "node", "t"]
         assert found[0] == pytest.approx(found[1], rel=1e-9)
+
+
+def test_rounds_and_levels_send_no_table_through_the_driver(spark, monkeypatch):
+    plans = []
+
+    def noted(df, **options):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return stored(df, **options)
+
+    for module in (linkage, pruning, trees):
+        monkeypatch.setattr(module, "stored", noted)
+    rows = [(0, t, [(t * s) % 3 - (t == s) for s in range(6)]) for t in range(8)]
+    cells = spark.createDataFrame(rows, "ds long, taxon long, codes array<int>")
+    pairs = spark.createDataFrame([(0, i, j, 1.0 + (i * j) % 5) for i in range(8) for j in range(i + 1, 8)], "ds long, i long, j long, d double")
+    edges = stored(linkage.edges(linkage.merges(pairs)))
+    sweep, root, counts = pruning.barcode_sweep(edges, cells)
+    plans += [df._jdf.queryExecution().executedPlan().toString() for df in (linkage.edges(linkage.merges(pairs)), sweep.values(root, counts), sweep.slopes(root, counts))]
+    assert len(plans) > 10 and not [p for p in plans if "Broadcast" in p]
