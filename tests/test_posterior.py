@@ -227,3 +227,31 @@ def test_fit_refuses_what_it_would_ignore(spark):
             posterior.fit(p, s, AnalysisConfig(**options))
     with pytest.raises(Exception, match="taxon 3 has not both"):
         posterior.fit(p, s, most=1).collect()
+
+
+def test_several_trees_at_once_as_each_by_itself():
+    rng = np.random.default_rng(4)
+    for n in (3, 4, 9, 40):
+        codes, counts = gradients.patterns(rng.integers(-1, 4, (n, 30)))
+        trees = [gradients.JoinedTree(list(range(n)), posterior.distance_matrix(rng.standard_normal((n, 3)), 2.0)) for _ in range(3)]
+        tips = np.stack(gradients.base_tips(codes)).transpose(0, 2, 1)
+        for tree, (value, slope) in zip(trees, gradients.jukes_cantor_slopes(trees, tips, counts)):
+            one, each, _ = gradients.model_slopes(tree, codes, counts)
+            assert value == pytest.approx(one, rel=1e-12)
+            assert slope == pytest.approx(each, rel=1e-9, abs=1e-9)
+
+
+def test_joins_find_the_first_pair_of_least_criterion():
+    rng = np.random.default_rng(5)
+    for n in (3, 4, 7, 20):
+        d = np.round(rng.random((n, n)), 1)
+        d = np.triu(d, 1) + np.triu(d, 1).T
+        steps, before, room = inference.joined(d)
+        live = list(range(n))
+        for u, v, w, m, *_ in steps:
+            assert m == len(live) and before[w - n].tolist() == live
+            sub = room[np.ix_(live, live)]
+            q = (m - 2) * sub - sub.sum(1)[:, None] - sub.sum(1)
+            pairs = [(q[a, b], live[a], live[b]) for a in range(m) for b in range(a + 1, m)]
+            assert m == 2 or (u, v) == next(p[1:] for p in pairs if p[0] == min(pairs)[0])
+            live = [x for x in live if x not in (u, v)] + [w]
