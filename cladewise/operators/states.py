@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cladewise.functions import scalars as S
-from cladewise.sources.shared import stored
+from cladewise.sources.shared import by_shuffle, stored
 
 LEAST, MOST_STATES = 1e-6, 64
 
@@ -24,15 +24,19 @@ def alphabet_of(states: DataFrame) -> list[str]:
 
 
 def levels(trees: DataFrame) -> list[DataFrame]:
-    """Nodes by distance from the root: ``tree, node, parent, length``, a table for each level. Only what hangs on a root is reached, so this ends."""
-    edge = trees.where("parent IS NOT NULL")
-    out = [stored(trees.where("parent IS NULL").select("tree", "node", "parent", "length"))]
-    while True:
+    """Nodes by distance from the root: the columns of ``trees``, a table for each level. Only what hangs on a root is reached, so this ends; it ends at once where no edge is left."""
+    nodes = stored(trees)  # once, so that no level derives the trees again
+    edge = nodes.where("parent IS NOT NULL")
+    out, left = [nodes.where("parent IS NULL")], edge.count()
+    while left:
         above = out[-1].select("tree", F.col("node").alias("parent"))
-        now = stored(edge.join(above, ["tree", "parent"]).select("tree", "node", "parent", "length"))
-        if now.isEmpty():
-            return out
+        now = stored(edge.join(by_shuffle(above), ["tree", "parent"]).select(*nodes.columns))
+        found = now.count()
+        if not found:
+            break
         out.append(now)
+        left -= found
+    return out
 
 
 def stay_and_move(length: Column, k: int) -> tuple[Column, Column]:
@@ -50,14 +54,14 @@ def stay_and_move_slopes(length: Column, k: int) -> tuple[Column, Column]:
 def inside(trees: DataFrame, leaf_states: DataFrame) -> tuple[list[DataFrame], list[str]]:
     """``tree, node, parent, length, inside`` (log probability of the leaves below, by the node's state), a table for each level, and the alphabet."""
     names = alphabet_of(leaf_states)
-    k, by_level = len(names), levels(trees)
+    k = len(names)
     known = leaf_states.select("tree", "node", F.array(*[F.when(F.col("state") == s, 0.0).otherwise(float("-inf")) for s in names]).alias("own"))
+    by_level = levels(trees.select("tree", "node", "parent", "length").join(by_shuffle(known), ["tree", "node"], "left"))
     out: list[DataFrame] = []
     sums: DataFrame | None = None
-    for nodes in reversed(by_level):
-        here = nodes.join(known, ["tree", "node"], "left")
+    for here in reversed(by_level):
         if sums is not None:
-            here = here.join(sums, ["tree", "node"], "left")
+            here = here.join(by_shuffle(sums), ["tree", "node"], "left")
             here = here.withColumn("inside", F.coalesce("own", "below"))
         else:
             here = here.withColumnRenamed("own", "inside")
@@ -93,7 +97,7 @@ def draw(trees: DataFrame, leaf_states: DataFrame, seed: int = 1) -> DataFrame:
             here = here.withColumn("w", weights)
         else:
             stay, move = stay_and_move(F.col("length"), k)
-            here = here.join(given, ["tree", "parent"]).withColumn("stay", stay).withColumn("move", move)
+            here = here.join(by_shuffle(given), ["tree", "parent"]).withColumn("stay", stay).withColumn("move", move)
             weights = F.transform("inside", lambda v, i: F.when(i == F.col("from"), F.col("stay")).otherwise(F.col("move")) * F.exp(v - F.array_max("inside")))
             here = here.withColumn("w", weights)
         run = F.transform(F.sequence(F.lit(1), F.lit(k)), lambda i: S.total(F.slice("w", 1, i)))
@@ -121,7 +125,7 @@ def marginals(trees: DataFrame, leaf_states: DataFrame) -> tuple[DataFrame, list
         else:
             stay, move = stay_and_move(F.col("length"), k)
             d_stay, d_move = stay_and_move_slopes(F.col("length"), k)
-            here = here.join(above, ["tree", "parent"]).withColumns({"move": move, "more": stay - move, "d_move": d_move, "d_more": d_stay - d_move})
+            here = here.join(by_shuffle(above), ["tree", "parent"]).withColumns({"move": move, "more": stay - move, "d_move": d_move, "d_more": d_stay - d_move})
             here = here.withColumn("m", F.transform("l", lambda v: F.col("move") * F.col("total") + F.col("more") * v))
             here = here.withColumn("q", F.zip_with("q", "m", lambda q, m: q / m)).withColumn("q_sum", S.total(F.col("q")))
             here = here.withColumn("slope", F.col("d_move") * F.col("total") * F.col("q_sum") + F.col("d_more") * S.dot(F.col("q"), F.col("l")))

@@ -492,7 +492,7 @@ SELECT t.tree, t.node, p.state AS from_state, c.state AS to_state, {r('hp.height
   JOIN h hc ON hc.tree = t.tree AND hc.node = t.node JOIN h hp ON hp.tree = t.tree AND hp.node = t.parent WHERE c.state <> p.state""")
 def sampled_migrations(spark, sf_dir):
     """State changes along every tree for the drawn states."""
-    t = X.trees(spark, sf_dir)
+    t = stored(X.trees(spark, sf_dir))
     return rounded(trees.migrations(t, states.draw(t, X.leaf_states(spark, sf_dir))), "start_time", "end_time")
 
 

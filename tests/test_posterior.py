@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cladewise.functions import scalars as S
 from cladewise.operators import embedding, gradients, inference, linkage, posterior, states, trees
 from cladewise.plans.config import AnalysisConfig, Covariance
+from cladewise.sources.shared import stored
 
 
 def symmetric_matrix(t, k):
@@ -255,3 +256,20 @@ def test_joins_find_the_first_pair_of_least_criterion():
             pairs = [(q[a, b], live[a], live[b]) for a in range(m) for b in range(a + 1, m)]
             assert m == 2 or (u, v) == next(p[1:] for p in pairs if p[0] == min(pairs)[0])
             live = [x for x in live if x not in (u, v)] + [w]
+
+
+def test_levels_end_with_the_last_edge(spark, monkeypatch):
+    kept = []
+
+    def noted(df, **options):
+        kept.append(df._jdf.queryExecution().executedPlan().toString())
+        return stored(df, **options)
+
+    monkeypatch.setattr(states, "stored", noted)
+    rows = [(1, "R", None, 0.0), (1, "a", "R", 1.0), (1, "b", "R", 0.5), (1, "c", "a", 0.5), (1, "d", "a", 2.0)]
+    tree = spark.createDataFrame(rows, "tree long, node string, parent string, length double")
+    assert [df.count() for df in states.levels(tree)] == [1, 2, 2]
+    assert len(kept) == 3 and not [p for p in kept if "Broadcast" in p]
+    drawn = spark.createDataFrame([(1, n, s) for n, s in zip("Rabcd", "xyxyx")], "tree long, node string, state string")
+    got = {(r.node, r.from_state, r.to_state, r.start_time, r.end_time) for r in trees.migrations(tree, drawn).collect()}
+    assert got == {("a", "x", "y", 0.0, 1.0), ("d", "y", "x", 1.0, 3.0)}
