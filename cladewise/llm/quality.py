@@ -67,10 +67,10 @@ class Model:
 
 
 def _descend(x: np.ndarray, grad, steps: int, rate: float, decay: float) -> np.ndarray:
-    """Adam on a linear model; the last entry is the bias."""
-    w, m, v = np.zeros(x.shape[1] + 1), 0.0, 0.0
+    """Adam on a linear model over rows that end with a 1; the last entry is the bias."""
+    w, m, v = np.zeros(x.shape[1]), 0.0, 0.0
     for t in range(1, steps + 1):
-        g = grad(x @ w[:-1] + w[-1]) @ np.c_[x, np.ones(len(x))] + decay * np.r_[w[:-1], 0.0]
+        g = grad(x[:, :-1] @ w[:-1] + w[-1]) @ x + decay * np.r_[w[:-1], 0.0]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w = w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return w
@@ -101,6 +101,15 @@ def _extended(x: np.ndarray, model: Model) -> np.ndarray:
     return np.c_[((x - model.mean) / model.scale).clip(-8, 8), np.ones(len(x))]
 
 
+def _spread(positive: np.ndarray, sample: np.ndarray, block: int = 32) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and standard deviation of each column over the rows of both, a few columns at a time."""
+    mean, deviation = np.zeros(sample.shape[1]), np.zeros(sample.shape[1])
+    for at in range(0, len(mean), block):
+        some = np.r_[positive[:, at : at + block], sample[:, at : at + block]].astype(float)
+        mean[at : at + block], deviation[at : at + block] = some.mean(0), some.std(0)
+    return mean, deviation
+
+
 def tails(x: np.ndarray, model: Model, cuts: np.ndarray) -> np.ndarray:
     """How many rows score each cut or more, and their number."""
     z = _extended(x, model) @ np.r_[model.weight, model.bias]
@@ -126,22 +135,26 @@ def fit(positive: np.ndarray, sample: np.ndarray, over_all, steps: int = 200, ra
     width = max(positive.shape[1], sample.shape[1])
     if not len(positive) or not len(sample):
         return Model(np.zeros(width), np.ones(width), np.zeros(width), 0.0, 0.5)
-    both = np.r_[positive, sample].astype(float)
-    model = Model(both.mean(0), both.std(0) + 0.02, np.zeros(width), 0.0, 0.5)
-    pos, unl = _extended(positive, model), _extended(sample, model)
+    mean, deviation = _spread(positive, sample)
+    model = Model(mean, deviation + 0.02, np.zeros(width), 0.0, 0.5)
+    # the one large table here: this runs on the driver, where memory is short
+    both, n = np.ones((len(positive) + len(sample), width + 1)), len(positive)
+    some = both[:, :-1]
+    some[:n], some[n:] = positive, sample
+    some -= model.mean
+    some /= model.scale
+    np.clip(some, -8, 8, out=some)
+    pos, unl = both[:n], both[n:]
     # a plain positive-or-unlabelled model on the even rows, its scores on the odd positives
-    x, n = np.r_[pos[::2], unl[::2]][:, :-1], len(pos[::2])
-    y = np.r_[np.ones(n), np.zeros(len(x) - n)]
-    balance = np.where(y == 1, 0.5 / n, 0.5 / max(1, len(x) - n))
-    w = _descend(x, lambda z: 2 * balance * (_sigmoid(z) - y), steps, rate, 1e-3)
+    y = np.r_[np.ones(len(pos[::2])), np.zeros(len(unl[::2]))]
+    balance = np.where(y == 1, 0.5 / len(pos[::2]), 0.5 / max(1, len(unl[::2])))
+    w = _descend(np.r_[pos[::2], unl[::2]], lambda z: 2 * balance * (_sigmoid(z) - y), steps, rate, 1e-3)
     model.weight, model.bias = w[:-1], float(w[-1])
     kept = (pos[1::2] if len(pos) > 1 else pos) @ w
     cuts = np.unique(np.quantile(kept, np.linspace(0, 0.98, 99)))
     found = over_all(lambda rows: tails(rows, model, cuts))
     model.prior = estimate_prior(kept, found[:-1], int(found[-1]), cuts)
     # the sample's own least risk first, from which the steps over all rows start
-    some, n = np.r_[pos, unl][:, :-1], len(pos)
-
     def slope(z: np.ndarray) -> np.ndarray:
         g, s = np.r_[-model.prior * _sigmoid(z[:n]) / n, _sigmoid(z[n:]) / len(unl)], _sigmoid(z[:n]) - 1
         if np.logaddexp(0, z[n:]).mean() < model.prior * np.logaddexp(0, z[:n]).mean():
@@ -149,7 +162,7 @@ def fit(positive: np.ndarray, sample: np.ndarray, over_all, steps: int = 200, ra
         g[:n] += model.prior * s / n
         return g
 
-    w = _descend(some, slope, 2 * steps, rate, decay)
+    w = _descend(both, slope, 2 * steps, rate, decay)
     for _ in range(passes):
         model.weight, model.bias = w[:-1], float(w[-1])
         found = over_all(lambda rows: as_negatives(rows, model))

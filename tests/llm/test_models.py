@@ -1,6 +1,7 @@
 """Quality classifier, language model, licence scan and top-k search."""
 
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -25,6 +26,17 @@ def test_prior_and_nonnegative_risk():
     assert estimate_prior(np.zeros(0), np.zeros(0), 3, np.zeros(0)) == 0.5
 
 
+def test_fit_holds_its_rows_once():
+    """The fit runs on the driver: beside one table of all its rows in 64 bits it may hold half of that again, and some."""
+    rng = np.random.default_rng(4)
+    pos, unl = rng.random((2000, 300)).astype(np.float32), rng.random((2000, 300)).astype(np.float32)
+    tracemalloc.start()
+    fit(pos, unl, lambda f: f(unl[:100]), steps=5)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 2.5 * 4000 * 301 * 8
+
+
 def test_all_unlabelled_rows_decide_the_fit():
     """The least value of the unbiased risk over all rows, found by plain descent, is where the steps end, however the sample was drawn."""
     rng = np.random.default_rng(3)
