@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from cladewise.llm.common import RID, materialise, number_rows, table
+from cladewise.llm.common import RID, few_rows, materialise, number_rows, table
 
 CONTEXT, END_ID = 2048, 1
 #: Unicode white space; str.split also cuts at the four characters below, which are no white space to the tokenizers.
@@ -111,7 +111,7 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, row_id: str | None, voca
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
         encoder = WordIds(vocabulary)
-        for b in batches:
+        for b in few_rows(batches):
             which, start, length, crc, total = [], [], [], [], []
             for i, ids in enumerate(encoder.encode([t or "" for t in b.column("t").to_pylist()])):
                 ids += end

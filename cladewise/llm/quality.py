@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cladewise.llm.common import RID, table
+from cladewise.llm.common import RID, few_rows, table
 
 THRESHOLD, FOLDS, MAX_FIT, PASSES, SEED = 0.3, 5, 8000, 3, 11
 _FIXED, DECAY = 1 << 24, 0.003
@@ -185,7 +185,7 @@ def _sampled(docs: DataFrame, ids: DataFrame) -> np.ndarray:
     """Features of the documents with the given ids (a bounded number), in the order of ids. Of rows with one id that with the least hash of the text counts, so repeats of an id stay bounded too."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in few_rows(batches):
             found = [features(t).tobytes() for t in b.column("t").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(found, pa.binary())], names=["id", "x"])
 
@@ -200,12 +200,10 @@ def _summed(texts: DataFrame):
     def over_all(f) -> np.ndarray:
         def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = None
-            for b in batches:
-                rows = b.column("t").to_pylist()
-                for i in range(0, len(rows), 512):
-                    found = f(np.array([features(t) for t in rows[i : i + 512]]))
-                    found = np.rint(found * _FIXED).astype(np.int64)
-                    total = found if total is None else total + found
+            for b in few_rows(batches):
+                found = f(np.array([features(t) for t in b.column("t").to_pylist()]))
+                found = np.rint(found * _FIXED).astype(np.int64)
+                total = found if total is None else total + found
             if total is not None:
                 yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.int64()))], names=["s"])
 
@@ -245,9 +243,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = b.column("t").to_pylist()
-            found = np.concatenate([np.zeros(0)] + [model.score(np.array([features(t) for t in texts[i : i + 512]])) for i in range(0, len(texts), 512)])
+        for b in few_rows(batches):
+            found = model.score(np.array([features(t) for t in b.column("t").to_pylist()]))
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column(RID), pa.array(found, pa.float64())], names=["id", RID, "score"])
 
     rid = F.col(row_id).cast("long") if row_id else F.lit(None).cast("long")
@@ -264,10 +261,9 @@ def keep_good(docs: DataFrame, model: Model, text_col: str = "text", threshold:
     """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = b.column(text_col).to_pylist()
-            good = [model.score(np.array([features(t) for t in texts[i : i + 512]])) >= threshold for i in range(0, len(texts), 512)]
-            yield b.filter(pa.array(np.concatenate([np.zeros(0, bool), *good])))
+        for b in few_rows(batches):
+            good = model.score(np.array([features(t) for t in b.column(text_col).to_pylist()])) >= threshold
+            yield b.filter(pa.array(good))
 
     return docs.mapInArrow(each, docs.schema)
 

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cladewise.llm.common import RID, P, materialise, table, with_row_ids
+from cladewise.llm.common import RID, P, few_rows, materialise, table, with_row_ids
 from cladewise.llm.components import components
 
 BITS, SEGMENTS = 64, 4
@@ -48,7 +48,7 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, row_id: str | None
     rid = F.col(row_id).cast("long") if row_id else F.lit(None).cast("long")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in few_rows(batches):
             found = np.array([fingerprint(t, shingle) for t in b.column("t").to_pylist()], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column(RID), pa.array(found)], names=["id", RID, "fp"])
 

@@ -6,10 +6,12 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from cladewise.llm import attention as net
 from cladewise.llm.bitsliced import top_k
+from cladewise.llm.common import few_rows
 from cladewise.llm.licences import RULES, SENTENCES, oracle_sql, parts_of, scan, sequences, sign
 from cladewise.llm.lm import _class_scores, score_texts, slices, text_words, training_windows
 from cladewise.llm.quality import estimate_prior, features, fit, keep_good, score, train
@@ -37,6 +39,14 @@ def test_fit_holds_its_rows_once():
     assert most < 2.5 * 4000 * 301 * 8
 
 
+def test_texts_come_a_few_at_a_time():
+    """Every row once and in order, whatever the batches, and never more than a few of them as strings at once."""
+    batches = [pa.RecordBatch.from_pydict({"t": [f"{k} {i}" for i in range(n)]}, pa.schema([("t", pa.string())])) for k, n in enumerate((0, 1, 1300, 512))]
+    found = list(few_rows(iter(batches)))
+    assert [b.num_rows for b in found] == [1, 512, 512, 276, 512]
+    assert [t for b in found for t in b.column("t").to_pylist()] == [t for b in batches for t in b.column("t").to_pylist()]
+
+
 def test_all_unlabelled_rows_decide_the_fit():
     """The least value of the unbiased risk over all rows, found by plain descent, is where the steps end, however the sample was drawn."""
     rng = np.random.default_rng(3)
