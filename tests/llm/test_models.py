@@ -7,13 +7,15 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import public_tokenizers
 import pytest
+from tokenizers import Tokenizer
 
 from cladewise.llm import attention as net
 from cladewise.llm.bitsliced import top_k
 from cladewise.llm.common import few_rows
 from cladewise.llm.licences import RULES, SENTENCES, oracle_sql, parts_of, scan, sequences, sign
-from cladewise.llm.lm import _class_scores, score_texts, slices, text_words, training_windows
+from cladewise.llm.lm import Subwords, _class_scores, numbered_words, score_texts, slices, text_words, training_windows
 from cladewise.llm.quality import estimate_prior, features, fit, keep_good, score, train
 
 from .conftest import LONG, edge_rows
@@ -141,6 +143,78 @@ def test_scores_equal_a_plain_forward_pass():
         at += n
 
 
+def test_groups_of_classes():
+    rng = np.random.default_rng(7)
+    classes, slots = 2 * net._GROUP + 5, 20
+    p = net.unflatten(rng.normal(0, 0.4, len(net.initial(np.ones(classes), slots, 1))), classes, slots)
+    p = {k: v.astype(float) for k, v in p.items()}
+    words = some_words(rng, classes, classes, slots)
+    words.kinds[2:] = np.arange(classes)  # a word of each class
+    w = rng.integers(2, 2 + classes, (3, net.SPAN + net.STRIDE))
+    w[0, : net.SEEN], w[0, net.SEEN], w[1, -5:] = net.FILL, net.START, net.FILL
+    total = 0.0
+    for k in range(classes):
+        each = w.copy()
+        each[:, net.SPAN :] = 2 + k
+        total = total + np.exp(net.log_probs(p, words.embed(p["E"]), each, words.kinds))
+    assert total == pytest.approx(np.ones(3 * net.STRIDE))
+    loss, g = net.gradients(p, words, w)
+    found = net.log_probs(p, words.embed(p["E"]), w, words.kinds)
+    assert loss == pytest.approx(-found.sum() / (3 * net.STRIDE - 5))
+    for k in p:
+        at = tuple(rng.integers(0, n) for n in p[k].shape) if k != "E" else (int(words.some(w[2, 3:4]).slots[0]), 1)
+        ends = []
+        for step in (1e-5, -1e-5):
+            q = {a: b.copy() for a, b in p.items()}
+            q[k][at] += step
+            ends.append(net.gradients(q, words, w)[0])
+        assert (ends[0] - ends[1]) / 2e-5 == pytest.approx(g[k][at], rel=1e-4, abs=1e-8)
+    # all classes but none of their columns are alike: the start gives the classes' own frequencies
+    counts = rng.integers(0, 99, classes).astype(float)
+    start = net.unflatten(net.initial(counts, slots, 1), classes, slots)
+    of = np.arange(classes) // net._GROUP
+    within = np.exp(start["b"]) / np.bincount(of, np.exp(start["b"]))[of]
+    assert within * (np.exp(start["c"]) / np.exp(start["c"]).sum())[of] == pytest.approx((counts + 1) / (counts + 1).sum(), rel=1e-4)
+
+
+def test_long_words_keep_all_their_subwords():
+    rng = np.random.default_rng(4)
+    lengths = np.array([1, 1, 1, 4, 5, 30, 2])
+    words = net.Words(rng.integers(0, 20, lengths.sum()).astype(np.uint16), lengths, np.zeros(7, int))
+    table, some = rng.normal(size=(20, net.DIM)), np.array([5, 0, 3, 4, 5, 6, 2])
+    mean = np.zeros((7, 20))
+    for i, (a, n) in enumerate(zip(words.starts, lengths)):
+        np.add.at(mean[i], words.slots[a : a + n], 1 / n)
+    assert words.embed(table) == pytest.approx(mean @ table) and words.embed(table, some) == pytest.approx(mean[some] @ table)
+    slopes = rng.normal(size=(7, net.DIM))
+    assert words.spread(slopes, some, 20) == pytest.approx(mean[some].T @ slopes)
+
+
+ODD = [None, "", "   ", "\n\t ", " The the THE's don't x1y2 ", "\x1c odd \x00   \ud7ff", "A\u00c9 \u3000b\x85c d\xa0e \u00e9t\u00e9 \u65e5\u672c\u8a9e", "<|endoftext|> ''ll " + "\u3000" * 3000 + "x" * 3000]
+
+
+def test_words_are_numbered_as_they_are_cut():
+    numbers, lengths, words = numbered_words(ODD)
+    assert [words[i - 2].encode() for i in numbers] == [w for t in ODD for w in text_words(t)]
+    assert lengths.tolist() == [len(text_words(t)) for t in ODD] and len(set(words)) == len(words)
+    assert numbered_words([])[1].tolist() == []
+
+
+def test_subwords_are_those_of_the_tokenizer():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    words = [w for w in numbered_words([*ODD, *(r[1] for r in edge_rows())])[2] if "<|" not in w]
+    subwords = Subwords(path)
+    plain, slow = Tokenizer.from_file(path), []
+    subwords._ids = lambda texts, f=subwords._ids: slow.extend(texts) or f(texts)
+    ids, pieces = subwords(words)
+    want = [plain.encode(" " + w, add_special_tokens=False).ids if w else [] for w in words]
+    assert pieces.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+    # the slower tokenizer is left with words that have blanks in them
+    assert all(any(not c.isascii() and c.isspace() or c == "\x1c" for c in t) for t in slow)
+    other = Subwords(public_tokenizers.path("word_bpe_49k.json"))
+    assert other.fast is None and len(other(["", "one", "two"])[1]) == 3
+
+
 def test_windows_score_each_token_once():
     lengths = np.array([1, 32, 33, 80, 3])
     numbers = np.arange(2, 2 + lengths.sum()).astype(np.int32)
