@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from cladewise.llm.common import RID, P, few_rows, materialise, table, with_row_ids
 from cladewise.llm.components import components
+from cladewise.sources.shared import by_shuffle
 
 BITS, SEGMENTS = 64, 4
 WIDTH = BITS // SEGMENTS
@@ -71,7 +72,8 @@ def links(distinct: DataFrame, within: int = 3) -> DataFrame:
     near = [F.struct(key.alias("key"), F.lit(True).alias("off")) for key in flips]
     right = distinct.select(fp.alias("b"), F.explode(F.array(*exact, *near)).alias("v")).select("b", F.col("v.key").alias("other"), "v.off").where("other IS NOT NULL")
     chain = f"bit_count(((shiftrightunsigned(a ^ b, turn)) | (CASE WHEN turn = 0 THEN 0 ELSE shiftleft(a ^ b, {BITS} - turn) END)) & {(1 << 3 * WIDTH) - 1}L) <= {3 * within // SEGMENTS}"
-    met = left.join(right, F.expr(f"key = other AND (off OR a < b) AND {chain} AND bit_count(a ^ b) <= {within}"))
+    # Spark sizes an exploded side by the fingerprints, not by its 36 rows of each on average, so it would take it for small.
+    met = left.join(by_shuffle(right), F.expr(f"key = other AND (off OR a < b) AND {chain} AND bit_count(a ^ b) <= {within}"))
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 

@@ -8,7 +8,7 @@ from collections import Counter
 import xxhash
 from pyspark.sql import functions as F
 
-from cladewise.llm.common import RID, with_row_ids
+from cladewise.llm.common import RID, materialise, with_row_ids
 from cladewise.llm.components import components
 from cladewise.llm.exact_dedup import drop_exact_copies, exact_dedup
 from cladewise.llm.line_dedup import dedup_lines
@@ -190,3 +190,9 @@ def test_row_ids_are_unique_and_stay(spark, edges, tmp_path):
         assert len(first) == df.count() and held.columns == [*df.columns, RID]
         again = {r[RID]: r.doc_id for r in held.select("doc_id", RID).collect()}
         assert again == {k: v[0] for k, v in first.items()}
+
+
+def test_links_are_not_broadcast(spark):
+    """An exploded side has 36 rows a fingerprint, whatever Spark takes it for."""
+    distinct = materialise(spark.range(1000).select(F.xxhash64("id").alias("fp")))
+    assert "Broadcast" not in links(distinct)._jdf.queryExecution().executedPlan().toString()
