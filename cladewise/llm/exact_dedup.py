@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cladewise.llm.common import RID, P, materialise, table, with_row_ids
+from cladewise.sources.shared import by_shuffle
 
 H, KEEP, LEAD, N = P + "h", P + "keep", P + "lead", P + "n"
 
@@ -35,7 +36,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = materialise(texts.select("id", RID, content_hash(F.col(norm)).alias(H), F.sha2(norm, 256).alias("sha")))
     lead = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col(RID).alias("rid")))
     groups = materialise(rows.groupBy(H).agg(lead.alias(LEAD), F.count(F.lit(1)).alias(N)))
-    single = rows.join(groups.where(F.col(N) == 1).select(H), H, "left_semi")
+    # Spark takes hashes in text for a few bytes each, and nearly every row has one here
+    single = rows.join(by_shuffle(groups.where(F.col(N) == 1).select(H)), H, "left_semi")
     single = single.select(F.col("id").alias("doc_id"), F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("sha").alias("text_sha256"), RID)
 
     # Rows whose hash another row has: compare bytes with the leader, round by round until no row differs.

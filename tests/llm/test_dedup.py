@@ -196,3 +196,10 @@ def test_links_are_not_broadcast(spark):
     """An exploded side has 36 rows a fingerprint, whatever Spark takes it for."""
     distinct = materialise(spark.range(1000).select(F.xxhash64("id").alias("fp")))
     assert "Broadcast" not in links(distinct)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_texts_without_copies_are_not_broadcast(spark):
+    """Nearly every row's hash is on the other side of that join."""
+    df = materialise(spark.range(100).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text")))
+    plan = exact_dedup(df)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan
