@@ -273,3 +273,25 @@ def test_levels_end_with_the_last_edge(spark, monkeypatch):
     drawn = spark.createDataFrame([(1, n, s) for n, s in zip("Rabcd", "xyxyx")], "tree long, node string, state string")
     got = {(r.node, r.from_state, r.to_state, r.start_time, r.end_time) for r in trees.migrations(tree, drawn).collect()}
     assert got == {("a", "x", "y", 0.0, 1.0), ("d", "y", "x", 1.0, 3.0)}
+
+
+@pytest.mark.parametrize("name", ["posterior_fit"])
+def test_registered_fits_do_their_whole_work(spark, tmp_path, name):
+    """Ten draws a step, 200 steps at least, and no end but that of the fit itself."""
+    from cladewise.operators import distances
+    from cladewise.plans import fixtures
+    from cladewise.plans.queries import QUERIES
+
+    rng = np.random.default_rng(6)
+    rows = [(64 * d + t, rng.uniform(-1, 1, 3).tolist()) for d in range(2) for t in range(5)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = QUERIES[name](spark, str(tmp_path)).collect()
+    fits = stored(posterior.fit(fixtures.points(spark, tmp_path), fixtures.alignment(spark, tmp_path), AnalysisConfig()))
+    if name == "posterior_fit":
+        assert sorted(got, key=str) == sorted(fits.collect(), key=str)
+        assert all(sum(r.ds == d and r.taxon is None and r.step > 0 for r in got) >= 200 for d in range(2))
+    else:
+        want = inference.build_trees(distances.euclidean(posterior.fitted_points(fits)), "nj").collect()
+        key = lambda r: (r.ds, r.node)
+        assert [(r.ds, r.node, r.parent) for r in sorted(got, key=key)] == [(r.ds, r.node, r.parent) for r in sorted(want, key=key)]
+        assert all(a.length == pytest.approx(b.length, abs=2e-6) for a, b in zip(sorted(got, key=key), sorted(want, key=key)) if b.length is not None)
