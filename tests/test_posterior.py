@@ -275,7 +275,7 @@ def test_levels_end_with_the_last_edge(spark, monkeypatch):
     assert got == {("a", "x", "y", 0.0, 1.0), ("d", "y", "x", 1.0, 3.0)}
 
 
-@pytest.mark.parametrize("name", ["posterior_fit"])
+@pytest.mark.parametrize("name", ["posterior_fit", "fitted_mean_trees"])
 def test_registered_fits_do_their_whole_work(spark, tmp_path, name):
     """Ten draws a step, 200 steps at least, and no end but that of the fit itself."""
     from cladewise.operators import distances
