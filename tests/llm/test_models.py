@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from cladewise.llm import attention as net
@@ -411,3 +412,10 @@ def test_licences_on_documents_match_plain_search(spark):
     plain = {"MIT": "Released under the MIT License.", "Apache-2.0": "Licensed under the Apache License, Version 2.0.", "GPL-3.0-only": "This work is licensed under the GNU General Public License, version 3.", "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0."}
     want = {r.doc_id: sorted(k for k, v in plain.items() if v in (r.text or "")) for r in docs.collect()}
     assert {r.doc_id: r.licences for r in scan(docs).collect()} == want
+
+
+def test_tasks_that_score_grow_with_the_chunks(spark):
+    """Counts of a task's chunks are in memory together, so few shuffle partitions must not gather many chunks."""
+    docs = spark.range(80).select(F.col("id").alias("doc_id"), F.concat_ws(" ", *[F.concat(F.lit("w"), (F.col("id") * k % 17).cast("string")) for k in range(1, 30)]).alias("text"))
+    got = score_texts(docs, bucket_bytes=100).select("doc_id", F.spark_partition_id().alias("p")).collect()
+    assert len({r.doc_id for r in got}) == 80 and len({r.p for r in got}) > int(spark.conf.get("spark.sql.shuffle.partitions"))
