@@ -419,3 +419,15 @@ def test_tasks_that_score_grow_with_the_chunks(spark):
     docs = spark.range(80).select(F.col("id").alias("doc_id"), F.concat_ws(" ", *[F.concat(F.lit("w"), (F.col("id") * k % 17).cast("string")) for k in range(1, 30)]).alias("text"))
     got = score_texts(docs, bucket_bytes=100).select("doc_id", F.spark_partition_id().alias("p")).collect()
     assert len({r.doc_id for r in got}) == 80 and len({r.p for r in got}) > int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_a_round_of_training_opens_its_own_files(spark, monkeypatch):
+    """All rounds together open each stored chunk once."""
+    from pyspark.sql.readwriter import DataFrameReader
+
+    opened, plain = [], DataFrameReader.parquet
+    monkeypatch.setattr(DataFrameReader, "parquet", lambda self, *paths, **options: opened.append([p for p in paths if p.endswith(".parquet")]) or plain(self, *paths, **options))
+    docs = spark.range(40).select(F.col("id").alias("doc_id"), F.repeat(F.concat(F.lit(" w"), "id"), 30).alias("text"))
+    assert score_texts(docs, bucket_bytes=100).count() == 40
+    rounds = [paths for paths in opened if paths]
+    assert len(rounds) >= 4 and len(set(sum(rounds, []))) == len(sum(rounds, []))
